@@ -1,0 +1,5 @@
+"""No streaming operators: every workload covered here reads bounded tables.
+
+The nearest incremental feature, a sweep that appends finished batches and
+restarts where it stopped, is a batch sink: see ``panelwright.sources.sinks``.
+"""
