@@ -95,11 +95,12 @@ def batched_logit(job: _Job, df: DataFrame, cells: list[int], tol: float = 1e-10
         if not active:
             break
         d = job.attach(df, {c: {"_g": gamma[c]} for c in sorted(active)})
-        p = logistic(job.dot("_g"))
-        for r in job.grams(d.withColumn("_p", p), [CELL], (F.col(D) - F.col("_p")) / (F.col("_p") * (1 - F.col("_p"))), F.col(W) * F.col("_p") * (1 - F.col("_p"))):
+        d = d.withColumn("_p", logistic(job.dot("_g")))
+        score = {"sc": F.array(*[F.sum(F.col(W) * (F.col(D) - F.col("_p")) * x) for x in job.x])}
+        for r in job.grams(d, [CELL], F.lit(0.0), F.col(W) * F.col("_p") * (1 - F.col("_p")), score):
             c = r[CELL]
             h = unpack(r.a, job.k)
-            s = _solve(h, np.array(r.b))
+            s = _solve(h, np.array(r.sc))
             if s is None or np.max(np.abs(gamma[c] + s)) > 1e3:
                 failed[c] = "propensity score could not be estimated"
                 active.discard(c)
