@@ -25,8 +25,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     if not keys:
         vals = vals.withColumn("_all", F.lit(1))
     gk = keys or ["_all"]
-    grid = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = vals.groupBy(*gk).agg(F.percentile_approx("_v", grid, 4 * BUCKETS).alias("_cuts"), F.count("*").alias("_n"))
+    grid = "array(" + ", ".join(f"{i / BUCKETS}D" for i in range(1, BUCKETS)) + ")"
+    cuts = vals.groupBy(*gk).agg(F.expr(f"percentile_approx(_v, {grid}, {4 * BUCKETS})").alias("_cuts"), F.count("*").alias("_n"))
     # The sketch depends on merge order; fixed here, it is the same in every branch below.
     cuts = durable(cuts)
     wanted = F.array(*[

@@ -16,6 +16,16 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def long_array(values) -> Column:
+    """Constant array of whole numbers, parsed once rather than built call by call."""
+    return F.expr("array(" + ", ".join("cast(null as bigint)" if v is None else f"{int(v)}L" for v in values) + ")")
+
+
+def struct_array(rows, names) -> Column:
+    """Constant array of structs of whole numbers."""
+    return F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{n}', {int(v)}L" for n, v in zip(names, r)) + ")" for r in rows) + ")")
+
+
 def rnd(c, digits: int = 6) -> Column:
     """Rounded double without negative zero, for comparable results."""
     return F.round(col(c), digits) + F.lit(0.0)

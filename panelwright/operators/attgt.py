@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalars import AVG_Z, col
+from panelwright.functions.scalars import AVG_Z, col, long_array, struct_array
 from panelwright.operators.did2x2 import CELL, estimate_cells
 from panelwright.session import keep
 
@@ -79,7 +79,7 @@ def control_cohorts(cells: DataFrame, cohorts: list[int], d: Design) -> DataFram
     """Membership (cell, cohort, treated): the cohort itself, and the cohorts that
     serve as its controls. Cohort null is never treated. The candidates are a
     short literal array, so the rule is a filter rather than a join."""
-    members = F.array(*[F.lit(g).cast("bigint") for g in cohorts], F.lit(None).cast("bigint"))
+    members = long_array([*cohorts, None])
     c = cells.withColumn("cohort", F.explode(members))
     own = F.col("cohort").eqNullSafe(F.col("g"))
     control = F.col("cohort").isNull()
@@ -108,12 +108,12 @@ def series_axes(units: DataFrame) -> tuple[list[int], list[int]]:
 
 def on_axis(units: DataFrame, periods: list[int]) -> DataFrame:
     """Outcome map laid on the period axis as an array (null where unobserved)."""
-    axis = F.array(*[F.lit(p).cast("bigint") for p in periods])
+    axis = long_array(periods)
     return units.withColumn("ys", F.transform(axis, lambda p: F.col("series")[p])).drop("series")
 
 
 def _position(periods: list[int], c: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(p).cast("bigint") for p in periods]), c).cast("int")
+    return F.array_position(long_array(periods), c).cast("int")
 
 
 def pair_moments(units: DataFrame, pairs: list[tuple[int, int]], periods: list[int]) -> DataFrame:
@@ -122,8 +122,8 @@ def pair_moments(units: DataFrame, pairs: list[tuple[int, int]], periods: list[i
     Each unit row is expanded over the pairs inside the task and summed there;
     what moves is one row per cohort, pair and task."""
     idx = {p: i for i, p in enumerate(periods)}
-    lit = F.array(*[F.struct(F.lit(t).cast("bigint").alias("t"), F.lit(p).cast("bigint").alias("pre"), F.lit(idx[t]).alias("i"), F.lit(idx[p]).alias("j")) for t, p in pairs])
-    x = units.select("cohort", "w", "ys", F.explode(lit).alias("p")).select("cohort", "w", "p.t", "p.pre", (F.col("ys")[F.col("p.i")] - F.col("ys")[F.col("p.j")]).alias("dy"))
+    lit = struct_array([(t, p, idx[t], idx[p]) for t, p in pairs], ("t", "pre", "i", "j"))
+    x = units.select("cohort", "w", "ys", F.explode(lit).alias("p")).select("cohort", "w", "p.t", "p.pre", (F.get("ys", F.col("p.i").cast("int")) - F.get("ys", F.col("p.j").cast("int"))).alias("dy"))
     x = x.where("dy is not null")
     w, dy = F.col("w"), F.col("dy")
     return x.groupBy("cohort", "t", "pre").agg(F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * dy).alias("swd"), F.sum(w * w).alias("sww"), F.sum(w * w * dy).alias("swwd"), F.sum(w * w * dy * dy).alias("swwdd"))
@@ -231,8 +231,8 @@ def _unbalanced_cells(units: DataFrame, members: DataFrame, pairs: list[tuple[in
     The variance of a cell needs, per arm, each period's own sums and the cross
     sum over units seen in both; all come from one expansion over the pairs."""
     idx = {p: i for i, p in enumerate(periods)}
-    lit = F.array(*[F.struct(F.lit(t).cast("bigint").alias("t"), F.lit(p).cast("bigint").alias("pre"), F.lit(idx[t]).alias("i"), F.lit(idx[p]).alias("j")) for t, p in pairs])
-    x = units.select("cohort", "w", "ys", F.explode(lit).alias("p")).select("cohort", "w", "p.t", "p.pre", F.col("ys")[F.col("p.i")].alias("a"), F.col("ys")[F.col("p.j")].alias("b"))
+    lit = struct_array([(t, p, idx[t], idx[p]) for t, p in pairs], ("t", "pre", "i", "j"))
+    x = units.select("cohort", "w", "ys", F.explode(lit).alias("p")).select("cohort", "w", "p.t", "p.pre", F.get("ys", F.col("p.i").cast("int")).alias("a"), F.get("ys", F.col("p.j").cast("int")).alias("b"))
     w, a, b = F.col("w"), F.col("a"), F.col("b")
     ha, hb = a.isNotNull(), b.isNotNull()
     both = ha & hb
