@@ -12,6 +12,7 @@ from panelwright.plans import panels as D
 from panelwright.plans.panels import P1, P2, P3, P4, P5, with_
 from panelwright.plans.q_gt import PLAIN, P_half, arms_sql
 from panelwright.plans.registry import query, r
+from panelwright.session import keep
 from panelwright.sources import tables as T
 
 
@@ -70,7 +71,7 @@ VC = with_(P1) + demean_sql() + " SELECT 'cluster_id' AS kind, " + r(CLUSTER("id
 
 @query("vcov_cluster", VC)
 def _(spark, sf):
-    p = D.nation_month(spark, sf).withColumn("x", post())
+    p = keep(D.nation_month(spark, sf)).withColumn("x", post())
     rows = []
     for label, kw in (("cluster_id", {}), ("cluster_region", {"cluster": "region"}), ("iid", {"kind": "iid"}), ("hc1", {"kind": "hc1"}), ("twoway", {"kind": "twoway"})):
         rows.append((label, float(E.static_effect(p, "id", "t", "y", "x", **kw).se[0])))

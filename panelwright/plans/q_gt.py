@@ -443,3 +443,51 @@ def _(spark, sf):
 
     e = A.att_gt(D.nation_month(spark, sf), WEIGHTED).where("att is not null")
     return rows_of_top_groups(e, "g", 3).select("g", (F.col("t") - F.col("g")).alias("e"), S.rnd("att").alias("att"))
+
+
+CVM = 49
+
+
+@query("pretest_cvm", with_(P1) + arms_sql(w="1.0") + f""", pr AS (SELECT *, id // 5 AS x, sum(1.0) OVER (PARTITION BY g, t, treated) AS sw, (CASE WHEN treated THEN 1 ELSE -1 END) AS sg FROM ch WHERE g > t),
+sh AS (SELECT id // 5 AS u, count(*)/25.0 AS share FROM (SELECT DISTINCT id FROM p1) GROUP BY 1),
+ja AS (SELECT u, share, g, t, treated, sum(CASE WHEN x <= u THEN sg*dy/sw ELSE 0 END) AS j FROM pr, sh GROUP BY 1, 2, 3, 4, 5),
+st AS (SELECT 25*sum(share*j*j) AS s FROM (SELECT u, share, g, t, sum(j) AS j FROM ja GROUP BY 1, 2, 3, 4)),
+sn AS (SELECT id, b, {S.draw31_sql('v', 9, 'id', 'b')} FROM (SELECT DISTINCT id FROM p1), range(0, {CVM}) bb(b)),
+jb AS (SELECT b, ja.u, ja.share, pr.g, pr.t, sum((CASE WHEN v >= 1073741824 THEN 1 ELSE -1 END)*((CASE WHEN x <= ja.u THEN sg*dy/sw ELSE 0 END) - ja.j/sw)) AS jb FROM pr JOIN sn USING (id) JOIN ja ON ja.g = pr.g AND ja.t = pr.t AND ja.treated = pr.treated GROUP BY 1, 2, 3, 4, 5),
+cb AS (SELECT b, 25*sum(share*jb*jb) AS s FROM jb GROUP BY 1)
+SELECT {r('max(st.s)')} AS statistic, {r('quantile_disc(cb.s, 0.95)')} AS critical, {r('avg((cb.s > st.s)::INT)')} AS p_value, count(*) AS draws FROM cb, st""")
+def _(spark, sf):
+    from panelwright.operators.pretest import cvm_pretest
+
+    p = D.nation_month(spark, sf).withColumn("x", F.floor(F.col("id") / 5).cast("double"))
+    t = cvm_pretest(p, PLAIN, "x", CVM, seed=9)
+    return t.select(*[S.rnd(c).alias(c) for c in ("statistic", "critical", "p_value")], "draws")
+
+
+@query("j_cell_reason", support_sql(False).replace("FROM p2 a WHERE", "FROM (SELECT * FROM p2 WHERE NOT (g IS NULL AND t % 5 = 0)) a WHERE") + " SELECT g, t, reason FROM support WHERE NOT identifiable")
+def _(spark, sf):
+    p = D.customer_quarter(spark, sf).where("not (g is null and t % 5 = 0)")
+    est = A.att_gt(p, A.Design(mode="unbalanced"), "reg").where("is_post and att is null").select("g", "t")
+    sup = A.support_table(p, PLAIN).select("g", "t", F.col("reason").alias("why"), "identifiable")
+    grid = sup.where("not identifiable").select("g", "t")
+    return grid.join(est, ["g", "t"], "left").join(sup, ["g", "t"], "left").select("g", "t", F.col("why").alias("reason"))
+
+
+@query("group_dynamics", with_(P1) + arms_sql(w="1.0") + ", s AS (SELECT g, count(DISTINCT id) AS u FROM p1 WHERE g IS NOT NULL GROUP BY 1) SELECT att.g, att.t - att.g AS e, " + r("att") + " AS att, u AS units, row_number() OVER (PARTITION BY att.g ORDER BY att.t)::INT AS step FROM att JOIN s USING (g) WHERE att.t >= att.g")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    p = D.nation_month(spark, sf)
+    sizes = p.where("g is not null").groupBy("g").agg(F.count_distinct("id").alias("units"))
+    e = A.att_gt(p, PLAIN).where("is_post").join(sizes, "g")
+    return e.select("g", (F.col("t") - F.col("g")).alias("e"), S.rnd("att").alias("att"), "units", F.row_number().over(Window.partitionBy("g").orderBy("t")).alias("step"))
+
+
+@query("f_distribution")
+def _(spark, sf):
+    """Tail probabilities of observed statistics, one row per nation."""
+    from panelwright.functions import distributions as N
+
+    p = D.nation_month(spark, sf).groupBy("id").agg((F.avg("y") / F.stddev_samp("y")).alias("z"), F.count("*").alias("n"))
+    rows = [(x.id, x.z, N.pnorm(x.z), N.pt(x.z, x.n - 1), N.pchisq(x.z * x.z, 1), N.pf(x.z * x.z, 1, x.n - 1)) for x in p.collect()]
+    return spark.createDataFrame(rows, "id BIGINT, z DOUBLE, p_norm DOUBLE, p_t DOUBLE, p_chi2 DOUBLE, p_f DOUBLE")

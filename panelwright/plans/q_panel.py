@@ -121,7 +121,7 @@ def _(spark, sf):
     return p.select("id", "t", F.when(F.floor(F.col("g") / 12).isin(1996, 1999), F.col("g")).alias("g"))
 
 
-@query("handle_merge", with_(P1) + ", h AS (SELECT c_nationkey::BIGINT AS id, (year(o_orderdate)*12+month(o_orderdate))::BIGINT AS t, sum(o_totalprice) AS handle FROM orders JOIN customer ON o_custkey=c_custkey WHERE o_totalprice > 400000 GROUP BY 1,2), f AS (SELECT id, min(t) AS first FROM h GROUP BY 1) SELECT p1.id, p1.t, " + r("CASE WHEN handle IS NULL AND p1.t < first THEN 0 ELSE handle END", 2) + " AS handle, " + r("CASE WHEN w > 0 THEN (CASE WHEN handle IS NULL AND p1.t < first THEN 0 ELSE handle END)/w END", 7) + " AS handle_per_unit FROM p1 LEFT JOIN h ON p1.id=h.id AND p1.t=h.t LEFT JOIN f ON f.id=p1.id")
+@query("handle_merge", with_(P1) + ", h AS (SELECT c_nationkey::BIGINT AS id, (year(o_orderdate)*12+month(o_orderdate))::BIGINT AS t, sum(o_totalprice) AS handle FROM orders JOIN customer ON o_custkey=c_custkey WHERE o_totalprice > 400000 GROUP BY 1,2), f AS (SELECT id, min(t) AS first FROM h GROUP BY 1) SELECT p1.id, p1.t, " + r("CASE WHEN handle IS NULL AND p1.t < first THEN 0 ELSE handle END", 2) + " AS handle, " + r("CASE WHEN handle IS NULL AND p1.t < first THEN 0 ELSE handle END", 2) + " / w" + " AS handle_per_unit FROM p1 LEFT JOIN h ON p1.id=h.id AND p1.t=h.t LEFT JOIN f ON f.id=p1.id")
 def _(spark, sf):
     big = T.table(spark, sf, "orders").where("o_totalprice > 400000").groupBy("o_custkey", S.month_index("o_orderdate").alias("t")).agg(F.sum("o_totalprice").alias("amt"))
     c = T.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("id"))
@@ -129,7 +129,7 @@ def _(spark, sf):
     first = h.groupBy("id").agg(F.min("t").alias("first"))
     p = D.nation_month(spark, sf).join(h, ["id", "t"], "left").join(first, "id", "left")
     filled = F.when(F.col("handle").isNull() & (F.col("t") < F.col("first")), F.lit(0.0)).otherwise(F.col("handle"))
-    return p.select("id", "t", S.rnd(filled, 2).alias("handle"), S.rnd(F.when(F.col("w") > 0, filled / F.col("w")), 7).alias("handle_per_unit"))
+    return p.select("id", "t", S.rnd(filled, 2).alias("handle"), F.when(F.col("w") > 0, S.rnd(filled, 2) / F.col("w")).alias("handle_per_unit"))
 
 
 @query("panel_balance_common", with_(P1) + ", u AS (SELECT * FROM p1 WHERE NOT (id = 4 AND t % 7 = 0) AND n > 0) SELECT id, t FROM u WHERE t IN (SELECT t FROM u GROUP BY 1 HAVING count(DISTINCT id) = (SELECT count(DISTINCT id) FROM u))")

@@ -19,7 +19,7 @@ from panelwright.plans.q_fe import demean_sql, post
 from panelwright.plans.q_gt import arms_sql
 from panelwright.plans.q_relational import SLOPE
 from panelwright.plans.registry import query, r
-from panelwright.sources.sinks import report_rows
+from panelwright.session import keep
 
 # The named specifications.
 SPECS = {
@@ -77,7 +77,7 @@ def _(spark, sf):
 
 @query("robust_matrix")
 def _(spark, sf):
-    p = D.nation_month(spark, sf)
+    p = keep(D.nation_month(spark, sf))
     rows = []
     for name in ("baseline", "narrow", "no_1998"):
         f = E.event_study(T.spec_panel(p, SPECS[name]).drop("e"), "id", "t", "g", "y", -6, 12)
@@ -229,14 +229,14 @@ query("loo_summary", LOO + " SELECT arg_max(unit, abs(att_full-att_loo)) AS top_
 
 @query("loo_cumulative")
 def _(spark, sf):
-    p = D.nation_month(spark, sf).withColumn("x", post())
+    p = keep(D.nation_month(spark, sf)).withColumn("x", post())
     ranked = [r_.unit for r_ in I.leave_one_out(p, "id", "t", "y", "x").orderBy(F.desc(F.abs("influence")), "unit").limit(3).collect()]
     return spark.createDataFrame(I.cumulative_drop(p, "id", "t", "y", "x", ranked), "n_dropped INT, att DOUBLE, se DOUBLE, units INT, n INT")
 
 
 @query("loo_ftest")
 def _(spark, sf):
-    p = D.nation_month(spark, sf)
+    p = keep(D.nation_month(spark, sf))
     treated = [r_.id for r_ in p.where("g = 23959").select("id").distinct().orderBy("id").collect()]
     return spark.createDataFrame(I.loo_lead_test(p, "id", "t", "g", "y", treated, -6, 12), "dropped INT, f DOUBLE, df1 INT, p DOUBLE")
 
@@ -275,7 +275,7 @@ def _(spark, sf):
 
 @query("dose_tertile_event_study")
 def _(spark, sf):
-    p = D.nation_month(spark, sf)
+    p = keep(D.nation_month(spark, sf))
     k = O.pre_tertiles(p.where("g is not null"), "id", "amt", F.col("t") < F.col("g"))
     out = None
     for name in ("Low", "Medium", "High"):
@@ -299,11 +299,11 @@ def _(spark, sf):
     return a.join(exact_quantiles(p, ["regime"], "amt", {"median": 0.5}).withColumn("median", S.rnd("median", 5)), "regime")
 
 
-@query("staggered_regime", with_(P1) + f", k AS (SELECT id, {REGIME} AS regime, amt, w FROM p1 WHERE g IS NOT NULL), a AS (SELECT id, avg(amt) FILTER (regime = 'first') AS first, avg(amt) FILTER (regime = 'both') AS both, max(w) AS w FROM k GROUP BY 1) SELECT id, " + r("first", 5) + " AS first, " + r("\"both\"", 5) + " AS both, " + r("\"both\"/nullif(first,0)") + " AS ratio FROM a WHERE first IS NOT NULL AND \"both\" IS NOT NULL".replace("AS both", "AS both"))
+@query("staggered_regime", with_(P1) + f", k AS (SELECT id, {REGIME} AS regime, amt FROM p1 WHERE g IS NOT NULL), a AS (SELECT id, avg(amt) FILTER (regime = 'first') AS f, avg(amt) FILTER (regime = 'both') AS b FROM k GROUP BY 1) SELECT id, " + r("ln(f)") + " AS log_first, " + r("ln(b)") + " AS log_both, " + r("b/nullif(f,0)") + " AS ratio FROM a WHERE f > 0 AND b > 0")
 def _(spark, sf):
     p = D.nation_month(spark, sf).where("g is not null").withColumn("regime", regime())
-    a = p.groupBy("id").pivot("regime", ["first", "both"]).agg(F.avg("amt")).where("first is not null and both is not null")
-    return a.select("id", S.rnd("first", 5).alias("first"), S.rnd("both", 5).alias("both"), S.rnd(F.col("both") / F.nullif("first", F.lit(0.0))).alias("ratio"))
+    a = p.groupBy("id").pivot("regime", ["first", "both"]).agg(F.avg("amt")).where("first > 0 and both > 0")
+    return a.select("id", S.rnd(F.ln("first")).alias("log_first"), S.rnd(F.ln("both")).alias("log_both"), S.rnd(F.col("both") / F.nullif("first", F.lit(0.0))).alias("ratio"))
 
 
 @query("event_index", with_(P1) + ", b AS (SELECT id, avg(amt) AS base FROM p1 WHERE t - g BETWEEN -6 AND -1 GROUP BY 1) SELECT t - g AS e, count(*) AS n, " + r("avg(100*amt/base)", 4) + " AS idx FROM p1 JOIN b USING (id) WHERE base > 0 AND t - g BETWEEN -12 AND 24 GROUP BY 1")
