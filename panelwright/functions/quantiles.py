@@ -1,19 +1,27 @@
 """Exact quantiles of groups of any size.
 
 The built-in exact percentile keeps a group's whole value table in one buffer.
-Here a bounded sketch per group proposes cut points, every value is counted
-into a cut-point bucket (map-side combined), and only the buckets that hold a
-wanted rank are ranked exactly, after equal values have been collapsed.
+Here a bounded sketch brackets each wanted rank (its rank error is guaranteed),
+rows below a bracket are only counted, and the few rows inside it are ranked
+exactly after equal values have been collapsed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.session import durable
 
-BUCKETS = 256
+ACCURACY = 10_000  # sketch rank error is at most rows / ACCURACY
+MARGIN = 2 / ACCURACY
+
+
+def _rank(p: float, n: Column, kind: int) -> Column:
+    """Zero-based rank, fractional for interpolated quantiles."""
+    if kind == 7:
+        return F.lit(p) * (n - 1)
+    return F.greatest(F.ceil(F.lit(p) * n - F.lit(1e-9)) - 1, F.lit(0)).cast("double")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], kind: int = 7) -> DataFrame:
@@ -22,49 +30,31 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     ``kind`` 7 interpolates linearly, ``kind`` 1 inverts the empirical
     distribution. Nulls and NaN are left out."""
     vals = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    gk = keys or ["_all"]
     if not keys:
         vals = vals.withColumn("_all", F.lit(1))
-    gk = keys or ["_all"]
-    grid = "array(" + ", ".join(f"{i / BUCKETS}D" for i in range(1, BUCKETS)) + ")"
-    cuts = vals.groupBy(*gk).agg(F.expr(f"percentile_approx(_v, {grid}, {4 * BUCKETS})").alias("_cuts"), F.count("*").alias("_n"))
-    # The sketch depends on merge order; fixed here, it is the same in every branch below.
-    cuts = durable(cuts)
-    wanted = F.array(*[
-        F.struct(
-            F.lit(name).alias("name"),
-            (
-                F.lit(p) * (F.col("_n") - 1)
-                if kind == 7
-                else F.greatest(F.ceil(F.lit(p) * F.col("_n") - F.lit(1e-9)) - 1, F.lit(0)).cast("double")
-            ).alias("h"),
-        )
-        for name, p in probs.items()
-    ])
-    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    # Equal values collapse first, so a value shared by most rows stays one row.
-    tied = vals.groupBy(*gk, "_v").agg(F.count("*").alias("_c"))
-    placed = tied.join(cuts, gk).select(*gk, "_v", "_c", "_n", bucket.alias("_b"))
-    w = Window.partitionBy(*gk).orderBy("_b")
-    sizes = placed.groupBy(*gk, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
-    sizes = sizes.withColumn("_end", F.sum("_bc").over(w)).withColumn("_start", F.col("_end") - F.col("_bc"))
-    ranks = sizes.select(*gk, "_b", "_start", "_end", F.explode(wanted).alias("q"))
-    need = ranks.select(*gk, "_b", "_start", "_end", F.explode(F.array_distinct(F.array(
-        F.floor("q.h").cast("bigint"), F.ceil("q.h").cast("bigint")))).alias("_k"))
-    need = need.where((F.col("_k") >= F.col("_start")) & (F.col("_k") < F.col("_end")))
-    hit = need.groupBy(*gk, "_b").agg(F.first("_start").alias("_start"), F.collect_set("_k").alias("_ks"))
-    inside = placed.join(hit, [*gk, "_b"])
-    wv = Window.partitionBy(*gk, "_b").orderBy("_v")
-    inside = inside.withColumn("_hi", F.col("_start") + F.sum("_c").over(wv))
-    found = inside.select(*gk, "_n", "_v", F.explode(F.filter(
-        "_ks", lambda k: (k >= F.col("_hi") - F.col("_c")) & (k < F.col("_hi")))).alias("_k"))
-    table = found.groupBy(*gk).agg(F.map_from_entries(F.collect_set(F.struct("_k", "_v"))).alias("_m"), F.first("_n").alias("_n"))
-    outs = []
-    for name, p in probs.items():
-        if kind == 7:
-            h = F.lit(p) * (F.col("_n") - 1)
-        else:
-            h = F.greatest(F.ceil(F.lit(p) * F.col("_n") - F.lit(1e-9)) - 1, F.lit(0)).cast("double")
-        lo = F.element_at("_m", F.floor(h).cast("bigint"))
-        hi = F.element_at("_m", F.ceil(h).cast("bigint"))
-        outs.append((lo + (h - F.floor(h)) * (hi - lo)).alias(name))
-    return table.select(*keys, *outs)
+    names, ps = list(probs), list(probs.values())
+    ends = [min(max(p + s * MARGIN, 0.0), 1.0) for p in ps for s in (-1, 1)]
+    grid = "array(" + ", ".join(f"{e!r}D" for e in ends) + ")"
+    cuts = vals.groupBy(*gk).agg(F.expr(f"percentile_approx(_v, {grid}, {ACCURACY})").alias("_cuts"), F.count("*").alias("_n"))
+    # A margin that reaches past the first or last row is open ended. The sketch
+    # depends on merge order, so its brackets are fixed before two branches read them.
+    lows = [F.when(F.lit(p) * F.col("_n") <= F.lit(MARGIN) * F.col("_n") + 2, F.lit(float("-inf"))).otherwise(F.col("_cuts")[2 * i]) for i, p in enumerate(ps)]
+    highs = [F.when(F.lit(1 - p) * F.col("_n") <= F.lit(MARGIN) * F.col("_n") + 2, F.lit(float("inf"))).otherwise(F.col("_cuts")[2 * i + 1]) for i, p in enumerate(ps)]
+    brackets = durable(cuts.select(*gk, "_n", *[c.alias(f"_lo{i}") for i, c in enumerate(lows)], *[c.alias(f"_hi{i}") for i, c in enumerate(highs)]))
+    rows = vals.join(brackets.drop("_n"), gk)
+    below = rows.groupBy(*gk).agg(*[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(len(ps))])
+    hits = F.array_compact(F.array(*[F.when((F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")), F.lit(i)) for i in range(len(ps))]))
+    inside = rows.select(*gk, "_v", F.explode(hits).alias("_i")).groupBy(*gk, "_i", "_v").agg(F.count("*").alias("_c"))
+    want = brackets.select(*gk, "_n").join(below, gk).select(*gk, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(f"_below{i}").alias("below"), _rank(p, F.col("_n"), kind).alias("h")) for i, p in enumerate(ps)])).alias("q")).select(
+        *gk, F.col("q.i").alias("_i"), F.col("q.below").alias("_below"), F.col("q.h").alias("_h"))
+    w = Window.partitionBy(*gk, "_i").orderBy("_v")
+    ranked = inside.withColumn("_top", F.sum("_c").over(w)).join(want, [*gk, "_i"])
+    top, bottom = F.col("_below") + F.col("_top"), F.col("_below") + F.col("_top") - F.col("_c")
+    at = lambda k: F.max(F.when((k >= bottom) & (k < top), F.col("_v")))
+    lo, hi = at(F.floor("_h")), at(F.ceil("_h"))
+    per = ranked.groupBy(*gk, "_i").agg(lo.alias("_a"), hi.alias("_b"), F.first("_h").alias("_h"))
+    per = per.withColumn("_q", F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_b") - F.col("_a")))
+    out = per.groupBy(*gk).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+    return out.select(*keys, *names)

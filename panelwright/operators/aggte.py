@@ -24,7 +24,7 @@ from panelwright.operators.attgt import Design
 
 CellRow = namedtuple("CellRow", "cell g t pre is_post att se")
 
-CHUNK = 64  # summaries per pass over the units when only variances are wanted
+CHUNK = 256  # summaries per pass over the units when only variances are wanted
 
 
 @dataclass

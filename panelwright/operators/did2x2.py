@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.scalars import AVG_Z, col, linear, logistic
 from panelwright.operators.moments import solve_spd, unpack
-from panelwright.session import keep
+from panelwright.session import keep, spread
 
 # Fixed values.
 PSCORE_CAP = 1.0 - 1e-6
@@ -177,7 +177,7 @@ def estimate_cells(df: DataFrame, method: str, y, d, xs: list | None = None, w=N
                      (F.lit(1.0) if w is None else col(w).cast("double")).alias(W), *[c.alias(f"_x{i}") for i, c in enumerate(covs)])
     job = _Job(base, k, cell is None)
     if cache:
-        base = keep(base)
+        base = keep(spread(base))
     spark = df.sparkSession
     quad = [D, POST] if rc else [D]
     sizes: dict[int, dict] = {}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.distributions import two_sided_normal, two_sided_t
 from panelwright.functions.scalars import col, linear
 from panelwright.operators.moments import gram, unpack
-from panelwright.session import keep
+from panelwright.session import keep, spread
 
 WIDE = 24  # beyond this many columns, cross products are summed in Arrow batches
 
@@ -130,20 +130,21 @@ def wide_gram(df: DataFrame, xs: list, z: Column, w: Column, extras: dict[str, C
     names = list(extras)
 
     def part(batches):
+        import pyarrow as pa
+
         total = None
         for b in batches:
-            m = np.vstack(b["x"].to_numpy()) if len(b) else np.zeros((0, k))
-            wt, zz = b["w"].to_numpy(), b["z"].to_numpy()
-            wm = m * wt[:, None]
-            row = np.concatenate([(wm.T @ m)[iu], wm.T @ zz, [b[n].sum() for n in names]])
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if not len(cols[0]):
+                continue
+            m, zz, wt = np.column_stack(cols[:k]), cols[k], cols[k + 1]
+            row = np.concatenate([(m.T @ (m * wt[:, None]))[iu], m.T @ (wt * zz), [c.sum() for c in cols[k + 2:]]])
             total = row if total is None else total + row
         if total is not None:
-            import pandas as pd
-
-            yield pd.DataFrame({"p": np.arange(len(total)), "v": total})
+            yield pa.record_batch({"p": pa.array(np.arange(len(total)), pa.int32()), "v": pa.array(total)})
 
-    rows = df.select(F.array(*[col(x).cast("double") for x in xs]).alias("x"), w.alias("w"), z.alias("z"), *[e.alias(n) for n, e in extras.items()])
-    summed = rows.mapInPandas(part, "p int, v double").groupBy("p").agg(F.sum("v").alias("v")).collect()
+    rows = df.select(*[col(x).cast("double").alias(f"c{i}") for i, x in enumerate(xs)], z.alias("z"), w.alias("w"), *[e.alias(n) for n, e in extras.items()])
+    summed = rows.mapInArrow(part, "p int, v double").groupBy("p").agg(F.sum("v").alias("v")).collect()
     v = np.zeros(len(summed))
     for r in summed:
         v[r.p] = r.v
@@ -162,22 +163,26 @@ def glm_fit(df: DataFrame, y, xs: list, fam: Family, w=None, offset=None, start:
     d = df.select(col(y).cast("double").alias("_y"), (F.lit(1.0) if w is None else col(w)).alias("_w"),
                   (F.lit(0.0) if offset is None else col(offset)).alias("_o"), *[col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)])
     if cache:
-        d = keep(d)
+        d = keep(spread(d))
     yy, ww, oo, xc = F.col("_y"), F.col("_w"), F.col("_o"), [F.col(f"_x{i}") for i in range(k)]
 
     def step(eta: Column) -> tuple[np.ndarray, np.ndarray, float, float, float]:
-        mu, slope = fam.mean(eta), fam.slope(eta)
-        var = fam.variance(mu)
-        wt, z = ww * slope * slope / var, eta - oo + (yy - mu) / slope
-        extra = {"dev": F.sum(ww * fam.deviance(yy, mu)), "pearson": F.sum(ww * (yy - mu) * (yy - mu) / var), "n": F.count("*").cast("double")}
+        # Staged projections keep the long linear predictor evaluated once per row.
+        x = d.withColumn("_eta", eta)
+        x = x.withColumns({"_mu": fam.mean(F.col("_eta")), "_slope": fam.slope(F.col("_eta"))})
+        mu, slope = F.col("_mu"), F.col("_slope")
+        x = x.withColumns({"_var": fam.variance(mu), "_dev": ww * fam.deviance(yy, mu)})
+        x = x.withColumns({"_wt": ww * slope * slope / F.col("_var"), "_z": F.col("_eta") - oo + (yy - mu) / slope, "_pe": ww * (yy - mu) * (yy - mu) / F.col("_var")})
         if k > WIDE:
-            a, b, e = wide_gram(d, xc, z, wt, {"dev": ww * fam.deviance(yy, mu), "pearson": ww * (yy - mu) * (yy - mu) / var, "n": F.lit(1.0)})
+            a, b, e = wide_gram(x, xc, F.col("_z"), F.col("_wt"), {"dev": F.col("_dev"), "pearson": F.col("_pe"), "n": F.lit(1.0)})
             return a, b, e["dev"], e["pearson"], e["n"]
-        x = d.withColumns({"_wt": wt, "_z": z})
-        up = [F.sum(F.col("_wt") * xc[i] * xc[j]) for i in range(k) for j in range(i, k)]
-        r = x.agg(F.array(*up).alias("a"), F.array(*[F.sum(F.col("_wt") * c * F.col("_z")) for c in xc]).alias("b"), *[e.alias(n) for n, e in extra.items()]).first()
+        up = ", ".join(f"sum(_wt * _x{i} * _x{j})" for i in range(k) for j in range(i, k))
+        r = x.agg(F.expr(f"array({up})").alias("a"), F.expr("array(" + ", ".join(f"sum(_wt * _x{i} * _z)" for i in range(k)) + ")").alias("b"), F.sum("_dev").alias("dev"), F.sum("_pe").alias("pearson"), F.count("*").cast("double").alias("n")).first()
         return unpack(r.a, k), np.array(r.b), r.dev, r.pearson, r.n
 
+    def line(beta: np.ndarray) -> Column:
+        return F.expr(" + ".join(f"{float(b)!r}D * _x{i}" for i, b in enumerate(beta))) + oo
+
     solve = lambda a, b: np.linalg.lstsq(a, b, rcond=1e-13)[0]
     if start is None:
         a, b, _, _, _ = step(fam.link(fam.start(yy)))
@@ -185,21 +190,21 @@ def glm_fit(df: DataFrame, y, xs: list, fam: Family, w=None, offset=None, start:
     else:
         beta = np.asarray(start, dtype=float)
     dev_old, it, converged = math.inf, 0, False
-    a, b, dev, pearson, n = step(linear(beta, xc) + oo)
+    a, b, dev, pearson, n = step(line(beta))
     prev = None
     while it < maxit:
         it += 1
         halvings = 0
         while prev is not None and (not math.isfinite(dev) or dev > dev_old + 1e-7 * (abs(dev_old) + 0.1)) and halvings < 25:
             beta = 0.5 * (beta + prev)
-            a, b, dev, pearson, n = step(linear(beta, xc) + oo)
+            a, b, dev, pearson, n = step(line(beta))
             halvings += 1
         if abs(dev - dev_old) / (abs(dev) + 0.1) < tol:
             converged = True
             break
         prev, dev_old = beta, dev
         beta = solve(a, b)
-        a, b, dev, pearson, n = step(linear(beta, xc) + oo)
+        a, b, dev, pearson, n = step(line(beta))
     rank = int(np.linalg.matrix_rank(a, tol=1e-9 * max(np.max(np.abs(np.diag(a))), 1e-300)))
     m = d.agg((F.sum(ww * yy) / F.sum(ww)).alias("m")).first().m
     null = d.agg(F.sum(ww * fam.deviance(yy, F.lit(m)))).first()[0] if offset is None else float("nan")

@@ -41,6 +41,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_kept: list[DataFrame] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Persist a frame several passes read; lost blocks are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(df)
+    return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give an iterative fit all cores when its input is fewer files than cores;
+    larger inputs already come in enough splits and are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
+def release() -> None:
+    """Unpersist what earlier estimations kept."""
+    while _kept:
+        _kept.pop().unpersist()
