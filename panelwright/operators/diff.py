@@ -51,10 +51,12 @@ def aggregate_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 def changed_cells(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Long list (key, variable, old, new) of cells that differ on shared keys.
 
-    A change is one side missing, numbers apart by more than rounding, or text
+    Only keys that occur once on a side are compared: duplicates are dropped by
+    an aggregate on the join key, whose partitioning the join then reuses. A change is one side missing, numbers apart by more than rounding, or text
     that is not equal. Both values are shown as text."""
     shared = [c for c in old.columns if c in new.columns and c not in keys]
     numeric = {f.name for f in old.schema if isinstance(f.dataType, NumericType)}
+    old, new = unique_only(old.select(*keys, *shared), keys), unique_only(new.select(*keys, *shared), keys)
     j = old.select(*keys, *[F.col(c).alias(f"{c}__o") for c in shared]).join(new.select(*keys, *[F.col(c).alias(f"{c}__n") for c in shared]), keys)
     cells = []
     for c in shared:

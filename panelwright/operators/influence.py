@@ -34,6 +34,33 @@ def leave_one_out(df: DataFrame, unit: str, time: str, y: str, x: str) -> DataFr
     return r.withColumns({"influence": F.col("att_full") - F.col("att_loo"), "pct_change": 100 * (F.col("att_loo") - F.col("att_full")) / F.abs("att_full")})
 
 
+def leave_one_out_saturated(df: DataFrame, unit: str, time: str, cohort: str, y: str) -> DataFrame:
+    """Row-weighted average treated effect of the saturated event study without
+    each unit, on a balanced panel with never-treated controls.
+
+    The effect is a mean over treated rows of (own change) minus (mean control
+    change in the same cell). Dropping a treated unit takes its rows out of the
+    mean; dropping a control moves every cell's control mean by its own change.
+    Both are sums per unit, so no fit is repeated."""
+    base = df.where(F.col(cohort).isNotNull()).groupBy(cohort).agg(F.count_distinct(unit).alias("_n"))
+    cells = F.collect_list(F.struct(F.col(cohort).alias("g"), F.col("_n").alias("n")))
+    cohorts = base.agg(F.array_sort(cells)).scalar()
+    series = df.groupBy(F.col(unit).alias("unit")).agg(F.min(cohort).alias("c"), F.map_from_entries(F.collect_list(F.struct(F.col(time), F.col(y)))).alias("m"))
+    series = keep(series.withColumn("gs", cohorts))
+    rows = series.select("unit", "c", "m", F.explode("gs").alias("k")).where(F.col("c").isNull() | (F.col("c") == F.col("k.g")))
+    rows = rows.select("unit", "c", "k.g", "k.n", F.col("m")[F.col("k.g") - 1].alias("y0"), F.explode(F.map_filter("m", lambda t, v: t >= F.col("k.g"))).alias("t", "y"))
+    rows = rows.withColumn("dy", F.col("y") - F.col("y0"))
+    control = keep(rows.where("c is null").groupBy("g", "t").agg(F.avg("dy").alias("mc"), F.count("*").alias("nc"), F.first("n").alias("n")))
+    j = rows.join(control.select("g", "t", "mc", "nc"), ["g", "t"])
+    own = j.groupBy("unit").agg(F.max(F.col("c").isNotNull()).alias("treated"), F.sum(F.when(F.col("c").isNotNull(), F.col("dy") - F.col("mc")).otherwise(F.col("n") * (F.col("dy") - F.col("mc")) / (F.col("nc") - 1))).alias("s"), F.count("*").alias("k"))
+    own = keep(own)
+    tot = own.where("treated").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+    s, k = tot.select("s").scalar(), tot.select("k").scalar()
+    loo = F.when(F.col("treated"), (s - F.col("s")) / (k - F.col("k"))).otherwise((s + F.col("s")) / k)
+    r = own.select("unit", "treated", loo.alias("att_loo"), (s / k).alias("att_full"))
+    return r.withColumn("influence", F.col("att_full") - F.col("att_loo"))
+
+
 def cumulative_drop(df: DataFrame, unit: str, time: str, y: str, x: str, ranked: list, cohort: str = "g", most: int = 10, min_treated: int = 2, min_units: int = 5) -> list[tuple]:
     """Effects after dropping the most influential units one after another; at most
     ten fits, stopped when too few units remain."""

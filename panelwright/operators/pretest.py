@@ -19,7 +19,7 @@ from panelwright.session import keep
 
 def _paths(sums: DataFrame, by: list[str], value: str, share: DataFrame) -> DataFrame:
     """Running sums over x at every observed x, per key."""
-    grid = sums.select(*by).distinct().join(share.groupBy().agg(F.sort_array(F.collect_list(F.struct("x", "share"))).alias("_u")))
+    grid = sums.select(*by).distinct().withColumn("_u", share.agg(F.sort_array(F.collect_list(F.struct("x", "share")))).scalar())
     full = grid.select(*by, F.explode("_u").alias("_p")).select(*by, "_p.x", "_p.share").join(sums, [*by, "x"], "left")
     w = Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     return full.withColumn("path", F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(w))

@@ -208,9 +208,11 @@ def _(spark, sf):
 def _(spark, sf):
     d = draws(spark, sf)
     m = d.groupBy("rep", "t", "g").agg(F.avg("y").alias("m"))
-    never = m.where("g is null").select("rep", F.col("t").alias("nt"), F.col("m").alias("nm"))
+    never = m.where("g is null")
     x = m.where("t - g between 0 and 6")
-    b = m.where("t = g - 1").select("rep", "g", F.col("m").alias("bm"), F.col("t").alias("bt"))
-    j = x.join(b, ["rep", "g"]).join(never, ["rep"]).where((F.col("nt") == F.col("t")) | (F.col("nt") == F.col("bt")))
-    a = j.groupBy("rep", "g", "t").agg((F.max(F.col("m") - F.col("bm")) - F.sum(F.when(F.col("nt") == F.col("t"), F.col("nm")).otherwise(-F.col("nm")))).alias("att"))
+    own = m.where("t = g - 1").select("rep", "g", F.col("m").alias("own0"))
+    now = never.select("rep", "t", F.col("m").alias("never1"))
+    then = never.select("rep", (F.col("t") + 1).alias("g"), F.col("m").alias("never0"))
+    j = x.join(own, ["rep", "g"]).join(now, ["rep", "t"]).join(then, ["rep", "g"])
+    a = j.select("t", "g", ((F.col("m") - F.col("own0")) - (F.col("never1") - F.col("never0"))).alias("att"))
     return a.groupBy((F.col("t") - F.col("g")).alias("e")).agg(F.count("*").alias("n"), S.rnd(F.avg("att")).alias("bias"), S.rnd(F.sqrt(F.avg(F.col("att") * F.col("att")))).alias("rmse"))

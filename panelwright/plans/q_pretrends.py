@@ -227,6 +227,14 @@ query("loo_summary", LOO + " SELECT arg_max(unit, abs(att_full-att_loo)) AS top_
     lambda spark, sf: I.influence_summary(_loo(spark, sf)).select("top_unit", *[S.rnd(c).alias(c) for c in ("max_influence", "sd_influence", "lowest", "highest", "hhi")]))
 
 
+@query("loo_sunab", with_(P1) + """, dr AS (SELECT DISTINCT id AS unit FROM p1), k AS (SELECT unit, p1.* FROM dr JOIN p1 ON p1.id <> dr.unit),
+m AS (SELECT unit, g, t, avg(y) AS m, count(*) AS n FROM k GROUP BY 1, 2, 3),
+a AS (SELECT x.unit, x.n, (x.m - b.m) - (c.m - d.m) AS att FROM m x JOIN m b ON b.unit = x.unit AND b.g = x.g AND b.t = x.g - 1 JOIN m c ON c.unit = x.unit AND c.g IS NULL AND c.t = x.t JOIN m d ON d.unit = x.unit AND d.g IS NULL AND d.t = x.g - 1 WHERE x.t >= x.g)
+SELECT unit, """ + r("sum(n*att)/sum(n)") + " AS att_loo FROM a GROUP BY 1")
+def _(spark, sf):
+    return I.leave_one_out_saturated(D.nation_month(spark, sf), "id", "t", "g", "y").select("unit", S.rnd("att_loo").alias("att_loo"))
+
+
 @query("loo_cumulative")
 def _(spark, sf):
     p = keep(D.nation_month(spark, sf)).withColumn("x", post())
