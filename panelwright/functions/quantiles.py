@@ -15,6 +15,9 @@ from panelwright.session import durable
 
 ACCURACY = 10_000  # sketch rank error is at most rows / ACCURACY
 MARGIN = 2 / ACCURACY
+# Up to this size a group is ranked whole; beyond it the margin exceeds the sketch
+# error by at least two ranks, so both neighbours of an interpolated rank are inside.
+SMALL = 2 * ACCURACY
 
 
 def _rank(p: float, n: Column, kind: int) -> Column:
@@ -37,10 +40,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     ends = [min(max(p + s * MARGIN, 0.0), 1.0) for p in ps for s in (-1, 1)]
     grid = "array(" + ", ".join(f"{e!r}D" for e in ends) + ")"
     cuts = vals.groupBy(*gk).agg(F.expr(f"percentile_approx(_v, {grid}, {ACCURACY})").alias("_cuts"), F.count("*").alias("_n"))
-    # A margin that reaches past the first or last row is open ended. The sketch
-    # depends on merge order, so its brackets are fixed before two branches read them.
-    lows = [F.when(F.lit(p) * F.col("_n") <= F.lit(MARGIN) * F.col("_n") + 2, F.lit(float("-inf"))).otherwise(F.col("_cuts")[2 * i]) for i, p in enumerate(ps)]
-    highs = [F.when(F.lit(1 - p) * F.col("_n") <= F.lit(MARGIN) * F.col("_n") + 2, F.lit(float("inf"))).otherwise(F.col("_cuts")[2 * i + 1]) for i, p in enumerate(ps)]
+    # A margin that reaches past the first or last row is open ended. The sketch depends
+    # on merge order, so its brackets are fixed before two branches read them.
+    lows = [F.when((F.col("_n") <= SMALL) | F.lit(p <= MARGIN), F.lit(float("-inf"))).otherwise(F.col("_cuts")[2 * i]) for i, p in enumerate(ps)]
+    highs = [F.when((F.col("_n") <= SMALL) | F.lit(1 - p <= MARGIN), F.lit(float("inf"))).otherwise(F.col("_cuts")[2 * i + 1]) for i, p in enumerate(ps)]
     brackets = durable(cuts.select(*gk, "_n", *[c.alias(f"_lo{i}") for i, c in enumerate(lows)], *[c.alias(f"_hi{i}") for i, c in enumerate(highs)]))
     rows = vals.join(brackets.drop("_n"), gk)
     below = rows.groupBy(*gk).agg(*[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(len(ps))])

@@ -113,7 +113,7 @@ for _m in ("reg", "ipw", "dr"):
 
 RC_SQL = with_(P2) + cells_sql("p2") + """, q AS (SELECT c.g, c.t, a.t = c.t AS post, coalesce(a.g = c.g, false) AS tr, a.y FROM cells c JOIN p2 a ON (a.t = c.t OR a.t = c.pre) AND (a.g = c.g OR a.g IS NULL)),
 k AS (SELECT g, t, tr, post, count(*) AS n, avg(y) AS m, sum(y*y)/count(*) - avg(y)*avg(y) AS v FROM q GROUP BY 1, 2, 3, 4)
-SELECT g, t, CASE WHEN count(*) = 4 THEN """ + r("sum(CASE WHEN tr = post THEN m ELSE -m END)") + " END AS att, CASE WHEN count(*) = 4 THEN " + r("sqrt(sum(greatest(v, 0)/n))", 5) + " END AS se, sum(CASE WHEN tr THEN n END)::BIGINT AS n_treated FROM k GROUP BY 1, 2"
+SELECT g, t, CASE WHEN count(*) = 4 THEN """ + r("sum(CASE WHEN tr = post THEN m ELSE -m END)") + " END AS att, CASE WHEN count(*) = 4 AND sqrt(sum(greatest(v, 0)/n)) > 1.5e-7 THEN " + r("sqrt(sum(greatest(v, 0)/n))", 5) + " END AS se, sum(CASE WHEN tr THEN n END)::BIGINT AS n_treated FROM k GROUP BY 1, 2"
 
 
 @query("gt_2x2_rc", RC_SQL)
@@ -126,7 +126,7 @@ UNB_SQL = with_(P2) + cells_sql("p2") + """, q AS (SELECT c.g, c.t, a.id, a.t =
 k AS (SELECT g, t, tr, post, count(*) AS n, avg(y) AS m FROM q GROUP BY 1, 2, 3, 4),
 u AS (SELECT q.g, q.t, q.id, sum((CASE WHEN q.tr = q.post THEN 1 ELSE -1 END)*(q.y - k.m)/k.n) AS psi FROM q JOIN k ON k.g = q.g AND k.t = q.t AND k.tr = q.tr AND k.post = q.post GROUP BY 1, 2, 3),
 e AS (SELECT g, t, sqrt(sum(psi*psi)) AS se FROM u GROUP BY 1, 2)
-SELECT k.g, k.t, CASE WHEN count(*) = 4 THEN """ + r("sum(CASE WHEN tr = post THEN m ELSE -m END)") + " END AS att, CASE WHEN count(*) = 4 THEN " + r("max(se)", 5) + " END AS se FROM k JOIN e ON e.g = k.g AND e.t = k.t GROUP BY 1, 2"
+SELECT k.g, k.t, CASE WHEN count(*) = 4 THEN """ + r("sum(CASE WHEN tr = post THEN m ELSE -m END)") + " END AS att, CASE WHEN count(*) = 4 AND max(se) > 1.5e-7 THEN " + r("max(se)", 5) + " END AS se FROM k JOIN e ON e.g = k.g AND e.t = k.t GROUP BY 1, 2"
 
 
 @query("gt_2x2_unbalanced", UNB_SQL)
@@ -315,12 +315,13 @@ def _(spark, sf):
     return spark.createDataFrame([(p.key, float(x ** 0.5) / fit.shares["n"]) for p, x in zip(ps, v)], "key BIGINT, se DOUBLE").withColumn("se", S.rnd("se"))
 
 
-@query("agg_se_clustered")
+@query("agg_se_clustered", agg_sql("t - g", "t - g BETWEEN -6 AND 6") + ", cs AS (SELECT inf.key, n_regionkey, sum(inf.v) AS v FROM inf JOIN nation ON n_nationkey = inf.id GROUP BY 1, 2) SELECT key, " + r("max(est)") + " AS estimate, " + r("sqrt(sum(v*v))/max(nn.n)") + " AS se FROM cs JOIN th USING (key), nn GROUP BY 1")
 def _(spark, sf):
-    fit = G.fit_panel(D.nation_month(spark, sf), A.Design(cluster="region"))
+    fit = G.fit_panel(D.nation_month(spark, sf), A.Design(weight="w", cluster="region"))
     ps = [p for p in G.build_params("dynamic", fit.att, fit.shares["share"], fit.periods[-1], min_e=-6, max_e=6) if p.key is not None]
     v = G.influence_products(fit, ps, by_cluster=True)
-    return spark.createDataFrame([(p.key, float(p.estimate), float(x ** 0.5) / fit.shares["n"]) for p, x in zip(ps, v)], "key BIGINT, estimate DOUBLE, se DOUBLE")
+    t = spark.createDataFrame([(p.key, float(p.estimate), float(x ** 0.5) / fit.shares["n"]) for p, x in zip(ps, v)], "key BIGINT, estimate DOUBLE, se DOUBLE")
+    return agg_out(t)
 
 
 BOOT_DRAWS = 199
@@ -357,17 +358,19 @@ def _(spark, sf):
     return j.select("key", S.rnd("estimate").alias("estimate"), S.rnd(F.col("estimate") - cv * F.col("se")).alias("lo"), S.rnd(F.col("estimate") + cv * F.col("se")).alias("hi"), F.lit(note).alias("note"))
 
 
-@query("boot_cluster")
+@query("boot_cluster", agg_sql("t - g", "t - g BETWEEN -3 AND 6") + f""", cm AS (SELECT key, n_regionkey AS c, sum(inf.v)/(SELECT count(*) FROM nation k WHERE k.n_regionkey = nation.n_regionkey) AS v FROM inf JOIN nation ON n_nationkey = inf.id GROUP BY 1, 2, nation.n_regionkey),
+us AS (SELECT c, b, {S.draw31_sql('u', 3, 'c', 'b')} FROM (SELECT DISTINCT c FROM cm), range(0, {BOOT_DRAWS}) bb(b)), dr AS (SELECT key, us.b, sum(cm.v*(CASE WHEN u >= 1073741824 THEN 1 ELSE -1 END))/sqrt(5) AS value FROM cm JOIN us ON us.c = cm.c GROUP BY 1, 2)
+SELECT key, {r(f'(quantile_disc(value, 0.75) - quantile_disc(value, 0.25))/{Z!r}/sqrt(5)')} AS se FROM dr GROUP BY 1""")
 def _(spark, sf):
     p = D.nation_month(spark, sf)
-    fit = G.fit_panel(p, A.Design(cluster="region"))
+    fit = G.fit_panel(p, A.Design(weight="w", cluster="region"))
     ps = [q for q in G.build_params("dynamic", fit.att, fit.shares["share"], fit.periods[-1], min_e=-3, max_e=6) if q.key is not None]
     sizes = fit.units.groupBy("cluster").agg(F.count("*").alias("cluster_units"))
     psi = B.collapse_to_clusters(G.influence_long(fit, ps).join(sizes, "cluster"), "cluster")
     n = sizes.count()
-    se, crit = B.draw_summary(B.multiplier_draws(psi, 199, n, seed=3), n)
+    se, crit = B.draw_summary(B.multiplier_draws(psi, BOOT_DRAWS, n, seed=3), n)
     keys = spark.createDataFrame([(i, q.key) for i, q in enumerate(ps)], "param BIGINT, key BIGINT")
-    return se.join(keys, "param").select("key", "se")
+    return se.join(keys, "param").select("key", S.rnd("se").alias("se"))
 
 
 @query("boot_mammen", with_(D.P5) + f""", a AS (SELECT id, y1 - y0 AS dy, d FROM p5), m AS (SELECT avg(dy) FILTER (d=1) AS m1, avg(dy) FILTER (d=0) AS m0, avg(d) AS db, count(*) AS n FROM a),

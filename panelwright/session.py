@@ -61,4 +61,6 @@ def spread(df: DataFrame) -> DataFrame:
 def release() -> None:
     """Unpersist what earlier estimations kept."""
     while _kept:
-        _kept.pop().unpersist()
+        df = _kept.pop()
+        if df.sparkSession.sparkContext._jsc is not None:  # its session may have ended
+            df.unpersist()

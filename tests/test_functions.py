@@ -63,9 +63,11 @@ def test_portable_draws_agree_and_look_uniform(spark):
 @pytest.mark.parametrize("kind,method", [(7, "linear"), (1, "inverted_cdf")])
 def test_quantiles_match_numpy_with_a_hot_group_and_ties(spark, kind, method):
     rng = np.random.default_rng(3)
-    data = {0: rng.normal(size=5000), 1: np.repeat([1.0, 2.0, 2.0, 2.0, 9.0], 40), 2: np.array([5.0]), 3: rng.integers(0, 4, 999).astype(float)}
-    d = spark.createDataFrame([(int(k), float(v)) for k, vs in data.items() for v in vs], "k int, x double")
-    probs = {"a": 0.0, "b": 0.05, "c": 0.25, "m": 0.5, "d": 0.9, "e": 1.0}
+    data = {0: rng.normal(size=60_001), 4: rng.normal(size=2003), 5: rng.exponential(size=20_001), 6: np.repeat([1.0, 2.0, 3.0], [9_000, 15_000, 6_000]), 1: np.repeat([1.0, 2.0, 2.0, 2.0, 9.0], 40), 2: np.array([5.0]), 3: rng.integers(0, 4, 999).astype(float)}
+    import pandas as pd
+
+    d = spark.createDataFrame(pd.concat([pd.DataFrame({"k": k, "x": v}) for k, v in data.items()]))
+    probs = {"a": 0.0, "b": 0.05, "c": 0.25, "t": 1 / 3, "m": 0.5, "d": 0.9, "z": 0.9999, "e": 1.0}
     for r in exact_quantiles(d, ["k"], "x", probs, kind).collect():
         for name, p in probs.items():
             assert r[name] == pytest.approx(np.quantile(data[r.k], p, method=method), abs=1e-12), (r.k, name)
