@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.scalars import AVG_Z, col, long_array, struct_array
+from panelwright.functions.scalars import AVG_Z, long_array, struct_array
 from panelwright.operators.did2x2 import CELL, estimate_cells
 from panelwright.session import keep
 

@@ -79,7 +79,7 @@ def fe_units(df: DataFrame, unit: str, time: str, y, dense: list | None = None,
     periods = g.select(F.explode("r._t").alias("t")).agg(F.array_sort(F.collect_set("t")).alias("a")).first().a
     if len(periods) > MAX_PERIODS:
         raise ValueError("too many periods for period effects as columns")
-    return g.select("unit", "cluster", F.col("r._t").alias("t"), F.col("r._y").alias("y"), F.col("r._c").alias("c"), F.transform("r._d", lambda a: a).alias("d")), periods
+    return g.select("unit", "cluster", F.col("r._t").alias("t"), F.col("r._y").alias("y"), F.col("r._c").alias("c"), F.col("r._d").alias("d")), periods
 
 
 def _blocks(batches, periods: np.ndarray, n_dense: int, n_code: int):

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators.attgt import Design, base_pairs, cell_list, cell_rows, cells_frame, control_cohorts, on_axis, series_axes, unit_series
+from panelwright.operators.attgt import Design, cell_list, cell_rows, cells_frame, control_cohorts, on_axis, series_axes, unit_series
 from panelwright.operators.bootstrap import multiplier_draws
 from panelwright.session import keep
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.distributions import pnorm, two_sided_t
-from panelwright.functions.scalars import AVG_Z, rnd
+from panelwright.functions.scalars import rnd
 from panelwright.operators.summaries import mean_se_ci
 
 HORIZONS = (-3, -6, -9, -12, -18, -24, -30, -36, -48, -60)

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalars import MIX_MODULUS, draw31, long_array
-from panelwright.session import keep
 
 # Fixed values.
 REJECTION_RANGE = (0.02, 0.10)

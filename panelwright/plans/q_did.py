@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.functions import scalars as S
-from panelwright.operators import bootstrap as B
 from panelwright.operators import did2x2 as E
 from panelwright.operators.glm import family, glm_fit
 from panelwright.operators.moments import gram, independent_columns, unpack

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import scalars as S
 from panelwright.operators import diff as X
-from panelwright.operators import summaries as A
 from panelwright.plans import panels as D
-from panelwright.plans.panels import P1, P2, P6, with_
+from panelwright.plans.panels import P2, P6, with_
 from panelwright.plans.registry import query, r
 from panelwright.sources import tables as T
 

@@ -9,8 +9,8 @@ from panelwright.functions import scalars as S
 from panelwright.operators import fe as E
 from panelwright.operators import glm as M
 from panelwright.plans import panels as D
-from panelwright.plans.panels import P1, P2, P3, P4, P5, with_
-from panelwright.plans.q_gt import PLAIN, P_half, arms_sql
+from panelwright.plans.panels import P1, P2, P4, with_
+from panelwright.plans.q_gt import arms_sql
 from panelwright.plans.registry import query, r
 from panelwright.session import keep
 from panelwright.sources import tables as T

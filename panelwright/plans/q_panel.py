@@ -8,7 +8,7 @@ from panelwright.functions import scalars as S
 from panelwright.functions.quantiles import exact_quantiles
 from panelwright.operators import panel as P
 from panelwright.plans import panels as D
-from panelwright.plans.panels import P1, P2, P3, P5, PC, with_
+from panelwright.plans.panels import P1, P2, P3, PC, with_
 from panelwright.plans.registry import query, r
 from panelwright.sources import tables as T
 

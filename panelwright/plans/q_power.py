@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.functions import scalars as S
-from panelwright.operators import fe as E
 from panelwright.operators import sweep as W
 from panelwright.plans import panels as D
 from panelwright.plans.panels import P1, P2, with_

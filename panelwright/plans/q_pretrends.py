@@ -10,7 +10,6 @@ from panelwright.functions.quantiles import exact_quantiles
 from panelwright.operators import dose as O
 from panelwright.operators import fe as E
 from panelwright.operators import influence as I
-from panelwright.operators import panel as P
 from panelwright.operators import pretrends as T
 from panelwright.operators.summaries import ols_slope
 from panelwright.plans import panels as D
