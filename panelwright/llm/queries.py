@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import bpe, license_scan, line_dedup, url_rules
+from panelwright.llm import bpe, langid, license_scan, line_dedup, quality, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +47,19 @@ def op9_line_dedup(spark, sf_dir):
 
 
 SQL["op9_line_dedup"] = line_dedup.SQL
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality_rules(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"))
