@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import bpe, langid, license_scan, line_dedup, quality, toxicity, url_rules
+from panelwright.llm import bpe, decontaminate, jaccard, langid, license_scan, line_dedup, quality, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,3 +63,13 @@ def op2_language_id(spark, sf_dir):
 @query
 def op10_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
