@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import bpe, decontaminate, jaccard, langid, license_scan, line_dedup, quality, toxicity, url_rules
+from panelwright.llm import bpe, decontaminate, jaccard, langid, license_scan, line_dedup, quality, suffix_dedup, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op5_decontamination(spark, sf_dir):
 @query
 def op8_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
