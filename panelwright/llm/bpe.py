@@ -7,7 +7,7 @@ and skipped. A merge costs a constant number of queue steps, without the rescans
 
 Nulls and odd cases: a null text counts as empty and gives no ids; lone surrogates cannot occur in Spark strings; texts of
 any length are encoded whole; rows are independent, so repeated rows and null ids pass through; further columns are left
-out by the digest and kept by ``with_ids``; an empty table gives an empty result.
+out by the digest and kept by ``round_trips``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import base64
 import hashlib
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -112,6 +113,11 @@ class Codec:
             self.table[piece] = got
         return got
 
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
+        get = self.table.get
+        return np.fromstring(b" ".join([(get(p) or self.known(p))[0] for p in self.find(text)]), np.int32, sep=" ")
+
     def digest(self, text: str) -> tuple[int, str, str]:
         pieces = self.find(text)
         get = self.table.get
@@ -155,29 +161,22 @@ def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_slices(need(docs, doc_id="long", text="string"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def with_ids(docs: DataFrame, path: str, pattern: str, name: str = "ids") -> DataFrame:
-    """All columns of ``docs`` and the ids of ``text``; a clashing column is replaced."""
+def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """All columns of ``docs`` with n_tokens, ids of ``text`` and decoded (the text that the ids stand for); clashing
+    columns are replaced."""
     codec = shared_codec(docs.sparkSession, path, pattern)
-    rest = docs.drop(name)
-    schema = T.StructType([*rest.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType(), False), True)])
+    rest = docs.drop("n_tokens", "ids", "decoded")
+    more = T._parse_datatype_string("n_tokens int, ids array<int>, decoded string")
+    schema = T.StructType([*rest.schema.fields, *more.fields])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                c = codec()
-                ids = pa.array([c.encode(t or "") for t in texts(part)], pa.list_(pa.field("element", pa.int32(), False)))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, name])
+            for at in range(0, batch.num_rows, SLICE // 4):
+                part, c = batch.slice(at, SLICE // 4), codec()
+                ids = [c.ids(t or "") for t in texts(part)]
+                n = [len(i) for i in ids]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32()))
+                back = pa.array([c.decode(i.tolist()).decode("utf-8", "replace") for i in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int32()), lists, back], names=[*part.schema.names, "n_tokens", "ids", "decoded"])
 
     return rest.mapInArrow(run, schema)
-
-
-def decoded(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """doc_id and the text that ``ids`` stand for; unknown ids are an error, null ids give null."""
-    codec = shared_codec(tokens.sparkSession, path, pattern)
-
-    def run(batch):
-        c = codec()
-        return {"doc_id": column(batch, "doc_id"), "text": [None if i is None else c.decode(i).decode("utf-8", "replace") for i in column(batch, ids).to_pylist()]}
-
-    return map_slices(tokens.select("doc_id", ids), run, "doc_id long, text string")
