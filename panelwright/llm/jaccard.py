@@ -264,4 +264,4 @@ def one_per_class(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, all columns, with the smallest doc_id of their class; of equal ids with shingles one row."""
     found = near_duplicates(docs, **how)
     gone = found.where(F.coalesce("doc_id", F.lit(NULL_ID)) != F.coalesce("class_id", F.lit(NULL_ID))).select(id_or_last("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, id_or_last(docs["doc_id"].cast("long")) == F.col("_gone"), "left_anti")
+    return docs.join(gone, id_or_last(docs["doc_id"].cast("long")) == gone["_gone"], "left_anti")

@@ -93,26 +93,27 @@ def kept_lines(lines: Column, at: Column) -> Column:
 
 
 def judged(docs: DataFrame, min_chars: int = 10, n_batches: int = 4, fanout: int = 2) -> DataFrame:
-    """All columns of ``docs`` with _lines (all) and _at (positions to drop, null if none)."""
+    """_row (all columns of ``docs``) and _at (ascending positions of the lines to drop, null if none)."""
     shared_dir(docs.sparkSession)
     drop = dropped_lines(docs, min_chars, n_batches, fanout)
-    keyed = docs.withColumns({"_did": id_or_last(docs["doc_id"].cast("long")), "_tid": F.xxhash64(docs["text"])})
-    return keyed.join(drop, ["_did", "_tid"], "left").drop("_did", "_tid")
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), id_or_last(docs["doc_id"].cast("long")).alias("_did"), F.xxhash64(docs["text"]).alias("_tid"))
+    return keyed.join(drop, ["_did", "_tid"], "left").select("_row", "_at")
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; untouched rows keep text (and n_chars) as they were."""
-    j = judged(docs, **how)
-    text = F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(split_lines(F.col("text")), F.col("_at")), "\n"))
-    out = j.withColumn("_text", text)
+    text = F.col("_row.text")
+    kept = F.when(F.col("_at").isNull(), text).otherwise(F.array_join(kept_lines(split_lines(text), F.col("_at")), "\n"))
+    out = judged(docs, **how).select("_row", "_at", kept.alias("_text"))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_at").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn("text", F.col("_text")).select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_at").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, **how) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped, kept_sha256 of the text that stays."""
-    j = judged(docs.select("doc_id", "text"), **how)
+    j = judged(docs.select("doc_id", "text"), **how).select("_row.*", "_at")
     lines = split_lines(F.col("text"))
     kept = F.when(F.col("_at").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept_lines(lines, F.col("_at")), "\n"))
     return j.select(F.col("doc_id"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(F.col("_at")), F.lit(0)).cast("long").alias("n_dropped"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
