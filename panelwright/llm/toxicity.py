@@ -147,7 +147,7 @@ def build(sample: list[tuple[int, int, str]], vocabulary: list[str], share: dict
     dense = np.zeros((len(vocabulary), -(-max(1, len(order)) // BLOCK) * BLOCK))
     for c, k in enumerate(order):
         dense[vectors[k][0], c] = vectors[k][1]
-    ix.weights, ix.tops = dense, dense.reshape(len(vocabulary), -1, BLOCK).max(axis=2)
+    ix.weights, ix.tops = dense, dense.reshape(len(vocabulary), dense.shape[1] // BLOCK, BLOCK).max(axis=2)
     ix.labels, ix.ids = y[order] if len(order) else np.zeros(0), np.array([sample[k][0] for k in order], np.int64)
     votes, truth, weight = [], [], []
     for c, k in enumerate(order):
