@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,22 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != 0, F.lit(False))
 
 
+def smallest_hashes(rows: DataFrame, group: str, key: str, k: int) -> tuple[DataFrame, dict]:
+    """The ``k`` rows of each group with the smallest hash of ``key``, numbered _k from 1, and the groups' sizes.
+
+    Groups are labels or languages, so their sizes go to the driver. A bound on the hash, set from the sizes so that about
+    4 k + 100 rows of a group pass, is applied before the shuffle: what is sorted does not grow with the input."""
+    sizes = {r[group]: r["count"] for r in rows.groupBy(group).count().collect()}
+    bound = F.lit(2**63 - 1)
+    for g, n in sizes.items():
+        share = (4 * k + 100) / max(1, n)
+        if g is not None and share < 1:
+            bound = F.when(F.col(group) == F.lit(g), F.lit(int(share * 2**64) - 2**63)).otherwise(bound)
+    order = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
+    near = rows.where(F.xxhash64(key) <= bound)
+    return near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k), sizes
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A cluster names it in spark.checkpoint.dir; a local
     session without the setting gets a folder of its own."""
@@ -70,10 +86,6 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def fields(schema: T.StructType) -> list[str]:
-    return [f.name for f in schema.fields]
-
-
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list]] | dict[str, list]], schema: str) -> DataFrame:
     """Apply ``fn`` to slices of at most SLICE rows; it returns columns by name, or yields several such."""
     parsed = T._parse_datatype_string(schema)

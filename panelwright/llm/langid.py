@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import column, held_out, learnable, map_slices, need, texts
+from panelwright.llm.common import column, held_out, learnable, map_slices, need, smallest_hashes, texts
 
 SAMPLE, LANDMARKS = 4096, 256
 LETTER = regex.compile(r"\p{L}")
@@ -113,8 +113,7 @@ def fit(docs: DataFrame, per_language: int = 192, landmarks: int = 24, strength:
     """None if there is nothing to learn from."""
     d = need(docs, doc_id="long", text="string", lang="string")
     known = d.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_language).orderBy("_k", "lang").limit(SAMPLE)
+    chosen = smallest_hashes(known, "lang", "doc_id", per_language)[0].orderBy("_k", "lang").limit(SAMPLE)
     chosen = [(r.doc_id, r.lang, r._k) for r in chosen.collect()]  # at most SAMPLE ids
     if not chosen:
         return None

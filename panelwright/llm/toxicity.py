@@ -25,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import SLICE, column, held_out, learnable, map_slices, need, texts
+from panelwright.llm.common import SLICE, column, held_out, learnable, map_slices, need, smallest_hashes, texts
 
 PER_LABEL, VOCABULARY, MIN_G2, MIN_DF, LIFT = 2500, 1024, 34.0, 3, 4.0
 PREFIXES, BLOCK, NEIGHBOURS, PRIOR = (4, 5, 6, 7), 64, 15, 0.25
@@ -168,11 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | None:
     d = need(docs, doc_id="long", text="string").where(learnable(F.col("doc_id")))
     y = need(labels, doc_id="long", toxic="int").where(learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = y.join(d.select("doc_id").distinct(), "doc_id", "left_semi")
-    size = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    near, size = smallest_hashes(known, "toxic", "doc_id", PER_LABEL)
     if len(size) < 2:
         return None
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = [(r.doc_id, r.toxic) for r in known.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= PER_LABEL).select("doc_id", "toxic").collect()]
+    chosen = [(r.doc_id, r.toxic) for r in near.select("doc_id", "toxic").collect()]
     ids = spark.createDataFrame(chosen, "doc_id long, toxic int")
     rows = d.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
 
