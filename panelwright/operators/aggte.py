@@ -120,9 +120,9 @@ class Fit:
 
 def fit_panel(df: DataFrame, d: Design) -> Fit:
     """Cells without covariates, together with the sums inference reuses."""
-    series = A.unit_series(df, d)
-    periods, cohorts = A.series_axes(series)
-    grid = A.cell_list(periods, cohorts, d)
+    series, k = A.series_contract(A.unit_series(df, d), d)
+    periods, cohorts = k.periods, k.controls
+    grid = A.cell_list(periods, k.cohorts, d)
     cells = A.cells_frame(df.sparkSession, grid)
     members = A.control_cohorts(cells.where("pre is not null"), cohorts, d)
     units = A.on_axis(series, periods)
@@ -185,6 +185,10 @@ def _batches(coef: dict, f: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def _type(df: DataFrame, c: str) -> str:
+    return df.schema[c].dataType.simpleString()
+
+
 def influence_products(fit: Fit, params: list[Param], full: bool = False, by_cluster: bool = False) -> np.ndarray:
     """Sum over units (or clusters) of influence products: the diagonal, or all
     pairs of summaries when ``full``."""
@@ -207,7 +211,7 @@ def influence_products(fit: Fit, params: list[Param], full: bool = False, by_clu
                 g = pd.DataFrame(m).groupby(f["cluster"].to_numpy()).sum()
                 yield pd.DataFrame({"cluster": g.index, "v": list(g.to_numpy())})
 
-        v = units.select("cohort", "w", "ys", "cluster").mapInPandas(sums, "cluster bigint, v array<double>")
+        v = units.select("cohort", "w", "ys", "cluster").mapInPandas(sums, f"cluster {_type(units, 'cluster')}, v array<double>")
         src = v.groupBy("cluster").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(P)]).alias("v")).select("v")
     rows = src.mapInPandas(part, "p int, v double").groupBy("p").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(P * P if full else P)
@@ -240,7 +244,7 @@ def influence_long(fit: Fit, params: list[Param]) -> DataFrame:
             i, k = np.nonzero(m)
             yield pd.DataFrame({"unit": f["unit"].to_numpy()[i], "cluster": f["cluster"].to_numpy()[i], "param": k, "psi": m[i, k]})
 
-    return fit.units.select("unit", "cluster", "cohort", "w", "ys").mapInPandas(part, "unit bigint, cluster bigint, param bigint, psi double")
+    return fit.units.select("unit", "cluster", "cohort", "w", "ys").mapInPandas(part, f"unit {_type(fit.units, 'unit')}, cluster {_type(fit.units, 'cluster')}, param bigint, psi double")
 
 
 def cell_params(fit: Fit) -> list[Param]:

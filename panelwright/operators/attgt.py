@@ -18,7 +18,6 @@ from panelwright.functions.scalars import AVG_Z, long_array, struct_array
 from panelwright.operators.did2x2 import CELL, estimate_cells
 from panelwright.session import keep
 
-MAX_AXIS = 20_000  # distinct cohorts or periods read to the driver
 TINY_SE = 10 * 1.4901161193847656e-8
 
 
@@ -38,17 +37,70 @@ class Design:
     mode: str = "panel"  # panel | unbalanced | rc
 
 
-def axes(df: DataFrame, d: Design) -> tuple[list[int], list[int]]:
-    """Sorted periods and treated cohorts; both are calendar sized, and checked."""
-    r = df.agg(F.array_sort(F.collect_set(d.time)).alias("t"), F.array_sort(F.collect_set(d.cohort)).alias("g")).first()
-    if max(len(r.t), len(r.g)) > MAX_AXIS:
-        raise ValueError("too many distinct periods or cohorts for a panel axis")
-    return list(r.t), list(r.g)
+def axes(df: DataFrame, d: Design) -> tuple[list[int], list[int], bool]:
+    """Sorted periods, sorted cohorts as written, and whether a cohort is null;
+    one aggregate whose result has calendar size."""
+    g = F.col(d.cohort).try_cast("bigint")  # an infinite cohort becomes null
+    r = df.agg(F.array_sort(F.collect_set(F.col(d.time).cast("bigint"))).alias("t"), F.array_sort(F.collect_set(g)).alias("g"), F.max(g.isNull()).alias("null")).first()
+    return list(r.t), list(r.g), bool(r["null"])
+
+
+@dataclass(frozen=True)
+class Contract:
+    """What the sample rules leave: periods, treated cohorts that get cells, and
+    the cohorts that may serve as not-yet-treated controls."""
+
+    periods: list
+    cohorts: list
+    controls: list
+    latest: int | None  # cohorts from here on count as never treated
+    first: int | None  # cohorts up to here leave the sample
+
+    def column(self, c: Column) -> Column:
+        """A cohort column under the rules: null is never treated."""
+        c = c.try_cast("bigint")
+        return F.when((c > 0) & (c < F.lit(self.latest)), c) if self.latest is not None else c
+
+    def in_sample(self, c: Column) -> Column:
+        """Rows of ``c`` (already under the rules) that stay."""
+        return c.isNull() | (c > F.lit(self.first)) if self.first is not None else F.lit(True)
+
+
+def contract(periods: list[int], cohorts: list[int], has_null: bool, d: Design) -> Contract:
+    """The sample rules of the group-time estimator, on calendar-sized lists.
+
+    0, an infinite cohort and one beyond the last period are never treated.
+    Without any, periods stop before the last cohort (less the anticipation),
+    which then is the comparison: as never treated for ``nevertreated``, under
+    its own name and without cells of its own for ``notyettreated``. Cohorts
+    treated by the first period leave the sample."""
+    if not periods:
+        return Contract([], [], [], None, None)
+    treated = [g for g in cohorts if 0 < g <= periods[-1]]
+    latest, controls = periods[-1] + 1, treated
+    if treated and not has_null and len(treated) == len(cohorts):
+        last = treated[-1]
+        periods = [t for t in periods if t < last - d.anticipation]
+        treated = treated[:-1]
+        if d.control_group == "nevertreated":
+            latest, controls = last, treated
+    first = periods[0] if periods else None
+    inside = lambda gs: [g for g in gs if first is not None and g > first]
+    return Contract(periods, [g for g in inside(treated) if g > first + d.anticipation], inside(controls), latest, first)
+
+
+def under_contract(df: DataFrame, d: Design) -> tuple[DataFrame, Contract]:
+    """Rows of a long panel or cross-section under the sample rules."""
+    k = contract(*axes(df, d), d)
+    x = df.withColumn(d.cohort, k.column(F.col(d.cohort)))
+    x = x.where(k.in_sample(F.col(d.cohort)))
+    return (x.where(F.col(d.time) <= F.lit(k.periods[-1])) if k.periods else x.limit(0)), k
 
 
 def gt_cells(df: DataFrame, d: Design) -> DataFrame:
     """The grid of cells with base period, as rows (cell, g, t, pre, is_post)."""
-    return cells_frame(df.sparkSession, cell_list(*axes(df, d), d))
+    k = contract(*axes(df, d), d)
+    return cells_frame(df.sparkSession, cell_list(k.periods, k.cohorts, d))
 
 
 def cell_list(periods: list[int], cohorts: list[int], d: Design) -> list[tuple]:
@@ -96,14 +148,16 @@ def unit_series(df: DataFrame, d: Design, extra: list[str] | None = None) -> Dat
     w = F.lit(1.0) if d.weight is None else F.min_by(F.col(d.weight).cast("double"), d.time)
     cl = F.min(d.unit) if d.cluster is None else F.min_by(d.cluster, d.time)
     g = df.where(F.col(d.y).isNotNull()).groupBy(F.col(d.unit).alias("unit")).agg(
-        F.min(d.cohort).cast("bigint").alias("cohort"), w.alias("w"), cl.alias("cluster"), *[F.min_by(c, d.time).alias(c) for c in (extra or [])],
+        F.min(d.cohort).try_cast("bigint").alias("cohort"), w.alias("w"), cl.alias("cluster"), *[F.min_by(c, d.time).alias(c) for c in (extra or [])],
         F.map_from_entries(F.collect_list(F.struct(F.col(d.time).cast("bigint"), F.col(d.y).cast("double")))).alias("series"))
     return keep(g)
 
 
-def series_axes(units: DataFrame) -> tuple[list[int], list[int]]:
-    """Periods and cohorts of persisted units, with the same size check."""
-    return axes(units.select(F.explode(F.map_keys("series")).alias("t"), F.col("cohort").alias("g")), Design())
+def series_contract(units: DataFrame, d: Design) -> tuple[DataFrame, Contract]:
+    """Persisted units under the sample rules; periods that fall away are left
+    out when the outcomes are laid on the axis."""
+    k = contract(*axes(units.select(F.explode(F.map_keys("series")).alias("t"), F.col("cohort").alias("g")), Design()), d)
+    return units.withColumn("cohort", k.column(F.col("cohort"))).where(k.in_sample(F.col("cohort"))), k
 
 
 def on_axis(units: DataFrame, periods: list[int]) -> DataFrame:
@@ -148,10 +202,14 @@ def att_gt(df: DataFrame, d: Design, method: str = "dr", covariates: list[str] |
     A cell that cannot be estimated stays in the grid with null values."""
     spark = df.sparkSession
     units = unit_series(df, d, covariates) if d.mode in ("panel", "unbalanced") and not (covariates and d.mode == "unbalanced") else None
-    periods, cohorts = series_axes(units) if units is not None else axes(df, d)
-    grid = cell_list(periods, cohorts, d)
+    if units is not None:
+        units, k = series_contract(units, d)
+    else:
+        df, k = under_contract(df, d)
+    periods = k.periods
+    grid = cell_list(periods, k.cohorts, d)
     cells = cells_frame(spark, grid)
-    members = control_cohorts(cells.where("pre is not null"), cohorts, d)
+    members = control_cohorts(cells.where("pre is not null"), k.controls, d)
     if d.mode == "panel" and not covariates:
         est = _panel_cells(members, pair_moments(on_axis(units, periods), base_pairs(grid), periods))
         est = est.select("cell", "n_treated", "n_control", (F.col("mt") - F.col("mc")).alias("att"), F.sqrt("v").alias("se"))
@@ -322,11 +380,11 @@ def custom_att(df: DataFrame, d: Design, effect) -> DataFrame:
 
     ``effect(treated, control)`` gets two dictionaries of column expressions
     (n, mean, sw) and returns a column."""
-    units = unit_series(df, d)
-    periods, cohorts = series_axes(units)
-    grid = cell_list(periods, cohorts, d)
+    units, k = series_contract(unit_series(df, d), d)
+    periods = k.periods
+    grid = cell_list(periods, k.cohorts, d)
     cells = cells_frame(df.sparkSession, grid)
-    members = control_cohorts(cells.where("pre is not null"), cohorts, d)
+    members = control_cohorts(cells.where("pre is not null"), k.controls, d)
     e = _panel_cells(members, pair_moments(on_axis(units, periods), base_pairs(grid), periods))
     t = {"n": F.col("n_treated"), "mean": F.col("mt"), "sw": F.col("wt")}
     c = {"n": F.col("n_control"), "mean": F.col("mc"), "sw": F.col("wc")}

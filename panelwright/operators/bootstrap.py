@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from panelwright.functions.distributions import qnorm
 from panelwright.functions.scalars import MIX_MODULUS, col, draw31_numpy, uniform
@@ -16,7 +17,6 @@ MAMMEN_LOW = 1 - GOLDEN
 MAMMEN_HIGH = GOLDEN
 MAMMEN_P_LOW = GOLDEN / 5 ** 0.5
 IQR_NORMAL = qnorm(0.75) - qnorm(0.25)
-MIN_DRAWS = 200
 
 
 def collapse_to_clusters(psi: DataFrame, cluster: str, param: str = "param") -> DataFrame:
@@ -53,7 +53,8 @@ def multiplier_draws(psi: DataFrame, draws: int, n, seed: int = 1, kind: str = "
         for c, row in sums.items():
             yield pd.DataFrame({"param": int(c), "b": np.arange(draws), "value": row})
 
-    rows = psi.select(col("unit").cast("bigint").alias("unit"), F.col("param").cast("bigint").alias("param"), F.col("psi").cast("double").alias("psi"))
+    unit = F.xxhash64("unit") if isinstance(psi.schema["unit"].dataType, StringType) else col("unit").cast("bigint")
+    rows = psi.select(unit.alias("unit"), F.col("param").cast("bigint").alias("param"), F.col("psi").cast("double").alias("psi"))
     summed = rows.mapInPandas(part, "param bigint, b int, value double").groupBy("param", "b").agg(F.sum("value").alias("value"))
     return summed.withColumn("value", F.col("value") / F.sqrt(F.lit(n).cast("double") if not hasattr(n, "cast") else n))
 

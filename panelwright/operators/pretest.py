@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators.attgt import Design, cell_list, cell_rows, cells_frame, control_cohorts, on_axis, series_axes, unit_series
+from panelwright.operators.attgt import Design, cell_list, cell_rows, cells_frame, control_cohorts, on_axis, series_contract, unit_series
 from panelwright.operators.bootstrap import multiplier_draws
 from panelwright.session import keep
 
@@ -28,8 +28,9 @@ def _paths(sums: DataFrame, by: list[str], value: str, share: DataFrame) -> Data
 def cvm_pretest(df: DataFrame, d: Design, x: str, draws: int = 199, seed: int = 1, alpha: float = 0.05) -> DataFrame:
     """Statistic, critical value and p-value, one row."""
     units = unit_series(df, d, [x])
-    periods, cohorts = series_axes(units)
-    grid = [c for c in cell_list(periods, cohorts, d) if c[3] is not None and c[1] > c[2] and c[2] != c[3]]
+    units, k = series_contract(units, d)
+    periods, cohorts = k.periods, k.controls
+    grid = [c for c in cell_list(periods, k.cohorts, d) if c[3] is not None and c[1] > c[2] and c[2] != c[3]]
     members = control_cohorts(cells_frame(df.sparkSession, grid), cohorts, d)
     n = units.count()
     share = units.groupBy(F.col(x).alias("x")).agg((F.count("*") / F.lit(n)).alias("share"))

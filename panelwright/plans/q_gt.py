@@ -61,7 +61,7 @@ CONTROL = with_(P1) + cells_sql("p1") + " SELECT c.g, c.t, count(*) FILTER (u.g
 def _controls(spark, sf):
     p = D.nation_month(spark, sf)
     d = A.Design(control_group="notyettreated")
-    m = A.control_cohorts(A.gt_cells(p, d), A.axes(p, d)[1], d)
+    m = A.control_cohorts(A.gt_cells(p, d), A.contract(*A.axes(p, d), d).controls, d)
     return m.groupBy("g", "t").agg(F.count_if(~F.col("treated") & F.col("cohort").isNull()).alias("never"), F.count_if(~F.col("treated") & F.col("cohort").isNotNull()).alias("not_yet"))
 
 
@@ -72,7 +72,7 @@ query("j_control_range", CONTROL)(_controls)
 def _(spark, sf):
     p = D.nation_month(spark, sf)
     d = A.Design(control_group="notyettreated")
-    m = A.control_cohorts(A.gt_cells(p, d), A.axes(p, d)[1], d)
+    m = A.control_cohorts(A.gt_cells(p, d), A.contract(*A.axes(p, d), d).controls, d)
     sizes = p.groupBy(F.col("g").alias("_g")).agg(F.count_distinct("id").alias("u"))
     j = m.join(sizes, F.col("cohort").eqNullSafe(F.col("_g")))
     return j.groupBy("g", "t").agg(F.sum(F.when(F.col("treated"), F.col("u"))).alias("treated_units"), F.sum(F.when(~F.col("treated"), F.col("u"))).alias("control_units"))
@@ -83,6 +83,31 @@ def _(spark, sf):
     return gt_out(A.att_gt(D.nation_month(spark, sf), WEIGHTED))
 
 
+@query("att_gt_zero_coded", with_(P1) + arms_sql() + GT_OUT)
+def _(spark, sf):
+    return gt_out(A.att_gt(D.nation_month(spark, sf).withColumn("g", F.coalesce("g", F.lit(0))), WEIGHTED))
+
+
+@query("att_gt_future_cohort", with_(P1) + arms_sql() + GT_OUT)
+def _(spark, sf):
+    p = D.nation_month(spark, sf)
+    late = F.when(F.col("id") % 2 == 0, F.lit(30000.0)).otherwise(F.lit(float("inf")))
+    return gt_out(A.att_gt(p.withColumn("g", F.coalesce(F.col("g").cast("double"), late)), WEIGHTED))
+
+
+NO_NEVER = with_(P1.replace("p1 AS (", "p0 AS (", 1)) + ", p1 AS (SELECT id, t, {g} AS g, y, w FROM p0 WHERE g IS NOT NULL AND t < (SELECT max(g) FROM p0))"
+
+
+@query("att_gt_no_never", NO_NEVER.format(g="CASE WHEN g < (SELECT max(g) FROM p0) THEN g END") + arms_sql() + GT_OUT)
+def _(spark, sf):
+    return gt_out(A.att_gt(D.nation_month(spark, sf).where("g is not null"), WEIGHTED))
+
+
+@query("att_gt_no_never_notyettreated", NO_NEVER.format(g="g") + arms_sql(w="1.0", notyet=True) + GT_OUT.replace("FROM att", "FROM (SELECT * FROM att WHERE g < (SELECT max(g) FROM p1)) att"))
+def _(spark, sf):
+    return gt_out(A.att_gt(D.nation_month(spark, sf).where("g is not null"), A.Design(control_group="notyettreated")))
+
+
 @query("att_gt_notyettreated", with_(P1) + arms_sql(w="1.0", notyet=True) + GT_OUT)
 def _(spark, sf):
     return gt_out(A.att_gt(D.nation_month(spark, sf), A.Design(control_group="notyettreated")))
@@ -275,6 +300,16 @@ def _agg(kind, **kw):
 
 query("agg_simple", agg_sql("0", "t >= g") + " SELECT NULL::BIGINT AS key, " + r("est") + " AS estimate, " + r("se") + " AS se FROM res")(_agg("simple"))
 query("agg_dynamic", agg_sql("t - g") + OVER.format(w="key >= 0"))(_agg("dynamic"))
+
+
+@query("agg_dynamic_string_ids", agg_sql("t - g") + OVER.format(w="key >= 0"))
+def _(spark, sf):
+    p = D.nation_month(spark, sf).withColumns({"id": F.concat(F.lit("unit "), F.col("id")), "region": F.concat(F.lit("r"), F.col("region"))})
+    fit = G.fit_panel(p, A.Design(weight="w", cluster="region"))
+    G.influence_products(fit, G.cell_params(fit)[:3], by_cluster=True)  # string clusters
+    return agg_out(G.aggregate(fit, "dynamic"))
+
+
 query("agg_dynamic_balanced", agg_sql("t - g", "80 + 23940 - g >= 6 AND t - g <= 6 AND t - g >= -12") + OVER.format(w="key >= 0"))(_agg("dynamic", balance_e=6, min_e=-12))
 query("agg_calendar", agg_sql("t", "t >= g") + OVER.format(w="true"))(_agg("calendar"))
 query("agg_group", with_(P1) + arms_sql() + SHARES + """, sel AS (SELECT *, 1.0/count(*) OVER (PARTITION BY g) AS cw FROM ca WHERE t >= g),
