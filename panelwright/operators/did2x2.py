@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.scalars import AVG_Z, col, linear, logistic
 from panelwright.operators.moments import solve_spd, unpack
-from panelwright.session import keep, spread
+from panelwright.session import keep
 
 # Fixed values.
 PSCORE_CAP = 1.0 - 1e-6
@@ -177,7 +177,7 @@ def estimate_cells(df: DataFrame, method: str, y, d, xs: list | None = None, w=N
                      (F.lit(1.0) if w is None else col(w).cast("double")).alias(W), *[c.alias(f"_x{i}") for i, c in enumerate(covs)])
     job = _Job(base, k, cell is None)
     if cache:
-        base = keep(spread(base))
+        base = keep(base)
     spark = df.sparkSession
     quad = [D, POST] if rc else [D]
     sizes: dict[int, dict] = {}
@@ -525,13 +525,6 @@ def preprocess_report(df: DataFrame, y: str, time: str, d: str, unit: str, xs: l
     return long.withColumn("wanted", wanted.cast("bigint")).withColumn("ok", ok)
 
 
-def support_counts(df: DataFrame, d: str, post: str) -> DataFrame:
-    """The four quadrant counts and whether a comparison is possible at all."""
-    q = lambda a, b: F.count_if((F.col(d) == a) & (F.col(post) == b))
-    c = df.agg(q(1, 0).alias("n_treat_pre"), q(1, 1).alias("n_treat_post"), q(0, 0).alias("n_control_pre"), q(0, 1).alias("n_control_post"))
-    return c.withColumn("identifiable", F.least(*c.columns) > 0)
-
-
 def wls_odds(df: DataFrame, y, xs: list, ps, w, mask: Column) -> DataFrame:
     """Regression coefficients on a subset, weighted by the odds of treatment."""
     from panelwright.operators.moments import gram

@@ -22,7 +22,6 @@ from panelwright.operators.moments import unpack
 from panelwright.session import keep
 
 ROWS_TIMES_COLUMNS = 4_000_000  # doubles held by one dense block inside a task
-MAX_PERIODS = 5_000
 
 
 @dataclass
@@ -77,8 +76,6 @@ def fe_units(df: DataFrame, unit: str, time: str, y, dense: list | None = None,
     d = d.where(F.col("_y").isNotNull() & F.col("_t").isNotNull())
     g = keep(d.groupBy("unit").agg(F.min("_cl").alias("cluster"), F.collect_list(F.struct("_t", "_y", "_c", "_d")).alias("r")))
     periods = g.select(F.explode("r._t").alias("t")).agg(F.array_sort(F.collect_set("t")).alias("a")).first().a
-    if len(periods) > MAX_PERIODS:
-        raise ValueError("too many periods for period effects as columns")
     return g.select("unit", "cluster", F.col("r._t").alias("t"), F.col("r._y").alias("y"), F.col("r._c").alias("c"), F.col("r._d").alias("d")), periods
 
 
@@ -239,12 +236,6 @@ def residualize(df: DataFrame, unit: str, time: str, y: str, fit_on: Column | No
     return p.withColumn(out, e).drop("_hat")
 
 
-def month_fill(df: DataFrame, time: str, value: str) -> DataFrame:
-    """Null predictions replaced by the period's mean prediction."""
-    m = df.groupBy(time).agg(F.avg(value).alias("_m"))
-    return df.join(m, time).withColumn(value, F.coalesce(value, "_m")).drop("_m")
-
-
 def event_codes(df: DataFrame, time: str, cohort: str, ref: int = -1, lo: int | None = None, hi: int | None = None) -> tuple[DataFrame, list[int]]:
     """Event-time dummy code per row; the reference and never-treated rows have none."""
     e = F.col(time) - F.col(cohort)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.distributions import two_sided_normal, two_sided_t
 from panelwright.functions.scalars import col, linear
 from panelwright.operators.moments import unpack
-from panelwright.session import keep, spread
+from panelwright.session import keep
 
 WIDE = 24  # beyond this many columns, cross products are summed in Arrow batches
 
@@ -163,7 +163,7 @@ def glm_fit(df: DataFrame, y, xs: list, fam: Family, w=None, offset=None, start:
     d = df.select(col(y).cast("double").alias("_y"), (F.lit(1.0) if w is None else col(w)).alias("_w"),
                   (F.lit(0.0) if offset is None else col(offset)).alias("_o"), *[col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)])
     if cache:
-        d = keep(spread(d))
+        d = keep(d)
     yy, ww, oo, xc = F.col("_y"), F.col("_w"), F.col("_o"), [F.col(f"_x{i}") for i in range(k)]
 
     def step(eta: Column) -> tuple[np.ndarray, np.ndarray, float, float, float]:

@@ -61,10 +61,11 @@ def leave_one_out_saturated(df: DataFrame, unit: str, time: str, cohort: str, y:
     return r.withColumn("influence", F.col("att_full") - F.col("att_loo"))
 
 
-def cumulative_drop(df: DataFrame, unit: str, time: str, y: str, x: str, ranked: list, cohort: str = "g", most: int = 10, min_treated: int = 2, min_units: int = 5) -> list[tuple]:
-    """Effects after dropping the most influential units one after another; at most
-    ten fits, stopped when too few units remain."""
+def cumulative_drop(df: DataFrame, unit: str, time: str, y: str, x: str, loo: DataFrame, cohort: str = "g", most: int = 10, min_treated: int = 2, min_units: int = 5) -> list[tuple]:
+    """Effects after dropping the ``most`` most influential units of ``loo`` one
+    after another, stopped when too few units remain."""
     out = []
+    ranked = [r.unit for r in loo.orderBy(F.desc(F.abs("influence")), "unit").limit(most).collect()]
     for k in range(0, min(most, len(ranked)) + 1):
         d = df.where(~F.col(unit).isin(ranked[:k])) if k else df
         left = d.agg(F.count_distinct(unit).alias("u"), F.count_distinct(F.when(F.col(cohort).isNotNull(), F.col(unit))).alias("tr")).first()

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.distributions import pnorm, two_sided_t
+from panelwright.functions.distributions import pnorm, qnorm, two_sided_t
 from panelwright.functions.scalars import rnd
 from panelwright.operators.summaries import mean_se_ci
 
@@ -35,19 +35,21 @@ def spec_panel(df: DataFrame, spec: dict, time: str = "t", cohort: str = "g") ->
     return d.withColumn("e", e)
 
 
+def equivalence_bound(rows: DataFrame, alpha: float = 0.05, estimate: str = "estimate", se: str = "se") -> DataFrame:
+    """Smallest bound at which every coefficient is inside: each one-sided test
+    rejects from |b| + z s on, so the bound is the largest of these."""
+    z = qnorm(1 - alpha)
+    return rows.where(f"{se} is not null").agg(F.max(F.abs(F.col(estimate)) + z * F.col(se)).alias("delta_star"))
+
+
 def equivalence_max(rows: DataFrame, grid: list[float], alpha: float = 0.05, estimate: str = "estimate", se: str = "se") -> DataFrame:
-    """Largest one-sided p over the coefficients for each bound, and the smallest
-    bound at which all of them are rejected."""
+    """Largest one-sided p over the coefficients for each bound of ``grid``."""
     r = rows.where(f"{se} is not null").select(estimate, se).collect()
     out = [(float(d), float(max(pnorm((abs(x[0]) - d) / x[1]) for x in r))) for d in grid]
     t = rows.sparkSession.createDataFrame(out, "delta DOUBLE, p_value DOUBLE")
     return t.withColumn("equivalent", F.col("p_value") < alpha)
 
 
-def minimal_bound(table: DataFrame) -> DataFrame:
-    return table.agg(F.min(F.when(F.col("equivalent"), F.col("delta"))).alias("delta_star"))
-
-
 def equivalence_average(beta: np.ndarray, sigma: np.ndarray, delta: float) -> dict:
     """Test that the mean coefficient is inside the bound, with the full covariance."""
     avg = float(np.mean(beta))

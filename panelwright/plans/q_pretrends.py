@@ -60,7 +60,7 @@ dyn AS (SELECT att.t - att.g AS e, sum(ng*att)/sum(ng) AS estimate FROM att JOIN
 def _(spark, sf):
     rows = _dyn(spark, sf).where("e < -1 and e >= -12")
     t = T.equivalence_max(rows, [round(0.01 * i, 2) for i in range(1, 101)])
-    return t.withColumn("delta_star", T.minimal_bound(t).scalar())
+    return t.withColumn("delta_star", T.equivalence_bound(rows).scalar())
 
 
 @query("equiv_avg")
@@ -78,14 +78,16 @@ def _(spark, sf):
 def _(spark, sf):
     p = keep(D.nation_month(spark, sf))
     rows = []
-    for name in ("baseline", "narrow", "no_1998"):
+    for name in SPECS:
         f = E.event_study(T.spec_panel(p, SPECS[name]).drop("e"), "id", "t", "g", "y", -6, 12)
         w = f.wald(lambda e: e < -1)
         pre = [(abs(b), s) for n, b, s in zip(f.names, f.coef, f.se) if n < -1]
-        star = next((d / 100 for d in range(1, 500) if max(T.pnorm((b - d / 100) / s) for b, s in pre) < 0.05), None)
-        rows.append((name, w["p_value"], float(max(b for b, _ in pre)), float(2.8 * max(s for _, s in pre)), star))
-    t = spark.createDataFrame(rows, "specification STRING, f_test_p DOUBLE, max_abs_pre DOUBLE, mde DOUBLE, delta_star DOUBLE")
-    return t.withColumn("assessment", T.assessment(F.col("f_test_p"), F.col("mde"), F.col("delta_star")))
+        # smallest single lead found with a chance of 80 per cent at the 5 per cent level
+        power = T.qnorm(0.975) + T.qnorm(0.8)
+        pre = [(b, s) for b, s in pre if s > 0]
+        rows.append((name, w["p_value"], *((float(max(x)) for x in ([b for b, _ in pre], [power * s for _, s in pre], [b + T.qnorm(0.95) * s for b, s in pre])) if pre else (None,) * 3)))
+    t = spark.createDataFrame(rows, "specification STRING, f_test_p DOUBLE, max_abs_pre DOUBLE, detectable_lead DOUBLE, delta_star DOUBLE")
+    return t.withColumn("assessment", T.assessment(F.col("f_test_p"), F.col("detectable_lead"), F.col("delta_star")))
 
 
 @query("prepost_compare", with_(P1) + ", k AS (SELECT 'pre' AS period, * FROM p1 WHERE t < 23985 UNION ALL SELECT 'post', * FROM p1 WHERE t >= 23985), s AS (SELECT period, 'full' AS sample, id, t, g, y FROM k UNION ALL SELECT period, 'adopters', id, t, g, y FROM k WHERE g IS NOT NULL) SELECT period, sample, count(*) AS n, count(DISTINCT id) AS units, count(DISTINCT CASE WHEN t >= g THEN id END) AS treated_units, " + r("avg(y)") + " AS mean, " + r("stddev_samp(y)") + " AS sd FROM s GROUP BY 1, 2")
@@ -237,14 +239,13 @@ def _(spark, sf):
 @query("loo_cumulative")
 def _(spark, sf):
     p = keep(D.nation_month(spark, sf)).withColumn("x", post())
-    ranked = [r_.unit for r_ in I.leave_one_out(p, "id", "t", "y", "x").orderBy(F.desc(F.abs("influence")), "unit").limit(3).collect()]
-    return spark.createDataFrame(I.cumulative_drop(p, "id", "t", "y", "x", ranked), "n_dropped INT, att DOUBLE, se DOUBLE, units INT, n INT")
+    return spark.createDataFrame(I.cumulative_drop(p, "id", "t", "y", "x", I.leave_one_out(p, "id", "t", "y", "x")), "n_dropped INT, att DOUBLE, se DOUBLE, units INT, n INT")
 
 
 @query("loo_ftest")
 def _(spark, sf):
     p = keep(D.nation_month(spark, sf))
-    treated = [r_.id for r_ in p.where("g = 23959").select("id").distinct().orderBy("id").collect()]
+    treated = [r_.id for r_ in p.where("g is not null").select("id").distinct().orderBy("id").collect()]
     return spark.createDataFrame(I.loo_lead_test(p, "id", "t", "g", "y", treated, -6, 12), "dropped INT, f DOUBLE, df1 INT, p DOUBLE")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from panelwright.functions import scalars as S
@@ -12,13 +10,10 @@ from panelwright.operators import panel as P
 from panelwright.plans import panels as D
 from panelwright.plans.panels import P1, P2, P4, PC, with_
 from panelwright.plans.registry import query, r
+from panelwright.session import output_folder
 from panelwright.sources import sinks, tables as T
 
 
-def scratch() -> str:
-    return tempfile.mkdtemp(prefix="spark-pw-")
-
-
 @query("src_parquet", "SELECT o_orderpriority, count(*) AS n, " + r("sum(o_totalprice)", 2) + " AS total FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' GROUP BY 1")
 def _(spark, sf):
     o = T.table(spark, sf, "orders").where(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp"))
@@ -27,7 +22,7 @@ def _(spark, sf):
 
 @query("src_csv", "SELECT c_mktsegment, count(*) AS n, " + r("sum(c_acctbal)", 2) + " AS bal FROM customer GROUP BY 1")
 def _(spark, sf):
-    path = scratch()
+    path = output_folder(spark, "csv")
     sinks.write_csv(T.table(spark, sf, "customer"), path)
     c = T.csv_scan(spark, path, "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING")
     return c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), S.rnd(F.sum("c_acctbal"), 2).alias("bal"))
@@ -35,7 +30,7 @@ def _(spark, sf):
 
 @query("src_csv_select", "SELECT c_custkey AS unit, " + r("c_acctbal", 2) + " AS bal, CAST(NULL AS INTEGER) AS bad FROM customer")
 def _(spark, sf):
-    path = scratch()
+    path = output_folder(spark, "csv")
     sinks.write_csv(T.table(spark, sf, "customer"), path)
     c = T.csv_select(spark, path, {"unit": ("c_custkey", "bigint"), "bal": ("c_acctbal", "double"), "bad": ("c_name", "int")})
     return c.withColumn("bal", S.rnd("bal", 2))
@@ -56,12 +51,11 @@ def _(spark, sf):
     return out.groupBy("layout", "place").agg(F.count("*").alias("n"))
 
 
-WIDE_MONTHS = [24000, 24001, 24002, 24003]
-
-
-@query("src_wide", with_(P1) + "SELECT id, t::VARCHAR AS month_str, n FROM p1 WHERE t BETWEEN 24000 AND 24003")
+@query("src_wide", with_(P1) + "SELECT id, t::VARCHAR AS month_str, n FROM p1")
 def _(spark, sf):
-    wide = D.nation_month(spark, sf).groupBy("id").pivot("t", WIDE_MONTHS).agg(F.first("n"))
+    p = D.nation_month(spark, sf)
+    months = p.agg(F.array_sort(F.collect_set("t")).alias("a")).first().a  # the calendar
+    wide = p.groupBy("id").pivot("t", months).agg(F.first("n"))
     return T.wide_to_long(wide, ["id"], r"\d{5}", "month_str", "n")
 
 
@@ -83,14 +77,14 @@ def _(spark, sf):
 
 @query("sink_csv", with_(P2) + "SELECT t, count(*) AS units, sum(n)::BIGINT AS n FROM p2 GROUP BY 1")
 def _(spark, sf):
-    path = scratch()
+    path = output_folder(spark, "csv")
     sinks.write_csv(D.customer_quarter(spark, sf).select("id", "t", "n"), path)
     return T.csv_scan(spark, path, "id BIGINT, t BIGINT, n BIGINT").groupBy("t").agg(F.count("*").alias("units"), F.sum("n").alias("n"))
 
 
 @query("sink_append", with_(P2) + "SELECT t % 4 AS batch, count(*) AS n_rows, sum(n)::BIGINT AS n FROM p2 GROUP BY 1")
 def _(spark, sf):
-    path = scratch() + "/progress"
+    path = output_folder(spark, "progress")
     panel = D.customer_quarter(spark, sf).select(F.pmod("t", F.lit(4)).alias("batch"), "id", "t", "n")
     sinks.append_batches(panel.where("batch < 2"), path, ["batch"])
     todo = sinks.unfinished(spark, panel.select("batch").distinct(), path, ["batch"])

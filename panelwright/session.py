@@ -26,8 +26,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-def _checkpoint_dir(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by spark.checkpoint.dir.
+
+    A local session without the setting gets a folder of its own; on a cluster
+    its absence is an error, since executors cannot read the driver's disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def output_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -36,8 +51,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = _checkpoint_dir(spark)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix=f"spark-ck-{uuid.uuid4().hex[:6]}-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -51,13 +65,6 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give an iterative fit all cores when its input is fewer files than cores;
-    larger inputs already come in enough splits and are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
-
-
 def release() -> None:
     """Unpersist what earlier estimations kept."""
     while _kept:

@@ -11,11 +11,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-
-
 def append_batches(df: DataFrame, path: str, keys: list[str]) -> None:
     """Append finished batches, one directory per key value."""
     df.write.mode("append").partitionBy(*keys).parquet(path)
