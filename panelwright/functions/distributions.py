@@ -38,22 +38,28 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return h
 
 
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
+def beta_tails(a: float, b: float, x: float) -> tuple[float, float]:
+    """Regularised incomplete beta function and its complement, each without cancellation."""
     if x <= 0.0:
-        return 0.0
+        return 0.0, 1.0
     if x >= 1.0:
-        return 1.0
+        return 1.0, 0.0
     log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
     if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(log_front) * _beta_fraction(a, b, x) / a
-    return 1.0 - math.exp(log_front) * _beta_fraction(b, a, 1.0 - x) / b
+        low = math.exp(log_front) * _beta_fraction(a, b, x) / a
+        return low, 1.0 - low
+    high = math.exp(log_front) * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - high, high
 
 
-def gammainc(a: float, x: float) -> float:
-    """Regularised lower incomplete gamma function."""
+def betainc(a: float, b: float, x: float) -> float:
+    return beta_tails(a, b, x)[0]
+
+
+def gamma_tails(a: float, x: float) -> tuple[float, float]:
+    """Regularised lower and upper incomplete gamma functions, each without cancellation."""
     if x <= 0.0:
-        return 0.0
+        return 0.0, 1.0
     log_front = -x + a * math.log(x) - math.lgamma(a)
     if x < a + 1.0:
         term = total = 1.0 / a
@@ -62,7 +68,8 @@ def gammainc(a: float, x: float) -> float:
             n += 1.0
             term *= x / n
             total += term
-        return total * math.exp(log_front)
+        low = total * math.exp(log_front)
+        return low, 1.0 - low
     tiny = 1e-300
     b = x + 1.0 - a
     c = 1.0 / tiny
@@ -79,7 +86,12 @@ def gammainc(a: float, x: float) -> float:
         h *= step
         if abs(step - 1.0) < 1e-15:
             break
-    return 1.0 - math.exp(log_front) * h
+    high = math.exp(log_front) * h
+    return 1.0 - high, high
+
+
+def gammainc(a: float, x: float) -> float:
+    return gamma_tails(a, x)[0]
 
 
 def pt(t: float, df: float) -> float:
@@ -114,6 +126,18 @@ def pf(x: float, df1: float, df2: float) -> float:
     return 0.0 if x <= 0 else betainc(df1 / 2.0, df2 / 2.0, df1 * x / (df1 * x + df2))
 
 
+def pchisq_upper(x: float, df: float) -> float:
+    return gamma_tails(df / 2.0, x / 2.0)[1]
+
+
+def pf_upper(x: float, df1: float, df2: float) -> float:
+    if x <= 0:
+        return 1.0
+    if math.isinf(df2):
+        return pchisq_upper(df1 * x, df1)
+    return beta_tails(df2 / 2.0, df1 / 2.0, df2 / (df1 * x + df2))[0]
+
+
 def two_sided_normal(z: float) -> float:
     return 2.0 * pnorm(-abs(z))
 

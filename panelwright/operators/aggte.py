@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.distributions import pchisq
+from panelwright.functions.distributions import pchisq_upper
 from panelwright.functions.scalars import AVG_Z
 from panelwright.operators import attgt as A
 from panelwright.operators.attgt import Design
@@ -261,13 +261,13 @@ def pretest_wald(fit: Fit) -> dict:
     if np.linalg.cond(v) > 1 / np.finfo(float).eps:
         return {"statistic": None, "df": len(pre), "p_value": None}
     stat = float(fit.shares["n"] * b @ np.linalg.solve(v, b))
-    return {"statistic": stat, "df": len(pre), "p_value": 1 - pchisq(stat, len(pre))}
+    return {"statistic": stat, "df": len(pre), "p_value": pchisq_upper(stat, len(pre))}
 
 
 def joint_chi2(rows: DataFrame, estimate: str = "estimate", se: str = "se") -> DataFrame:
     """Sum of squared t ratios over given rows with its chi-square p-value."""
     s = rows.where(F.col(se).isNotNull()).agg(F.sum(F.pow(F.col(estimate) / F.col(se), 2)).alias("statistic"), F.count("*").alias("df")).first()
-    p = None if not s.df else 1 - pchisq(s.statistic, s.df)
+    p = None if not s.df else pchisq_upper(s.statistic, s.df)
     return rows.sparkSession.createDataFrame([(s.statistic, s.df, p)], "statistic DOUBLE, df BIGINT, p_value DOUBLE")
 
 
@@ -279,7 +279,7 @@ def dynamic_wald(fit: Fit, before: int = -1, **window) -> dict:
     b = np.array([p.estimate for p in params])
     rank = int(np.linalg.matrix_rank(v))
     stat = float(b @ np.linalg.pinv(v, hermitian=True) @ b)
-    return {"statistic": stat, "df": rank, "p_value": 1 - pchisq(stat, rank)}
+    return {"statistic": stat, "df": rank, "p_value": pchisq_upper(stat, rank)}
 
 
 def holm(df: DataFrame, p: str, out: str = "p_holm") -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.distributions import pf, two_sided_t
+from panelwright.functions.distributions import pf_upper, two_sided_t
 from panelwright.functions.scalars import AVG_Z, col
 from panelwright.operators.moments import unpack
 from panelwright.session import keep
@@ -64,7 +64,7 @@ class FeFit:
         if not rank:
             return {"statistic": None, "df1": 0, "df2": None, "p_value": None}
         stat = float(b @ np.linalg.pinv(v, rcond=1e-10, hermitian=True) @ b) / rank
-        return {"statistic": stat, "df1": rank, "df2": self.df_t, "p_value": 1 - pf(stat, rank, self.df_t)}
+        return {"statistic": stat, "df1": rank, "df2": self.df_t, "p_value": pf_upper(stat, rank, self.df_t)}
 
 
 def fe_units(df: DataFrame, unit: str, time: str, y, dense: list | None = None, code=None, cluster: str | None = None) -> tuple[DataFrame, list[int]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.functions.pvalues import p_t
 from panelwright.functions.scalars import AVG_Z, col, rnd
 
 
@@ -26,7 +27,8 @@ def ols_slope(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
         F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"), F.regr_sxy(y, x).alias("_sxy"))
     rss = F.greatest(F.col("_syy") - F.col("_b") * F.col("_sxy"), F.lit(0.0))
     se = F.when(F.col("n") > 2, F.sqrt(rss / (F.col("n") - 2) / F.col("_sxx")))
-    return s.select(*keys, "n", rnd("_b").alias("slope"), rnd("_a", 4).alias("intercept"), rnd("_r2").alias("r2"), rnd(se).alias("se"))
+    s = s.withColumn("_se", se)
+    return s.select(*keys, "n", rnd("_b").alias("slope"), rnd("_a", 4).alias("intercept"), rnd("_r2").alias("r2"), rnd("_se").alias("se"), rnd(p_t(F.col("_b") / F.nullif("_se", F.lit(0.0)), F.col("n") - 2)).alias("p"))
 
 
 def dup_audit(df: DataFrame, keys: list[str], label: str) -> DataFrame:

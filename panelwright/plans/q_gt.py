@@ -11,6 +11,7 @@ from panelwright.operators import attgt as A
 from panelwright.operators import bootstrap as B
 from panelwright.plans import panels as D
 from panelwright.plans.panels import P1, P2, with_
+from panelwright.functions.pvalues import p_chi2, p_f, p_t, p_t_sql
 from panelwright.plans.registry import query, r
 
 WEIGHTED = A.Design(weight="w")
@@ -459,13 +460,13 @@ def _(spark, sf):
     return spark.createDataFrame([(w["statistic"], w["df"], w["p_value"])], "statistic DOUBLE, df INT, p_value DOUBLE")
 
 
-@query("joint_holm")
+@query("joint_holm", agg_sql("t - g", "t - g BETWEEN -12 AND -2") + ", h AS (SELECT key, est, se, " + p_t_sql("(est/se)", "(nn.n-1)") + " AS p FROM res, nn WHERE se > 1e-12), a AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p) + 1) * p AS adj FROM h) SELECT key AS e, " + r("est") + " AS estimate, " + r("se") + " AS se, " + r("p") + " AS p, " + r("least(max(adj) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING), 1)") + " AS p_holm FROM a")
 def _(spark, sf):
-    from panelwright.functions.distributions import two_sided_t
+    fit = G.fit_panel(D.nation_month(spark, sf), WEIGHTED)
+    a = G.aggregate(fit, "dynamic", min_e=-12, max_e=-2).where("key is not null and se is not null")
+    a = a.select(F.col("key").alias("e"), "estimate", "se", p_t(F.col("estimate") / F.col("se"), F.lit(fit.shares["n"] - 1)).alias("p"))
+    return G.holm(a, "p").select("e", *[S.rnd(c).alias(c) for c in ("estimate", "se", "p", "p_holm")])
 
-    a = G.aggregate(G.fit_panel(D.nation_month(spark, sf), WEIGHTED), "dynamic", min_e=-12, max_e=-2).where("key is not null and se is not null")
-    rows = [(r_.key, r_.estimate, r_.se, two_sided_t(r_.estimate / r_.se, 24)) for r_ in a.collect()]
-    return G.holm(spark.createDataFrame(rows, "e BIGINT, estimate DOUBLE, se DOUBLE, p DOUBLE"), "p")
 
 
 @query("lead_lag_split", agg_sql("t - g", "t - g BETWEEN -12 AND 12") + " SELECT key AS e, " + r("est") + " AS estimate, " + r("est - 1.96*se") + " AS ci_lower, " + r("est + 1.96*se") + " AS ci_upper, key < 0 AS is_pre, (est - 1.96*se > 0 OR est + 1.96*se < 0) AS significant FROM res")
@@ -521,11 +522,9 @@ def _(spark, sf):
     return e.select("g", (F.col("t") - F.col("g")).alias("e"), S.rnd("att").alias("att"), "units", F.row_number().over(Window.partitionBy("g").orderBy("t")).alias("step"))
 
 
-@query("f_distribution")
+@query("f_distribution", with_(P1) + ", k AS (SELECT id, avg(y)/stddev_samp(y) AS z, count(*) AS n FROM p1 GROUP BY 1) SELECT id, " + r("z") + " AS z, " + r(p_t_sql("z", "(n-1)")) + " AS p_t, " + r(p_t_sql("z", "(n-1)")) + " AS p_f, " + r("exp(-z*z/2)") + " AS p_chi2 FROM k")
 def _(spark, sf):
-    """Tail probabilities of observed statistics, one row per nation."""
-    from panelwright.functions import distributions as N
-
+    """Upper tails of observed statistics; an F with one numerator degree is a squared t, a chi-square with two is exponential."""
     p = D.nation_month(spark, sf).groupBy("id").agg((F.avg("y") / F.stddev_samp("y")).alias("z"), F.count("*").alias("n"))
-    rows = [(x.id, x.z, N.pnorm(x.z), N.pt(x.z, x.n - 1), N.pchisq(x.z * x.z, 1), N.pf(x.z * x.z, 1, x.n - 1)) for x in p.collect()]
-    return spark.createDataFrame(rows, "id BIGINT, z DOUBLE, p_norm DOUBLE, p_t DOUBLE, p_chi2 DOUBLE, p_f DOUBLE")
+    z2 = F.col("z") * F.col("z")
+    return p.select("id", S.rnd("z").alias("z"), S.rnd(p_t("z", F.col("n") - 1)).alias("p_t"), S.rnd(p_f(z2, F.lit(1), F.col("n") - 1)).alias("p_f"), S.rnd(p_chi2(z2, F.lit(2))).alias("p_chi2"))

@@ -17,6 +17,7 @@ from panelwright.plans.panels import P1, P2, P3, with_
 from panelwright.plans.q_fe import demean_sql, post
 from panelwright.plans.q_gt import arms_sql
 from panelwright.plans.q_relational import SLOPE
+from panelwright.functions.pvalues import p_t, p_t_sql
 from panelwright.plans.registry import query, r
 from panelwright.session import keep
 
@@ -172,11 +173,12 @@ def _(spark, sf):
     return t.select(*[S.rnd(c, 4).alias(c) for c in t.columns])
 
 
-@query("trend_vs_timing", with_(P1) + ", s AS (SELECT id, g, regr_slope(y, t) AS b FROM p1 WHERE t < g GROUP BY 1, 2) SELECT count(*) AS n, " + r("corr(b, g)") + " AS r, " + r("corr(b, g)*sqrt((count(*)-2)/(1-corr(b,g)^2))", 4) + " AS t FROM s")
+@query("trend_vs_timing", with_(P1) + ", s AS (SELECT id, g, regr_slope(y, t) AS b FROM p1 WHERE t < g GROUP BY 1, 2) SELECT count(*) AS n, " + r("corr(b, g)") + " AS r, " + r("corr(b, g)*sqrt((count(*)-2)/(1-corr(b,g)^2))", 4) + " AS t, " + r(p_t_sql("corr(b, g)*sqrt((count(*)-2)/(1-corr(b,g)^2))", "(count(*)-2)")) + " AS p FROM s")
 def _(spark, sf):
     s = D.nation_month(spark, sf).where("t < g").groupBy("id", "g").agg(F.regr_slope("y", "t").alias("b"))
     c = F.corr("b", "g")
-    return s.agg(F.count("*").alias("n"), S.rnd(c).alias("r"), S.rnd(c * F.sqrt((F.count("*") - 2) / (1 - c * c)), 4).alias("t"))
+    a = s.agg(F.count("*").alias("n"), c.alias("r"), (c * F.sqrt((F.count("*") - 2) / (1 - c * c))).alias("t"))
+    return a.select("n", S.rnd("r").alias("r"), S.rnd("t", 4).alias("t"), S.rnd(p_t("t", F.col("n") - 2)).alias("p"))
 
 
 @query("spike_profile", with_(P2) + ", d AS (SELECT t - g AS e, id, y FROM p2 WHERE t - g BETWEEN -3 AND 7), s AS (SELECT *, lag(e) OVER w AS p, lead(e) OVER w AS q FROM d WINDOW w AS (PARTITION BY id ORDER BY e)) SELECT e, count(*) AS n, " + ", ".join(r(f"{f}(y)") + f" AS {n}" for f, n in (("avg", "mean"), ("stddev_samp", "sd"), ("min", "lo"), ("max", "hi"))) + ", count(*) FILTER (p IS NULL OR p <> e - 1) AS entered, count(*) FILTER (q IS NULL OR q <> e + 1) AS left_after FROM s WHERE e BETWEEN -2 AND 6 GROUP BY 1")

@@ -11,6 +11,7 @@ from panelwright.operators import panel as P
 from panelwright.operators import summaries as A
 from panelwright.plans import panels as D
 from panelwright.plans.panels import P1, P2, P3, P4, with_
+from panelwright.functions.pvalues import p_t, p_t_sql
 from panelwright.plans.registry import query, r
 from panelwright.sources import tables as T
 
@@ -122,8 +123,9 @@ def _(spark, sf):
     return p.groupBy("e").agg(F.count("*").alias("k"), F.array_join(F.array_sort(F.collect_list("gs")), ",").alias("cohorts"))
 
 
+SLOPE_SE = lambda y, x: f"sqrt(greatest(regr_syy({y},{x}) - regr_slope({y},{x})*regr_sxy({y},{x}), 0)/(count(*)-2)/regr_sxx({y},{x}))"
 SLOPE = lambda y, x: (f"count(*) AS n, {r(f'regr_slope({y},{x})')} AS slope, {r(f'regr_intercept({y},{x})', 4)} AS intercept, {r(f'regr_r2({y},{x})')} AS r2, "
-                      + r(f"sqrt(greatest(regr_syy({y},{x}) - regr_slope({y},{x})*regr_sxy({y},{x}), 0)/(count(*)-2)/regr_sxx({y},{x}))") + " AS se")
+                      + r(SLOPE_SE(y, x)) + " AS se, " + r(p_t_sql(f"regr_slope({y},{x})/nullif({SLOPE_SE(y, x)}, 0)", "(count(*)-2)")) + " AS p")
 
 
 @query("a_slope", with_(P1) + "SELECT id, " + SLOPE("y", "t") + " FROM p1 WHERE g IS NULL OR t < g GROUP BY 1")
@@ -131,10 +133,14 @@ def _(spark, sf):
     return A.ols_slope(D.nation_month(spark, sf).where("g is null or t < g"), ["id"], "y", "t")
 
 
-@query("a_corr", "SELECT l_returnflag, count(*) AS n, " + r("corr(l_quantity, l_extendedprice)") + " AS r, " + r("corr(l_quantity, l_extendedprice)*sqrt((count(*)-2)/(1-corr(l_quantity, l_extendedprice)^2))", 3) + " AS t FROM lineitem GROUP BY 1")
+CORR_T = "corr(l_quantity, l_extendedprice)*sqrt((count(*)-2)/(1-corr(l_quantity, l_extendedprice)^2))"
+
+
+@query("a_corr", "SELECT l_returnflag, count(*) AS n, " + r("corr(l_quantity, l_extendedprice)") + " AS r, " + r(CORR_T, 3) + " AS t, " + r(p_t_sql(CORR_T, "(count(*)-2)")) + " AS p FROM lineitem GROUP BY 1")
 def _(spark, sf):
     rr = F.corr("l_quantity", "l_extendedprice")
-    return T.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), S.rnd(rr).alias("r"), S.rnd(rr * F.sqrt((F.count("*") - 2) / (1 - rr * rr)), 3).alias("t"))
+    a = T.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), rr.alias("r"), (rr * F.sqrt((F.count("*") - 2) / (1 - rr * rr))).alias("t"))
+    return a.select("l_returnflag", "n", S.rnd("r").alias("r"), S.rnd("t", 3).alias("t"), S.rnd(p_t("t", F.col("n") - 2)).alias("p"))
 
 
 @query("a_mean_se_ci", with_(P1) + "SELECT t, g IS NOT NULL AS treated, count(*) AS n, " + r("avg(y)") + " AS mean, " + r("stddev_samp(y)/sqrt(count(*))") + " AS se, " + r("avg(y) - 1.96*stddev_samp(y)/sqrt(count(*))") + " AS lo, " + r("avg(y) + 1.96*stddev_samp(y)/sqrt(count(*))") + " AS hi FROM p1 GROUP BY 1, 2")
