@@ -168,23 +168,22 @@ def standardize(df: DataFrame, unit: str, time: str, cohort: str, anticipation:
     """Sample rules of the group-time estimator, in their order, and a log of
     the rows each rule removed.
 
-    1. a cohort beyond the last period never gets treated;
-    2. without never-treated units: ``nevertreated`` turns the last cohort into
-       controls and both modes stop at the last cohort minus anticipation;
+    1. a cohort beyond the last period, or coded 0, never gets treated;
+    2. without never-treated units both modes stop before the last cohort minus
+       anticipation; ``nevertreated`` turns that cohort into controls, while
+       ``notyettreated`` leaves it its name;
     3. units treated by the first period are dropped;
     4. incomplete units are dropped when a balanced panel is asked for.
     """
     steps: list[tuple[str, DataFrame]] = [("input", df)]
     tmax = df.agg(F.max(time)).scalar()
-    d = df.withColumn(cohort, F.when(F.col(cohort) <= tmax, F.col(cohort)))
+    d = df.withColumn(cohort, F.when((F.col(cohort) > 0) & (F.col(cohort) <= tmax), F.col(cohort)))
     steps.append(("as_if_never_treated", d))
     head = d.agg(F.max(cohort).alias("gmax"), F.max(F.col(cohort).isNull()).alias("has_never")).first()
     if not head.has_never and head.gmax is not None:
         d = d.where(F.col(time) < head.gmax - anticipation)
         if control_group == "nevertreated":
             d = d.withColumn(cohort, F.when(F.col(cohort) < head.gmax, F.col(cohort)))
-        else:
-            d = d.withColumn(cohort, F.when(F.col(cohort) < head.gmax, F.col(cohort)))
     steps.append(("truncate_without_never_treated", d))
     tmin = d.agg(F.min(time)).scalar()
     d = d.where(F.col(cohort).isNull() | (F.col(cohort) > tmin + F.lit(anticipation)))

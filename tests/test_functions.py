@@ -101,3 +101,21 @@ def test_activity_thresholds(spark):
     r = {x.u: x for x in P.activity_dates(d, "u", "t", "v", [0.05, 0.5], [15]).collect()}
     assert (r["a"].at_5pct, r["a"].at_50pct, r["a"].at_total_15) == (1, 3, 2)
     assert (r["b"].at_5pct, r["b"].at_total_15) == (None, None)
+
+
+def test_standardize_leaves_the_last_cohort_its_name_for_not_yet_treated(spark):
+    rows = [(i, t, g) for i, g in ((1, 3), (2, 3), (3, 5), (4, 5)) for t in range(1, 7)]
+    d = spark.createDataFrame(rows, "id int, t int, g int")
+    out, _ = P.standardize(d, "id", "t", "g", control_group="notyettreated")
+    assert out.agg(F.max("t")).first()[0] == 4 and {r.g for r in out.select("g").distinct().collect()} == {3, 5}
+
+
+def test_tails_keep_their_digits(spark):
+    assert N.pchisq_upper(200.0, 2) == pytest.approx(math.exp(-100), rel=1e-12)
+    assert N.pf_upper(400.0, 1, 30) == pytest.approx(N.two_sided_t(20.0, 30), rel=1e-10) and 0 < N.pf_upper(1e6, 3, 40) < 1e-80
+    assert N.pchisq_upper(3.84, 1) == pytest.approx(1 - N.pchisq(3.84, 1), rel=1e-12)
+    from panelwright.functions.pvalues import p_chi2, p_f, p_t
+
+    d = spark.createDataFrame([(2.0, 10.0, 3.0), (None, 5.0, 2.0), (1.0, 0.0, 1.0)], "x double, a double, b double")
+    got = d.select(p_t("x", "a"), p_chi2("x", "a"), p_f("x", "a", "b")).collect()
+    assert list(got[0]) == pytest.approx([N.two_sided_t(2, 10), N.pchisq_upper(2, 10), N.pf_upper(2, 10, 3)]) and list(got[1]) == list(got[2]) == [None] * 3

@@ -30,14 +30,45 @@ def dummies(rows, extra):
     return np.column_stack([*extra, *cols])
 
 
-def test_pure_never_treated_free_panel(spark):
+def test_panel_without_never_treated(spark):
+    """The last cohort (7) stands in for the never treated, and periods end before it."""
     rows, df = panel(spark, never=False)
-    est = A.att_gt(df, A.Design()).where("is_post").collect()
-    assert all(r.att is None and r.reason for r in est)
-    late = A.att_gt(df, A.Design(control_group="notyettreated")).where("g = 4 and t = 5").first()
     y = {(r[0], r[1]): r[3] for r in rows}
-    dy = lambda pick: np.mean([y[i, 5] - y[i, 3] for i in range(24) if pick(i % 3)])
-    assert late.att == pytest.approx(dy(lambda k: k == 0) - dy(lambda k: k != 0), abs=1e-9)
+    mean = lambda t, pre, pick: np.mean([y[i, t] - y[i, pre] for i in range(24) if pick(i % 3)])
+    est = {(r.g, r.t): r for r in A.att_gt(df, A.Design()).collect()}
+    assert {g for g, _ in est} == {4, 6} and max(t for _, t in est) == 6
+    for (g, t), r in est.items():
+        assert r.att == pytest.approx(mean(t, r.pre, lambda k: k == {4: 0, 6: 1}[g]) - mean(t, r.pre, lambda k: k == 2), abs=1e-9)
+    late = A.att_gt(df, A.Design(control_group="notyettreated")).where("g = 4 and t = 5").first()
+    assert late.att == pytest.approx(mean(5, 3, lambda k: k == 0) - mean(5, 3, lambda k: k != 0), abs=1e-9)
+
+
+@pytest.mark.parametrize("code", [0, 99, float("inf")])
+def test_codes_of_never_treated(spark, code):
+    _, df = panel(spark)
+    want = [tuple(r) for r in A.att_gt(df, A.Design()).orderBy("cell").collect()]
+    coded = df.withColumn("g", F.coalesce(F.col("g").cast("double"), F.lit(float(code))))
+    assert [tuple(r) for r in A.att_gt(coded, A.Design()).orderBy("cell").collect()] == want
+    fit = G.fit_panel(coded, A.Design())
+    assert {k: v for k, v in fit.att.items()} == pytest.approx({(r[1], r[2]): r[7] for r in want if r[7] is not None})
+
+
+def test_units_treated_in_the_first_period_leave(spark):
+    _, df = panel(spark)
+    early = df.withColumn("g", F.when(F.col("id") < 3, F.lit(1)).otherwise(F.col("g")))
+    got = [(r.g, r.t, r.att) for r in A.att_gt(early, A.Design()).orderBy("g", "t").collect()]
+    want = [(r.g, r.t, r.att) for r in A.att_gt(df.where("id >= 3"), A.Design()).orderBy("g", "t").collect()]
+    assert got == want
+
+
+def test_string_units_and_clusters(spark):
+    _, df = panel(spark)
+    named = df.withColumns({"id": F.concat(F.lit("u"), F.col("id")), "region": F.concat(F.lit("r"), F.col("region"))})
+    a, b = (G.fit_panel(d, A.Design(cluster="region")) for d in (df, named))
+    params = G.cell_params(a)
+    for by in (False, True):
+        assert G.influence_products(b, params, by_cluster=by) == pytest.approx(G.influence_products(a, params, by_cluster=by))
+    assert B.multiplier_draws(G.influence_long(b, params), 10, b.shares["n"]).count() == 10 * len(params)
 
 
 def test_missing_post_for_a_cohort_gives_null_and_reason(spark):
