@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from panelwright.functions import distributions as D
 from panelwright.functions.scalars import col
@@ -23,13 +24,13 @@ def _tail(fn: Callable[..., float]) -> Callable[..., Column]:
 
     if fn is D.pf_upper:
 
-        @F.pandas_udf("double")
+        @F.pandas_udf(DoubleType())
         def three(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
             return pd.Series([one(*v) for v in zip(x, a, b)], dtype="float64")
 
         return lambda x, a, b: three(*[col(c).cast("double") for c in (x, a, b)])
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def two(x: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series([one(*v) for v in zip(x, a)], dtype="float64")
 
