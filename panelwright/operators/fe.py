@@ -216,15 +216,38 @@ def fit_fe(df: DataFrame, unit: str, time: str, y, dense: list | None = None, na
     return FeFit(label or [f"c{i}" for i in range(len(coef))], coef, vcov, int(n), int(n_units), g, full, ssr, effects, kind)
 
 
+def period_components(df: DataFrame, unit: str, time: str) -> dict[int, int]:
+    """Label of the connected part of the unit-period graph that each period is in.
+
+    A unit ties its periods together, so the distinct pairs (first period, period)
+    carry all links; they are at most the square of the calendar."""
+    first = df.groupBy(unit).agg(F.min(time).alias("_a"), F.collect_set(time).alias("_b"))
+    root: dict[int, int] = {}
+
+    def find(t: int) -> int:
+        while root.setdefault(t, t) != t:
+            root[t] = root[root[t]]
+            t = root[t]
+        return t
+
+    for a, b in first.select("_a", F.explode("_b").alias("_b")).distinct().collect():
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {int(t): int(find(t)) for t in root}
+
+
 def predict_all(df: DataFrame, unit: str, time: str, y: str, fit_on: Column, out: str = "yhat") -> DataFrame:
     """Fitted unit + period effects for every row, estimated on chosen rows.
 
-    A row whose unit or period has no chosen row gets null."""
+    A row whose unit or period has no chosen row gets null, and so does one whose
+    unit and period are in different connected parts: their sum is not identified."""
     base = df.where(fit_on & F.col(y).isNotNull())
     fit = fit_fe(base, unit, time, y)
-    lam = df.sparkSession.createDataFrame(list(fit.period_effects.items()), "_t BIGINT, _lam DOUBLE")
-    alpha = base.join(lam, F.col(time) == F.col("_t")).groupBy(unit).agg(F.avg(F.col(y) - F.col("_lam")).alias("_alpha"))
-    return df.join(lam, F.col(time) == F.col("_t"), "left").join(alpha, unit, "left").withColumn(out, F.col("_alpha") + F.col("_lam")).drop("_t", "_lam", "_alpha")
+    part = period_components(base, unit, time)
+    lam = df.sparkSession.createDataFrame([(t, v, part[t]) for t, v in fit.period_effects.items()], "_t BIGINT, _lam DOUBLE, _pt BIGINT")
+    alpha = base.join(lam, F.col(time) == F.col("_t")).groupBy(unit).agg(F.avg(F.col(y) - F.col("_lam")).alias("_alpha"), F.min("_pt").alias("_pu"))
+    j = df.join(lam, F.col(time) == F.col("_t"), "left").join(alpha, unit, "left")
+    return j.withColumn(out, F.when(F.col("_pt") == F.col("_pu"), F.col("_alpha") + F.col("_lam"))).drop("_t", "_lam", "_alpha", "_pt", "_pu")
 
 
 def residualize(df: DataFrame, unit: str, time: str, y: str, fit_on: Column | None = None, recentre: bool = False, out: str = "resid") -> DataFrame:

@@ -147,6 +147,16 @@ def _(spark, sf):
     return x.select(*[S.rnd(c).alias(c) for c in ("base_slope", "difference", "se")], "units")
 
 
+@query("fe_predict_components", with_(P1) + """, k AS (SELECT id, t, y, id < 10 AS a, t < 23980 AS b FROM p1), f AS (SELECT * FROM k WHERE a = b),
+i AS (SELECT id, a, avg(y) AS m FROM f GROUP BY 1, 2), p AS (SELECT t, b, avg(y) AS m FROM f GROUP BY 1, 2), o AS (SELECT a, avg(y) AS m FROM f GROUP BY 1)
+SELECT k.id, k.t, """ + r("CASE WHEN k.a = k.b THEN i.m + p.m - o.m END") + " AS yhat FROM k JOIN i USING (id) JOIN p USING (t) JOIN o ON o.a = k.a")
+def _(spark, sf):
+    """Two blocks of units and periods without a common row: nothing is predicted across them."""
+    p = D.nation_month(spark, sf)
+    f = E.predict_all(p, "id", "t", "y", (F.col("id") < 10) == (F.col("t") < 23980))
+    return f.select("id", "t", S.rnd("yhat").alias("yhat"))
+
+
 @query("fe_lag_dose")
 def _(spark, sf):
     w = Window.partitionBy("id").orderBy("t")
