@@ -14,7 +14,8 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 load_all()
 
 SAMPLE = ["panel_collapse", "panel_priority_union", "panel_did_standardize", "treat_activity_pct", "diff_cells", "a_quantile", "j_control_range", "gt_support", "att_gt", "gt_2x2_unbalanced",
-          "agg_dynamic", "did_dr_panel", "did_dr_rc", "twfe_static", "sunab", "glm_fit", "loo_att", "placebo_schedule", "coverage_unit", "dose_change"]
+          "agg_dynamic", "did_dr_panel", "did_dr_rc", "twfe_static", "sunab", "glm_fit", "loo_att", "placebo_schedule", "coverage_unit", "dose_change",
+          "att_gt_zero_coded", "att_gt_no_never", "fe_predict_components", "f_distribution", "joint_holm", "src_wide", "a_slope"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
 
