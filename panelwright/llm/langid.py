@@ -76,17 +76,16 @@ class Model:
         return np.concatenate(out) if out else np.zeros((0, self.presence.shape[1]), np.float32)
 
 
-_lookups: dict[int, np.ndarray] = {}
+_lookups: list[tuple[Model, np.ndarray]] = []
 
 
-def lookup_of(key: int, model: Model) -> np.ndarray:
-    """From n-gram to column plus one, 0 if no landmark has it; one table per worker and model."""
-    if key not in _lookups:
-        _lookups.clear()
+def lookup_of(model: Model) -> np.ndarray:
+    """From n-gram to column plus one, 0 if no landmark has it; a worker keeps the table of the model it used last."""
+    if not _lookups or _lookups[0][0] is not model:
         table = np.zeros(GRAMS, np.int32)
         table[model.ids] = np.arange(1, len(model.ids) + 1)
-        _lookups[key] = table
-    return _lookups[key]
+        _lookups[:] = [(model, table)]
+    return _lookups[0][1]
 
 
 def start_model(texts_: list[str]) -> Model:
@@ -133,7 +132,7 @@ def kernel_rows(sample: DataFrame, model: Model) -> DataFrame:
 
     def run(batch):
         m = sent.value
-        k = m.kernel([t or "" for t in texts(batch)], lookup_of(id(m), m))
+        k = m.kernel([t or "" for t in texts(batch)], lookup_of(m))
         return {"lang": column(batch, "lang"), "k": list(k.astype(np.float64))}
 
     return map_slices(sample, run, "lang string, k array<double>")
@@ -148,7 +147,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         lang, score = ["und"] * len(all_texts), [0.0] * len(all_texts)
         at = [k for k, t in enumerate(all_texts) if m is not None and t and LETTER.search(t)]
         if at:
-            s = m.kernel([all_texts[k] for k in at], lookup_of(id(m), m)) @ m.weights[:-1] + m.weights[-1]
+            s = m.kernel([all_texts[k] for k in at], lookup_of(m)) @ m.weights[:-1] + m.weights[-1]
             for k, row in zip(at, s):
                 best = int(row.argmax())
                 lang[k], score[k] = m.languages[best], float(min(1.0, max(0.0, (1 + row[best]) / 2)))

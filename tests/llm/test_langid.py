@@ -31,7 +31,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
 def test_kernel_equals_sets():
     texts = [" ".join(words(k, 3 + 7 * k, TONGUES[x])) for k in range(6) for x in TONGUES] + ["", "q"]
     m = G.start_model(texts[:5])
-    k = m.kernel(texts, G.lookup_of(-1, m))
+    k = m.kernel(texts, G.lookup_of(m))
 
     def parts(t):
         b = t.lower().encode()
