@@ -261,7 +261,8 @@ def removed_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     spark = docs.sparkSession
     path = new_path(spark, "anchors")
     every = written(anchor_frame(docs), "anchors", path)
-    again = every.groupBy("_g").agg(F.count("*").alias("_n")).where("_n > 1").select("_g")
+    # Written first: both sides of the join then come from a shuffle of their own, and a frequent gram's side can be split.
+    again = written(every.groupBy("_g").agg(F.count("*").alias("_n")).where("_n > 1").select("_g"), "repeated")
     places = written(every.join(again, "_g"), "places")
     remove(spark, path)
     loc = F.struct("_did", "_tid", "_p")
