@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from panelwright.llm.common import SLICE, column, map_slices, need, texts
 
 #: Half the distinct pre-tokens a worker keeps at most; longer ones are not kept.
-CACHED, CACHED_CHARS = 250_000, 64
+CACHED, CACHED_CHARS = 400_000, 64
 
 
 class Codec:
@@ -34,8 +34,8 @@ class Codec:
         self.pieces = {i: b for b, i in ranks.items()}
         self.find = regex.compile(pattern).findall
         #: Recent pre-tokens, and those of the time before: the least recently used half goes when the table is full.
-        self.table: dict[str, tuple[bytes, int, bytes | None]] = {}
-        self.older: dict[str, tuple[bytes, int, bytes | None]] = {}
+        self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -99,32 +99,36 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.pieces[i] for i in ids])
 
-    def known(self, piece: str) -> tuple[bytes, int, bytes | None]:
-        """Decimal ids, their number, and the bytes they decode to (None: those of the piece itself)."""
+    def known(self, piece: str) -> bytes:
+        """Decimal ids of a pre-token, whose decoded bytes are compared with its own once."""
         got = self.older.get(piece)
         if got is None:
             raw = piece.encode()
             ids = self.merge(raw)
-            back = self.decode(ids)
-            got = b" ".join([b"%d" % i for i in ids]), len(ids), None if back == raw else back
+            if self.decode(ids) != raw:
+                raise ValueError("the ranks do not cover all bytes")
+            got = b" ".join([b"%d" % i for i in ids])
         if len(piece) <= CACHED_CHARS:
             if len(self.table) >= CACHED:
                 self.older, self.table = self.table, {}
             self.table[piece] = got
         return got
 
+    def joined(self, pieces: list[str]) -> bytes:
+        """Decimal ids of a text's pre-tokens, joined by spaces."""
+        get = self.table.get
+        return b" ".join([get(p) or self.known(p) for p in pieces])
+
     def ids(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        get = self.table.get
-        return np.fromstring(b" ".join([(get(p) or self.known(p))[0] for p in self.find(text)]), np.int32, sep=" ")
+        return np.fromstring(self.joined(self.find(text)), np.int32, sep=" ")
 
     def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, their digest, and that of the bytes they decode to: every distinct pre-token's ids were decoded
+        and compared when it entered the table, so the decoded text is the pre-tokens' bytes in a row."""
         pieces = self.find(text)
-        get = self.table.get
-        parts = [get(p) or self.known(p) for p in pieces]
-        ids = b" ".join([p[0] for p in parts])
-        back = b"".join([x.encode() if p[2] is None else p[2] for x, p in zip(pieces, parts)]) if any([p[2] is not None for p in parts]) else "".join(pieces).encode()
-        return sum([p[1] for p in parts]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
+        ids = self.joined(pieces)
+        return (ids.count(b" ") + 1 if ids else 0), hashlib.sha256(ids).hexdigest(), hashlib.sha256("".join(pieces).encode()).hexdigest()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -132,21 +136,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
+
+
+def codec_for(key: str, sent) -> Codec:
+    """The worker's codec of these contents. A function of the module, so that tasks share the module's table."""
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(*sent.value)
+    return _codecs[key]
 
 
 def shared_codec(spark: SparkSession, path: str, pattern: str):
-    """A function that gives a task its codec; the ranks (a fixed file, about 1 MB) are read once by the driver."""
-    sent = spark.sparkContext.broadcast((read_ranks(path), pattern))
+    """A function that gives a task its worker's codec; the ranks (a fixed file, about 1 MB) are read once by the driver.
 
-    def codec() -> Codec:
-        key = sent.id if hasattr(sent, "id") else id(sent)
-        if key not in _codecs:
-            _codecs.clear()
-            _codecs[key] = Codec(*sent.value)
-        return _codecs[key]
+    The codec is known by its contents, so that later tasks of a worker find its table of pre-tokens filled."""
+    ranks = read_ranks(path)
+    key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    sent = spark.sparkContext.broadcast((ranks, pattern))
 
-    return codec
+    return lambda: codec_for(key, sent)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
