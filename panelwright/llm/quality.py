@@ -7,7 +7,7 @@ Mahalanobis distance and estimates anew from these. Steps are grouped aggregates
 shuffle, so a source with a third of the rows is no hot task); the distance that cuts off the share comes from a bounded
 quantile sketch (relative rank error 1e-4). A text farther away than the chi-square limit is rejected.
 
-Scatter is scaled by the consistency factor of the share and gets a floor per statistic, which keeps statistics that are
+Rows meet their group's few numbers without being dealt by group. Scatter is scaled by the consistency factor of the share and gets a floor per statistic, which keeps statistics that are
 constant in most of a group from rejecting every other value. Groups under ``min_group`` rows use their language's
 estimate, languages under it the estimate of all rows; where even that has fewer rows nothing is rejected.
 
@@ -30,6 +30,7 @@ from panelwright.llm.tokens import windows, word_hashes
 FLOOR = (0.5, 0.5, 0.15, 0.1, 0.15)
 DIMS = len(FLOOR)
 WINDOW = 8
+BROADCAST_GROUPS, SALTS = 100_000, 32
 
 
 def repeat_words(h: np.ndarray, k: int = WINDOW) -> int:
@@ -108,6 +109,15 @@ def distance():
     return out
 
 
+def beside(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with one row per group, without dealing the rows by group: the small side is broadcast up to
+    BROADCAST_GROUPS counted rows, beyond that copied SALTS times so that a large group is spread."""
+    if small.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(small), keys)
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)))
+    return rows.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "_salt"]).drop("_salt")
+
+
 def with_groups(rows: DataFrame, min_group: int) -> DataFrame:
     """_g: the group whose estimate a row uses, null where even all rows are too few."""
     fine = rows.groupBy("_l", "_s").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("_n"))
@@ -117,7 +127,7 @@ def with_groups(rows: DataFrame, min_group: int) -> DataFrame:
     g = F.when(F.col("_n") >= min_group, F.concat(F.lit("s"), F.to_json(F.struct("_l", "_s")))).when(F.col("_nl") >= min_group, F.concat(F.lit("l"), F.to_json(F.struct("_l"))))
     g = g.otherwise(F.lit("all")) if total >= min_group else g
     keys = written(sizes.join(by_lang, "_l").select("_l", "_s", g.alias("_g")), "group-keys")
-    return rows.join(keys, ["_l", "_s"])
+    return beside(rows, keys, ["_l", "_s"])
 
 
 def robust_fit(rows: DataFrame, share: float, steps: int) -> DataFrame:
@@ -128,9 +138,9 @@ def robust_fit(rows: DataFrame, share: float, steps: int) -> DataFrame:
     start = q.select("_g", F.array(*[F.col(x)[1] for x in xs]).alias("_m"), F.array(*[F.lit(0.0) if a != b else 1 / (F.pow((F.col(xs[a])[2] - F.col(xs[a])[0]) / 1.349, 2) + FLOOR[a] ** 2) for a in range(DIMS) for b in range(DIMS)]).alias("_i"))
     fit, factor = written(start, "mcd"), consistency(share)
     for _ in range(steps):
-        d = rows.join(fit, "_g").withColumn("_d", distance())
+        d = beside(rows, fit, ["_g"]).withColumn("_d", distance())
         cut = d.groupBy("_g").agg(F.percentile_approx("_d", share, 10_000).alias("_cut"))
-        near = d.join(written(cut, "mcd-cut"), "_g").where(F.col("_d") <= F.col("_cut"))
+        near = beside(d, written(cut, "mcd-cut"), ["_g"]).where(F.col("_d") <= F.col("_cut"))
         sums = near.groupBy("_g").agg(F.count("*").alias("_n"), F.array(*[F.sum(x) for x in xs]).alias("_s"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in xs for b in xs]).alias("_c"))
         fit = written(solved(sums, factor), "mcd")
     return fit
@@ -151,5 +161,8 @@ def quality(docs: DataFrame, share: float = 0.75, steps: int = 4, tail: float =
     levels = every.where(F.col("_g").startswith("s")).unionByName(langs).unionByName(alls).join(used.where(~F.col("_g").startswith("s")).withColumn("_used", F.lit(True)), "_g", "left")
     fit = robust_fit(levels.where(F.col("_g").startswith("s") | F.col("_used")).drop("_used"), share, steps)
     limit = chi2_quantile(1 - tail, DIMS)
-    out = rows.join(fit, "_g", "left").withColumn("distance", F.when(~F.col("base_failed"), distance()))
+    alone = rows.where("_g is null").withColumns({"_m": F.lit(None).cast("array<double>"), "_i": F.lit(None).cast("array<double>")})
+    # Every group in use has an estimate unless all its rows fail the base rules.
+    known = fit.join(rows.select("_g").distinct(), "_g", "right").where("_g is not null")
+    out = beside(rows.where("_g is not null"), written(known, "mcd-all"), ["_g"]).unionByName(alone).withColumn("distance", F.when(~F.col("base_failed"), distance()))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)).alias("kept"), "distance")

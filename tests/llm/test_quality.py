@@ -79,3 +79,10 @@ def test_query_counts_on_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = {x.doc_id: tuple(x)[1:7] for x in Q.quality(docs).collect()}
     assert got == {x.doc_id: base(x.text) for x in docs.collect()}
+
+
+def test_salted_join_changes_nothing(spark, monkeypatch):
+    docs = odd_docs(spark, [" ".join(words(k, 30 + k)) for k in range(150)])
+    one = sorted(map(str, Q.quality(docs).collect()))
+    monkeypatch.setattr(Q, "BROADCAST_GROUPS", 0)
+    assert sorted(map(str, Q.quality(docs).collect())) == one
