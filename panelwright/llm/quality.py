@@ -3,9 +3,10 @@
 Every text gets five counts. Texts that pass the base rules are turned into a vector of transformed statistics; per
 language and source the minimum-covariance-determinant estimate of centre and scatter is found by concentration steps:
 from medians and interquartile ranges on, each step keeps the ``share`` of the group's rows with the smallest
-Mahalanobis distance and estimates anew from these. Steps are grouped aggregates over all rows (sums combine before the
+Mahalanobis distance and estimates anew from these, until a group keeps the rows it kept before. Steps are grouped aggregates over all rows (sums combine before the
 shuffle, so a source with a third of the rows is no hot task); the distance that cuts off the share comes from a bounded
-quantile sketch (relative rank error 1e-4). A text farther away than the chi-square limit is rejected.
+quantile sketch (relative rank error 1e-4), so a group of over SKETCH rows also counts as settled when the determinant of
+its scatter falls by less than SETTLED. A text farther away than the chi-square limit (0.999) is rejected.
 
 Rows meet their group's few numbers without being dealt by group. Scatter is scaled by the consistency factor of the share and gets a floor per statistic, which keeps statistics that are
 constant in most of a group from rejecting every other value. Groups under ``min_group`` rows use their language's
@@ -17,6 +18,8 @@ repeated rows and null ids are judged row by row; further columns are left out;
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +34,7 @@ FLOOR = (0.5, 0.5, 0.15, 0.1, 0.15)
 DIMS = len(FLOOR)
 WINDOW = 8
 BROADCAST_GROUPS, SALTS = 100_000, 32
+SKETCH, SETTLED = 10_000, 1e-3
 
 
 def repeat_words(h: np.ndarray, k: int = WINDOW) -> int:
@@ -84,19 +88,20 @@ def consistency(share: float) -> float:
 
 
 def solved(sums: DataFrame, factor: float) -> DataFrame:
-    """Centre and inverse scatter of each group from its sums."""
+    """Centre, inverse scatter and log determinant of each group from its sums."""
     floor = np.diag(np.square(FLOOR))
 
     def run(parts):
         for part in parts:
             out = []
-            for g, n, s, c in zip(part["_g"], part["_n"], part["_s"], part["_c"]):
+            for g, n, h, s, c in zip(part["_g"], part["_n"], part["_h"], part["_s"], part["_c"]):
                 m = np.array(s) / n
                 cov = (np.array(c).reshape(DIMS, DIMS) / n - np.outer(m, m)) * factor
-                out.append((g, m.tolist(), np.linalg.inv((cov + cov.T) / 2 + floor).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["_g", "_m", "_i"])
+                cov = (cov + cov.T) / 2 + floor
+                out.append((g, m.tolist(), np.linalg.inv(cov).ravel().tolist(), n, h, np.linalg.slogdet(cov)[1]))
+            yield pd.DataFrame(out, columns=["_g", "_m", "_i", "_n", "_h", "_det"])
 
-    return sums.mapInPandas(run, "_g string, _m array<double>, _i array<double>")
+    return sums.mapInPandas(run, "_g string, _m array<double>, _i array<double>, _n long, _h long, _det double")
 
 
 def distance():
@@ -131,23 +136,33 @@ def with_groups(rows: DataFrame, min_group: int) -> DataFrame:
 
 
 def robust_fit(rows: DataFrame, share: float, steps: int) -> DataFrame:
-    """(_g, _m, _i) after the concentration steps over the rows that pass the base rules."""
+    """(_g, _m, _i) after concentration steps until each group is settled, over the rows that pass the base rules."""
     xs = [f"_x{k}" for k in range(DIMS)]
     level = ["_g"]
-    q = rows.groupBy(*level).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(x) for x in xs])
+    q = rows.groupBy(*level).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], SKETCH).alias(x) for x in xs])
     start = q.select("_g", F.array(*[F.col(x)[1] for x in xs]).alias("_m"), F.array(*[F.lit(0.0) if a != b else 1 / (F.pow((F.col(xs[a])[2] - F.col(xs[a])[0]) / 1.349, 2) + FLOOR[a] ** 2) for a in range(DIMS) for b in range(DIMS)]).alias("_i"))
-    fit, factor = written(start, "mcd"), consistency(share)
+    start = start.withColumns({"_n": F.lit(0).cast("long"), "_h": F.lit(0).cast("long"), "_det": F.lit(float("inf"))})
+    fit, factor, settled = written(start, "mcd"), consistency(share), []
     for _ in range(steps):
-        d = beside(rows, fit, ["_g"]).withColumn("_d", distance())
-        cut = d.groupBy("_g").agg(F.percentile_approx("_d", share, 10_000).alias("_cut"))
+        d = beside(rows, fit.select("_g", "_m", "_i"), ["_g"]).withColumn("_d", distance())
+        cut = d.groupBy("_g").agg(F.percentile_approx("_d", share, SKETCH).alias("_cut"))
         near = beside(d, written(cut, "mcd-cut"), ["_g"]).where(F.col("_d") <= F.col("_cut"))
-        sums = near.groupBy("_g").agg(F.count("*").alias("_n"), F.array(*[F.sum(x) for x in xs]).alias("_s"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in xs for b in xs]).alias("_c"))
-        fit = written(solved(sums, factor), "mcd")
-    return fit
-
-
-def quality(docs: DataFrame, share: float = 0.75, steps: int = 4, tail: float = 1e-7, min_group: int = 100) -> DataFrame:
-    """Per row: doc_id, the five counts, base_failed, kept, distance (squared; null if base_failed or no estimate)."""
+        # Number and hash sum of the kept rows tell whether they are those of the step before.
+        kept = F.sum(F.pmod(F.xxhash64("doc_id", *xs), F.lit(1_000_000_007)))
+        sums = near.groupBy("_g").agg(F.count("*").alias("_n"), kept.alias("_h"), F.array(*[F.sum(x) for x in xs]).alias("_s"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in xs for b in xs]).alias("_c"))
+        old = fit.select("_g", F.col("_n").alias("_n0"), F.col("_h").alias("_h0"), F.col("_det").alias("_det0"))
+        same = (F.col("_n") == F.col("_n0")) & (F.col("_h") == F.col("_h0"))
+        close = (F.col("_n") > share * SKETCH) & (F.col("_det0") - F.col("_det") < SETTLED)
+        new = written(solved(sums, factor).join(old, "_g").withColumn("_same", same | close), "mcd")
+        settled.append(new.where("_same"))
+        fit = new.where("not _same")
+        if not fit.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, [x.select("_g", "_m", "_i") for x in [*settled, fit]])
+
+
+def quality(docs: DataFrame, share: float = 0.75, steps: int = 50, tail: float = 1e-3, min_group: int = 100) -> DataFrame:
+    """``steps`` bounds the concentration steps. Per row: doc_id, the five counts, base_failed, kept, distance (squared; null if base_failed or no estimate)."""
     n = F.col("n_words")
     rate = lambda c: F.sqrt(F.col(c) / F.greatest(n, F.lit(1)))
     xs = [F.log(F.greatest(n, F.lit(1)).cast("double")), F.col("word_chars") / F.greatest(n, F.lit(1)), rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words")]

@@ -86,3 +86,30 @@ def test_salted_join_changes_nothing(spark, monkeypatch):
     one = sorted(map(str, Q.quality(docs).collect()))
     monkeypatch.setattr(Q, "BROADCAST_GROUPS", 0)
     assert sorted(map(str, Q.quality(docs).collect())) == one
+
+
+def test_word_lists_and_repeated_lines_go(spark):
+    """A symbol for every second word, or many short lines again and again, against clean prose of the same source."""
+    r = random.Random(11)
+    rows = [(k, " ".join(words(k, r.randint(60, 300)))) for k in range(300)]
+    listed = words(900, 200)
+    lines = [" ".join(words(1000 + k, 2)) for k in range(40)]
+    rows += [(1000, " | ".join(" ".join(listed[k : k + 2]) for k in range(0, 200, 2))), (1001, "\n".join(r.choice(lines) for _ in range(100)))]
+    got = {x.doc_id: x for x in Q.quality(spark.createDataFrame([(*x, "xx", "s") for x in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[1000].base_failed and not got[1001].base_failed
+    assert {k for k, x in got.items() if not x.kept} == {1000, 1001}
+
+
+def test_steps_run_until_the_kept_rows_are_stable(spark):
+    """More steps than the bound of old change the estimate; the result is a fixed point of the concentration step."""
+    r = random.Random(8)
+    rows = [(k, " ".join(words(k, r.choice([25, 30, 40, 60, 150, 400, 900]))) + "#" * r.choice([0, 0, 0, 1, 2, 5, 9])) for k in range(500)]
+    docs = spark.createDataFrame([(*x, "xx", "s") for x in rows], "doc_id long, text string, lang string, source string")
+    x = []
+    for _, t in rows:
+        n, chars, sym, dup, rep, _ = base(t)
+        x.append([np.log(n), chars / n, np.sqrt(sym / n), np.sqrt(dup / n), np.sqrt(rep / n)])
+    got = {g.doc_id: g.distance for g in Q.quality(docs).collect()}
+    few, many = (brute_mcd(np.array(x), 0.75, steps) for steps in (4, 60))
+    assert few != pytest.approx(list(many), rel=1e-6, abs=1e-9)
+    assert [got[k] for k in range(500)] == pytest.approx(list(many), rel=1e-6, abs=1e-9)
