@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import id_or_last, new_path, remove, shared_dir, written
+from panelwright.llm.common import NULL_ID, id_or_last, new_path, remove, shared_dir, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,10 +38,10 @@ def staged_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.select("_did", "_tid", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
 
 
-def batch_of(bounds: list[float]) -> Column:
+def batch_of(bounds: list[int]) -> Column:
     out = F.lit(0)
     for b in bounds:
-        out = out + (F.col("_did") > F.lit(int(b)).cast("long")).cast("int")
+        out = out + (F.col("_did") > F.lit(b).cast("long")).cast("int")
     return out
 
 
@@ -76,8 +76,9 @@ def dropped_lines(docs: DataFrame, min_chars: int, n_batches: int, fanout: int)
     """(_did, _tid, _at): ascending positions of the lines to drop, for the rows that lose any."""
     spark = docs.sparkSession
     staged = staged_lines(docs, min_chars)
-    bounds = docs.select(id_or_last(docs["doc_id"].cast("long")).alias("_did")).approxQuantile("_did", [k / n_batches for k in range(1, n_batches)], 0.01) if n_batches > 1 else []
-    bounds = sorted(set(bounds))
+    # Of ids that are not null: null ids are in the last batch, whatever their share.
+    bounds = docs.select(docs["doc_id"].cast("long").alias("_did")).where(F.col("_did").isNotNull()).approxQuantile("_did", [k / n_batches for k in range(1, n_batches)], 0.01) if n_batches > 1 else []
+    bounds = sorted({min(int(b), NULL_ID - 1) for b in bounds})
     lines = written(staged.withColumn("_batch", batch_of(bounds)), "lines")
     runs = build_runs(lines, len(bounds) + 1, fanout)
     owners = spark.read.parquet(*runs)

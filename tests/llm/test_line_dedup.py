@@ -56,3 +56,11 @@ def test_query_equals_sql(spark):
 def test_plan_runs_no_python(spark):
     plan = L.line_report(odd_docs(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
+
+
+def test_table_with_half_its_ids_null(spark):
+    rows = [(k if k % 2 else None, f"shared line number {k % 3}\nown line number {k}") for k in range(40)]
+    got = defaultdict(int)
+    for r in L.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[tuple(r)] += 1
+    assert got == brute(rows)
