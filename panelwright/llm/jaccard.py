@@ -12,8 +12,8 @@ Result: one row per document with class_id (smallest doc_id of all texts linked
 copy_id (smallest doc_id with the same shingle set) and n_links (documents linked directly, copies included).
 
 Nulls and odd cases: null and wordless texts have no shingle and stay alone; a null doc_id counts as the largest id and
-comes back as null; rows that repeat a doc_id each get a row, count as copies where their sets agree, and share the
-class of the smallest of them; very long texts are used whole; further columns are left out by the join and kept by the
+comes back as null; rows that share a doc_id (or have none) are told apart by their texts: each gets a row and the class
+of its own text, and they count as copies where their sets agree; very long texts are used whole; further columns are left out by the join and kept by the
 filter; an empty table gives an empty result.
 """
 
@@ -30,6 +30,12 @@ from panelwright.llm.common import NULL_ID, column, id_or_last, map_slices, need
 from panelwright.llm.tokens import U, mix, windows, word_hashes
 
 K, THRESHOLD, RECALL, BLOCK = 5, 0.8, 0.9995, 512
+#: What tells rows apart: id and text.
+ROW = ["_did", "_t1", "_t2"]
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_did": id_or_last(docs["doc_id"].cast("long")), "_t1": F.xxhash64(docs["text"]), "_t2": F.xxhash64(F.lit(1), docs["text"])})
 
 
 def banding(threshold: float, recall: float, most: int = 160) -> tuple[int, int]:
@@ -72,7 +78,7 @@ def signature(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """_did, _k1, _k2 (hash of the shingle set, null without shingles), _bands."""
+    """_did, _t1, _t2 (hash of the text), _k1, _k2 (hash of the shingle set, null without shingles), _bands."""
 
     def run(batch):
         k1, k2, sig = [], [], []
@@ -84,9 +90,9 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 sig.append(signature(s, bands, rows).view(np.int64))
             else:
                 k1.append(None), k2.append(None), sig.append(None)
-        return {"_did": column(batch, "_did"), "_k1": k1, "_k2": k2, "_bands": sig}
+        return {c: column(batch, c) for c in ROW} | {"_k1": k1, "_k2": k2, "_bands": sig}
 
-    return map_slices(docs, run, "_did long, _k1 long, _k2 long, _bands array<long>")
+    return map_slices(docs, run, "_did long, _t1 long, _t2 long, _k1 long, _k2 long, _bands array<long>")
 
 
 def links_of(sets: list[np.ndarray], sigs: np.ndarray, left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -122,16 +128,19 @@ def links_of(sets: list[np.ndarray], sigs: np.ndarray, left: int, threshold: flo
 def bucket_work(threshold: float):
     """mapInArrow over rows sorted by unit (a bucket, or two blocks of a large one)."""
 
-    def finish(rows: list[tuple]) -> tuple[list[int], list[int], list[int]]:
-        rows.sort(key=lambda r: (r[1], r[2]))  # block, id
-        ids = [r[2] for r in rows]
+    names = ["_did", "_k1", "_links", "_near", "_near_k1"]
+
+    def finish(rows: list[tuple]) -> tuple[list[int], ...]:
+        rows.sort(key=lambda r: (r[1], r[2], r[8]))  # block, id, set
+        rows = [r for n, r in enumerate(rows) if not n or (r[2], r[8]) != (rows[n - 1][2], rows[n - 1][8])]  # repeated rows
+        ids = [(r[2], r[8]) for r in rows]
         weight = np.array([r[3] for r in rows])
         sigs = np.array([r[4] for r in rows])
         sets = [np.frombuffer(r[5], U) for r in rows]
         band = rows[0][6]
         left = sum(r[1] == rows[0][1] for r in rows) if rows[0][1] != rows[-1][1] else 0
         if rows[0][7] and not left:
-            return [], [], []  # a unit of two blocks of which one is missing
+            return tuple([] for _ in names)  # a unit of two blocks of which one is missing
         a, b = links_of(sets, sigs, left, threshold)
         if len(a) and band:
             first = ~(sigs[a, :band] == sigs[b, :band]).any(axis=1)
@@ -152,14 +161,15 @@ def bucket_work(threshold: float):
             if x != y:
                 root[max(x, y)] = min(x, y)
         hit = np.flatnonzero(links)
-        least: dict[int, int] = {}
+        least: dict[int, tuple[int, int]] = {}
         for x in hit:
             r = find(int(x))
-            least[r] = min(least.get(r, NULL_ID), ids[x])
-        return [ids[x] for x in hit], [int(links[x]) for x in hit], [least[find(int(x))] for x in hit]
+            least[r] = min(least.get(r, ids[x]), ids[x])
+        near = [least[find(int(x))] for x in hit]
+        return [ids[x][0] for x in hit], [ids[x][1] for x in hit], [int(links[x]) for x in hit], [i for i, _ in near], [k for _, k in near]
 
     def run(batches):
-        unit, rows, out = None, [], ([], [], [])
+        unit, rows, out = None, [], tuple([] for _ in names)
 
         def close():
             if len(rows) > 1:
@@ -174,10 +184,10 @@ def bucket_work(threshold: float):
                     unit, rows = row[0], []
                 rows.append(row)
             if len(out[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["_did", "_links", "_near"])
-                out = ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
+                out = tuple([] for _ in names)
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["_did", "_links", "_near"])
+        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
 
     return run
 
@@ -200,7 +210,7 @@ def buckets_of(reps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(_did, _root): smallest id reachable from every vertex of ``edges`` (_a, _b). Labels jump over labels, so the
+    """(_did, _root): smallest vertex reachable from every vertex of ``edges`` (_a, _b). Labels jump over labels, so the
     number of rounds is about the logarithm of the longest path; each round is a written table."""
     spark = edges.sparkSession
     both = written(edges.select("_a", "_b").union(edges.select(F.col("_b"), F.col("_a"))).where("_a <> _b").distinct(), "edges")
@@ -220,48 +230,64 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Per row: doc_id, class_id, copy_id, n_links."""
+def classified(docs: DataFrame, k: int, threshold: float, recall: float) -> DataFrame:
+    """Per row of ``docs``: _did, _t1, _t2, _k1, _k2, and where there are shingles copy_id, _links and _root, the smallest
+    (_did, _k1) of the row's class."""
     bands, rows = banding(threshold, recall)
-    d = need(docs, doc_id="long", text="string").withColumn("_did", id_or_last("doc_id"))
-    sig = written(signatures(d.select("_did", "text"), k, bands, rows), "signatures")
+    d = with_row(need(docs, doc_id="long", text="string"))
+    sig = written(signatures(d.select(*ROW, "text"), k, bands, rows), "signatures")
     full = sig.where(F.col("_k1").isNotNull())
-    classes = written(full.groupBy("_k1", "_k2").agg(F.min(F.struct("_did", "_bands")).alias("_r"), F.count("*").alias("_size")).select("_k1", "_k2", F.col("_r._did").alias("_did"), F.col("_r._bands").alias("_bands"), "_size"), "classes")
-    # One id may carry several texts (repeated rows); each keeps its own set.
+    classes = written(full.groupBy("_k1", "_k2").agg(F.min(F.struct(*ROW, "_bands")).alias("_r"), F.count("*").alias("_size")).select("_k1", "_k2", "_r.*", "_size"), "classes")
+    # One id may carry several texts (repeated rows, null ids); each keeps its own set.
     units = buckets_of(classes.select("_did", "_k1", "_bands"))
-    work = classes.select("_did", "_k1", "_k2", "_bands", "_size").join(units.groupBy("_did", "_k1").agg(F.collect_list(F.struct("_unit", "_part", "_band", "_two")).alias("_units")), ["_did", "_k1"])
+    work = classes.select(*ROW, "_k1", "_k2", "_bands", "_size").join(units.groupBy("_did", "_k1").agg(F.collect_list(F.struct("_unit", "_part", "_band", "_two")).alias("_units")), ["_did", "_k1"])
     work = written(work, "work")
-    pairs = d.select("_did", "text").join(work, "_did")
+    pairs = d.select(*ROW, "text").join(work, ROW)
 
     def run(batch):
-        out = {n: [] for n in ("_unit", "_part", "_did", "_size", "_bands", "_set", "_band", "_two")}
+        out = {n: [] for n in ("_unit", "_part", "_did", "_size", "_bands", "_set", "_band", "_two", "_k1")}
         cols = {n: column(batch, n).to_pylist() for n in ("_did", "_k1", "_bands", "_size", "_units", "text")}
         for did, k1, sigs, size, units_, text in zip(*cols.values()):
             s = shingles(text, k)
-            if not len(s) or int(mix(s).sum(dtype=U).view(np.int64)) != k1:
-                continue  # another row of the same id
             for u in units_:
-                for n, v in zip(out, (u["_unit"], u["_part"], did, size, sigs, s.tobytes(), u["_band"], u["_two"])):
+                for n, v in zip(out, (u["_unit"], u["_part"], did, size, sigs, s.tobytes(), u["_band"], u["_two"], k1)):
                     out[n].append(v)
             if len(out["_unit"]) > 2000:
                 yield out
                 out = {n: [] for n in out}
         yield out
 
-    schema = "_unit string, _part int, _did long, _size long, _bands array<long>, _set binary, _band int, _two boolean"
+    schema = "_unit string, _part int, _did long, _size long, _bands array<long>, _set binary, _band int, _two boolean, _k1 long"
     sets = map_slices(pairs, run, schema)
     dealt = sets.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_unit").sortWithinPartitions("_unit")
-    found = written(dealt.mapInArrow(bucket_work(threshold), "_did long, _links long, _near long"), "links")
-    roots = components(found.select(F.col("_did").alias("_a"), F.col("_near").alias("_b")))
-    linked = found.groupBy("_did").agg(F.sum("_links").alias("_links")).join(roots, "_did", "left")
-    by_class = classes.select("_k1", "_k2", "_did", "_size").join(linked, "_did", "left").select("_k1", "_k2", F.col("_did").alias("copy_id"), F.coalesce("_root", "_did").alias("class_id"), (F.col("_size") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"))
-    out = sig.select("_did", "_k1", "_k2").join(by_class, ["_k1", "_k2"], "left")
-    back = lambda c: F.when(c != NULL_ID, c)
-    return out.select(back(F.col("_did")).alias("doc_id"), back(F.coalesce("class_id", "_did")).alias("class_id"), back(F.coalesce("copy_id", "_did")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = written(dealt.mapInArrow(bucket_work(threshold), "_did long, _k1 long, _links long, _near long, _near_k1 long"), "links")
+    vertex = F.struct("_did", "_k1")
+    roots = components(found.select(vertex.alias("_a"), F.struct(F.col("_near").alias("_did"), F.col("_near_k1").alias("_k1")).alias("_b")))
+    linked = found.groupBy("_did", "_k1").agg(F.sum("_links").alias("_links")).join(roots.select("_did._did", "_did._k1", "_root"), ["_did", "_k1"], "left")
+    by_class = classes.select("_k1", "_k2", "_did", "_size").join(linked, ["_did", "_k1"], "left").select("_k1", "_k2", F.col("_did").alias("copy_id"), F.coalesce("_root", vertex).alias("_root"), (F.col("_size") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"))
+    return sig.select(*ROW, "_k1", "_k2").join(by_class, ["_k1", "_k2"], "left")
 
 
-def one_per_class(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, all columns, with the smallest doc_id of their class; of equal ids with shingles one row."""
-    found = near_duplicates(docs, **how)
-    gone = found.where(F.coalesce("doc_id", F.lit(NULL_ID)) != F.coalesce("class_id", F.lit(NULL_ID))).select(id_or_last("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, id_or_last(docs["doc_id"].cast("long")) == gone["_gone"], "left_anti")
+def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Per row: doc_id, class_id, copy_id, n_links."""
+    out = classified(docs, k, threshold, recall)
+    back = lambda c: F.when(c != NULL_ID, c)
+    return out.select(back(F.col("_did")).alias("doc_id"), back(F.coalesce("_root._did", "_did")).alias("class_id"), back(F.coalesce("copy_id", "_did")).alias("copy_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_per_class(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Of ``docs``, all columns, one row per class: that with the smallest doc_id, of several such the one with the smallest
+    hashes of shingle set, text and row. Rows without shingles all stay."""
+    found = classified(docs, k, threshold, recall).where("_root is not null")
+    texts_of = written(found.groupBy(*ROW, "_k1").agg(F.first("_root").alias("_root"), F.count("*").alias("_n")), "class-texts")
+    # Two levels: the smallest text of the class's smallest vertex, then one of the rows that hold it.
+    first = texts_of.where("_did = _root._did and _k1 = _root._k1").groupBy("_did", "_k1").agg(F.min(F.struct("_t1", "_t2", "_n")).alias("_f"))
+    chosen = written(first.select("_did", "_f.*"), "class-chosen")
+    rows = with_row(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), "doc_id", "text")).select("_row", *ROW)
+    once = chosen.where("_n = 1").select(*ROW)
+    out = rows.join(texts_of.select(*ROW).join(once, ROW, "left_anti"), ROW, "left_anti").select("_row")
+    several = chosen.where("_n > 1").select(*ROW)
+    if several.limit(1).count():
+        held = rows.join(several, ROW)
+        out = out.union(held.groupBy(*ROW).agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -80,3 +80,19 @@ def test_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = {x.doc_id: (x.class_id, x.n_links) for x in J.near_duplicates(docs).collect()}
     assert got == brute([(x.doc_id, x.text) for x in docs.collect()])
+
+
+def test_rows_of_one_id_are_judged_one_by_one(spark):
+    """Exactly the rows that stay: null ids and ids of several texts lose their copies only, repeated rows stay once."""
+    kept = Counter((x.doc_id, x.text) for x in J.one_per_class(odd_docs(spark)).collect())
+    rows = {(x.doc_id, x.text) for x in odd_docs(spark).collect()}
+    base = next(t for i, t in rows if i == 0)
+    assert kept == Counter(rows - {(1, base), (None, base)})
+    one, two, three = (" ".join(words(k, 60)) for k in (21, 22, 23))
+    more = [(None, one), (None, one + " end"), (None, two), (7, three), (7, three), (7, three.upper()), (9, two + " end"), (None, None), (None, "")]
+    docs = spark.createDataFrame(more, "doc_id long, text string")
+    got = sorted(((x.doc_id, x.text) for x in J.one_per_class(docs).collect()), key=str)
+    assert len(got) == 5 and {(9, two + " end"), (None, None), (None, "")} < set(got)
+    assert len([t for i, t in got if i == 7]) == 1 and len([t for i, t in got if i is None and t and t.startswith(one)]) == 1
+    found = sorted(((x.doc_id, x.class_id, x.n_links) for x in J.near_duplicates(docs).collect()), key=str)
+    assert found == sorted([(None, None, 1), (None, None, 1), (None, 9, 1), (7, 7, 2), (7, 7, 2), (7, 7, 2), (9, 9, 1), (None, None, 0), (None, None, 0)], key=str)
