@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import bpe, decontaminate, jaccard, langid, license_scan, line_dedup, quality, suffix_dedup, toxicity, url_rules
+from panelwright.llm import align, bpe, decontaminate, jaccard, langid, license_scan, line_dedup, quality, suffix_dedup, token_counts, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,17 @@ def op8_jaccard_join(spark, sf_dir):
 @query
 def op3_suffix_dedup(spark, sf_dir):
     return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
