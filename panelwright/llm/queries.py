@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import align, bpe, decontaminate, jaccard, langid, license_scan, line_dedup, quality, suffix_dedup, token_counts, toxicity, url_rules
+from panelwright.llm import align, bpe, decontaminate, jaccard, langid, license_scan, line_dedup, quality, repair, suffix_dedup, token_counts, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,12 @@ def op12_token_counts(spark, sf_dir):
     import public_tokenizers
 
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(conversations), conversations)
+
+
+SQL["op13_conversation_repair"] = repair.SQL
