@@ -37,6 +37,8 @@ from panelwright.llm.common import column, map_slices, need, new_path, texts, wr
 
 #: Pieces a worker keeps at most, the longest kept; id pairs looked up in a task's array at most.
 KEPT, KEPT_CHARS, BOUND = 250_000, 64, 2_000_000
+#: Characters of pieces that are encoded in one call.
+JOINED = 20_000
 #: Fixed value of byte-level vocabularies: bytes shown as themselves; the others follow from U+0100 on, in order.
 SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
@@ -61,6 +63,10 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if b.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_length = np.array([len(x) for x in self.a_bytes])
         self.b_length = np.array([len(x) for x in self.b_bytes])
+        #: Written ids by (tokenizer, whether the token ends its side of a group).
+        n_a, n_b = len(self.a_bytes), len(self.b_bytes)
+        self.written = [f"{i}{m}" for n, marks in ((n_a, ",|"), (n_b, ",;")) for m in marks for i in range(n)]
+        self.from_b = 2 * n_a
         self.cuts = a.cuts and b.cuts
         self.clear()
 
@@ -70,94 +76,102 @@ class Pair:
         self.n_a, self.n_b, self.n_groups, self.ends, self.links = array("q"), array("q"), array("q"), array("q", [0]), array("q")
         self.bad: set[int] = set()
 
-    def spans(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the pieces laid one after the other: ids and byte ends of A's tokens, of B's, byte ends of the pieces, and
-        which pieces come back from the bytes of their tokens."""
-        spaced = [" " + p for p in pieces]
-        size = np.array([len(p) for p in spaced])
+    def spans(self, texts_: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]] | None:
+        """Of the texts laid one after the other, each with a space before it: ids and byte ends of A's tokens and of B's;
+        or, if tokens of some texts do not give back their bytes, those texts."""
+        spaced = [" " + t for t in texts_]
         whole = "".join(spaced)
         raw = whole.encode("utf-8", "replace")
         at = np.arange(len(raw) + 1)
         if len(raw) != len(whole):
             code = np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32)
             at = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])
-        end = np.cumsum(size)
-        stop = at[end]
-        ok = np.ones(len(pieces), bool)
-        out = []
+        size = np.array([len(t) for t in spaced])
+        begin = np.cumsum(size) - size
+        out, bad = [], set()
         coded_a = self.a.encode_batch(spaced, add_special_tokens=False)
-        coded_b = self.b.encode(pieces, num_threads=1, return_type="offset_mapping")
-        for ids, offsets, extra, length, known in (
-            ([e.ids for e in coded_a], [e.offsets for e in coded_a], 0, self.a_length, self.a_bytes),
-            ([e["ids"] for e in coded_b], [e["offsets"] for e in coded_b], 1, self.b_length, self.b_bytes),
+        coded_b = self.b.encode(texts_, num_threads=1, return_type="offset_mapping")
+        for ids, ends, extra, length, known in (
+            ([np.array(e.ids, np.int64) for e in coded_a], [[o[1] for o in e.offsets] for e in coded_a], 0, self.a_length, self.a_bytes),
+            ([np.array(e["ids"], np.int64) for e in coded_b], [[o[1] for o in e["offsets"]] for e in coded_b], 1, self.b_length, self.b_bytes),
         ):
-            n = np.array([len(i) for i in ids], dtype=np.int64)
-            flat = np.array([i for x in ids for i in x], np.int64)
-            coarse = at[np.repeat(end - size, n) + np.array([o[1] for x in offsets for o in x], np.int64) + extra]
-            total = np.bincount(np.repeat(np.arange(len(ids)), n), length[flat], len(ids)).astype(np.int64)
-            begins = np.concatenate([[0], stop[:-1]])
-            if (total != stop - begins).any() or b"".join(map(known.__getitem__, flat.tolist())) != raw:
-                for k, x in enumerate(ids):
-                    ok[k] &= b"".join(map(known.__getitem__, x)) == spaced[k].encode("utf-8", "replace")
-            # The tokens' decoded bytes give each cut from the piece's begin; they replace coarse cuts inside characters.
-            run = np.cumsum(length[flat])
-            before = np.concatenate([[0], run])[np.concatenate([[0], np.cumsum(n)])[:-1]]
-            exact = run - np.repeat(before - begins, n)
+            flat = np.concatenate(ids)
+            if b"".join(map(known.__getitem__, flat.tolist())) != raw:
+                bad |= {k for k, x in enumerate(ids) if b"".join(map(known.__getitem__, x.tolist())) != spaced[k].encode("utf-8", "replace")}
+                continue
+            coarse = at[np.repeat(begin, [len(x) for x in ids]) + np.concatenate([np.array(e, np.int64) for e in ends]) + extra]
+            # The tokens' decoded bytes give each cut; they replace coarse cuts inside characters.
+            exact = np.cumsum(length[flat])
             off = coarse != exact
             coarse[off] = exact[off]
-            out += [flat, coarse, n]
-        return (*out, stop, ok)
+            out.append((flat, coarse))
+        return out, sorted(bad)
 
     def learn(self, pieces: list[str]) -> None:
-        """Groups and links of pieces, appended to the table's arrays in order."""
-        a, a_end, n_a, b, b_end, n_b, stop, ok = self.spans(pieces)
-        if not ok.all():
-            keep = np.flatnonzero(ok)
-            good = [pieces[k] for k in keep]
-            first = len(self.strings)
-            if good:
-                a, a_end, n_a, b, b_end, n_b, stop, _ = self.spans(good)
-                self._append(a, a_end, n_a, b, b_end, n_b, stop, ok)
-            else:
-                none = np.empty(0, np.int64)
-                self._append(none, none, none, none, none, none, none, ok)
-            self.bad.update(first + k for k in np.flatnonzero(~ok).tolist())
-        else:
-            self._append(a, a_end, n_a, b, b_end, n_b, stop, ok)
-
-    def _append(self, a, a_end, n_a, b, b_end, n_b, stop, ok) -> None:
-        both = np.intersect1d(a_end, b_end, assume_unique=True)
-        every = np.union1d(a_end, b_end)
-        links = (a[np.searchsorted(a_end, every)] << 32) | b[np.searchsorted(b_end, every)]
-        per_piece = np.diff(np.searchsorted(every, stop, "right"), prepend=0)
-        groups = np.diff(np.searchsorted(both, stop, "right"), prepend=0)
-        # Place of every token in the written form: A's tokens of a group, then B's.
-        a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
-        a_at = np.arange(len(a)) + np.searchsorted(b_group, a_group)
-        b_at = np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")
-        ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ",")
-        ids[a_at], ids[b_at] = a, b
-        mark[a_at[np.isin(a_end, both, assume_unique=True)]] = "|"
-        mark[b_at[np.isin(b_end, both, assume_unique=True)]] = ";"
-        text = [f"{i}{m}" for i, m in zip(ids.tolist(), mark.tolist())]
-        tokens_to = np.cumsum(n_a + n_b).tolist()
-        good, k, from_, at = ok.tolist(), 0, 0, 0
-        bounds = np.cumsum(per_piece).tolist()
-        for yes in good:
-            if yes:
-                self.strings.append("".join(text[from_ : tokens_to[k]]))
-                self.n_a.append(int(n_a[k])), self.n_b.append(int(n_b[k])), self.n_groups.append(int(groups[k]))
-                at = bounds[k]
-                from_, k = tokens_to[k], k + 1
-            else:
-                self.strings.append("")
-                self.n_a.append(0), self.n_b.append(0), self.n_groups.append(0)
-            self.ends.append(self._offset + at)
-        self.links.extend(links.tolist())
-
-    @property
-    def _offset(self) -> int:
-        return len(self.links)
+        """Groups and links of pieces, appended to the table's arrays in order.
+
+        Pieces are joined by the spaces they were cut at, up to JOINED characters; those with white space at an end, or of
+        files that may not be cut, stay alone."""
+        texts_, members, room = [], [], 0
+        for k, p in enumerate(pieces):
+            alone = not self.cuts or not p or p[0].isspace() or p[-1].isspace()
+            if alone or room < len(p):
+                texts_.append([])
+                members.append([])
+                room = 0 if alone else JOINED
+            texts_[-1].append(p)
+            members[-1].append(k)
+            room -= len(p) + 1
+        order = [k for m in members for k in m]
+        good = [True] * len(pieces)
+        found, bad = self.spans([" ".join(t) for t in texts_])
+        if bad:
+            single = [k for x in bad for k in members[x] if len(members[x]) > 1]
+            lost = {k for x in bad for k in members[x] if len(members[x]) == 1}
+            lost |= {single[x] for x in self.spans([pieces[k] for k in single])[1]} if single else set()
+            good = [k not in lost for k in range(len(pieces))]
+            rest = [k for k in order if good[k]]
+            joined = [[pieces[k] for k in m if good[k]] for m in members]
+            found = self.spans([" ".join(t) for t in joined if t])[0] if rest else []
+            order = rest
+        first = len(self.strings)
+        self.bad.update(first + k for k, yes in enumerate(good) if not yes)
+        self._append([pieces[k] for k in order], order, len(pieces), found)
+
+    def _append(self, pieces: list[str], places: list[int], n: int, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Entries for ``n`` pieces, of which those at ``places`` have tokens, in the order of the spans."""
+        strings, start = [""] * n, len(self.links)
+        counts = np.zeros((4, n), np.int64)
+        if pieces:
+            (a, a_end), (b, b_end) = found
+            stop = np.cumsum([1 + len(p.encode("utf-8", "replace")) for p in pieces])
+            a_cut, b_cut = np.zeros(stop[-1] + 1, bool), np.zeros(stop[-1] + 1, bool)
+            a_cut[a_end] = b_cut[b_end] = True
+            both = np.flatnonzero(a_cut & b_cut)
+            every = np.flatnonzero(a_cut | b_cut)
+            links = (a[np.searchsorted(a_end, every)] << 32) | b[np.searchsorted(b_end, every)]
+            # Place of every token in the written form: A's tokens of a group, then B's.
+            a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
+            code = np.empty(len(a) + len(b), np.int64)
+            code[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = a + len(self.a_bytes) * b_cut[a_end]
+            code[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = self.from_b + b + len(self.b_bytes) * a_cut[b_end]
+            text = list(map(self.written.__getitem__, code.tolist()))
+            to = [np.searchsorted(x, stop, "right") for x in (a_end, b_end, both, every)]
+            from_ = 0
+            for k, end in zip(places, (to[0] + to[1]).tolist()):
+                strings[k] = "".join(text[from_:end])
+                from_ = end
+            for row, ends in zip(counts, to):
+                row[places] = np.diff(ends, prepend=0)
+            if places != sorted(places):  # links in the order of the entries
+                size = counts[3][places]
+                begin = np.zeros(n, np.int64)
+                begin[places] = np.cumsum(size) - size
+                links = links[np.repeat(begin - np.cumsum(counts[3]) + counts[3], counts[3]) + np.arange(len(links))]
+            self.links.frombytes(links.tobytes())
+        self.strings += strings
+        for mine, row in zip((self.n_a, self.n_b, self.n_groups, self.ends), (*counts[:3], start + np.cumsum(counts[3]))):
+            mine.frombytes(row.tobytes())
 
     def forget(self, n: int) -> None:
         """Drop all entries after the first ``n``."""
@@ -167,42 +181,51 @@ class Pair:
 
     def documents(self, docs: list[str | None]) -> dict[str, list]:
         """Per text: n_a, n_b, n_groups, groups_sha256, _pairs (A id << 32 | B id, ascending), _times."""
-        out: dict[str, list] = {n: [] for n in ("n_a", "n_b", "n_groups", "groups_sha256", "_pairs", "_times")}
         if len(self.table) > KEPT:
             self.clear()
         parts = [(subwords.cut(t) if self.cuts else [t]) if t else [] for t in docs]
-        fresh = list(dict.fromkeys(p for ps in parts for p in ps if p not in self.table))
+        table = self.table
+        fresh = list(set().union(*parts).difference(table))
         short = [p for p in fresh if len(p) <= KEPT_CHARS]
         long = [p for p in fresh if len(p) > KEPT_CHARS]
-        table, kept = self.table, len(self.strings)
-        for some in (short, long):
-            if some:
-                start = len(self.strings)
-                self.learn(some)
-                found = {p: start + k for k, p in enumerate(some)}
-                if some is short:
-                    table.update(found)
-                    kept = len(self.strings)
-                else:
-                    table = table | found
+        if short:
+            table.update(zip(short, range(len(self.strings), len(self.strings) + len(short))))
+            self.learn(short)
+        kept = len(self.strings)
+        if long:
+            table = table | dict(zip(long, range(kept, kept + len(long))))
+            self.learn(long)
         get = table.__getitem__
+        places = [list(map(get, ps)) for ps in parts]
+        digest = [""] * len(docs)
+        for k, at in enumerate(places):
+            if at and self.bad and not self.bad.isdisjoint(at):
+                places[k] = []
+            elif at:
+                digest[k] = hashlib.sha256("".join(map(self.strings.__getitem__, at))[:-1].encode()).hexdigest()
         n_a, n_b, n_g, ends, links = (np.array(x, np.int64) for x in (self.n_a, self.n_b, self.n_groups, self.ends, self.links))
-        for ps in parts:
-            at = list(map(get, ps))
-            if not at or (self.bad and not self.bad.isdisjoint(at)):
-                for n, v in zip(out, (0, 0, 0, "", [], [])):
-                    out[n].append(v)
-                continue
-            string = "".join(map(self.strings.__getitem__, at))[:-1]
-            at, times = np.unique(at, return_counts=True)
-            size = ends[at + 1] - ends[at]
-            place = np.repeat(ends[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            pairs, which = np.unique(links[place], return_inverse=True)
-            hits = np.bincount(which, np.repeat(times, size), len(pairs)).astype(np.int64)
-            for n, v in zip(out, (int(n_a[at] @ times), int(n_b[at] @ times), int(n_g[at] @ times), hashlib.sha256(string.encode()).hexdigest(), pairs, hits)):
-                out[n].append(v)
+        doc = np.repeat(np.arange(len(docs)), [len(p) for p in places])
+        at = np.array([i for p in places for i in p], np.int64)
+        out: dict[str, list] = {n: np.bincount(doc, v[at], len(docs)).astype(np.int64) for n, v in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_g))}
+        # Distinct pieces of every document, then distinct pairs, both by one sort.
+        key, times = counted(doc * (len(self.strings) + 1) + at, np.ones(len(at), np.int64))
+        doc, at = np.divmod(key, len(self.strings) + 1)
+        size = ends[at + 1] - ends[at]
+        place = np.repeat(ends[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        pairs, which = np.unique(links[place], return_inverse=True)
+        key, hits = counted(np.repeat(doc, size) * (len(pairs) + 1) + which, np.repeat(times, size))
+        doc, which = np.divmod(key, len(pairs) + 1)
+        cuts = np.searchsorted(doc, np.arange(1, len(docs)))
         self.forget(kept)
-        return out
+        return out | {"groups_sha256": digest, "_pairs": np.split(pairs[which], cuts), "_times": np.split(hits, cuts)}
+
+
+def counted(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their times."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(times[order], first) if len(first) else times[:0]
 
 
 _pairs: dict[tuple, Pair] = {}

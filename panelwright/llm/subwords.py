@@ -11,12 +11,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from functools import cached_property
 
-import regex
 from pyspark.sql import SparkSession
 
-cut = regex.compile(r"(?<=\S) (?=\S)").split
+cut = re.compile(r"(?<=\S) (?=\S)").split
 
 #: The pattern of a pre-tokenizer that keeps words, digits and signs and drops white space (a fixed value of the file format).
 WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -97,7 +97,7 @@ def test_same_with_a_small_table_of_pieces_and_with_whole_texts(monkeypatch):
     pair.clear()
     whole = pair.documents(docs)
     for n in ("n_a", "n_b", "n_groups", "groups_sha256"):
-        assert first[n] == [x[n][0] for x in again] == whole[n]
+        assert list(first[n]) == [x[n][0] for x in again] == list(whole[n])
     for n in ("_pairs", "_times"):
         assert [list(x) for x in first[n]] == [list(x[n][0]) for x in again] == [list(x) for x in whole[n]]
 
