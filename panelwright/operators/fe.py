@@ -111,22 +111,29 @@ def _blocks(batches, periods: np.ndarray, n_dense: int, n_code: int):
             yield x - (s / n[:, None])[u], y - (sy / n)[u], u, g, t
 
 
-def fit_fe(df: DataFrame, unit: str, time: str, y, dense: list | None = None, names: list | None = None, code=None, code_names: list | None = None,
-           cluster: str | None = None, kind: str = "cluster", transform: np.ndarray | None = None) -> FeFit:
-    """Least squares with unit and period effects.
+@dataclass
+class Normal:
+    """Normal equations of regressors and period effects, unit effects removed."""
 
-    ``kind``: cluster (one way), iid, hc1, twoway (unit and period).
-    ``transform`` maps the coefficients to reported combinations (rows)."""
-    units, periods = fe_units(df, unit, time, y, dense, code, cluster)
-    nd, nc = len(dense or []), len(code_names or [])
-    k = nd + nc
+    a: np.ndarray
+    b: np.ndarray
+    inv: np.ndarray
+    theta: np.ndarray
+    ssr: float
+    rank: int
+    n: int
+    n_units: int
+
+
+def normal_equations(units: DataFrame, periods: list[int], n_dense: int, n_code: int) -> Normal:
+    """One partial cross-product matrix per task, summed and solved on the driver."""
+    width = n_dense + n_code + len(periods) - 1
     ax = np.array(periods)
-    width = k + len(ax) - 1
 
     def gram_part(batches):
         total = np.zeros(width * (width + 1) // 2 + width + 3)
         iu = np.triu_indices(width)
-        for x, yy, u, g, _ in _blocks(batches, ax, nd, nc):
+        for x, yy, u, g, _ in _blocks(batches, ax, n_dense, n_code):
             total += np.concatenate([(x.T @ x)[iu], x.T @ yy, [yy @ yy, len(yy), len(g)]])
         i = np.flatnonzero(total)
         yield pd.DataFrame({"p": i, "v": total[i]})
@@ -139,8 +146,37 @@ def fit_fe(df: DataFrame, unit: str, time: str, y, dense: list | None = None, na
     a, b, (yy, n, n_units) = unpack(v[:tri], width), v[tri:tri + width], v[tri + width:]
     inv = np.linalg.pinv(a, rcond=1e-11, hermitian=True)
     theta = inv @ b
-    ssr = float(yy - theta @ b)
-    rank = int(np.linalg.matrix_rank(a, tol=1e-9 * np.max(np.abs(np.diag(a)))))
+    rank = int(np.linalg.matrix_rank(a, tol=1e-9 * np.max(np.abs(np.diag(a))))) if width else 0
+    return Normal(a, b, inv, theta, float(yy - theta @ b), rank, int(n), int(n_units))
+
+
+def sum_arrays(parts: DataFrame, key: str) -> DataFrame:
+    """Elementwise sums of the array column ``v`` per ``key``, of partial sums of tasks."""
+    kind = dict(parts.dtypes)[key]
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(f["v"].iloc[0]))
+        for v in f["v"]:
+            total += v
+        return pd.DataFrame({key: [f[key].iloc[0]], "v": [total]})
+
+    return parts.groupBy(key).applyInPandas(add, f"{key} {kind}, v array<double>")
+
+
+def fit_fe(df: DataFrame, unit: str, time: str, y, dense: list | None = None, names: list | None = None, code=None, code_names: list | None = None,
+           cluster: str | None = None, kind: str = "cluster", transform: np.ndarray | None = None) -> FeFit:
+    """Least squares with unit and period effects.
+
+    ``kind``: cluster (one way), iid, hc1, twoway (unit and period).
+    ``transform`` maps the coefficients to reported combinations (rows)."""
+    units, periods = fe_units(df, unit, time, y, dense, code, cluster)
+    nd, nc = len(dense or []), len(code_names or [])
+    k = nd + nc
+    ax = np.array(periods)
+    width = k + len(ax) - 1
+
+    eq = normal_equations(units, periods, nd, nc)
+    inv, theta, ssr, rank, n, n_units = eq.inv, eq.theta, eq.ssr, eq.rank, eq.n, eq.n_units
     m = np.eye(k, width) if transform is None else np.hstack([transform, np.zeros((len(transform), width - k))])
     lift = m @ inv  # reported combinations x columns
     reported = list(names or []) + list(code_names or [])
@@ -324,46 +360,9 @@ def unit_slope_difference(df: DataFrame, unit: str, y: str, time: str, group) ->
     return df.sparkSession.createDataFrame([(b0, b1 - b0, float(np.sqrt(v * adj)), t.units)], "base_slope DOUBLE, difference DOUBLE, se DOUBLE, units BIGINT")
 
 
-def wild_cluster_bootstrap(df: DataFrame, unit: str, time: str, y: str, x: str, draws: int = 999, seed: int = 1) -> DataFrame:
-    """Wild cluster bootstrap p-value of a static effect under the null, signs by
-    unit, for a balanced panel.
-
-    With the regressor demeaned both ways, a draw's coefficient and its cluster
-    variance are quadratic forms in each unit's two inner products, so units are
-    read once and each draw needs one pass over unit-sized rows."""
-    from panelwright.functions.scalars import MIX_MODULUS, draw31
-
-    d = df.select(F.col(unit).alias("i"), F.col(time).alias("t"), F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
-    z = d
-    for c in ("y", "x"):
-        mi, mt = d.groupBy("i").agg(F.avg(c).alias("_a")), d.groupBy("t").agg(F.avg(c).alias("_b"))
-        z = z.join(mi, "i").join(mt, "t").withColumn(f"{c}d", F.col(c) - F.col("_a") - F.col("_b") + d.agg(F.avg(c)).scalar()).drop("_a", "_b")
-    z = keep(z.select("i", "t", "yd", "xd"))
-    u = keep(z.groupBy("i").agg(F.sum(F.col("xd") * F.col("yd")).alias("a"), F.sum(F.col("xd") * F.col("xd")).alias("q")))
-    tot = u.agg(F.sum("a").alias("a"), F.sum("q").alias("q")).first()
-    beta = tot.a / tot.q
-    v0 = u.agg(F.sum(F.pow(F.col("a") - beta * F.col("q"), 2)).alias("v")).first().v
-    t_hat = abs(beta) / (v0 ** 0.5 / tot.q)
-    # null residuals are yd; signs flip whole units and period means are retaken
-    signed = z.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    sign = F.when(draw31(seed, "i", "b") >= MIX_MODULUS // 2, 1.0).otherwise(-1.0)
-    signed = signed.withColumn("e", sign * F.col("yd"))
-    mean_t = signed.groupBy("b", "t").agg(F.avg("e").alias("m"))
-    per = signed.join(mean_t, ["b", "t"]).groupBy("b", "i").agg(F.sum(F.col("xd") * (F.col("e") - F.col("m"))).alias("s"))
-    f = per.join(u, "i").groupBy("b").agg(F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("q")).alias("sq"), F.sum(F.col("q") * F.col("q")).alias("qq"))
-    bb = F.col("s") / tot.q
-    t_b = F.abs(bb) / (F.sqrt(F.greatest(F.col("ss") - 2 * bb * F.col("sq") + bb * bb * F.col("qq"), F.lit(0.0))) / tot.q)
-    return f.select(t_b.alias("t")).agg(F.lit(float(beta)).alias("estimate"), F.lit(float(t_hat)).alias("t_stat"), F.avg((F.col("t") >= t_hat).cast("double")).alias("p_value"), F.count("*").alias("draws"))
-
-
 def imputation_att(df: DataFrame, unit: str, time: str, cohort: str, y: str) -> DataFrame:
-    """Mean treated outcome minus the effects fitted on untreated rows."""
-    treated = F.col(cohort).isNotNull() & (F.col(time) >= F.col(cohort))
-    p = predict_all(df, unit, time, y, ~F.coalesce(treated, F.lit(False)))
-    hit = p.where(treated & F.col("yhat").isNotNull()).withColumn("tau", F.col(y) - F.col("yhat"))
-    per = hit.groupBy(unit).agg(F.sum("tau").alias("s"), F.count("*").alias("n"))
-    t = per.agg((F.sum("s") / F.sum("n")).alias("att"), F.sum("n").alias("n_treated_rows"), F.count("*").alias("units"))
-    # second-stage cluster error on the treated units, first stage taken as given
-    m = per.withColumn("att", t.select("att").scalar())
-    v = m.agg((F.sqrt(F.sum(F.pow(F.col("s") - F.col("att") * F.col("n"), 2))) / F.sum("n")).alias("se"))
-    return t.withColumn("se", v.scalar())
+    """Mean treated outcome minus the effects fitted on untreated rows, with the
+    first stage in the error; ``imputation.imputation_effects`` has event times too."""
+    from panelwright.operators.imputation import imputation_effects
+
+    return imputation_effects(df, unit, time, cohort, y).where("e is null").drop("e")

@@ -1,89 +1,295 @@
-"""Leave-one-out influence of units on a static two-way effect."""
+"""Leave-one-out influence of units on two-way effects, on balanced or unbalanced panels."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators.fe import event_study, static_effect
+from panelwright.functions.distributions import pf_upper
+from panelwright.operators.fe import Normal, _blocks, event_codes, fe_units, normal_equations, sum_arrays
 from panelwright.session import keep
 
 
+# Dropping unit i takes its own products out of the normal equations A theta = b. With its demeaned rows Z and residuals e,
+#     theta(-i) = theta - A^-1 Z' (I - H)^-1 e,   A(-i)^-1 = A^-1 + A^-1 Z' (I - H)^-1 Z A^-1,   H = Z A^-1 Z',
+# so a unit needs its own rows and the inverse of the totals; no fit is repeated. Where I - H is singular, the unit alone
+# identifies something, and the smaller system is solved by its pseudo-inverse.
+
+
+class _Without:
+    """Solutions of the normal equations without some rows."""
+
+    def __init__(self, eq: Normal):
+        self.a, self.b, self.inv, self.theta, self.rank = eq.a, eq.b, eq.inv, eq.theta, eq.rank
+
+    def solve(self, z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+        """theta, inverse, rank and which coefficients are identified, without the demeaned rows (z, y)."""
+        half = z @ self.inv
+        gap = np.eye(len(z)) - half @ z.T
+        if not len(z) or (len(z) <= len(self.b) and np.linalg.eigvalsh(gap)[0] > 1e-8):
+            back = np.linalg.solve(gap, half)
+            theta = self.theta - back.T @ (y - z @ self.theta)
+            return theta, self.inv + half.T @ back, self.rank, np.ones(len(self.b), bool)
+        a = self.a - z.T @ z
+        inv = np.linalg.pinv(a, rcond=1e-10, hermitian=True)
+        known = np.abs(np.einsum("ij,ji->i", inv, a) - 1) < 1e-6
+        rank = int(np.linalg.matrix_rank(a, tol=1e-9 * np.max(np.abs(np.diag(a))))) if a.any() else 0
+        return inv @ (self.b - z.T @ y), inv, rank, known
+
+
+class _Features:
+    """A unit's cluster score without others, c'Z'(y - Z theta), is a product of what depends on the unit alone (its products
+    <x, y>, <x, x>, x and y per period, and its pattern of periods) with what depends on (c, theta) alone. One Gram matrix of
+    the units' features therefore gives the sum of squared scores for any dropped unit.
+
+    The pattern enters as the matrix diag(p) - pp'/n: as one feature per pattern while these are fewer than its entries, else as
+    the entries."""
+
+    def __init__(self, units: DataFrame, periods: np.ndarray):
+        n = len(periods)
+        self.periods, self.n = periods, n
+        self.most = n * (n + 1) // 2
+        seen = units.select(F.array_sort("t").alias("t")).distinct().limit(self.most + 1).collect()
+        self.patterns = {tuple(r.t): k for k, r in enumerate(seen)} if len(seen) <= self.most else None
+        self.shapes = [self.shape(np.searchsorted(periods, t)) for t in self.patterns] if self.patterns is not None else None
+        self.upper = np.triu_indices(n)
+        self.width = 2 + 2 * n + (len(self.patterns) if self.patterns is not None else self.most)
+
+    def shape(self, at: np.ndarray) -> np.ndarray:
+        m = np.zeros((self.n, self.n))
+        m[at, at] = 1
+        m[np.ix_(at, at)] -= 1 / len(at)
+        return m
+
+    def of(self, t, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Features of a unit with periods ``t`` and demeaned rows."""
+        v = np.zeros(self.width)
+        at = np.searchsorted(self.periods, t)
+        v[0], v[1] = z[:, 0] @ y, z[:, 0] @ z[:, 0]
+        v[2 + at], v[2 + self.n + at] = z[:, 0], y
+        if self.patterns is not None:
+            v[2 + 2 * self.n + self.patterns[tuple(sorted(t))]] = 1
+        else:
+            v[2 + 2 * self.n :] = self.shape(at)[self.upper]
+        return v
+
+    def weights(self, c: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        """What a unit's features are multiplied with; c and theta: the regressor, then the periods but the first."""
+        cd, lam = np.append(0.0, c[1:]), np.append(0.0, theta[1:])
+        v = np.zeros(self.width)
+        v[0], v[1] = c[0], -c[0] * theta[0]
+        v[2 : 2 + self.n] = -c[0] * lam - theta[0] * cd
+        v[2 + self.n : 2 + 2 * self.n] = cd
+        if self.patterns is not None:
+            v[2 + 2 * self.n :] = [-cd @ s @ lam for s in self.shapes]
+        else:
+            both = np.outer(cd, lam)
+            v[2 + 2 * self.n :] = -(both + both.T - np.diag(np.diag(both)))[self.upper]
+        return v
+
+    def gram(self, units: DataFrame) -> np.ndarray:
+        def part(batches):
+            total = np.zeros((self.width, self.width))
+            for batch in batches:
+                rows = [self.of(t, z, y) for t, z, y in own_rows([batch], self.periods)]
+                if rows:
+                    v = np.vstack(rows)
+                    total += v.T @ v
+            yield pd.DataFrame({"k": np.arange(self.width), "v": list(total)})
+
+        out = np.zeros((self.width, self.width))
+        for r in sum_arrays(units.mapInPandas(part, "k int, v array<double>"), "k").toLocalIterator():
+            out[r.k] = r.v
+        return out
+
+
+def own_rows(frames, periods: np.ndarray):
+    """Periods, demeaned regressors (x, then the periods but the first) and outcomes of each unit, one at a time."""
+    for f in frames:
+        for k in range(len(f)):
+            one = f.iloc[k : k + 1]
+            for z, y, *_ in _blocks([one], periods, 1, 0):
+                yield one["t"].iloc[0], z, y
+
+
+def _share(n: float, rank: int, units: int) -> float:
+    """Small-sample factor of a cluster error; unit effects nested in the clusters do not count."""
+    return (n - 1) / (n - rank - 1) * units / (units - 1) if n > rank + 1 and units > 1 else float("nan")
+
+
 def leave_one_out(df: DataFrame, unit: str, time: str, y: str, x: str) -> DataFrame:
-    """Effect without each unit, on a balanced panel, for all units in one plan.
-
-    Outcomes and treatment are demeaned within units. Dropping unit i takes its
-    own products out of the totals and its row out of each period's sums:
-        S(-i) = (S - s_i) - sum_t (X_t - x_it)(Y_t - y_it) / (N - 1).
-    Period totals are one row per period; no fit is repeated."""
-    own = df.groupBy(unit).agg(F.avg(y).alias("_my"), F.avg(x).alias("_mx"))
-    d = df.join(own, unit).select(F.col(unit).alias("unit"), F.col(time).alias("t"), (F.col(y) - F.col("_my")).alias("y"), (F.col(x) - F.col("_mx")).alias("x"))
-    d = keep(d)
-    per = d.groupBy("t").agg(F.sum("x").alias("tx"), F.sum("y").alias("ty"))
-    n = d.agg(F.count_distinct("unit")).scalar()
-    tot = d.agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"))
-    all_ = per.agg(F.sum(F.col("tx") * F.col("ty")).alias("txy"), F.sum(F.col("tx") * F.col("tx")).alias("txx"))
-    xy, xx = tot.select("xy").scalar(), tot.select("xx").scalar()
-    full = (xy - all_.select("txy").scalar() / n) / (xx - all_.select("txx").scalar() / n)
-    gone_x, gone_y = F.col("tx") - F.col("x"), F.col("ty") - F.col("y")
-    u = d.join(per, "t").groupBy("unit").agg(
-        F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(gone_x * gone_y).alias("cxy"), F.sum(gone_x * gone_x).alias("cxx"),
-        F.count("*").alias("n_obs"))
-    loo = (xy - F.col("sxy") - F.col("cxy") / (n - 1)) / (xx - F.col("sxx") - F.col("cxx") / (n - 1))
-    r = u.select("unit", "n_obs", loo.alias("att_loo"), full.alias("att_full"))
-    return r.withColumns({"influence": F.col("att_full") - F.col("att_loo"), "pct_change": 100 * (F.col("att_loo") - F.col("att_full")) / F.abs("att_full")})
-
-
-def leave_one_out_saturated(df: DataFrame, unit: str, time: str, cohort: str, y: str) -> DataFrame:
-    """Row-weighted average treated effect of the saturated event study without
-    each unit, on a balanced panel with never-treated controls.
-
-    The effect is a mean over treated rows of (own change) minus (mean control
-    change in the same cell). Dropping a treated unit takes its rows out of the
-    mean; dropping a control moves every cell's control mean by its own change.
-    Both are sums per unit, so no fit is repeated."""
-    base = df.where(F.col(cohort).isNotNull()).groupBy(cohort).agg(F.count_distinct(unit).alias("_n"))
-    cells = F.collect_list(F.struct(F.col(cohort).alias("g"), F.col("_n").alias("n")))
-    cohorts = base.agg(F.array_sort(cells)).scalar()
-    series = df.groupBy(F.col(unit).alias("unit")).agg(F.min(cohort).alias("c"), F.map_from_entries(F.collect_list(F.struct(F.col(time), F.col(y)))).alias("m"))
-    series = keep(series.withColumn("gs", cohorts))
-    rows = series.select("unit", "c", "m", F.explode("gs").alias("k")).where(F.col("c").isNull() | (F.col("c") == F.col("k.g")))
-    rows = rows.select("unit", "c", "k.g", "k.n", F.col("m")[F.col("k.g") - 1].alias("y0"), F.explode(F.map_filter("m", lambda t, v: t >= F.col("k.g"))).alias("t", "y"))
-    rows = rows.withColumn("dy", F.col("y") - F.col("y0"))
-    control = keep(rows.where("c is null").groupBy("g", "t").agg(F.avg("dy").alias("mc"), F.count("*").alias("nc"), F.first("n").alias("n")))
-    j = rows.join(control.select("g", "t", "mc", "nc"), ["g", "t"])
-    own = j.groupBy("unit").agg(F.max(F.col("c").isNotNull()).alias("treated"), F.sum(F.when(F.col("c").isNotNull(), F.col("dy") - F.col("mc")).otherwise(F.col("n") * (F.col("dy") - F.col("mc")) / (F.col("nc") - 1))).alias("s"), F.count("*").alias("k"))
-    own = keep(own)
-    tot = own.where("treated").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
-    s, k = tot.select("s").scalar(), tot.select("k").scalar()
-    loo = F.when(F.col("treated"), (s - F.col("s")) / (k - F.col("k"))).otherwise((s + F.col("s")) / k)
-    r = own.select("unit", "treated", loo.alias("att_loo"), (s / k).alias("att_full"))
-    return r.withColumn("influence", F.col("att_full") - F.col("att_loo"))
+    """Static effect without each unit, on any panel: unit, n_obs, n_remaining, att_loo, se_loo (clustered by unit), att_full,
+    influence, pct_change (influence in percent of the full effect). Null where the rest does not identify the effect."""
+    units, periods = fe_units(df, unit, time, y, dense=[x])
+    ax = np.array(periods)
+    eq = normal_equations(units, periods, 1, 0)
+    without, features = _Without(eq), _Features(units, ax)
+    total = features.gram(units)
+    full, n, n_units = float(eq.theta[0]), eq.n, eq.n_units
+
+    def run(batches):
+        for f in batches:
+            out = []
+            for t, z, yy in own_rows([f], ax):
+                theta, inv, rank, known = without.solve(z, yy)
+                if not known[0]:
+                    out.append((len(t), None, None))
+                    continue
+                w = features.weights(inv[0], theta)
+                meat = max(w @ total @ w - (features.of(t, z, yy) @ w) ** 2, 0.0)
+                out.append((len(t), float(theta[0]), float(np.sqrt(meat * _share(n - len(t), rank, n_units - 1)))))
+            yield pd.DataFrame({"unit": f["unit"], "n_obs": [o[0] for o in out], "att_loo": [o[1] for o in out], "se_loo": [o[2] for o in out]})
+
+    r = units.mapInPandas(run, f"unit {dict(units.dtypes)['unit']}, n_obs bigint, att_loo double, se_loo double")
+    r = r.withColumns({"n_remaining": F.lit(n_units - 1).cast("bigint"), "att_full": F.lit(full)})
+    return r.withColumns({"influence": F.col("att_full") - F.col("att_loo"), "pct_change": 100 * (F.col("att_full") - F.col("att_loo")) / F.abs("att_full")})
+
+
+def leave_one_out_saturated(df: DataFrame, unit: str, time: str, cohort: str, y: str, average: str = "events") -> DataFrame:
+    """Average treated effect of the cohort-by-event saturated regression without each unit, on any panel: unit, treated,
+    att_loo, att_full, influence.
+
+    ``average``: events (mean of the event-time coefficients from 0 on, each averaged over cohorts by row shares) or rows (mean
+    over treated rows). Shares are those of the rows left."""
+    d = df.withColumn("e", (F.col(time) - F.col(cohort)).cast("bigint"))
+    seen = d.where(F.col("e").isNotNull() & (F.col("e") != -1) & F.col(y).isNotNull()).groupBy(F.col(cohort).alias("g"), "e").agg(F.count("*").alias("n")).orderBy("g", "e").collect()
+    pairs = df.sparkSession.createDataFrame([(i, r.g, r.e) for i, r in enumerate(seen)], "_code INT, _g BIGINT, _e BIGINT")
+    d = d.join(F.broadcast(pairs), (F.col(cohort) == F.col("_g")) & (F.col("e") == F.col("_e")), "left")
+    units, periods = fe_units(d.withColumn("_tr", F.col(cohort).isNotNull().cast("double")), unit, time, y, ["_tr"], "_code")
+    units = units.withColumns({"treated": F.exists("d", lambda v: v[0] > 0), "d": F.transform("d", lambda v: F.array().cast("array<double>"))})
+    ax, cells = np.array(periods), len(seen)
+    without = _Without(normal_equations(units, periods, 0, cells))
+    events = np.array([r.e for r in seen])
+    rows = np.array([r.n for r in seen], float)
+
+    def mean(theta: np.ndarray, n: np.ndarray, known: np.ndarray) -> float | None:
+        post = (events >= 0) & (n > 0) & known[:cells]
+        if not post.any():
+            return None
+        if average == "rows":
+            return float(n[post] @ theta[:cells][post] / n[post].sum())
+        return float(np.mean([n[post & (events == e)] @ theta[:cells][post & (events == e)] / n[post & (events == e)].sum() for e in np.unique(events[post])]))
+
+    full = mean(without.theta, rows, np.ones(len(without.b), bool))
+
+    def run(batches):
+        for f in batches:
+            out = []
+            for k in range(len(f)):
+                for z, yy, _u, g, _t in _blocks([f.iloc[k : k + 1]], ax, 0, cells):
+                    theta, _inv, _rank, known = without.solve(z, yy)
+                    own = np.asarray(g["c"].iloc[0])
+                    out.append(mean(theta, rows - np.bincount(own[own >= 0], minlength=cells), known))
+            yield pd.DataFrame({"unit": f["unit"], "treated": f["treated"], "att_loo": out})
+
+    r = units.mapInPandas(run, f"unit {dict(units.dtypes)['unit']}, treated boolean, att_loo double")
+    return r.withColumn("att_full", F.lit(full)).withColumn("influence", F.col("att_full") - F.col("att_loo"))
 
 
 def cumulative_drop(df: DataFrame, unit: str, time: str, y: str, x: str, loo: DataFrame, cohort: str = "g", most: int = 10, min_treated: int = 2, min_units: int = 5) -> list[tuple]:
-    """Effects after dropping the ``most`` most influential units of ``loo`` one
-    after another, stopped when too few units remain."""
-    out = []
-    ranked = [r.unit for r in loo.orderBy(F.desc(F.abs("influence")), "unit").limit(most).collect()]
-    for k in range(0, min(most, len(ranked)) + 1):
-        d = df.where(~F.col(unit).isin(ranked[:k])) if k else df
-        left = d.agg(F.count_distinct(unit).alias("u"), F.count_distinct(F.when(F.col(cohort).isNotNull(), F.col(unit))).alias("tr")).first()
-        if left.tr < min_treated or left.u < min_units:
-            break
-        f = static_effect(d, unit, time, y, x)
-        out.append((k, float(f.coef[0]), float(f.se[0]), int(left.u), int(f.n)))
+    """(n_dropped, dropped, att, se, units, n) after dropping the ``most`` most influential units of ``loo`` one after another,
+    until fewer than ``min_treated`` treated or ``min_units`` units are left.
+
+    Only these units' rows reach the driver; each step takes one more block out of the totals."""
+    ranked = [r.unit for r in loo.where("influence is not null").orderBy(F.desc(F.abs("influence")), "unit").limit(most).collect()]
+    units, periods = fe_units(df.withColumn("_tr", F.col(cohort).isNotNull().cast("double")), unit, time, y, dense=[x, "_tr"])
+    units = units.withColumns({"treated": F.exists("d", lambda v: v[1] > 0), "d": F.transform("d", lambda v: F.slice(v, 1, 1))})
+    ax = np.array(periods)
+    eq = normal_equations(units, periods, 1, 0)
+    without, features = _Without(eq), _Features(units, ax)
+    total = features.gram(units)
+    treated = units.where("treated").count()
+    own = {f["unit"].iloc[0]: (f, bool(f["treated"].iloc[0])) for r in units.where(F.col("unit").isin(ranked)).collect() for f in [pd.DataFrame([r.asDict(recursive=True)])]}
+    out, gone, n = [], [], eq.n
+    for k in range(len(ranked) + 1):
+        if k:
+            f, was_treated = own[ranked[k - 1]]
+            gone += list(own_rows([f], ax))
+            treated -= was_treated
+            n -= len(f["t"].iloc[0])
+            if treated < min_treated or eq.n_units - k < min_units:
+                break
+        z = np.vstack([g[1] for g in gone]) if gone else np.zeros((0, len(eq.b)))
+        theta, inv, rank, known = without.solve(z, np.concatenate([g[2] for g in gone]) if gone else np.zeros(0))
+        if known[0]:
+            w = features.weights(inv[0], theta)
+            meat = max(w @ total @ w - sum((features.of(*g) @ w) ** 2 for g in gone), 0.0)
+            out.append((k, ",".join(map(str, ranked[:k])), float(theta[0]), float(np.sqrt(meat * _share(n, rank, eq.n_units - k))), int(eq.n_units - k), int(n)))
+    units.unpersist()
     return out
 
 
-def loo_lead_test(df: DataFrame, unit: str, time: str, cohort: str, y: str, drop: list, lo: int, hi: int) -> list[tuple]:
-    """Lead F test of the event study without each of a few named units."""
-    out = []
-    for u in drop:
-        f = event_study(df.where(F.col(unit) != u), unit, time, cohort, y, lo, hi)
-        w = f.wald(lambda e: e < -1)
-        out.append((int(u), w["statistic"], w["df1"], w["p_value"]))
-    return out
+#: Bytes of solutions without a unit that go to all tasks at once.
+BROADCAST_BYTES = 16_000_000
+
+
+def loo_lead_test(df: DataFrame, unit: str, time: str, cohort: str, y: str, lo: int, hi: int) -> DataFrame:
+    """Joint F test of the leads (before -1) of the event study without each treated unit, clustered by unit: dropped, f, df1,
+    p, att (mean of the coefficients from 0 on).
+
+    One pass gives the coefficients and weights without every treated unit. Their errors need the residuals of all other
+    units, so these solutions go to the units in blocks of at most BROADCAST_BYTES, one pass a block."""
+    spark = df.sparkSession
+    coded, levels = event_codes(df, time, cohort, -1, lo, hi)
+    units, periods = fe_units(coded.withColumn("_tr", F.col(cohort).isNotNull().cast("double")), unit, time, y, ["_tr"], "_code")
+    units = keep(units.withColumns({"treated": F.exists("d", lambda v: v[0] > 0), "d": F.transform("d", lambda v: F.array().cast("array<double>"))}))
+    ax, nc = np.array(periods), len(levels)
+    eq = normal_equations(units, periods, 0, nc)
+    without, width = _Without(eq), len(eq.b)
+    leads = np.flatnonzero(np.array(levels) < -1)
+    after = np.flatnonzero(np.array(levels) >= 0)
+    q = len(leads)
+    kind = dict(units.dtypes)["unit"]
+
+    def solutions(batches):
+        for f in batches:
+            out = []
+            for k in range(len(f)):
+                for z, yy, *_ in _blocks([f.iloc[k : k + 1]], ax, 0, nc):
+                    theta, inv, rank, known = without.solve(z, yy)
+                    theta[:nc][~known[:nc]] = 0.0
+                    lift = inv[leads] * known[leads][:, None]
+                    ok = after[known[after]]
+                    out.append((len(yy), rank, theta, lift.ravel(), float(theta[ok].mean()) if len(ok) else None))
+            yield pd.DataFrame({"unit": f["unit"], "n": [o[0] for o in out], "rank": [o[1] for o in out], "theta": [o[2] for o in out], "lift": [o[3] for o in out], "att": [o[4] for o in out]})
+
+    gone = units.where("treated").mapInPandas(solutions, f"unit {kind}, n bigint, rank int, theta array<double>, lift array<double>, att double")
+    gone = keep(gone)
+    n_gone = gone.count()
+    blocks = max(1, -(-n_gone * 8 * width * (q + 1) // BROADCAST_BYTES))
+    n, n_units = eq.n, eq.n_units
+    results = None
+    for k in range(blocks):
+        part = gone.where(F.pmod(F.xxhash64("unit"), F.lit(blocks)) == k).select("unit", "n", "rank", "theta", "lift", "att").toPandas()
+        if not len(part):
+            continue
+        sent = spark.sparkContext.broadcast((part["unit"].to_numpy(), np.vstack(part["theta"].to_numpy()), [np.asarray(v).reshape(q, width) for v in part["lift"]]))
+
+        def meats(batches, sent=sent):
+            names, thetas, lifts = sent.value
+            total = np.zeros((len(names), q, q))
+            for z, yy, u, g, _t in _blocks(batches, ax, 0, nc):
+                residual = yy[:, None] - z @ thetas.T
+                starts = np.flatnonzero(np.diff(u, prepend=-1))
+                for r, name in enumerate(names):
+                    s = np.add.reduceat((z * residual[:, r : r + 1]) @ lifts[r].T, starts, axis=0)
+                    s[g["unit"].to_numpy()[u[starts]] == name] = 0.0
+                    total[r] += s.T @ s
+            yield pd.DataFrame({"k": np.arange(len(names)), "v": [m.ravel() for m in total]})
+
+        found = {r.k: np.array(r.v).reshape(q, q) for r in sum_arrays(units.mapInPandas(meats, "k int, v array<double>"), "k").collect()}
+        rows = []
+        for r in range(len(part)):
+            v = found[r] * _share(n - part["n"][r], part["rank"][r], n_units - 1)
+            b = np.asarray(part["theta"][r])[leads]
+            rank = int(np.linalg.matrix_rank(v, tol=1e-12 * max(np.max(np.abs(np.diag(v))), 1e-300))) if q else 0
+            f = float(b @ np.linalg.pinv(v, rcond=1e-10, hermitian=True) @ b) / rank if rank else None
+            rows.append((part["unit"][r].item() if hasattr(part["unit"][r], "item") else part["unit"][r], f, rank, float(pf_upper(f, rank, n_units - 2)) if rank else None, None if pd.isna(part["att"][r]) else float(part["att"][r])))
+        frame = spark.createDataFrame(rows, f"dropped {kind}, f DOUBLE, df1 INT, p DOUBLE, att DOUBLE")
+        results = frame if results is None else results.unionByName(frame)
+    return results if results is not None else spark.createDataFrame([], f"dropped {kind}, f DOUBLE, df1 INT, p DOUBLE, att DOUBLE")
 
 
 def unit_raw_difference(df: DataFrame, unit: str, time: str, cohort: str, y: str) -> DataFrame:

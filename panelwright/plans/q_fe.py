@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from panelwright.functions import scalars as S
 from panelwright.operators import fe as E
 from panelwright.operators import glm as M
+from panelwright.operators import imputation as P
+from panelwright.operators import wild as W
 from panelwright.plans import panels as D
 from panelwright.plans.panels import P1, P2, P4, with_
 from panelwright.plans.q_gt import arms_sql
@@ -126,21 +128,41 @@ def _(spark, sf):
     return who.join(n, "e").withColumn("category", cat)
 
 
-WILD = 99
+WILD = 999
 
 
-@query("boot_wild_cluster", with_(P1) + demean_sql() + f""", u AS (SELECT id, sum(x2*y2) AS a, sum(x2*x2) AS q FROM w2 GROUP BY 1),
+def wild_sql(cluster: str) -> str:
+    """Null residuals flipped by cluster and residualised again, every draw a panel of its own; draws that flip all clusters
+    or none tie with the data up to rounding."""
+    return with_(P1) + demean_sql() + f""", cl AS (SELECT *, {cluster} AS c FROM w2), u AS (SELECT c, sum(x2*y2) AS a, sum(x2*x2) AS q FROM cl GROUP BY 1),
 th AS (SELECT abs(max(b))/(sqrt(sum(pow(a-b*q,2)))/max(sxx)) AS t FROM u, be),
-sg AS (SELECT id, b AS bb, {S.draw31_sql('d', 4, 'id', 'b')} FROM (SELECT DISTINCT id FROM p1), range(1, {WILD + 1}) x(b)),
-e AS (SELECT sg.bb, w2.id, w2.t, w2.x2, (CASE WHEN d >= 1073741824 THEN 1 ELSE -1 END)*w2.y2 AS e FROM w2 JOIN sg USING (id)),
-s AS (SELECT bb, id, sum(x2*(e-m)) AS s FROM (SELECT *, avg(e) OVER (PARTITION BY bb, t) AS m FROM e) GROUP BY 1, 2),
-f AS (SELECT bb, sum(s)/max(sxx) AS b1, sum(s*s) AS ss, sum(s*q) AS sq, sum(q*q) AS qq, max(sxx) AS sxx FROM s JOIN u USING (id), be GROUP BY 1)
-SELECT {r('max(be.b)')} AS estimate, {r('max(th.t)')} AS t_stat, {r('avg((abs(f.b1)/(sqrt(ss-2*f.b1*sq+f.b1*f.b1*qq)/f.sxx) >= th.t)::INT)')} AS p_value, count(*) AS draws FROM f, th, be""")
-def _(spark, sf):
-    w = E.wild_cluster_bootstrap(D.nation_month(spark, sf).withColumn("x", post()), "id", "t", "y", "x", WILD, seed=4)
+sg AS (SELECT c, b AS bb, {S.draw31_sql('d', 4, 'c', 'b')} FROM (SELECT DISTINCT c FROM cl), range(1, {WILD + 1}) x(b)),
+e AS (SELECT sg.bb, c, t, x2, (CASE WHEN d >= 1073741824 THEN 1 ELSE -1 END)*y2 AS e FROM cl JOIN sg USING (c)),
+s AS (SELECT bb, c, sum(x2*(e-m)) AS s FROM (SELECT *, avg(e) OVER (PARTITION BY bb, t) AS m FROM e) GROUP BY 1, 2),
+f AS (SELECT bb, sum(s)/max(sxx) AS b1, sum(s*s) AS ss, sum(s*q) AS sq, sum(q*q) AS qq, max(sxx) AS sxx FROM s JOIN u USING (c), be GROUP BY 1)
+SELECT {r('max(be.b)')} AS estimate, {r('max(th.t)')} AS t_stat, {r('avg((abs(f.b1)/(sqrt(ss-2*f.b1*sq+f.b1*f.b1*qq)/f.sxx) >= th.t*(1-1e-10))::INT)')} AS p_value, count(*) AS draws FROM f, th, be"""
+
+
+def _wild(w):
     return w.select(*[S.rnd(c).alias(c) for c in ("estimate", "t_stat", "p_value")], "draws")
 
 
+@query("boot_wild_cluster", wild_sql("id"))
+def _(spark, sf):
+    return _wild(W.wild_cluster_bootstrap(D.nation_month(spark, sf).withColumn("x", post()), "id", "t", "y", "x", WILD, seed=4))
+
+
+@query("boot_wild_cluster_region", wild_sql("region"))
+def _(spark, sf):
+    """Clusters of several units."""
+    return _wild(W.wild_cluster_bootstrap(D.nation_month(spark, sf).withColumn("x", post()), "id", "t", "y", "x", WILD, seed=4, cluster="region"))
+
+
+@query("boot_wild_cluster_unbalanced")
+def _(spark, sf):
+    return _wild(W.wild_cluster_bootstrap(D.customer_quarter(spark, sf).withColumn("x", post()), "id", "t", "y", "x", WILD, seed=4))
+
+
 @query("interact_trend", with_(P1) + ", u AS (SELECT id, (g IS NOT NULL)::INT AS d, regr_sxx(y,t) AS sxx, regr_sxy(y,t) AS sxy, count(*) AS n FROM p1 GROUP BY 1, 2), b AS (SELECT d, sum(sxy)/sum(sxx) AS b, sum(sxx) AS sx FROM u GROUP BY 1) SELECT " + r("max(CASE WHEN u.d=0 THEN b END)") + " AS base_slope, " + r("max(CASE WHEN u.d=1 THEN b END)-max(CASE WHEN u.d=0 THEN b END)") + " AS difference, " + r("sqrt(sum(pow((sxy-b*sxx)/sx,2))*(sum(n)-1)/(sum(n)-3)*count(*)/(count(*)-1))") + " AS se, count(*) AS units FROM u JOIN b USING (d)")
 def _(spark, sf):
     x = E.unit_slope_difference(D.nation_month(spark, sf), "id", "y", "t", F.col("g").isNotNull())
@@ -178,21 +200,58 @@ def _(spark, sf):
     return E.static_effect(p, "id", "t", "y", "x").frame(spark)
 
 
-# With one cohort kept, untreated rows identify everything from the controls' period means.
-IMP = with_(P1) + """, k AS (SELECT * FROM p1 WHERE g IS NULL OR g = 23977), u AS (SELECT id, t, y, g, coalesce(t >= g, false) AS tr FROM k),
-c AS (SELECT t, avg(y) FILTER (g IS NULL) AS mc, avg(y) FILTER (g IS NOT NULL) AS mt FROM u GROUP BY 1)
-SELECT """ + r("(SELECT avg(mt - mc) FROM c WHERE t >= 23977) - (SELECT avg(mt - mc) FROM c WHERE t < 23977)") + " AS att"
+STEPS = 400
+
+# Untreated rows of the balanced panel: unit and period effects by repeated demeaning of cohort means, and the weights that the
+# treated rows' averages carry back to them (per event time e; null: all treated rows) by the same steps on the weights.
+IMP = "WITH RECURSIVE " + P1.strip() + f""",
+u AS (SELECT coalesce(g, 0) AS g, t, avg(y) AS m, count(*) AS nn FROM p1 GROUP BY 1, 2),
+f AS (SELECT * FROM u WHERE g = 0 OR t < g),
+ia AS (SELECT 0 AS k, g, 0.0::DOUBLE AS a FROM (SELECT DISTINCT g FROM f) UNION ALL
+  SELECT k + 1, g, avg(m - lam) FROM (SELECT ia.k, f.g, f.m, sum(nn*(m - a)) OVER (PARTITION BY f.t)/sum(nn) OVER (PARTITION BY f.t) AS lam FROM ia JOIN f USING (g) WHERE k < {STEPS}) GROUP BY 1, 2),
+la AS (SELECT t, sum(nn*(m - a))/sum(nn) AS l FROM f JOIN (SELECT g, a FROM ia WHERE k = {STEPS}) USING (g) GROUP BY 1),
+ai AS (SELECT id, avg(y - l) AS a FROM p1 JOIN la USING (t) WHERE g IS NULL OR t < g GROUP BY 1),
+tau AS (SELECT id, g, t, t - g AS e, y - a - l AS tau FROM p1 JOIN la USING (t) JOIN ai USING (id) WHERE t >= g),
+lv AS (SELECT e, count(*) AS n, avg(tau) AS att FROM tau GROUP BY 1 UNION ALL SELECT NULL, count(*), avg(tau) FROM tau),
+rq AS (SELECT lv.e, f.g, f.t, nn, coalesce((SELECT count(DISTINCT t) FROM tau x WHERE x.g = f.g AND (lv.e IS NULL OR x.e = lv.e)), 0)/lv.n AS r,
+  coalesce((SELECT count(*) FROM tau x WHERE x.t = f.t AND (lv.e IS NULL OR x.e = lv.e)), 0)/lv.n AS q FROM lv, f),
+ib AS (SELECT 0 AS k, e, g, 0.0::DOUBLE AS b FROM (SELECT DISTINCT e, g FROM rq) UNION ALL
+  SELECT k + 1, e, g, (max(r) - sum(mu))/count(*) FROM (
+    SELECT ib.k, rq.e, rq.g, rq.r, (rq.q - sum(nn*b) OVER (PARTITION BY rq.e, rq.t))/sum(nn) OVER (PARTITION BY rq.e, rq.t) AS mu
+    FROM ib JOIN rq ON ib.g = rq.g AND ib.e IS NOT DISTINCT FROM rq.e WHERE k < {STEPS}) GROUP BY 1, 2, 3),
+mu AS (SELECT rq.e, t, (max(q) - sum(nn*b))/sum(nn) AS mu FROM rq JOIN (SELECT * FROM ib WHERE k = {STEPS}) z ON z.g = rq.g AND z.e IS NOT DISTINCT FROM rq.e GROUP BY 1, 2),
+cm AS (SELECT g, e, avg(tau) AS c FROM tau GROUP BY 1, 2),
+sc AS (SELECT lv.e, id, sum((tau - att)/n) AS s1, sum((tau - c)/n) AS s2, 1 AS hit FROM tau JOIN cm USING (g, e) JOIN lv ON lv.e IS NULL OR lv.e = tau.e GROUP BY 1, 2
+  UNION ALL SELECT mu.e, id, -sum(mu*(y - a - l)), -sum(mu*(y - a - l)), 0 FROM p1 JOIN la USING (t) JOIN ai USING (id) JOIN mu USING (t) WHERE g IS NULL OR p1.t < g GROUP BY 1, 2),
+se AS (SELECT e, sqrt(sum(s1*s1)) AS se, sqrt(sum(s2*s2)) AS se_cells, sum(hit)::BIGINT AS units FROM (SELECT e, id, sum(s1) AS s1, sum(s2) AS s2, max(hit) AS hit FROM sc GROUP BY 1, 2) GROUP BY 1)
+SELECT lv.e, """ + r("att") + " AS att, " + r("se") + " AS se, " + r("se_cells") + " AS se_cells, n AS n_treated_rows, units FROM lv JOIN se ON lv.e IS NOT DISTINCT FROM se.e"
+
+
+def _imputed(f):
+    return f.select("e", *[S.rnd(c).alias(c) for c in ("att", "se", "se_cells")], "n_treated_rows", "units")
+
+
+@query("imputation_att", IMP + " WHERE lv.e IS NULL")
+def _(spark, sf):
+    return _imputed(P.imputation_effects(D.nation_month(spark, sf), "id", "t", "g", "y")).where("e is null")
+
+
+@query("imputation_event", IMP + " WHERE lv.e IS NOT NULL")
+def _(spark, sf):
+    return _imputed(P.imputation_effects(D.nation_month(spark, sf), "id", "t", "g", "y")).where("e is not null")
 
 
-@query("imputation_att", IMP)
+@query("imputation_unbalanced")
 def _(spark, sf):
-    p = D.nation_month(spark, sf).where("g is null or g = 23977")
-    return E.imputation_att(p, "id", "t", "g", "y").select(S.rnd("att").alias("att"))
+    return _imputed(P.imputation_effects(D.customer_quarter(spark, sf), "id", "t", "g", "y"))
 
 
-@query("imputation_att_full")
+@query("imputation_weights", IMP.rsplit("SELECT lv.e", 1)[0] + f""", bg AS (SELECT g, b FROM ib WHERE k = {STEPS} AND e IS NULL)
+SELECT id AS unit, p1.t, coalesce(p1.t >= p1.g, false) AS treated, """ + r("CASE WHEN p1.t >= p1.g THEN 1.0/nt ELSE -(b + mu) END", 9) + """ AS weight
+FROM p1 JOIN bg ON bg.g = coalesce(p1.g, 0) LEFT JOIN mu ON mu.t = p1.t AND mu.e IS NULL, (SELECT n AS nt FROM lv WHERE e IS NULL)""")
 def _(spark, sf):
-    return E.imputation_att(D.nation_month(spark, sf), "id", "t", "g", "y")
+    w = P.imputation_weights(D.nation_month(spark, sf), "id", "t", "g", "y")
+    return w.select("unit", "t", "treated", S.rnd("weight", 9).alias("weight"))
 
 
 # ---- generalised linear models -------------------------------------------

@@ -214,41 +214,67 @@ def _(spark, sf):
 
 LOO = with_(P1) + """, x AS (SELECT id, t, y, coalesce(t >= g, false)::INT::DOUBLE AS x FROM p1), fullb AS (WITH q AS (SELECT y - avg(y) OVER (PARTITION BY id) - avg(y) OVER (PARTITION BY t) + avg(y) OVER () AS y2, x - avg(x) OVER (PARTITION BY id) - avg(x) OVER (PARTITION BY t) + avg(x) OVER () AS x2 FROM x) SELECT sum(x2*y2)/sum(x2*x2) AS b FROM q),
 s AS (SELECT dr.id AS unit, x.* FROM (SELECT DISTINCT id FROM x) dr JOIN x ON x.id <> dr.id),
-d AS (SELECT unit, y - avg(y) OVER (PARTITION BY unit, id) - avg(y) OVER (PARTITION BY unit, t) + avg(y) OVER (PARTITION BY unit) AS y2, x - avg(x) OVER (PARTITION BY unit, id) - avg(x) OVER (PARTITION BY unit, t) + avg(x) OVER (PARTITION BY unit) AS x2 FROM s),
-loo AS (SELECT unit, sum(x2*y2)/sum(x2*x2) AS att_loo, max(b) AS att_full FROM d, fullb GROUP BY 1)"""
+d AS (SELECT unit, id, t, y - avg(y) OVER (PARTITION BY unit, id) - avg(y) OVER (PARTITION BY unit, t) + avg(y) OVER (PARTITION BY unit) AS y2, x - avg(x) OVER (PARTITION BY unit, id) - avg(x) OVER (PARTITION BY unit, t) + avg(x) OVER (PARTITION BY unit) AS x2 FROM s),
+lb AS (SELECT unit, sum(x2*y2)/sum(x2*x2) AS att_loo, sum(x2*x2) AS sxx, count(*)::DOUBLE AS n, count(DISTINCT t)::DOUBLE AS nt, count(DISTINCT id)::DOUBLE AS ni FROM d GROUP BY 1),
+lv AS (SELECT unit, sqrt(sum(s*s)) AS v FROM (SELECT unit, d.id, sum(x2*(y2 - att_loo*x2)) AS s FROM d JOIN lb USING (unit) GROUP BY 1, 2) GROUP BY 1),
+loo AS (SELECT unit, att_loo, v/sxx*sqrt((n-1)/(n-1-nt)*ni/(ni-1)) AS se_loo, b AS att_full FROM lb JOIN lv USING (unit), fullb)"""
 
 
 def _loo(spark, sf):
     return I.leave_one_out(D.nation_month(spark, sf).withColumn("x", post()), "id", "t", "y", "x")
 
 
-query("loo_att", LOO + " SELECT unit, " + r("att_loo") + " AS att_loo, " + r("att_full - att_loo") + " AS influence, " + r("100*(att_loo-att_full)/abs(att_full)", 4) + " AS pct_change FROM loo")(
-    lambda spark, sf: _loo(spark, sf).select("unit", S.rnd("att_loo").alias("att_loo"), S.rnd("influence").alias("influence"), S.rnd("pct_change", 4).alias("pct_change")))
+query("loo_att", LOO + " SELECT unit, " + r("att_loo") + " AS att_loo, " + r("se_loo") + " AS se_loo, " + r("att_full - att_loo") + " AS influence, " + r("100*(att_full-att_loo)/abs(att_full)", 4) + " AS pct_change FROM loo")(
+    lambda spark, sf: _loo(spark, sf).select("unit", *[S.rnd(c).alias(c) for c in ("att_loo", "se_loo", "influence")], S.rnd("pct_change", 4).alias("pct_change")))
+
+
+@query("loo_att_unbalanced")
+def _(spark, sf):
+    p = D.customer_quarter(spark, sf).withColumn("x", post())
+    return I.leave_one_out(p, "id", "t", "y", "x").select("unit", "n_obs", *[S.rnd(c).alias(c) for c in ("att_loo", "se_loo", "influence")])
+
+
 query("j_loo", LOO + " SELECT unit, count(*) AS n_remaining FROM s GROUP BY 1")(
     lambda spark, sf: _loo(spark, sf).select("unit", (D.nation_month(spark, sf).agg(F.count("*")).scalar() - F.col("n_obs")).alias("n_remaining")))
 query("loo_summary", LOO + " SELECT arg_max(unit, abs(att_full-att_loo)) AS top_unit, " + ", ".join(r(e) + f" AS {n}" for e, n in (("max(abs(att_full-att_loo))", "max_influence"), ("stddev_samp(att_full-att_loo)", "sd_influence"), ("min(att_loo)", "lowest"), ("max(att_loo)", "highest"), ("sum(pow(att_full-att_loo,2))/pow(sum(abs(att_full-att_loo)),2)", "hhi"))) + " FROM loo")(
     lambda spark, sf: I.influence_summary(_loo(spark, sf)).select("top_unit", *[S.rnd(c).alias(c) for c in ("max_influence", "sd_influence", "lowest", "highest", "hhi")]))
 
 
-@query("loo_sunab", with_(P1) + """, dr AS (SELECT DISTINCT id AS unit FROM p1), k AS (SELECT unit, p1.* FROM dr JOIN p1 ON p1.id <> dr.unit),
+SAT = with_(P1) + """, dr AS (SELECT DISTINCT id AS unit FROM p1), k AS (SELECT unit, p1.* FROM dr JOIN p1 ON p1.id <> dr.unit),
 m AS (SELECT unit, g, t, avg(y) AS m, count(*) AS n FROM k GROUP BY 1, 2, 3),
-a AS (SELECT x.unit, x.n, (x.m - b.m) - (c.m - d.m) AS att FROM m x JOIN m b ON b.unit = x.unit AND b.g = x.g AND b.t = x.g - 1 JOIN m c ON c.unit = x.unit AND c.g IS NULL AND c.t = x.t JOIN m d ON d.unit = x.unit AND d.g IS NULL AND d.t = x.g - 1 WHERE x.t >= x.g)
-SELECT unit, """ + r("sum(n*att)/sum(n)") + " AS att_loo FROM a GROUP BY 1")
+a AS (SELECT x.unit, x.t - x.g AS e, x.n, (x.m - b.m) - (c.m - d.m) AS att FROM m x JOIN m b ON b.unit = x.unit AND b.g = x.g AND b.t = x.g - 1 JOIN m c ON c.unit = x.unit AND c.g IS NULL AND c.t = x.t JOIN m d ON d.unit = x.unit AND d.g IS NULL AND d.t = x.g - 1 WHERE x.t >= x.g)"""
+
+
+@query("loo_sunab", SAT + " SELECT unit, " + r("avg(att)") + " AS att_loo FROM (SELECT unit, e, sum(n*att)/sum(n) AS att FROM a GROUP BY 1, 2) GROUP BY 1")
 def _(spark, sf):
     return I.leave_one_out_saturated(D.nation_month(spark, sf), "id", "t", "g", "y").select("unit", S.rnd("att_loo").alias("att_loo"))
 
 
-@query("loo_cumulative")
+@query("loo_sunab_rows", SAT + " SELECT unit, " + r("sum(n*att)/sum(n)") + " AS att_loo FROM a GROUP BY 1")
+def _(spark, sf):
+    return I.leave_one_out_saturated(D.nation_month(spark, sf), "id", "t", "g", "y", average="rows").select("unit", S.rnd("att_loo").alias("att_loo"))
+
+
+# The effect without the k most influential units, k = 0 to 10.
+CUMULATIVE = LOO + """, rk AS (SELECT unit, row_number() OVER (ORDER BY abs(att_full - att_loo) DESC, unit) AS rk FROM loo),
+cs AS (SELECT k, x.* FROM range(0, 11) r(k) JOIN x ON true JOIN rk ON rk.unit = x.id WHERE rk > k),
+cd AS (SELECT k, id, t, y - avg(y) OVER (PARTITION BY k, id) - avg(y) OVER (PARTITION BY k, t) + avg(y) OVER (PARTITION BY k) AS y2, x - avg(x) OVER (PARTITION BY k, id) - avg(x) OVER (PARTITION BY k, t) + avg(x) OVER (PARTITION BY k) AS x2 FROM cs),
+cb AS (SELECT k, sum(x2*y2)/sum(x2*x2) AS b, sum(x2*x2) AS sxx, count(*) AS n, count(DISTINCT t) AS nt, count(DISTINCT id) AS ni FROM cd GROUP BY 1),
+cv AS (SELECT k, sqrt(sum(s*s)) AS v FROM (SELECT k, cd.id, sum(x2*(y2 - b*x2)) AS s FROM cd JOIN cb USING (k) GROUP BY 1, 2) GROUP BY 1)
+SELECT k::INT AS n_dropped, coalesce((SELECT string_agg(unit::VARCHAR, ',' ORDER BY rk) FROM rk WHERE rk <= k), '') AS dropped, """ + r("b") + " AS att, " + r("v/sxx*sqrt((n-1)::DOUBLE/(n-1-nt)*ni/(ni-1))") + " AS se, ni::INT AS units, n::INT AS n FROM cb JOIN cv USING (k)"
+
+
+@query("loo_cumulative", CUMULATIVE)
 def _(spark, sf):
     p = keep(D.nation_month(spark, sf)).withColumn("x", post())
-    return spark.createDataFrame(I.cumulative_drop(p, "id", "t", "y", "x", I.leave_one_out(p, "id", "t", "y", "x")), "n_dropped INT, att DOUBLE, se DOUBLE, units INT, n INT")
+    f = spark.createDataFrame(I.cumulative_drop(p, "id", "t", "y", "x", I.leave_one_out(p, "id", "t", "y", "x")), "n_dropped INT, dropped STRING, att DOUBLE, se DOUBLE, units INT, n INT")
+    return f.select("n_dropped", "dropped", S.rnd("att").alias("att"), S.rnd("se").alias("se"), "units", "n")
 
 
 @query("loo_ftest")
 def _(spark, sf):
-    p = keep(D.nation_month(spark, sf))
-    treated = [r_.id for r_ in p.where("g is not null").select("id").distinct().orderBy("id").collect()]
-    return spark.createDataFrame(I.loo_lead_test(p, "id", "t", "g", "y", treated, -6, 12), "dropped INT, f DOUBLE, df1 INT, p DOUBLE")
+    """Whole window of the panel's event times."""
+    return I.loo_lead_test(keep(D.nation_month(spark, sf)), "id", "t", "g", "y", -10_000, 10_000)
 
 
 @query("unit_raw_diff", with_(P1) + "SELECT id, " + r("avg(y) FILTER (t < g)") + " AS mean_pre, " + r("avg(y) FILTER (t >= g)") + " AS mean_post, count(*) FILTER (t < g) AS n_pre, count(*) FILTER (t >= g) AS n_post, " + r("avg(y) FILTER (t >= g) - avg(y) FILTER (t < g)") + " AS raw_diff FROM p1 WHERE g IS NOT NULL GROUP BY 1")
