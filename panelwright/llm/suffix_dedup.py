@@ -17,8 +17,10 @@ end of the last window), split at the anchor into a suffix to the right and a re
    independent 64-bit hashes, whatever bucket they would be in.
 4. Repeated windows go back to all places of their runs and are merged per document.
 
-Nulls and odd cases: a null text is empty; texts under WIDTH bytes lose nothing; rows equal in doc_id and text are one
-document stated repeatedly and all get its result; a null doc_id counts as an id of its own and comes back as null;
+A place is a position in a row: a run that stands in two rows stands in two places even if the rows are equal in id and text.
+
+Nulls and odd cases: a null text is empty; texts under WIDTH bytes lose nothing; rows equal in doc_id and text are documents
+of their own, so each loses what the others hold too; null ids are told apart by their rows and come back as null;
 texts of any length are used whole; further columns are left out; an empty table gives an empty result.
 """
 
@@ -182,6 +184,7 @@ def sort_buckets(parts):
 
     def close(rows: list[pd.DataFrame]) -> pd.DataFrame:
         d = pd.concat(rows) if len(rows) > 1 else rows[0]
+        d = d.drop_duplicates(RUN)  # sent by several tasks
         found = repeated_windows(d["_text"].tolist(), d["_low"].to_numpy(), d["_high"].to_numpy(), d["_several"].to_numpy(bool))
         starts, ends = intervals(found)
         return d[RUN].assign(_from=starts, _to=ends)[found.any(axis=1)]
@@ -194,6 +197,8 @@ def sort_buckets(parts):
                 held = []
             bucket = b
             held.append(d)
+            if len(held) > 64:
+                held = [pd.concat(held).drop_duplicates(RUN)]
     if held:
         yield close(held)
 
@@ -234,14 +239,14 @@ def with_texts(runs: DataFrame, docs: DataFrame) -> DataFrame:
     """The text of every run, cut from the document of its smallest place."""
     places = runs.groupBy("_did", "_tid").agg(F.collect_list(F.struct("_p", *RUN, "_several", "_bucket")).alias("_runs"))
     joined = docs.join(places, ["_did", "_tid"])
+    done: set[tuple[int, int]] = set()  # of a task: repeated rows send their runs once
 
     def run(batch):
         names = [*RUN, "_several", "_bucket"]
         out = {n: [] for n in [*names, "_text"]}
-        done = set()
         for did, tid, t, found in zip(*(column(batch, c).to_pylist() for c in ("_did", "_tid", "text", "_runs"))):
             if (did, tid) in done:
-                continue  # a repeated row
+                continue
             done.add((did, tid))
             raw = (t or "").encode("utf-8", "replace")
             for r in found:
@@ -266,8 +271,8 @@ def removed_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     places = written(every.join(again, "_g"), "places")
     remove(spark, path)
     loc = F.struct("_did", "_tid", "_p")
-    runs = places.groupBy(*RUN).agg(F.min(loc).alias("_a"), F.max(loc).alias("_b"), F.min("_lead").alias("_lead"))
-    runs = written(runs.select(*RUN, "_lead", "_a.*", (F.col("_a") != F.col("_b")).alias("_several")), "runs")
+    runs = places.groupBy(*RUN).agg(F.min(loc).alias("_a"), F.count("*").alias("_k"), F.min("_lead").alias("_lead"))
+    runs = written(runs.select(*RUN, "_lead", "_a.*", (F.col("_k") > 1).alias("_several")), "runs")
     size = runs.groupBy("_g").agg(F.count("*").alias("_n"), F.max("_several").alias("_any"))
     hot_grams = written(size.where(F.col("_n") > hot).select("_g"), "hot")
     n_hot, total = hot_grams.count(), runs.count()
@@ -288,7 +293,9 @@ def removed_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     if n_hot:
         hot_text = text.join(hot_grams.hint("broadcast") if n_hot < 10_000 else hot_grams, "_g", "left_semi")
         found = found.unionByName(hot_windows(hot_text.drop("_bucket")))
-    hits = places.join(found, RUN)
+    # Rows equal in id and text hold their runs at the same places: they are told once here, and met by every row at the end.
+    at = places.select("_did", "_tid", "_p", *RUN).distinct()
+    hits = at.join(found.dropDuplicates(RUN), RUN)
     spans = F.zip_with("_from", "_to", lambda a, b: F.struct((F.col("_p") + a).alias("from"), (F.col("_p") + b).alias("to")))
     return hits.select("_did", "_tid", spans.alias("_s")).groupBy("_did", "_tid").agg(F.flatten(F.collect_list("_s")).alias("_spans"))
 

@@ -70,3 +70,21 @@ def test_query_equals_brute_force(spark):
         raw = (t or "").encode()
         kept = S.cut(raw, spans)
         assert got[i] == (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+
+
+@pytest.mark.parametrize("tasks,joins", [(1, "-1"), (4, "-1"), (4, "10m")])
+@pytest.mark.parametrize("hot", [100_000, 2])
+def test_repeated_rows_are_places_of_their_own(spark, tasks, joins, hot):
+    """Equal ids, null ids and another id, in one task and in several, with and without broadcast joins."""
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    a, b, c, d = text(900), text(700), text(1200), text(500)
+    rows = [(1, a), (1, a), (2, "x" + b), (None, b), (None, c), (None, c), (3, d), (None, None), (None, None), (4, d[:399])] + [(5, c[:450])] * 9
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)
+        got = sorted((str(x.doc_id), x.n_bytes, [tuple(v) for v in x.removed]) for x in S.dedup_bytes(docs, hot).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted((str(i), len(t or ""), m) for (i, t), m in zip(rows, S.brute([t for _, t in rows])))
