@@ -3,7 +3,9 @@
 The bytes of a pre-token form a linked list. Every adjacent pair that the ranks know goes into the bucket of its merge
 rank, as a list position; a two-level bitmap marks the non-empty buckets, so the lowest rank is found by two
 find-first-set steps. Positions of a bucket are taken in ascending order; an entry whose pair has changed since is stale
-and skipped. A merge costs a constant number of queue steps, without the rescans that make the usual loop quadratic. Distinct pre-tokens are kept in a bounded table per worker.
+and skipped. A merge costs two find-first-set steps and a heap step in its bucket, logarithmic in the bucket's positions,
+without the rescans that make the usual loop quadratic. Distinct pre-tokens are kept in a bounded table per worker. Digests
+of decoded bytes are taken from the ids of the whole text.
 
 Nulls and odd cases: a null text counts as empty and gives no ids; lone surrogates cannot occur in Spark strings; texts of
 any length are encoded whole; rows are independent, so repeated rows and null ids pass through; further columns are left
@@ -124,11 +126,10 @@ class Codec:
         return np.fromstring(self.joined(self.find(text)), np.int32, sep=" ")
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, their digest, and that of the bytes they decode to: every distinct pre-token's ids were decoded
-        and compared when it entered the table, so the decoded text is the pre-tokens' bytes in a row."""
-        pieces = self.find(text)
-        ids = self.joined(pieces)
-        return (ids.count(b" ") + 1 if ids else 0), hashlib.sha256(ids).hexdigest(), hashlib.sha256("".join(pieces).encode()).hexdigest()
+        """Number of ids, their digest, and that of the bytes they decode to."""
+        ids = self.joined(self.find(text))
+        numbers = np.fromstring(ids, np.int32, sep=" ").tolist()
+        return len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(self.decode(numbers)).hexdigest()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
