@@ -5,10 +5,14 @@ prefix and all hosts below it an interval. Rules and urls are dealt by sampled s
 every bucket its interval meets: at most one per bucket and nesting level besides its first), sorted in each bucket and
 swept once; the sweep keeps a stack of the rules whose interval is open and asks each for its path, longest rule first.
 
-Splitters cover host, path and a hash of the row, so that one host, or one url, with a third of the rows is spread over
-buckets. Nulls and odd cases: a null url or one without :// has empty host and path and no rule; null hosts of rules
-are skipped; repeated rows each get their verdict; ties between rules of equal length go to the longer host, then to the
-smaller verdict; an empty table of urls gives an empty result, an empty table of rules the default verdict throughout.
+A verdict follows from host and path alone, and rows meet it by these and a hash of the row: rows that share a hash have
+distinct hosts or paths or equal verdicts. Splitters cover host, path and that hash, so that one host, or one url, with a
+third of the rows is spread over buckets.
+
+Nulls and odd cases: a null url or one without :// has empty host and path and no rule; null hosts of rules are skipped;
+urls of any length are compared whole; repeated rows each get their verdict; ties between rules of equal length go to the
+longer host, then to the smaller verdict; an empty table of urls gives an empty result, an empty table of rules the default
+verdict throughout.
 """
 
 from __future__ import annotations
@@ -69,8 +73,8 @@ def sweep(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if best is None or rank < best[0]:
                         best = (rank, h + p, v)
             if best is not None:
-                out.append((row, best[1], best[2]))
-        yield pd.DataFrame(out, columns=["_row", "_rule", "_found"]).astype({"_row": "int64"})
+                out.append((row, host, path, best[1], best[2]))
+        yield pd.DataFrame(out, columns=["_row", "host", "path", "_rule", "_found"]).astype({"_row": "int64"})
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", buckets: int | None = None) -> DataFrame:
@@ -96,8 +100,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", bucke
     right = r.distinct().select(host_key(F.col("host")).alias("_key"), "host", "path", "verdict")
     right = right.select(F.explode(F.sequence(bucket_of(F.col("_key")), bucket_of(F.concat("_key", F.lit(TOP))))).alias("_bucket"), "_key", F.lit(False).alias("_url"), F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("verdict").alias("_verdict"), F.lit(0).cast("long").alias("_row"))
     dealt = left.unionByName(right).repartition(n, "_bucket").sortWithinPartitions("_bucket", "_key", "_url", "_path")
-    found = dealt.mapInPandas(sweep, "_row long, _rule string, _found string")
-    return p.join(found, "_row", "left").select("page_id", "host", "path", F.col("_rule").alias("rule"), F.coalesce("_found", F.lit(default)).alias("verdict"))
+    found = dealt.mapInPandas(sweep, "_row long, host string, path string, _rule string, _found string")
+    return p.join(found, ["_row", "host", "path"], "left").select("page_id", "host", "path", F.col("_rule").alias("rule"), F.coalesce("_found", F.lit(default)).alias("verdict"))
 
 
 #: The rules of the registered query (host, path, verdict).

@@ -52,3 +52,11 @@ def test_query_equals_sql(spark):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
     want = sorted(map(str, con.execute(R.SQL).fetchall()))
     assert sorted(str(tuple(r)) for r in R.judge_urls(spark.read.parquet(f"{DATA}/pages.parquet"), R.rules_frame(spark)).collect()) == want
+
+
+def test_rows_with_one_hash_keep_their_own_verdicts(spark, monkeypatch):
+    """All rows share the row hash: hosts and paths tell them apart."""
+    monkeypatch.setattr(R.F, "xxhash64", lambda *c: R.F.lit(7).cast("long"))
+    pages = spark.createDataFrame([(1, "http://a.example.com/en/x"), (2, "http://www.example.com/en/x"), (3, "http://a.net/es/"), (3, "http://a.net/es/"), (4, None)], "page_id long, url string")
+    got = sorted((r.page_id, r.rule, r.verdict) for r in R.judge_urls(pages, R.rules_frame(spark)).collect())
+    assert got == [(1, "example.com/en/", "block"), (2, "www.example.com/en/", "allow"), (3, "net/es/", "block"), (3, "net/es/", "block"), (4, None, "allow")]
