@@ -39,20 +39,3 @@ def solve_spd(a: np.ndarray, b: np.ndarray, what: str) -> np.ndarray:
 def means(df: DataFrame, exprs: dict[str, Column]) -> dict[str, float]:
     """Averages of expressions as one aggregate row."""
     return df.agg(*[F.avg(e).alias(n) for n, e in exprs.items()]).first().asDict()
-
-
-def independent_columns(xtx: np.ndarray, tol: float = 1e-9) -> list[int]:
-    """Columns kept by a pivot-free Cholesky sweep of a Gram matrix, in order;
-    a column explained by the ones before it is dropped."""
-    kept: list[int] = []
-    scale = np.sqrt(np.maximum(np.diag(xtx), 1e-300))
-    c = xtx / np.outer(scale, scale)
-    for j in range(len(c)):
-        if kept:
-            sub = c[np.ix_(kept, kept)]
-            rest = c[j, j] - c[j, kept] @ np.linalg.solve(sub, c[kept, j])
-        else:
-            rest = c[j, j]
-        if rest > tol:
-            kept.append(j)
-    return kept

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.functions import scalars as S
 from panelwright.operators import did2x2 as E
 from panelwright.operators.glm import family, glm_fit
-from panelwright.operators.moments import gram, independent_columns, unpack
+from panelwright.operators.factors import column_factor, independent
 from panelwright.plans import panels as D
 from panelwright.plans.panels import P2, P4, P5, with_
 from panelwright.plans.registry import query, r
@@ -187,13 +187,15 @@ def _(spark, sf):
     return m.select("id", *[F.col("x")[i].alias(f"c{i}") for i in range(4)])
 
 
-@query("p_collinear_drop", with_(P5) + "SELECT unnest(['const','x1','x2']) AS kept FROM (SELECT 1)")
+# A column is kept if those before it leave some of its variance: squared (multiple) correlations below one.
+@query("p_collinear_drop", with_(P5) + """, x AS (SELECT x1, x2, 2*x1 AS a, x1 + x2 AS b FROM p5),
+c AS (SELECT corr(x1, a) AS r1a, corr(x1, x2) AS r12, corr(x1, b) AS r1b, corr(x2, b) AS r2b, var_pop(x1) AS v1 FROM x)
+SELECT kept FROM (SELECT unnest(['const','x1','x1_twice','x2','x1_plus_x2']) AS kept, unnest([1.0, v1, 1 - r1a*r1a, 1 - r12*r12, 1 - (r1b*r1b + r2b*r2b - 2*r1b*r2b*r12)/(1 - r12*r12)]) AS rest FROM c) WHERE rest > 1e-9""")
 def _(spark, sf):
     p = D.two_period(spark, sf)
     names = ["const", "x1", "x1_twice", "x2", "x1_plus_x2"]
-    x = [F.lit(1.0), F.col("x1"), 2 * F.col("x1"), F.col("x2"), F.col("x1") + F.col("x2")]
-    g = gram(p, [], x, F.col("y1")).first()
-    return spark.createDataFrame([(names[i],) for i in independent_columns(unpack(g.xtx, 5))], "kept STRING")
+    r_ = column_factor(p, [F.lit(1.0), F.col("x1"), 2 * F.col("x1"), F.col("x2"), F.col("x1") + F.col("x2")])
+    return spark.createDataFrame([(names[i],) for i in independent(r_)], "kept STRING")
 
 
 @query("panel_overlap_trim", with_(P5) + ", s AS (SELECT x1, sum(w*d)/sum(w) AS ps FROM p5 GROUP BY 1) SELECT x1, " + r("ps") + " AS ps, count(*) AS treated, (ps > 0.34) AS trimmed FROM p5 JOIN s USING (x1) WHERE d = 1 GROUP BY 1, 2, 4")

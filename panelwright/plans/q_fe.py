@@ -294,6 +294,45 @@ def _(spark, sf):
     return _coefs(spark, fit)
 
 
+# Outcome on x1 and on z = x1 + 1e-9 h: the same fit as on x1 and h, whose coefficient is that of h around its mean per x1.
+ILL = with_(P4) + """, m AS (SELECT y, x1, (w > 25)::INT::DOUBLE AS h, avg(y) OVER (PARTITION BY x1) AS my, avg((w > 25)::INT::DOUBLE) OVER (PARTITION BY x1) AS mh FROM p4),
+c AS (SELECT sum((h-mh)*y)/sum((h-mh)*(h-mh)) AS c, sum((y-my)*(y-my)) AS s, sum((h-mh)*(h-mh)) AS hh FROM m)
+SELECT """ + r("c", 4) + " AS slope_h, " + r("s - c*c*hh", 3) + " AS deviance, 3 AS rank FROM c"
+
+
+def _ill(method):
+    def run(spark, sf):
+        p = D.cross_section(spark, sf).withColumn("h", (F.col("w") > 25).cast("double"))
+        f = M.glm_fit(p, "y", [F.lit(1.0), F.col("x1"), F.col("x1") + F.col("h") * 1e-9], M.family("gaussian"), method=method)
+        return spark.createDataFrame([(float(f.coef[2] * 1e-9), f.deviance, f.rank)], "slope_h DOUBLE, deviance DOUBLE, rank INT").select(S.rnd("slope_h", 4).alias("slope_h"), S.rnd("deviance", 3).alias("deviance"), "rank")
+
+    return run
+
+
+query("glm_fit_qr", ILL)(_ill("qr"))
+query("glm_fit_pivoted_qr", ILL)(_ill("pivoted_qr"))
+query("glm_fit_svd", ILL)(_ill("svd"))
+
+
+@query("glm_aliased", with_(P4) + "SELECT unnest(['const', 'x1', 'x1_twice']) AS term, unnest([" + r("max(CASE WHEN x1=0 THEN m END)") + ", NULL, " + r("(max(CASE WHEN x1=1 THEN m END) - max(CASE WHEN x1=0 THEN m END))/2") + "]) AS estimate, 2 AS rank FROM (SELECT x1, avg(y) AS m FROM p4 GROUP BY 1)")
+def _(spark, sf):
+    f = M.glm_fit(D.cross_section(spark, sf), "y", [F.lit(1.0), F.col("x1"), 2 * F.col("x1")], M.family("gaussian"), names=["const", "x1", "x1_twice"], method="pivoted_qr")
+    return spark.createDataFrame([(t[0], t[1], f.rank) for t in f.summary()], "term STRING, estimate DOUBLE, rank INT").withColumn("estimate", S.rnd("estimate"))
+
+
+# Fitted means of the saturated design are cell means; the dispersion of the likelihood is deviance over rows.
+LOGLIK = with_(P4) + """, m AS (SELECT d, y, avg(d) OVER (PARTITION BY x1) AS md, avg(y) OVER (PARTITION BY x1) AS my FROM p4),
+v AS (SELECT count(*)::DOUBLE AS n, sum((y-my)*(y-my)) AS s, sum(-2*(ln(y/my) - (y-my)/my)) AS g, sum(ln(y)) AS ly, sum(ln(my)) AS lm, sum(y/my) AS ry, sum(CASE WHEN d=1 THEN ln(md) ELSE ln(1-md) END) AS b FROM m)
+SELECT 'binomial' AS family, """ + r("b", 3) + " AS loglik FROM v UNION ALL SELECT 'gaussian', " + r("-n/2*(ln(2*pi()*s/n)+1)", 3) + " FROM v UNION ALL SELECT 'gamma', " + r("n/g*n*ln(n/g) - n*lgamma(n/g) + (n/g-1)*ly - n/g*lm - n/g*ry", 3) + " FROM v"
+
+
+@query("glm_loglik", LOGLIK)
+def _(spark, sf):
+    rows = [("binomial", "d", None), ("gaussian", "y", None), ("gamma", "y", "sqrt")]
+    got = [(n, M.glm_fit(D.cross_section(spark, sf), y, one(), M.family(n, link), tol=1e-12).loglik) for n, y, link in rows]
+    return spark.createDataFrame(got, "family STRING, loglik DOUBLE").withColumn("loglik", S.rnd("loglik", 3))
+
+
 @query("glm_big")
 def _(spark, sf):
     """Forty columns: cross products go through Arrow batches."""
