@@ -1,19 +1,24 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased words and the beginnings (PREFIXES letters) of longer words. A bounded sample of labelled texts
-gives the vocabulary (terms whose document frequencies differ between the labels: by a log-likelihood ratio of at
-least MIN_G2, so that chance finds none among millions of terms, and by a factor of at least LIFT; at most VOCABULARY), the IDF weights and the examples. The examples' inverted index is cut into blocks of examples; of every
-term and block the largest weight is kept. A text's cosine with a block is at most the sum of its weights times these
-maxima, so blocks are visited in descending order of the bound until it falls below the ``k``-th best cosine: the
-neighbours are exact, ties go to the smaller position in the index. Neighbours vote with weight cosine / (1.05 - cosine)
-beside a small vote of the base rate; the vote is calibrated by isotonic regression on the sample's leave-one-out votes,
-weighted back to the labels' frequencies.
-
-Sample (documented bound): per label the PER_LABEL learnable labelled documents with the smallest hash of doc_id.
-
-Nulls and odd cases: null and empty texts, and texts without a term of the vocabulary, get the calibrated rate of examples
-without terms; labels other than 0 and 1, null ids and labels without a document are not learnt from; of repeated rows of
-one id one is learnt from and each is scored; without any toxic example every score is 0; whole texts are read; further
+Terms are all lower-cased words of a bounded sample of labelled texts, and those beginnings (PREFIXES letters) of longer
+words whose document frequencies differ between the labels. A weight is (1 + ln tf) x IDF, times BOOST for terms that differ
+between the labels beyond chance: by a log-likelihood ratio of at least MIN_G2, so that chance finds none among millions of
+terms, and by a factor of at least LIFT. Vectors have length 1.
+
+The examples' inverted index holds, per term, its examples in order; per term and block of BLOCK examples, where the block's
+entries lie and the largest weight. A search first sums the terms that few examples have, over all blocks; the ``k``-th best
+of these partial cosines is a floor. A block whose best partial cosine plus the sum of the block maxima of the frequent
+terms stays below the floor is skipped; in the others the frequent terms are added too. The neighbours are exact, ties go
+to the smaller position in the index. Neighbours vote with weight cosine / (1.05 - cosine), times the labelled documents
+they stand for, beside a small vote of the base rate; the vote is calibrated by isotonic regression on the sample's
+leave-one-out votes, weighted back to the labels' frequencies.
+
+Sample (documented bound): per label the PER_LABEL learnable labelled documents with the smallest hash of doc_id. The index
+holds the distinct words of these texts and nothing else: it grows with the length of a text, not with the table.
+
+Nulls and odd cases: null and empty texts, and texts without a term of the index, get the calibrated rate of examples
+without neighbours; labels other than 0 and 1, null ids and labels without a document are not learnt from; of repeated rows
+of one id one is learnt from and each is scored; without any toxic example every score is 0; whole texts are read; further
 columns are left out of scores and kept by the filter; an empty table gives an empty result.
 """
 
@@ -30,8 +35,10 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import SLICE, column, held_out, learnable, map_slices, need, smallest_hashes, texts
 
-PER_LABEL, VOCABULARY, MIN_G2, MIN_DF, LIFT = 2500, 1024, 34.0, 3, 4.0
+PER_LABEL, MIN_G2, MIN_DF, LIFT, BOOST = 2500, 34.0, 3, 4.0, 40.0
 PREFIXES, BLOCK, NEIGHBOURS, PRIOR = (4, 5, 6, 7), 64, 15, 0.25
+#: Terms that a larger share of the examples has are added last, where the blocks' maxima allow.
+FEW = 0.125
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -58,54 +65,103 @@ def heads_of(vocabulary) -> dict[str, list[tuple[str, str]]]:
     return out
 
 
+def expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of runs given by start and size."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Postings:
+    """Sparse inverted index of example vectors, with block maxima."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        self.n = len(vectors)
+        self.blocks = -(-self.n // BLOCK)
+        term = np.concatenate([np.empty(0, np.int64), *(r for r, _ in vectors)])
+        at = np.repeat(np.arange(self.n), [len(r) for r, _ in vectors])
+        w = np.concatenate([np.empty(0), *(x for _, x in vectors)])
+        order = np.lexsort((at, term))
+        term, self.example, self.weight = term[order], at[order].astype(np.int32), w[order]
+        self.size = np.bincount(term, minlength=n_terms)
+        self.start = np.cumsum(self.size) - self.size
+        # Entries of one term in one block lie side by side.
+        key = term * max(1, self.blocks) + self.example // BLOCK
+        self.b_first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.b_size = np.diff(np.append(self.b_first, len(key)))
+        self.b_max = np.maximum.reduceat(self.weight, self.b_first) if len(key) else np.empty(0)
+        self.b_block = (key[self.b_first] % max(1, self.blocks)).astype(np.int32)
+        self.t_size = np.bincount(term[self.b_first], minlength=n_terms)
+        self.t_start = np.cumsum(self.t_size) - self.t_size
+
+    def nearest(self, rows: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the ``k`` nearest examples with a positive cosine, exactly."""
+        few = self.size[rows] <= FEW * self.n
+        r, x = rows[few], w[few]
+        at = expand(self.start[r], self.size[r])
+        cosine = np.bincount(self.example[at], self.weight[at] * np.repeat(x, self.size[r]), self.n).astype(float)
+        r, x = rows[~few], w[~few]
+        if len(r):
+            # Block entries of the frequent terms, and what these can add to a cosine in each block.
+            e = expand(self.t_start[r], self.t_size[r])
+            x = np.repeat(x, self.t_size[r])
+            rest = np.bincount(self.b_block[e], self.b_max[e] * x, self.blocks)
+            partial = cosine.copy()
+            if without >= 0:
+                partial[without] = -1.0
+            floor = np.partition(partial, self.n - k)[self.n - k] if self.n > k else -1.0
+            best = np.full(self.blocks * BLOCK, -1.0)
+            best[: self.n] = partial
+            open_ = best.reshape(self.blocks, BLOCK).max(axis=1) + rest >= floor - 1e-9
+            use = open_[self.b_block[e]]
+            e, x = e[use], x[use]
+            at = expand(self.b_first[e], self.b_size[e])
+            cosine += np.bincount(self.example[at], self.weight[at] * np.repeat(x, self.b_size[e]), self.n)
+            cosine[~np.repeat(open_, BLOCK)[: self.n]] = 0.0  # below the floor, whatever the frequent terms add
+        if without >= 0:
+            cosine[without] = 0.0
+        found = np.flatnonzero(cosine > 0)
+        if len(found) > k:
+            found = found[cosine[found] >= np.partition(cosine[found], len(found) - k)[len(found) - k] - 1e-12]
+        order = np.lexsort((found, -cosine[found].round(12)))[:k]
+        return found[order], cosine[found[order]]
+
+
 @dataclass
 class Index:
     at: dict[str, int]  # term -> row
     heads: dict[str, list[tuple[str, str]]]
-    idf: np.ndarray
-    weights: np.ndarray  # terms x examples, columns of length 1
-    tops: np.ndarray  # terms x blocks: largest weight
+    factor: np.ndarray  # IDF, boosted
+    postings: Postings
     labels: np.ndarray
+    stands: np.ndarray  # labelled documents an example stands for, on average 1
     ids: np.ndarray
     base: float
     grid: np.ndarray  # calibration: votes and rates, both ascending
     rates: np.ndarray
-    bare: float  # rate of texts without terms
+    bare: float  # rate of texts without neighbours
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Rows and weights (length 1) of a text's terms."""
-        got: dict[int, int] = {}
         at, heads, short = self.at, self.heads, PREFIXES[0]
-        for w, n in counts.items():
-            if w in at:
-                got[at[w]] = got.get(at[w], 0) + n
-            if w[:short] in heads:
-                for p, t in heads[w[:short]]:
-                    if len(w) > len(p) and w.startswith(p):
-                        got[at[t]] = got.get(at[t], 0) + n
-        rows = np.array(sorted(got), np.int64)
+        got = {at[w]: n for w, n in counts.items() if w in at}
+        if heads:
+            for w, n in counts.items():
+                if w[:short] in heads:
+                    for p, t in heads[w[:short]]:
+                        if len(w) > len(p) and w.startswith(p):
+                            got[at[t]] = got.get(at[t], 0) + n
+        rows = np.fromiter(got, np.int64, len(got))
         if not len(rows):
             return rows, np.empty(0)
-        w = (1 + np.log([got[r] for r in rows])) * self.idf[rows]
-        return rows, w / np.sqrt(w @ w)
+        w = (1 + np.log(np.fromiter(got.values(), float, len(got)))) * self.factor[rows]
+        order = np.argsort(rows)
+        return rows[order], w[order] / np.sqrt(w @ w)
 
     def nearest(self, rows: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the ``k`` nearest examples with a positive cosine, exactly."""
-        bound = w @ self.tops[rows]
-        best_c, best_i = np.empty(0), np.empty(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best_c) == k and bound[b] < best_c[-1] - 1e-12):
-                break
-            c = w @ self.weights[rows, b * BLOCK : (b + 1) * BLOCK]
-            i = np.flatnonzero(c > 0)
-            i = i[i + b * BLOCK != without]
-            c_all, i_all = np.concatenate([best_c, c[i]]), np.concatenate([best_i, i + b * BLOCK])
-            order = np.lexsort((i_all, -c_all.round(12)))[:k]
-            best_c, best_i = c_all[order], i_all[order]
-        return best_i, best_c
+        return self.postings.nearest(rows, w, k, without)
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
-        w = cosine / (1.05 - np.minimum(cosine, 1.0))
+        w = cosine / (1.05 - np.minimum(cosine, 1.0)) * self.stands[at]
         return float((w @ self.labels[at] + PRIOR * self.base) / (w.sum() + PRIOR))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
@@ -129,31 +185,35 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return b[:, 0] / b[:, 2], (b[:, 1] + 1e-3 * 0.5) / (b[:, 2] + 1e-3)
 
 
-def build(sample: list[tuple[int, int, str]], vocabulary: list[str], share: dict[int, float]) -> Index:
-    """``sample``: (doc_id, label, text), ``share``: how many labelled documents one sampled one stands for."""
+def build(sample: list[tuple[int, int, Counter]], marked: list[str], share: dict[int, float]) -> Index:
+    """``sample``: (doc_id, label, words), ``marked``: terms that differ between the labels, ``share``: how many labelled
+    documents one sampled one stands for."""
     n = len(sample)
-    sets = [terms(words(t)) for _, _, t in sample]
-    df = Counter(t for s in sets for t in s)
-    idf = np.array([np.log((n + 1) / (df[t] + 1)) + 1 for t in vocabulary])
+    heads = heads_of(marked)
+    vocabulary = sorted({w for _, _, c in sample for w in c} | {t for t in marked if t.endswith("*")})
     w = np.array([share[y] for _, y, _ in sample])
     y = np.array([float(x) for _, x, _ in sample])
     base = float(w @ y / w.sum())
-    ix = Index({t: k for k, t in enumerate(vocabulary)}, heads_of(vocabulary), idf, np.zeros((len(vocabulary), 0)), np.zeros((len(vocabulary), 0)), y, np.zeros(0), base, np.array([0.0, 1.0]), np.array([0.0, 1.0]), base)
-    vectors = [ix.vector(words(t)) for _, _, t in sample]
-    bare = np.array([not len(r) for r, _ in vectors])
-    ix.bare = float(((w * y)[bare].sum() + 0.5 * base) / (w[bare].sum() + 0.5))
+    ix = Index({t: k for k, t in enumerate(vocabulary)}, heads, np.ones(len(vocabulary)), Postings([], len(vocabulary)), y, w / w.mean(), np.zeros(0), base, np.array([0.0, 1.0]), np.array([0.0, 1.0]), base)
+    df = np.zeros(len(vocabulary))
+    for _, _, c in sample:
+        df[ix.vector(c)[0]] += 1
+    ix.factor = np.log((n + 1) / (df + 1)) + 1
+    ix.factor[[ix.at[t] for t in marked if t in ix.at]] *= BOOST
+    vectors = [ix.vector(c) for _, _, c in sample]
     # Like examples side by side make tight block bounds.
-    order = sorted(np.flatnonzero(~bare), key=lambda k: (int(vectors[k][0][vectors[k][1].argmax()]), sample[k][0]))
-    dense = np.zeros((len(vocabulary), -(-max(1, len(order)) // BLOCK) * BLOCK))
-    for c, k in enumerate(order):
-        dense[vectors[k][0], c] = vectors[k][1]
-    ix.weights, ix.tops = dense, dense.reshape(len(vocabulary), dense.shape[1] // BLOCK, BLOCK).max(axis=2)
-    ix.labels, ix.ids = y[order] if len(order) else np.zeros(0), np.array([sample[k][0] for k in order], np.int64)
-    votes, truth, weight = [], [], []
-    for c, k in enumerate(order):
-        at, cosine = ix.nearest(*vectors[k], without=c)
+    order = sorted(range(n), key=lambda k: (int(vectors[k][0][vectors[k][1].argmax()]) if len(vectors[k][0]) else -1, sample[k][0]))
+    vectors = [vectors[k] for k in order]
+    ix.postings = Postings(vectors, len(vocabulary))
+    w, y = w[order], y[order]
+    ix.labels, ix.stands, ix.ids = y, w / w.mean(), np.array([sample[k][0] for k in order], np.int64)
+    votes, truth, weight, alone = [], [], [], np.zeros(n, bool)
+    for c in range(n):
+        at, cosine = ix.nearest(*vectors[c], without=c) if len(vectors[c][0]) else (np.empty(0, int), np.empty(0))
+        alone[c] = not len(at)
         if len(at):
-            votes.append(ix.vote(at, cosine)), truth.append(y[k]), weight.append(w[k])
+            votes.append(ix.vote(at, cosine)), truth.append(y[c]), weight.append(w[c])
+    ix.bare = float(((w * y)[alone].sum() + 0.5 * base) / (w[alone].sum() + 0.5))
     if votes:
         grid, rates = isotonic(np.array(votes), np.array(truth), np.array(weight))
         # A slight slope keeps the order of votes inside a block of equal rates.
@@ -175,36 +235,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | None:
     ids = spark.createDataFrame(chosen, "doc_id long, toxic int")
     rows = d.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
 
-    def term_rows(batch):
-        found = [terms(words(t)) for t in texts(batch)]
-        y = column(batch, "toxic").to_pylist()
-        return {"term": [t for s in found for t in s], "toxic": [v for v, s in zip(y, found) for _ in s]}
-
-    n1, n0 = (min(size[v], PER_LABEL) for v in (1, 0))
-    df = map_slices(rows, term_rows, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= MIN_DF)
-    a, b, n = F.col("a"), F.col("b"), n1 + n0
-
-    def part(seen, row, col):  # one cell of the table term x label
-        return F.when(seen > 0, 2 * seen * F.log(seen * n / (row * F.lit(float(col))))).otherwise(0.0)
-
-    rest = F.lit(n) - a - b
-    g2 = part(a, a + b, n1) + part(b, a + b, n0) + part(n1 - a, rest, n1) + part(n0 - b, rest, n0)
+    def word_rows(batch):
+        found = [words(t) for t in texts(batch)]
+        return {"doc_id": column(batch, "doc_id"), "toxic": column(batch, "toxic"), "words": [list(c) for c in found], "times": [list(c.values()) for c in found]}
+
+    held = map_slices(rows, word_rows, "doc_id long, toxic int, words array<string>, times array<int>").collect()  # at most 2 * PER_LABEL
+    sample = sorted(((r.doc_id, r.toxic, Counter(dict(zip(r.words, r.times)))) for r in held), key=lambda r: r[0])
+    return build(sample, marked_terms([(y, c) for _, y, c in sample]), {v: size[v] / min(size[v], PER_LABEL) for v in size})
+
+
+def marked_terms(sample: list[tuple[int, Counter]]) -> list[str]:
+    """Words and beginnings whose document frequencies differ between the labels, by MIN_G2, MIN_DF and LIFT."""
+    seen = {v: Counter(t for y, c in sample if y == v for t in terms(c)) for v in (0, 1)}
+    n1, n0 = (sum(y == v for y, _ in sample) for v in (1, 0))
+    names = [t for t in sorted(seen[0].keys() | seen[1].keys()) if seen[0][t] + seen[1][t] >= MIN_DF]
+    if not names:
+        return []
+    a, b = (np.array([seen[v][t] for t in names], float) for v in (1, 0))
+    n, g2 = n1 + n0, np.zeros(len(names))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for cell, row, total in ((a, a + b, n1), (b, a + b, n0), (n1 - a, n - a - b, n1), (n0 - b, n - a - b, n0)):  # the table term x label
+            g2 += np.where(cell > 0, 2 * cell * np.log(cell * n / (row * float(total))), 0.0)
     r1, r0 = (a + 0.1) / n1, (b + 0.1) / n0
-    vocabulary = [r.term for r in df.withColumn("_x", g2).where((F.col("_x") >= MIN_G2) & ((r1 >= LIFT * r0) | (r0 >= LIFT * r1))).orderBy(F.desc("_x"), "term").limit(VOCABULARY).collect()]
-    wanted, heads = set(vocabulary), heads_of(vocabulary)
-
-    def reduced(batch):  # only words that can matter travel to the driver
-        kept = [" ".join(w for w, k in words(t).items() if w in wanted or w[: PREFIXES[0]] in heads for _ in range(k)) for t in texts(batch)]
-        return {"doc_id": column(batch, "doc_id"), "toxic": column(batch, "toxic"), "text": kept}
-
-    got = map_slices(rows, reduced, "doc_id long, toxic int, text string").collect()  # at most 2 * PER_LABEL
-    sample = sorted((r.doc_id, r.toxic, r.text) for r in got)
-    return build(sample, vocabulary, {v: size[v] / min(size[v], PER_LABEL) for v in size})
+    return [t for t, x in zip(names, (g2 >= MIN_G2) & ((r1 >= LIFT * r0) | (r0 >= LIFT * r1))) if x]
 
 
 def score(docs: DataFrame, index: Index | None) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, evidence (up to three nearest examples)."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)  # at most VOCABULARY x 2 * PER_LABEL cells
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # the words of at most 2 * PER_LABEL texts
 
     def run(batch):
         ix = sent.value

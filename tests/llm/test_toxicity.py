@@ -33,24 +33,62 @@ def test_held_out_accuracy(spark):
     assert 1 <= len(hit.evidence) <= 3 and hit.evidence[0].cosine >= hit.evidence[-1].cosine
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
     r = np.random.default_rng(2)
-    for trial in range(30):
+    for trial in range(40):
         n, v = 500, 40
-        w = r.random((v, n)) * (r.random((v, n)) < 0.1)
+        monkeypatch.setattr(X, "FEW", [0.0, 0.05, 0.125, 1.0][trial % 4])
+        w = r.random((v, n)) * (r.random((v, n)) < r.choice([0.02, 0.1, 0.4], size=(v, 1)))
         w = np.round(w / np.maximum(np.sqrt((w**2).sum(axis=0)), 1e-9), 2 if trial % 2 else 9)
-        pad = -n % X.BLOCK
-        dense = np.hstack([w, np.zeros((v, pad))])
-        ix = X.Index({}, {}, np.ones(v), dense, dense.reshape(v, -1, X.BLOCK).max(axis=2), np.zeros(n), np.arange(n), 0.1, np.array([0, 1.0]), np.array([0, 1.0]), 0.1)
+        ix = X.Postings([(np.flatnonzero(c), c[c > 0]) for c in w.T], v)
         rows = np.sort(r.choice(v, 6, replace=False))
         q = r.random(6)
         q /= np.sqrt(q @ q)
+        without = -1 if trial % 3 else 7
         all_c = q @ w[rows]
+        if without >= 0:
+            all_c[without] = 0
         want = [k for k in np.lexsort((np.arange(n), -all_c.round(12))) if all_c[k] > 0][:15]
-        at, cosine = ix.nearest(rows, q)
+        at, cosine = ix.nearest(rows, q, 15, without)
         assert at.tolist() == want and cosine == pytest.approx(all_c[want])
 
 
+def brute_nearest(sample, ix, text, k):
+    """Cosines of a text with every example by dictionaries of term weights."""
+    def vector(c):
+        rows, w = ix.vector(c)
+        return dict(zip(rows.tolist(), w.tolist()))
+
+    q = vector(X.words(text))
+    found = [(sum(x * v.get(t, 0.0) for t, x in q.items()), i) for i, v in ((i, vector(c)) for i, _, c in sample)]
+    return sorted(((-round(c, 10), i) for c, i in found if c > 0))[:k]
+
+
+def test_scores_equal_brute_force_and_a_copy_finds_itself(spark):
+    """A copy of a labelled text has cosine 1 with it alone: its rare words are in the index."""
+    docs, labels = corpus(spark, 300)
+    rare = [(1000 + k, " ".join([f"rareword{'abcdefgh'[k]}", f"seltenes{'abcdefgh'[k]}", *words(5000 + k, 30)])) for k in range(8)]
+    docs = docs.union(spark.createDataFrame(rare, docs.schema))
+    labels = labels.union(spark.createDataFrame([(i, 0, int(i % 2)) for i, _ in rare], labels.schema))
+    ix = X.fit(docs, labels)
+    known = {int(i) for i in ix.ids}
+    sample = [(r.doc_id, 0, X.words(r.text)) for r in docs.collect() if r.doc_id in known]
+    place = {int(i): k for k, i in enumerate(ix.ids)}
+    copies = spark.createDataFrame([(i + 5000, t) for i, t in rare if i in known], docs.schema)
+    assert copies.count() >= 4
+    for r in X.score(copies, ix).collect():
+        assert r.evidence[0].doc_id == r.doc_id - 5000 and r.evidence[0].cosine == pytest.approx(1.0) and r.evidence[1].cosine < 0.9
+    got = {r.doc_id: r for r in X.score(docs, ix).collect()}
+    for d in docs.limit(60).collect():
+        want = brute_nearest(sample, ix, d.text, X.NEIGHBOURS)
+        assert [e.cosine for e in got[d.doc_id].evidence] == pytest.approx([-c for c, _ in want[:3]], abs=1e-9)
+        at = np.array([place[i] for _, i in want])
+        cosine = np.array([-c for c, _ in want])
+        rest = sorted(-c for c, _ in want)
+        if len(rest) < X.NEIGHBOURS or len(set(np.round(rest, 9))) == len(rest):  # no tie that positions would decide
+            assert got[d.doc_id].score == pytest.approx(float(np.interp(ix.vote(at, cosine), ix.grid, ix.rates)), abs=1e-6)
+
+
 def test_isotonic_is_monotone():
     x = np.array([0.1, 0.2, 0.3, 0.4, 0.5])
     grid, rates = X.isotonic(x, np.array([0.0, 1, 0, 1, 1]), np.ones(5))
