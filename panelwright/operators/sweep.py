@@ -1,11 +1,7 @@
-"""Power, size and calibration as one distributed sweep.
-
-Replicates are rows: a panel row is expanded over replicate numbers, its draw is
-a function of (seed, replicate, unit, period), and every replicate is estimated
-by grouped sums. For a regressor fixed across replicates the both-way demeaned
-regressor is computed once; a replicate then needs its period means and one
-inner product per unit, and effects of any shape follow by linearity instead of
-being simulated again.
+"""Power, size and calibration summaries of a table of fits, and residual pools.
+
+The fits come from placebo treatments of the given panel (``placebo``); effects
+follow by linearity.
 """
 
 from __future__ import annotations
@@ -14,18 +10,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalars import MIX_MODULUS, draw31, long_array
+from panelwright.session import durable
 
 # Fixed values.
 REJECTION_RANGE = (0.02, 0.10)
 
 
-def residual_pools(df: DataFrame, time: str, resid: str, order: str, min_units: int = 2) -> DataFrame:
-    """Residuals of each period as an array in unit order (one entry per unit, so
-    its length is the unit count of a period); thin periods use the pool of all."""
-    pools = df.where(F.col(resid).isNotNull()).groupBy(time).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(resid).alias("r")))).alias("p"))
-    pools = pools.select(time, F.col("p.r").alias("pool"))
-    everything = pools.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(time).alias("o"), F.col("pool").alias("p")))), lambda x: x["p"])).alias("a")).scalar()
-    return pools.withColumn("pool", F.when(F.size("pool") >= min_units, F.col("pool")).otherwise(everything))
+def residual_pools(df: DataFrame, time: str, resid: str, order: str, min_units: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Residuals of each period, numbered in unit order: rows (pool, i, r), i from 0, so that element i of a pool is a join; and
+    per period (time, pool, size). Pool null is the pool of all periods, in period order, for periods with fewer units.
+
+    Numbers come in two levels, without a sort of a whole period in one task: rows lie sorted by (period, unit) over range
+    partitions, get their rank inside the partition, and the sizes of the parts before are added."""
+    d = df.where(F.col(resid).isNotNull()).select(F.col(time).alias("t"), F.col(order).alias("o"), F.col(resid).alias("r"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = durable(d.repartitionByRange(n, "t", "o").withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part", "t").orderBy("o")
+    ranked = d.withColumn("k", F.row_number().over(inside) - 1)
+    sizes = d.groupBy("t", "part").agg(F.count("*").alias("c"))  # periods x the few partitions each lies in
+    before = Window.partitionBy("t").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    all_before = Window.orderBy("t", "part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"b": F.coalesce(F.sum("c").over(before), F.lit(0)), "g": F.coalesce(F.sum("c").over(all_before), F.lit(0))})
+    numbered = ranked.join(sizes.select("t", "part", "b", "g"), ["t", "part"])
+    keys = d.groupBy("t").agg(F.count("*").alias("own"))
+    total = d.agg(F.count("*").alias("total"))
+    keys = keys.withColumns({"pool": F.when(F.col("own") >= min_units, F.col("t")), "size": F.when(F.col("own") >= min_units, F.col("own")).otherwise(total.scalar())})
+    thin = keys.where("pool is null").limit(1).count() > 0
+    rows = numbered.join(keys.where("pool is not null").select("t", "pool"), "t").select("pool", (F.col("b") + F.col("k")).alias("i"), "r")
+    if thin:
+        rows = rows.unionByName(numbered.select(F.lit(None).cast("bigint").alias("pool"), (F.col("g") + F.col("k")).alias("i"), "r"))
+    return rows, keys.select(F.col("t").alias(time), "pool", "size")
 
 
 def ar1_calibration(df: DataFrame, unit: str, time: str, resid: str, by: str, kind: str = "ols", clip: float = 0.95) -> DataFrame:
@@ -46,12 +60,6 @@ def replicates(n: int) -> Column:
     return F.explode(F.sequence(F.lit(1), F.lit(n)))
 
 
-def draw_from_pool(df: DataFrame, seed: int, unit: str, time: str, rep: str = "rep", pool: str = "pool") -> Column:
-    """One residual of the row's period, chosen by hash."""
-    i = F.pmod(draw31(seed, rep, unit, time), F.size(pool)).cast("int")
-    return F.get(pool, i)
-
-
 def standard_normal(seed: int, *keys) -> Column:
     """Normal draw by the polar form of two uniforms."""
     u = lambda s: (draw31(s, *keys) + F.lit(0.5)) / F.lit(float(MIX_MODULUS))
@@ -71,51 +79,12 @@ def draw_ar1(units: DataFrame, seed: int, periods: list[int], rho: float, sd: Co
     return x.select("rep", "unit", "_sd", F.explode("a").alias("a")).select("rep", "unit", F.col("a.t").alias("t"), (F.col("a.z") * F.col("_sd")).alias("draw"))
 
 
-def effect_shape(kind: str, e: Column, length: int = 12, delay: int = 6) -> Column:
-    """Multiplier of the effect by event time: step, ramp or delayed."""
-    on = F.coalesce(e >= 0, F.lit(False))
-    if kind == "step":
-        return F.when(on, 1.0).otherwise(0.0)
-    if kind == "ramp":
-        return F.when(on, F.least(F.lit(1.0), F.greatest(F.lit(0.0), e / F.lit(float(max(length, 1)))))).otherwise(0.0)
-    return F.when(on & (e >= delay), 1.0).otherwise(0.0)
-
-
 def demean_both(df: DataFrame, unit: str, time: str, x: str, out: str) -> DataFrame:
     """Column demeaned over units and periods of a balanced panel."""
     mi, mt = df.groupBy(unit).agg(F.avg(x).alias("_a")), df.groupBy(time).agg(F.avg(x).alias("_b"))
     return df.join(mi, unit).join(mt, time).withColumn(out, F.col(x) - F.col("_a") - F.col("_b") + df.agg(F.avg(x)).scalar()).drop("_a", "_b")
 
 
-def sweep_twfe(sim: DataFrame, n_units, n_periods, key: str = "rep") -> DataFrame:
-    """Static effect, cluster error and t per replicate of a balanced panel.
-
-    Input rows: (key, unit, t, y, xd) with xd the demeaned regressor. Two
-    aggregates: period means, then one inner product per unit; the cluster sum
-    expands into products, so no residual is ever stored."""
-    m = sim.groupBy(key, "t").agg(F.avg("y").alias("_m"))
-    per = sim.join(m, [key, "t"]).groupBy(key, "unit").agg(F.sum(F.col("xd") * (F.col("y") - F.col("_m"))).alias("s"), F.sum(F.col("xd") * F.col("xd")).alias("q"))
-    f = per.groupBy(key).agg(F.sum("s").alias("S"), F.sum("q").alias("Q"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("q")).alias("sq"), F.sum(F.col("q") * F.col("q")).alias("qq"), F.count("*").alias("g"))
-    b = F.col("S") / F.col("Q")
-    n = F.lit(n_units * n_periods) if not hasattr(n_units, "cast") else n_units * n_periods
-    adj = (n - 1) / (n - 1 - n_periods) * F.col("g") / (F.col("g") - 1)
-    meat = F.greatest(F.col("ss") - 2 * b * F.col("sq") + b * b * F.col("qq"), F.lit(0.0))
-    return f.select(key, b.alias("att"), (F.sqrt(meat * adj) / F.col("Q")).alias("se"))
-
-
-def p_normal(t: Column) -> Column:
-    """Two-sided normal p-value from a rational approximation of the error
-    function (absolute error below 1.2e-7), so replicates stay in the JVM."""
-    z = F.abs(t) / F.lit(2 ** 0.5)
-    u = 1 / (1 + 0.5 * z)
-    # Coefficients of the approximation.
-    c = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly = F.lit(c[-1])
-    for a in c[-2::-1]:
-        poly = F.lit(a) + u * poly
-    return u * F.exp(-z * z + poly)
-
-
 def with_effects(base: DataFrame, effects: list[float]) -> DataFrame:
     """Step effects by linearity: the estimate moves by the effect and the
     residuals, hence the standard error, stay as they are."""
@@ -149,18 +118,6 @@ def size_table(fits: DataFrame, alpha: float = 0.05, p: str = "p") -> DataFrame:
                     F.expr(f"percentile({p}, 0.95)").alias("p_q95"), F.avg("att").alias("mean_att"), F.avg("se").alias("mean_se"), (F.stddev_samp("att") / F.avg("se")).alias("implied_multiplier"))
 
 
-def placebo_schedule(units: DataFrame, cohorts: list[int], n_treated: int, reps: int, seed: int, unit: str = "unit") -> DataFrame:
-    """Random treated units and cohorts per replicate: (rep, unit, g_placebo).
-
-    Units are ranked by hash within a replicate; treated ones take a cohort by
-    another hash. Rows are replicates x units, ranked one replicate at a time."""
-    d = units.select(unit).withColumn("rep", replicates(reps))
-    d = d.withColumn("_h", draw31(seed, "rep", unit))
-    r = F.row_number().over(Window.partitionBy("rep").orderBy("_h", unit))
-    pick = F.pmod(draw31(seed + 1, "rep", unit), F.lit(len(cohorts))).cast("int")
-    return d.withColumn("_r", r).select("rep", unit, F.when(F.col("_r") <= n_treated, F.get(long_array(cohorts), pick)).alias("g_placebo"))
-
-
 def pick_threshold(sweep: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Smallest threshold whose null rejection is acceptable, else the closest to nominal."""
     lo, hi = REJECTION_RANGE

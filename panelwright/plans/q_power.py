@@ -1,10 +1,12 @@
-"""Residual pools, draws, power, size and calibration sweeps."""
+"""Residual pools, placebo treatments, power, size and threshold sweeps on the given panels."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from panelwright.functions import scalars as S
+from panelwright.functions.pvalues import p_t, p_t_sql
+from panelwright.operators import placebo as PL
 from panelwright.operators import sweep as W
 from panelwright.plans import panels as D
 from panelwright.plans.panels import P1, P2, with_
@@ -12,56 +14,36 @@ from panelwright.plans.q_fe import demean_sql, post
 from panelwright.plans.registry import query, r
 from panelwright.session import keep
 
-REPS = 40
-SEED = 20
+REPS, LADDER_REPS = 200, 100
+SEED = 50
 EFFECTS = [0.0, 0.1, 0.2, 0.4]
-PERIODS = 80
 
 
 def base(spark, sf):
-    """Panel with fitted values, residuals, residual pools and the demeaned regressor."""
-    p = D.nation_month(spark, sf).withColumn("x", post())
-    p = W.demean_both(W.demean_both(p, "id", "t", "y", "y2"), "id", "t", "x", "xd")
-    p = keep(p.withColumn("yhat", F.col("y") - F.col("y2")))
-    return p, W.residual_pools(p, "t", "y2", "id")
+    """Panel with its two-way residuals y2."""
+    p = D.nation_month(spark, sf)
+    return keep(W.demean_both(p, "id", "t", "y", "y2"))
 
 
-def draws(spark, sf, reps=REPS, seed=SEED):
-    p, pools = base(spark, sf)
-    d = p.join(pools, "t").withColumn("rep", W.replicates(reps))
-    return d.withColumn("y", F.col("yhat") + W.draw_from_pool(d, seed, "id", "t")).withColumnRenamed("id", "unit")
+POOL = with_(P1) + demean_sql() + """, k AS (SELECT t, y2 FROM w2 WHERE NOT (t >= 23977 AND t < 23983) AND NOT (t % 7 = 0 AND id > 0)),
+o AS (SELECT t, count(*) AS own FROM k GROUP BY 1), j AS (SELECT o.t, k.y2 FROM o JOIN k ON own < 2 OR k.t = o.t)"""
 
 
-def fits(spark, sf, reps=REPS, seed=SEED):
-    return W.sweep_twfe(draws(spark, sf, reps, seed).select("rep", "unit", "t", "y", "xd"), 25, PERIODS)
-
-
-def sim_sql(reps=REPS, seed=SEED, extra="") -> str:
-    return with_(P1) + demean_sql() + f""", dr AS (SELECT rep, id, t, y - y2 AS yhat, x2, {S.draw31_sql('u', seed, 'rep', 'id', 't')} FROM w2, range(1, {reps + 1}) rr(rep)),
-sm AS (SELECT dr.rep, dr.id, dr.t, dr.x2, dr.yhat + b.y2 AS y FROM dr JOIN w2 b ON b.t = dr.t AND b.id = dr.u % 25),
-mm AS (SELECT *, avg(y) OVER (PARTITION BY rep, t) AS m FROM sm), s AS (SELECT rep, id, sum(x2*(y-m)) AS s, sum(x2*x2) AS q FROM mm GROUP BY 1, 2),
-ft AS (SELECT rep, sum(s)/sum(q) AS att, sqrt((sum(s*s) - 2*sum(s)/sum(q)*sum(s*q) + pow(sum(s)/sum(q),2)*sum(q*q))*(1999.0/(1999-80))*count(*)/(count(*)-1))/sum(q) AS se FROM s GROUP BY 1)""" + extra
-
-
-COEF = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-
-
-def p_sql(t: str) -> str:
-    """SQL text of the same approximation."""
-    z = f"(abs({t})/sqrt(2.0))"
-    u = f"(1/(1+0.5*{z}))"
-    poly = repr(COEF[-1])
-    for a in COEF[-2::-1]:
-        poly = f"({a!r} + {u}*{poly})"
-    return f"({u}*exp(-{z}*{z} + {poly}))"
+@query("resid_pool", POOL + " SELECT t, count(*) AS size, " + r("min(y2)") + " AS lo, " + r("max(y2)") + " AS hi, " + r("avg(y2)") + " AS mean FROM j GROUP BY 1")
+def _(spark, sf):
+    """Every seventh period is thin and draws from the pool of all periods."""
+    p = base(spark, sf).where("not (t >= 23977 and t < 23983) and not (t % 7 = 0 and id > 0)")
+    rows, keys = W.residual_pools(p, "t", "y2", "id")
+    s = rows.groupBy("pool").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.avg("r").alias("mean"), F.count("*").alias("c"), F.max("i").alias("i"))
+    j = keys.join(s, keys["pool"].eqNullSafe(s["pool"])).where("c = size and i = size - 1")
+    return j.select("t", "size", *[S.rnd(c).alias(c) for c in ("lo", "hi", "mean")])
 
 
-@query("resid_pool", with_(P1) + demean_sql() + " SELECT t, count(*) AS size, " + r("min(y2)") + " AS lo, " + r("max(y2)") + " AS hi, " + r("avg(y2)") + " AS mean FROM w2 WHERE NOT (t >= 23977 AND t < 23983) GROUP BY 1")
+@query("resid_pool_element", with_(P1) + demean_sql() + ", e AS (SELECT t, y2, row_number() OVER (PARTITION BY t ORDER BY id) - 1 AS i FROM w2) SELECT t, i, " + r("y2") + " AS r FROM e")
 def _(spark, sf):
-    p, _ = base(spark, sf)
-    pools = W.residual_pools(p.where("not (t >= 23977 and t < 23983)"), "t", "y2", "id")
-    avg = F.aggregate("pool", F.lit(0.0), lambda a, x: a + x) / F.size("pool")
-    return pools.select("t", F.size("pool").cast("bigint").alias("size"), S.rnd(F.array_min("pool")).alias("lo"), S.rnd(F.array_max("pool")).alias("hi"), S.rnd(avg).alias("mean"))
+    """Element i of every pool, as a draw would look it up."""
+    rows, _ = W.residual_pools(base(spark, sf), "t", "y2", "id")
+    return rows.select(F.col("pool").alias("t"), F.col("i").cast("bigint").alias("i"), S.rnd("r").alias("r"))
 
 
 AR = with_(P1) + demean_sql() + ", sd AS (SELECT {by} AS k, stddev_samp(y2) AS sd FROM w2 GROUP BY 1), zz AS (SELECT id, t, y2/sd AS z, lag(y2/sd) OVER (PARTITION BY id ORDER BY t) AS l FROM w2 JOIN sd ON sd.k = w2.{by} WHERE sd > 0), q AS (SELECT {rho} AS rr, count(*) AS pairs FROM zz WHERE l IS NOT NULL)"
@@ -73,7 +55,7 @@ def ar_sql(by, rho):
 
 def _ar(by, kind):
     def run(spark, sf):
-        p, _ = base(spark, sf)
+        p = base(spark, sf)
         a = W.ar1_calibration(p, "id", "t", "y2", by, kind)
         return a.select(S.rnd("rho_raw").alias("rho_raw"), "pairs", S.rnd("rho").alias("rho"), S.rnd("innovation_sd").alias("innovation_sd"))
 
@@ -84,66 +66,81 @@ query("resid_ar1_calib", ar_sql("t", "sum(z*l)/sum(l*l)"))(_ar("t", "ols"))
 query("resid_ar1_calib_unit", ar_sql("id", "corr(z, l)"))(_ar("id", "corr"))
 
 
-@query("draw_iid_month", sim_sql() + " SELECT rep, t, " + r("avg(y)") + " AS mean, " + r("stddev_samp(y)") + " AS sd FROM sm GROUP BY 1, 2")
+COHORTS = [23959, 23977, 23995]
+
+
+@query("placebo_schedule", with_(P1) + f"SELECT rep, id AS unit, CASE WHEN row_number() OVER (PARTITION BY rep ORDER BY u, id) <= 10 THEN [23959, 23977, 23995][1 + v % 3] END::BIGINT AS g_placebo FROM (SELECT rep, id, {S.draw31_sql('u', 50, 'rep', 'id')}, {S.draw31_sql('v', 51, 'rep', 'id')} FROM (SELECT DISTINCT id FROM p1), range(1, 21) rr(rep))")
 def _(spark, sf):
-    d = draws(spark, sf)
-    return d.groupBy(F.col("rep").cast("bigint").alias("rep"), "t").agg(S.rnd(F.avg("y")).alias("mean"), S.rnd(F.stddev_samp("y")).alias("sd"))
+    u = D.nation_month(spark, sf).select(F.col("id").alias("unit")).distinct()
+    return PL.placebo_schedule(u, COHORTS, 10, 20, 50).withColumn("rep", F.col("rep").cast("bigint"))
 
 
-NORMAL = f"sqrt(-2*ln((u+0.5)/2147483648.0))*cos(2*pi()*((v+0.5)/2147483648.0))"
 
 
-@query("draw_ar1", with_(P1) + demean_sql() + f", sd AS (SELECT id, stddev_samp(y2) AS sd FROM w2 GROUP BY 1), n AS (SELECT rep, w2.id, t, sd, t - 23940 AS j, {S.draw31_sql('u', 31, 'rep', 'w2.id', 't')}, {S.draw31_sql('v', 32, 'rep', 'w2.id', 't')} FROM w2 JOIN sd ON sd.id = w2.id, range(1, 6) rr(rep)), c AS (SELECT *, {NORMAL} * CASE WHEN j = 1 THEN 1 ELSE 0.8 END AS w FROM n) SELECT rep, id AS unit, t, " + r("sd * pow(0.6, j) * sum(w * pow(0.6, -j)) OVER (PARTITION BY rep, id ORDER BY t)", 5) + " AS draw FROM c")
-def _(spark, sf):
-    p, _ = base(spark, sf)
-    u = p.groupBy(F.col("id").alias("unit")).agg(F.stddev_samp("y2").alias("sd"))
-    periods = list(range(23941, 24021))
-    d = W.draw_ar1(u, 31, periods, 0.6, F.col("sd"), 5)
-    return d.select(F.col("rep").cast("bigint").alias("rep"), "unit", "t", S.rnd("draw", 5).alias("draw"))
+def fit_sql(sample: str, dates: str, reps: int) -> str:
+    """Placebo fits (th, rep, att, se, df) of samples (th, id, t, y, g): ``dates`` gives (th, rep, id, gp)."""
+    return with_(P1) + f""", sp AS ({sample}), sz AS (SELECT th, count(*)::DOUBLE AS n, count(DISTINCT t) AS nt, count(DISTINCT id) AS ni, count(DISTINCT id) FILTER (g IS NOT NULL) AS k,
+  list(DISTINCT g ORDER BY g) FILTER (g IS NOT NULL) AS gs, min(t) AS t0, max(t) AS t1 FROM sp GROUP BY 1),
+dr AS (SELECT th, rep, id, g, {S.draw31_sql('u', SEED, 'rep', 'id')}, {S.draw31_sql('v', SEED + 1, 'rep', 'id')} FROM (SELECT DISTINCT th, id, g FROM sp), range(1, {reps + 1}) rr(rep)),
+sch AS ({dates}),
+z AS (SELECT sp.th, rep, sp.id, t, y, coalesce(t >= gp, false)::INT::DOUBLE AS x FROM sp JOIN sch ON sch.th = sp.th AND sch.id = sp.id),
+w AS (SELECT *, y - avg(y) OVER (PARTITION BY th, rep, id) - avg(y) OVER (PARTITION BY th, rep, t) + avg(y) OVER (PARTITION BY th, rep) AS y2, x - avg(x) OVER (PARTITION BY th, rep, id) - avg(x) OVER (PARTITION BY th, rep, t) + avg(x) OVER (PARTITION BY th, rep) AS x2 FROM z),
+s AS (SELECT th, rep, id, sum(x2*y2) AS s, sum(x2*x2) AS q FROM w GROUP BY 1, 2, 3),
+ft AS (SELECT th, rep, sum(s)/sum(q) AS att, sqrt((sum(s*s) - 2*sum(s)/sum(q)*sum(s*q) + pow(sum(s)/sum(q),2)*sum(q*q))*(max(n)-1)/(max(n)-1-max(nt))*max(ni)/(max(ni)-1))/sum(q) AS se, max(ni) - 1 AS df FROM s JOIN sz USING (th) GROUP BY 1, 2)"""
 
 
-SHAPE = {"step": "CASE WHEN t >= g THEN 1.0 ELSE 0 END", "ramp": "CASE WHEN t >= g THEN least(1.0, (t-g)/12.0) ELSE 0 END", "delayed": "CASE WHEN t - g >= 6 THEN 1.0 ELSE 0 END"}
+UNITS = "SELECT th, rep, id, CASE WHEN row_number() OVER (PARTITION BY th, rep ORDER BY u, id) <= k THEN gs[1 + v % len(gs)] END AS gp FROM dr JOIN sz USING (th)"
+DATES = "SELECT th, rep, id, CASE WHEN len(ok) > 0 THEN ok[1 + u % len(ok)] END AS gp FROM (SELECT dr.*, list_filter(list_transform(range(-6, 7), lambda m: g + m), lambda x: x > t0 AND x <= t1) AS ok FROM dr JOIN sz USING (th))"
+WHOLE = "SELECT 0 AS th, id, t, y, g FROM p1"
+PERM = fit_sql(WHOLE, UNITS, REPS)
 
 
-@query("effect_impose", with_(P1) + "SELECT id, t, " + ", ".join(r(f"y + 0.1*{e}") + f" AS y_{k}" for k, e in SHAPE.items()) + " FROM p1")
-def _(spark, sf):
-    e = F.col("t") - F.col("g")
-    return D.nation_month(spark, sf).select("id", "t", *[S.rnd(F.col("y") + 0.1 * W.effect_shape(k, e)).alias(f"y_{k}") for k in SHAPE])
+def placebo(spark, sf, kind="units", reps=REPS):
+    return PL.placebo_fits(D.nation_month(spark, sf), "id", "t", "g", "y", kind, reps, SEED)
 
 
-COHORTS = [23959, 23977, 23995]
+def _fits(f):
+    return f.select("rep", S.rnd("att").alias("att"), S.rnd("se").alias("se"), S.rnd("p", 5).alias("p"), "rejected")
 
 
-@query("placebo_schedule", with_(P1) + f"SELECT rep, id AS unit, CASE WHEN row_number() OVER (PARTITION BY rep ORDER BY u, id) <= 10 THEN [23959, 23977, 23995][1 + v % 3] END::BIGINT AS g_placebo FROM (SELECT rep, id, {S.draw31_sql('u', 50, 'rep', 'id')}, {S.draw31_sql('v', 51, 'rep', 'id')} FROM (SELECT DISTINCT id FROM p1), range(1, 21) rr(rep))")
+PLACEBO = " SELECT rep, " + r("att") + " AS att, " + r("se") + " AS se, " + r(p_t_sql("(att/se)", "df"), 5) + " AS p, " + p_t_sql("(att/se)", "df") + " < 0.05 AS rejected FROM ft"
+SHARE = " SELECT count(*) AS replicates, count(*) AS estimated, " + r("avg((" + p_t_sql("(att/se)", "df") + " < 0.05)::INT)") + " AS rejected FROM ft"
+
+
+@query("placebo_permute", PERM + PLACEBO)
 def _(spark, sf):
-    u = D.nation_month(spark, sf).select(F.col("id").alias("unit")).distinct()
-    return W.placebo_schedule(u, COHORTS, 10, 20, 50).withColumn("rep", F.col("rep").cast("bigint"))
+    """As many units as are ever treated, with the panel's cohorts."""
+    return _fits(placebo(spark, sf))
+
+
+@query("placebo_date_shift", fit_sql(WHOLE, DATES, REPS) + PLACEBO)
+def _(spark, sf):
+    """True dates moved by -6 to 6 periods inside the window."""
+    return _fits(placebo(spark, sf, "dates"))
+
+
+def _share(f):
+    s = PL.rejection_share(f)
+    return s.select("replicates", "estimated", S.rnd("rejected").alias("rejected"))
 
 
-PERM = with_(P1) + f""", sch AS (SELECT rep, id, CASE WHEN row_number() OVER (PARTITION BY rep ORDER BY u, id) <= 10 THEN [23959, 23977, 23995][1 + v % 3] END AS gp FROM (SELECT rep, id, {S.draw31_sql('u', 50, 'rep', 'id')}, {S.draw31_sql('v', 51, 'rep', 'id')} FROM (SELECT DISTINCT id FROM p1), range(1, 21) rr(rep))),
-z AS (SELECT rep, p1.id, t, y, coalesce(t >= gp, false)::INT::DOUBLE AS x FROM p1 JOIN sch ON sch.id = p1.id),
-w AS (SELECT *, y - avg(y) OVER (PARTITION BY rep, id) - avg(y) OVER (PARTITION BY rep, t) + avg(y) OVER (PARTITION BY rep) AS y2, x - avg(x) OVER (PARTITION BY rep, id) - avg(x) OVER (PARTITION BY rep, t) + avg(x) OVER (PARTITION BY rep) AS x2 FROM z),
-s AS (SELECT rep, id, sum(x2*y2) AS s, sum(x2*x2) AS q FROM w GROUP BY 1, 2),
-ft AS (SELECT rep, sum(s)/sum(q) AS att, sqrt((sum(s*s) - 2*sum(s)/sum(q)*sum(s*q) + pow(sum(s)/sum(q),2)*sum(q*q))*(1999.0/(1999-80))*count(*)/(count(*)-1))/sum(q) AS se FROM s GROUP BY 1)"""
+query("placebo_size", PERM + SHARE)(lambda spark, sf: _share(placebo(spark, sf)))
+query("placebo_size_dates", fit_sql(WHOLE, DATES, REPS) + SHARE)(lambda spark, sf: _share(placebo(spark, sf, "dates")))
 
 
-@query("placebo_permute", PERM + " SELECT rep, " + r("att") + " AS att, " + r("se") + " AS se, abs(att/se) > 1.96 AS rejected FROM ft")
+@query("placebo_unbalanced")
 def _(spark, sf):
-    p = keep(D.nation_month(spark, sf).select(F.col("id").alias("unit"), "t", "y"))
-    sched = W.placebo_schedule(p.select("unit").distinct(), COHORTS, 10, 20, 50)
-    z = p.join(sched, "unit").withColumn("x", F.coalesce(F.col("t") >= F.col("g_placebo"), F.lit(False)).cast("double"))
-    mi, mt, mm = (z.groupBy("rep", *k).agg(F.avg("x").alias(n)) for k, n in ((["unit"], "_xi"), (["t"], "_xt"), ([], "_xm")))
-    z = z.join(mi, ["rep", "unit"]).join(mt, ["rep", "t"]).join(mm, "rep").withColumn("xd", F.col("x") - F.col("_xi") - F.col("_xt") + F.col("_xm"))
-    f = W.sweep_twfe(z, 25, PERIODS)
-    return f.select(F.col("rep").cast("bigint").alias("rep"), S.rnd("att").alias("att"), S.rnd("se").alias("se"), (F.abs(F.col("att") / F.col("se")) > 1.96).alias("rejected"))
+    return _fits(PL.placebo_fits(D.customer_quarter(spark, sf), "id", "t", "g", "y", "units", REPS, SEED))
 
 
-FITS = sim_sql() + f", fx AS (SELECT rep, effect::DOUBLE AS effect, att + effect AS att, se FROM ft, (VALUES (0.0), (0.1), (0.2), (0.4)) v(effect)), fp AS (SELECT *, {p_sql('att/se')} AS p FROM fx)"
+FITS = PERM + f", fx AS (SELECT rep, effect::DOUBLE AS effect, att + effect AS att, se, df FROM ft, (VALUES (0.0), (0.1), (0.2), (0.4)) v(effect)), fp AS (SELECT *, {p_t_sql('(att/se)', 'df')} AS p FROM fx)"
 
 
 def _fx(spark, sf):
-    f = W.with_effects(fits(spark, sf), EFFECTS)
-    return f.withColumn("p", W.p_normal(F.col("att") / F.col("se")))
+    """Placebo fits with effects added: the estimate moves by the effect, the residuals and the error stay."""
+    f = W.with_effects(placebo(spark, sf).drop("t", "p", "rejected"), EFFECTS)
+    n = D.nation_month(spark, sf).agg(F.count_distinct("id")).scalar()
+    return f.withColumn("p", p_t(F.col("att") / F.col("se"), n - 1))
 
 
 @query("sweep_fits", FITS + " SELECT rep, effect, " + r("att") + " AS att, " + r("se") + " AS se, " + r("p", 5) + " AS p FROM fp")
@@ -184,34 +181,56 @@ def _(spark, sf):
     return s.groupBy("threshold").agg(F.count("*").alias("units"), F.count("g").alias("treated"), S.rnd(F.avg("k")).alias("mean_periods"))
 
 
-@query("pretreat_sweep", with_(P2) + ", c AS (SELECT id, g, count(*) FILTER (t < g) AS k FROM p2 GROUP BY 1, 2), s AS (SELECT th::BIGINT AS threshold, count(*) FILTER (g IS NOT NULL AND k >= th) AS treated, count(*) FILTER (g IS NULL) AS controls, 0.02 * th AS type1 FROM c, (VALUES (0),(2),(4),(6),(9)) v(th) GROUP BY 1, 4), f AS (SELECT *, treated >= 5 AND controls >= 5 AS feasible FROM s) SELECT coalesce((SELECT min(threshold) FROM f WHERE feasible AND type1 BETWEEN 0.02 AND 0.10), (SELECT arg_min(threshold, abs(type1-0.05)) FROM f WHERE feasible)) AS threshold, (SELECT count(*) FROM f WHERE feasible AND type1 BETWEEN 0.02 AND 0.10) > 0 AS in_range")
+COVERED = "SELECT th::BIGINT AS th, p1.id, t, y, g FROM p1 JOIN (SELECT id, count(*) FILTER (n > 0) AS c FROM p1 GROUP BY 1) USING (id), (VALUES (0), (30), (45), (60), (79)) v(th) WHERE c >= th"
+STATIC = """, zz AS (SELECT th, id, t, y, coalesce(t >= g, false)::INT::DOUBLE AS x FROM sp),
+ww AS (SELECT *, y - avg(y) OVER (PARTITION BY th, id) - avg(y) OVER (PARTITION BY th, t) + avg(y) OVER (PARTITION BY th) AS y2, x - avg(x) OVER (PARTITION BY th, id) - avg(x) OVER (PARTITION BY th, t) + avg(x) OVER (PARTITION BY th) AS x2 FROM zz),
+bb AS (SELECT th, sum(x2*y2)/sum(x2*x2) AS b, sum(x2*x2) AS sxx FROM ww GROUP BY 1),
+vv AS (SELECT th, sqrt(sum(e*e)) AS v FROM (SELECT th, id, sum(x2*(y2 - b*x2)) AS e FROM ww JOIN bb USING (th) GROUP BY 1, 2) GROUP BY 1),
+ty AS (SELECT th, avg((""" + p_t_sql("(att/se)", "df") + """ < 0.05)::INT) AS type1 FROM ft GROUP BY 1)"""
+
+
+def _by_threshold(samples, thresholds):
+    """Rejection shares of placebo fits on each nested sample; the ladder is a short list of thresholds."""
+    out = None
+    for th in thresholds:
+        f = PL.rejection_share(PL.placebo_fits(samples(th), "id", "t", "g", "y", "units", LADDER_REPS, SEED)).select(F.lit(float(th)).alias("threshold"), F.col("rejected").alias("type1"))
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+@query("coverage_sweep_effects", fit_sql(COVERED, UNITS, LADDER_REPS) + STATIC + " SELECT th::DOUBLE AS threshold, " + r("b") + " AS att, " + r("v/sxx*sqrt((n-1)/(n-1-nt)*ni/(ni-1))") + " AS se, ni AS units, n::BIGINT AS n, CASE WHEN ni >= 5 THEN " + r("type1") + " END AS type1 FROM bb JOIN vv USING (th) JOIN sz USING (th) JOIN ty USING (th)")
 def _(spark, sf):
-    c = D.customer_quarter(spark, sf).groupBy("id", "g").agg(F.count_if(F.col("t") < F.col("g")).alias("k"))
-    s = c.withColumn("threshold", F.explode(F.array(*[F.lit(t).cast("bigint") for t in (0, 2, 4, 6, 9)])))
-    s = s.groupBy("threshold").agg(F.count_if(F.col("g").isNotNull() & (F.col("k") >= F.col("threshold"))).alias("treated"), F.count_if(F.col("g").isNull()).alias("controls"))
-    s = s.withColumns({"type1": F.col("threshold") * 0.02, "feasible": (F.col("treated") >= 5) & (F.col("controls") >= 5)})
-    return W.pick_threshold(s)
+    """Effect, error and placebo rejection share (from five units on) for the units with outcomes in enough months."""
+    p = D.nation_month(spark, sf)
+    cover = p.groupBy("id").agg(F.count_if(F.col("n") > 0).cast("double").alias("c"))
+    p = keep(p.join(cover, "id").withColumn("x", post()))
+    steps = [0, 30, 45, 60, 79]
+    f = PL.threshold_ladder(p, "id", "t", "y", "x", "c", steps)
+    j = f.where("units > 0").join(_by_threshold(lambda th: p.where(F.col("c") >= th), [r_.threshold for r_ in f.where("units > 0").select("threshold").collect()]), "threshold")
+    return j.select("threshold", S.rnd("att").alias("att"), S.rnd("se").alias("se"), "units", "n", F.when(F.col("units") >= 5, S.rnd("type1")).alias("type1"))
 
 
-@query("multi_estimator_calib", sim_sql() + """, cs AS (SELECT rep, sum(CASE WHEN tr THEN d ELSE 0 END)/count(*) FILTER (tr) - sum(CASE WHEN NOT tr THEN d ELSE 0 END)/count(*) FILTER (NOT tr) AS att FROM (SELECT sm.rep, sm.id, p.g IS NOT NULL AS tr, avg(sm.y) FILTER (sm.t >= 24013) - avg(sm.y) FILTER (sm.t < 23959) AS d FROM sm JOIN (SELECT DISTINCT id, g FROM p1) p USING (id) GROUP BY 1, 2, 3) GROUP BY 1)
-SELECT 'twfe' AS estimator, count(*) AS n, """ + r("avg(att)") + " AS mean_att, " + r("stddev_samp(att)") + " AS sd_att FROM ft UNION ALL SELECT 'long_difference', count(*), " + r("avg(att)") + ", " + r("stddev_samp(att)") + " FROM cs")
+@query("coverage_sweep_unbalanced")
 def _(spark, sf):
-    d = draws(spark, sf)
-    twfe = W.sweep_twfe(d.select("rep", "unit", "t", "y", "xd"), 25, PERIODS).select("rep", "att", F.lit("twfe").alias("estimator"))
-    u = d.groupBy("rep", "unit", F.col("g").isNotNull().alias("tr")).agg((F.avg(F.when(F.col("t") >= 24013, F.col("y"))) - F.avg(F.when(F.col("t") < 23959, F.col("y")))).alias("d"))
-    ld = u.groupBy("rep").agg((F.avg(F.when(F.col("tr"), F.col("d"))) - F.avg(F.when(~F.col("tr"), F.col("d")))).alias("att")).withColumn("estimator", F.lit("long_difference"))
-    return twfe.unionByName(ld).groupBy("estimator").agg(F.count("*").alias("n"), S.rnd(F.avg("att")).alias("mean_att"), S.rnd(F.stddev_samp("att")).alias("sd_att"))
+    p = D.customer_quarter(spark, sf).withColumn("x", post())
+    p = p.join(p.groupBy("id").agg(F.count("*").cast("double").alias("c")), "id")
+    f = PL.threshold_ladder(p, "id", "t", "y", "x", "c", [0, 4, 8, 12, 16])
+    return f.select("threshold", S.rnd("att").alias("att"), S.rnd("se").alias("se"), "units", "n")
+
 
+PRE = "SELECT th::BIGINT AS th, p1.id, t, y, g FROM p1 JOIN (SELECT id, count(*) FILTER (t < g) AS c FROM p1 GROUP BY 1) USING (id), (VALUES (0), (24), (48), (60)) v(th) WHERE g IS NULL OR c >= th"
 
-@query("dyn_bias", sim_sql() + ", k AS (SELECT sm.rep, sm.t, p.g, sm.y FROM sm JOIN (SELECT DISTINCT id, g FROM p1) p USING (id)), m AS (SELECT rep, t, g, avg(y) AS m FROM k GROUP BY 1, 2, 3), a AS (SELECT x.rep, x.t - x.g AS e, (x.m - b.m) - (c.m - d.m) AS att FROM m x JOIN m b ON b.rep = x.rep AND b.g = x.g AND b.t = x.g - 1 JOIN m c ON c.rep = x.rep AND c.g IS NULL AND c.t = x.t JOIN m d ON d.rep = x.rep AND d.g IS NULL AND d.t = x.g - 1 WHERE x.t - x.g BETWEEN 0 AND 6) SELECT e, count(*) AS n, " + r("avg(att)") + " AS bias, " + r("sqrt(avg(att*att))") + " AS rmse FROM a GROUP BY 1")
+
+@query("pretreat_sweep", fit_sql(PRE, UNITS, LADDER_REPS) + STATIC + """, f AS (SELECT th AS threshold, type1, k >= 5 AND ni - k >= 5 AS feasible FROM ty JOIN sz USING (th)),
+c AS (SELECT min(threshold) FILTER (feasible AND type1 BETWEEN 0.02 AND 0.10) AS first_ok, arg_min(threshold, abs(type1 - 0.05)*1e6 + threshold) FILTER (feasible) AS closest FROM f)
+SELECT coalesce(first_ok, closest)::DOUBLE AS threshold, first_ok IS NOT NULL AS in_range FROM c""")
 def _(spark, sf):
-    d = draws(spark, sf)
-    m = d.groupBy("rep", "t", "g").agg(F.avg("y").alias("m"))
-    never = m.where("g is null")
-    x = m.where("t - g between 0 and 6")
-    own = m.where("t = g - 1").select("rep", "g", F.col("m").alias("own0"))
-    now = never.select("rep", "t", F.col("m").alias("never1"))
-    then = never.select("rep", (F.col("t") + 1).alias("g"), F.col("m").alias("never0"))
-    j = x.join(own, ["rep", "g"]).join(now, ["rep", "t"]).join(then, ["rep", "g"])
-    a = j.select("t", "g", ((F.col("m") - F.col("own0")) - (F.col("never1") - F.col("never0"))).alias("att"))
-    return a.groupBy((F.col("t") - F.col("g")).alias("e")).agg(F.count("*").alias("n"), S.rnd(F.avg("att")).alias("bias"), S.rnd(F.sqrt(F.avg(F.col("att") * F.col("att")))).alias("rmse"))
+    """Smallest number of periods before treatment that keeps the test's size, from placebo fits of every sample."""
+    p = D.nation_month(spark, sf)
+    p = keep(p.join(p.groupBy("id").agg(F.count_if(F.col("t") < F.col("g")).alias("c")), "id"))
+    steps = [0, 24, 48, 60]
+    sample = lambda th: p.where(F.col("g").isNull() | (F.col("c") >= th))
+    counts = p.select("id", "g", "c").distinct().withColumn("threshold", F.explode(F.array(*[F.lit(float(s)) for s in steps])))
+    counts = counts.groupBy("threshold").agg(F.count_if(F.col("g").isNotNull() & (F.col("c") >= F.col("threshold"))).alias("treated"), F.count_if(F.col("g").isNull()).alias("controls"))
+    s = counts.join(_by_threshold(sample, steps), "threshold").withColumn("feasible", (F.col("treated") >= 5) & (F.col("controls") >= 5))
+    return W.pick_threshold(s)

@@ -9,6 +9,7 @@ from panelwright.operators import attgt as A
 from panelwright.operators import bootstrap as B
 from panelwright.operators import fe as X
 from panelwright.operators import influence as I
+from panelwright.operators import placebo as PL
 from panelwright.operators import sweep as W
 
 
@@ -203,7 +204,7 @@ def test_minimum_detectable_effect_reproduces_published_values(spark):
 
 
 def test_placebo_schedule_treats_the_asked_number(spark):
-    s = W.placebo_schedule(spark.range(30).withColumnRenamed("id", "unit"), [5, 6], 8, 12, 1)
+    s = PL.placebo_schedule(spark.range(30).withColumnRenamed("id", "unit"), [5, 6], 8, 12, 1)
     assert {r.n for r in s.groupBy("rep").agg(F.count("g_placebo").alias("n")).collect()} == {8}
 
 
