@@ -46,16 +46,6 @@ def words(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
 
 
-def terms(counts: Counter) -> Counter:
-    """Words, and word beginnings marked by a star."""
-    out = Counter(counts)
-    for w, n in counts.items():
-        for p in PREFIXES:
-            if len(w) > p:
-                out[w[:p] + "*"] += n
-    return out
-
-
 def heads_of(vocabulary) -> dict[str, list[tuple[str, str]]]:
     """The beginnings in a vocabulary by their first letters, as (beginning, term)."""
     out: dict[str, list[tuple[str, str]]] = {}
@@ -185,14 +175,39 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return b[:, 0] / b[:, 2], (b[:, 1] + 1e-3 * 0.5) / (b[:, 2] + 1e-3)
 
 
-def build(sample: list[tuple[int, int, Counter]], marked: list[str], share: dict[int, float]) -> Index:
-    """``sample``: (doc_id, label, words), ``marked``: terms that differ between the labels, ``share``: how many labelled
-    documents one sampled one stands for."""
+class Sample:
+    """Labelled word counts of the examples, held as arrays; iterating gives (doc_id, label, words) one at a time."""
+
+    def __init__(self, ids: list[int], labels: list[int], words: pa.Array, times: np.ndarray, ends: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.labels = [ids[k] for k in order], [labels[k] for k in order]
+        coded = words.dictionary_encode()
+        self.names = coded.dictionary.to_pylist()
+        self.codes, self.times = coded.indices.to_numpy(), times
+        begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        self.runs = [(int(begin[k]), int(ends[k])) for k in order]
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, int, Counter]]) -> Sample:
+        flat = [w for _, _, c in rows for w in c]
+        times = np.array([n for _, _, c in rows for n in c.values()], np.int64)
+        return cls([r[0] for r in rows], [r[1] for r in rows], pa.array(flat, pa.string()), times, np.cumsum([len(c) for _, _, c in rows]))
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def __iter__(self):
+        for i, y, (a, b) in zip(self.ids, self.labels, self.runs):
+            yield i, y, Counter(dict(zip(map(self.names.__getitem__, self.codes[a:b].tolist()), self.times[a:b].tolist())))
+
+
+def build(sample: Sample, marked: list[str], share: dict[int, float]) -> Index:
+    """``marked``: terms that differ between the labels, ``share``: how many labelled documents one sampled one stands for."""
     n = len(sample)
     heads = heads_of(marked)
-    vocabulary = sorted({w for _, _, c in sample for w in c} | {t for t in marked if t.endswith("*")})
-    w = np.array([share[y] for _, y, _ in sample])
-    y = np.array([float(x) for _, x, _ in sample])
+    vocabulary = sorted({*sample.names, *(t for t in marked if t.endswith("*"))})
+    w = np.array([share[y] for y in sample.labels])
+    y = np.array(sample.labels, float)
     base = float(w @ y / w.sum())
     ix = Index({t: k for k, t in enumerate(vocabulary)}, heads, np.ones(len(vocabulary)), Postings([], len(vocabulary)), y, w / w.mean(), np.zeros(0), base, np.array([0.0, 1.0]), np.array([0.0, 1.0]), base)
     df = np.zeros(len(vocabulary))
@@ -202,11 +217,11 @@ def build(sample: list[tuple[int, int, Counter]], marked: list[str], share: dict
     ix.factor[[ix.at[t] for t in marked if t in ix.at]] *= BOOST
     vectors = [ix.vector(c) for _, _, c in sample]
     # Like examples side by side make tight block bounds.
-    order = sorted(range(n), key=lambda k: (int(vectors[k][0][vectors[k][1].argmax()]) if len(vectors[k][0]) else -1, sample[k][0]))
+    order = sorted(range(n), key=lambda k: (int(vectors[k][0][vectors[k][1].argmax()]) if len(vectors[k][0]) else -1, sample.ids[k]))
     vectors = [vectors[k] for k in order]
     ix.postings = Postings(vectors, len(vocabulary))
     w, y = w[order], y[order]
-    ix.labels, ix.stands, ix.ids = y, w / w.mean(), np.array([sample[k][0] for k in order], np.int64)
+    ix.labels, ix.stands, ix.ids = y, w / w.mean(), np.array([sample.ids[k] for k in order], np.int64)
     votes, truth, weight, alone = [], [], [], np.zeros(n, bool)
     for c in range(n):
         at, cosine = ix.nearest(*vectors[c], without=c) if len(vectors[c][0]) else (np.empty(0, int), np.empty(0))
@@ -239,19 +254,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index | None:
         found = [words(t) for t in texts(batch)]
         return {"doc_id": column(batch, "doc_id"), "toxic": column(batch, "toxic"), "words": [list(c) for c in found], "times": [list(c.values()) for c in found]}
 
-    held = map_slices(rows, word_rows, "doc_id long, toxic int, words array<string>, times array<int>").collect()  # at most 2 * PER_LABEL
-    sample = sorted(((r.doc_id, r.toxic, Counter(dict(zip(r.words, r.times)))) for r in held), key=lambda r: r[0])
-    return build(sample, marked_terms([(y, c) for _, y, c in sample]), {v: size[v] / min(size[v], PER_LABEL) for v in size})
+    # at most 2 * PER_LABEL rows, as arrays of numbers and distinct words
+    held = map_slices(rows, word_rows, "doc_id long, toxic int, words array<string>, times array<int>").toArrow()
+    word_lists, time_lists = held.column("words").combine_chunks(), held.column("times").combine_chunks()
+    ends = np.cumsum(word_lists.value_lengths().to_numpy()) if len(held) else np.zeros(0)
+    sample = Sample(held.column("doc_id").to_pylist(), held.column("toxic").to_pylist(), word_lists.flatten(), time_lists.flatten().to_numpy(), ends)
+    del held, word_lists, time_lists
+    return build(sample, marked_terms(sample), {v: size[v] / min(size[v], PER_LABEL) for v in size})
 
 
-def marked_terms(sample: list[tuple[int, Counter]]) -> list[str]:
+def marked_terms(sample: Sample) -> list[str]:
     """Words and beginnings whose document frequencies differ between the labels, by MIN_G2, MIN_DF and LIFT."""
-    seen = {v: Counter(t for y, c in sample if y == v for t in terms(c)) for v in (0, 1)}
-    n1, n0 = (sum(y == v for y, _ in sample) for v in (1, 0))
-    names = [t for t in sorted(seen[0].keys() | seen[1].keys()) if seen[0][t] + seen[1][t] >= MIN_DF]
+    y = np.array(sample.labels)
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    example = np.repeat(np.arange(len(sample)), [b - a for a, b in sample.runs])
+    word = np.concatenate([np.empty(0, np.int64), *(sample.codes[a:b] for a, b in sample.runs)]).astype(np.int64)
+    names, a, b = [], [], []
+    for size in (0, *PREFIXES):  # 0: whole words
+        heads: dict[str, int] = {}
+        of = np.array([heads.setdefault(w[:size] + "*" if size else w, len(heads)) if len(w) > size else -1 for w in sample.names], np.int64)
+        term = of[word] if len(of) else word
+        pairs = np.unique(example[term >= 0] * (len(heads) + 1) + term[term >= 0])  # an example has a term once
+        e, t = np.divmod(pairs, len(heads) + 1)
+        one, both = np.bincount(t[y[e] == 1], minlength=len(heads)), np.bincount(t, minlength=len(heads))
+        often = np.flatnonzero(both >= MIN_DF)
+        shown = list(heads)
+        names += [shown[k] for k in often]
+        a += one[often].tolist()
+        b += (both - one)[often].tolist()
     if not names:
         return []
-    a, b = (np.array([seen[v][t] for t in names], float) for v in (1, 0))
+    a, b = np.array(a, float), np.array(b, float)
     n, g2 = n1 + n0, np.zeros(len(names))
     with np.errstate(divide="ignore", invalid="ignore"):
         for cell, row, total in ((a, a + b, n1), (b, a + b, n0), (n1 - a, n - a - b, n1), (n0 - b, n - a - b, n0)):  # the table term x label
