@@ -197,7 +197,7 @@ def _(spark, sf):
 
 
 def P_half(p):
-    """Six-month periods, so that there are fewer cells than units."""
+    """Eighteen-month periods, so that there are fewer cells than units."""
     h = (F.col("t") / 18).cast("bigint")
     return p.groupBy("id", h.alias("t")).agg(F.avg("y").alias("y"), F.floor(F.min("g") / 18).cast("bigint").alias("g"), F.max("w").alias("w"), F.max("region").alias("region"))
 
@@ -343,18 +343,18 @@ def _(spark, sf):
     return G.influence_long(fit, ps).select(F.col("unit").alias("id"), S.rnd("psi").alias("psi"))
 
 
-@query("agg_se", agg_sql("t - g") + " SELECT key, " + r("se") + " AS se FROM res WHERE key BETWEEN -6 AND 6")
+@query("agg_se", agg_sql("t - g") + " SELECT key, " + r("se") + " AS se FROM res")
 def _(spark, sf):
     fit = G.fit_panel(D.nation_month(spark, sf), WEIGHTED)
-    ps = [p for p in G.build_params("dynamic", fit.att, fit.shares["share"], fit.periods[-1], min_e=-6, max_e=6) if p.key is not None]
+    ps = [p for p in G.build_params("dynamic", fit.att, fit.shares["share"], fit.periods[-1]) if p.key is not None]
     v = G.influence_products(fit, ps)
     return spark.createDataFrame([(p.key, float(x ** 0.5) / fit.shares["n"]) for p, x in zip(ps, v)], "key BIGINT, se DOUBLE").withColumn("se", S.rnd("se"))
 
 
-@query("agg_se_clustered", agg_sql("t - g", "t - g BETWEEN -6 AND 6") + ", cs AS (SELECT inf.key, n_regionkey, sum(inf.v) AS v FROM inf JOIN nation ON n_nationkey = inf.id GROUP BY 1, 2) SELECT key, " + r("max(est)") + " AS estimate, " + r("sqrt(sum(v*v))/max(nn.n)") + " AS se FROM cs JOIN th USING (key), nn GROUP BY 1")
+@query("agg_se_clustered", agg_sql("t - g") + ", cs AS (SELECT inf.key, n_regionkey, sum(inf.v) AS v FROM inf JOIN nation ON n_nationkey = inf.id GROUP BY 1, 2) SELECT key, " + r("max(est)") + " AS estimate, " + r("sqrt(sum(v*v))/max(nn.n)") + " AS se FROM cs JOIN th USING (key), nn GROUP BY 1")
 def _(spark, sf):
     fit = G.fit_panel(D.nation_month(spark, sf), A.Design(weight="w", cluster="region"))
-    ps = [p for p in G.build_params("dynamic", fit.att, fit.shares["share"], fit.periods[-1], min_e=-6, max_e=6) if p.key is not None]
+    ps = [p for p in G.build_params("dynamic", fit.att, fit.shares["share"], fit.periods[-1]) if p.key is not None]
     v = G.influence_products(fit, ps, by_cluster=True)
     t = spark.createDataFrame([(p.key, float(p.estimate), float(x ** 0.5) / fit.shares["n"]) for p, x in zip(ps, v)], "key BIGINT, estimate DOUBLE, se DOUBLE")
     return agg_out(t)
@@ -366,12 +366,12 @@ Z = qnorm(0.75) - qnorm(0.25)
 
 def _boot(spark, sf, kind="rademacher"):
     fit = G.fit_panel(D.nation_month(spark, sf), WEIGHTED)
-    ps = [p for p in G.build_params("dynamic", fit.att, fit.shares["share"], fit.periods[-1], min_e=-3, max_e=6) if p.key is not None]
+    ps = [p for p in G.build_params("dynamic", fit.att, fit.shares["share"], fit.periods[-1]) if p.key is not None]
     psi = G.influence_long(fit, ps)
     return fit, ps, B.multiplier_draws(psi, BOOT_DRAWS, fit.shares["n"], seed=7, kind=kind)
 
 
-DRAW_SQL = agg_sql("t - g", "t - g BETWEEN -3 AND 6") + f""", us AS (SELECT id, b, {S.draw31_sql('u', 7, 'id', 'b')} FROM (SELECT DISTINCT id FROM p1), range(0, {BOOT_DRAWS}) bb(b)),
+DRAW_SQL = agg_sql("t - g") + f""", us AS (SELECT id, b, {S.draw31_sql('u', 7, 'id', 'b')} FROM (SELECT DISTINCT id FROM p1), range(0, {BOOT_DRAWS}) bb(b)),
 dr AS (SELECT inf.key, us.b, sum(inf.v * (CASE WHEN u >= 1073741824 THEN 1 ELSE -1 END))/sqrt(max(nn.n)) AS value FROM inf JOIN us USING (id), nn GROUP BY 1, 2),
 sg AS (SELECT key, (quantile_disc(value, 0.75) - quantile_disc(value, 0.25))/{Z!r} AS sigma FROM dr GROUP BY 1)"""
 
@@ -394,13 +394,13 @@ def _(spark, sf):
     return j.select("key", S.rnd("estimate").alias("estimate"), S.rnd(F.col("estimate") - cv * F.col("se")).alias("lo"), S.rnd(F.col("estimate") + cv * F.col("se")).alias("hi"), F.lit(note).alias("note"))
 
 
-@query("boot_cluster", agg_sql("t - g", "t - g BETWEEN -3 AND 6") + f""", cm AS (SELECT key, n_regionkey AS c, sum(inf.v)/(SELECT count(*) FROM nation k WHERE k.n_regionkey = nation.n_regionkey) AS v FROM inf JOIN nation ON n_nationkey = inf.id GROUP BY 1, 2, nation.n_regionkey),
+@query("boot_cluster", agg_sql("t - g") + f""", cm AS (SELECT key, n_regionkey AS c, sum(inf.v)/(SELECT count(*) FROM nation k WHERE k.n_regionkey = nation.n_regionkey) AS v FROM inf JOIN nation ON n_nationkey = inf.id GROUP BY 1, 2, nation.n_regionkey),
 us AS (SELECT c, b, {S.draw31_sql('u', 3, 'c', 'b')} FROM (SELECT DISTINCT c FROM cm), range(0, {BOOT_DRAWS}) bb(b)), dr AS (SELECT key, us.b, sum(cm.v*(CASE WHEN u >= 1073741824 THEN 1 ELSE -1 END))/sqrt(5) AS value FROM cm JOIN us ON us.c = cm.c GROUP BY 1, 2)
-SELECT key, {r(f'(quantile_disc(value, 0.75) - quantile_disc(value, 0.25))/{Z!r}/sqrt(5)')} AS se FROM dr GROUP BY 1""")
+SELECT key, {r(f'(quantile_disc(value, 0.75) - quantile_disc(value, 0.25))/{Z!r}/sqrt(5)')} AS se FROM dr GROUP BY 1 HAVING sum(value*value) > 1.4901161193847656e-7""")
 def _(spark, sf):
     p = D.nation_month(spark, sf)
     fit = G.fit_panel(p, A.Design(weight="w", cluster="region"))
-    ps = [q for q in G.build_params("dynamic", fit.att, fit.shares["share"], fit.periods[-1], min_e=-3, max_e=6) if q.key is not None]
+    ps = [q for q in G.build_params("dynamic", fit.att, fit.shares["share"], fit.periods[-1]) if q.key is not None]
     sizes = fit.units.groupBy("cluster").agg(F.count("*").alias("cluster_units"))
     psi = B.collapse_to_clusters(G.influence_long(fit, ps).join(sizes, "cluster"), "cluster")
     n = sizes.count()
