@@ -47,8 +47,8 @@ def test_stages_take_odd_rows(spark):
         assert out.count() >= 5 and stage(spark, docs.limit(0), DATA).count() == 0, name
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
+def test_thirteen_queries_and_the_pipeline_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14)) and set(queries.SQL) <= set(queries.QUERIES)
     import __spark_entry__ as e
 
     assert {"pipeline", *queries.QUERIES} <= set(e.queries())
