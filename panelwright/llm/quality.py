@@ -1,19 +1,23 @@
 """Quality rules: base counts, and robust multivariate outliers per language and source.
 
 Every text gets five counts. Texts that pass the base rules are turned into a vector of transformed statistics; per
-language and source the minimum-covariance-determinant estimate of centre and scatter is found by concentration steps:
-from medians and interquartile ranges on, each step keeps the ``share`` of the group's rows with the smallest
-Mahalanobis distance and estimates anew from these, until a group keeps the rows it kept before. Steps are grouped aggregates over all rows (sums combine before the
-shuffle, so a source with a third of the rows is no hot task); the distance that cuts off the share comes from a bounded
-quantile sketch (relative rank error 1e-4), so a group of over SKETCH rows also counts as settled when the determinant of
-its scatter falls by less than SETTLED. A text farther away than the chi-square limit (0.999) is rejected.
-
-Rows meet their group's few numbers without being dealt by group. Scatter is scaled by the consistency factor of the share and gets a floor per statistic, which keeps statistics that are
-constant in most of a group from rejecting every other value. Groups under ``min_group`` rows use their language's
-estimate, languages under it the estimate of all rows; where even that has fewer rows nothing is rejected.
+language and source the minimum-covariance-determinant estimate of centre and scatter is searched from three
+deterministic starts (medians with interquartile ranges, spatial signs, hyperbolic tangents of standardised values). Each
+concentration step keeps the ``share`` of the group's rows with the smallest Mahalanobis distance and estimates anew from
+these; a start is done when the log determinant of its scatter moves by less than SETTLED, and the start with the smallest
+determinant gives the group's estimate. A text farther away than the chi-square limit (0.999) is rejected.
+
+Steps are grouped aggregates over all rows (sums combine before the shuffle, so a source with a third of the rows is no
+hot task). The distance that cuts off the share is the exact one at every size (``at_ranks``): rows are counted in narrow
+bins, and only the bin that holds the wanted rank is looked into. Rows meet their group's few numbers without being dealt
+by group. Scatter is scaled by the consistency factor of the share; in no direction is it taken for smaller than the
+floors' own (a lower bound, nothing is added to larger scatter), which keeps statistics that are constant in most of a
+group from rejecting every other value. Groups under ``min_group`` rows use their language's estimate, languages under it
+the estimate of all rows; where even that has fewer rows nothing is rejected.
 
 Nulls and odd cases: a null text has no words and fails the base rules; a null lang or source is a value of its own;
-repeated rows and null ids are judged row by row; further columns are left out; an empty table gives an empty result.
+repeated rows and null ids are judged row by row; rows at the cut's distance are all kept in a step, ties of determinants
+go to the first start; further columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import distributions as D
@@ -34,7 +38,10 @@ FLOOR = (0.5, 0.5, 0.15, 0.1, 0.15)
 DIMS = len(FLOOR)
 WINDOW = 8
 BROADCAST_GROUPS, SALTS = 100_000, 32
-SKETCH, SETTLED = 10_000, 1e-3
+#: A start is done when its log determinant moves by less.
+SETTLED = 1e-9
+#: Bins of a rank search per unit of the logarithm: a bin's values differ by a thousandth.
+BINS = 1024
 
 
 def repeat_words(h: np.ndarray, k: int = WINDOW) -> int:
@@ -87,21 +94,68 @@ def consistency(share: float) -> float:
     return share / D.pchisq(chi2_quantile(share, DIMS), DIMS + 2)
 
 
+def bounded(cov: np.ndarray) -> np.ndarray:
+    """Scatter that in no direction is smaller than the floors' own."""
+    f = np.array(FLOOR)
+    size, axes = np.linalg.eigh(cov / np.outer(f, f))
+    return (axes * np.maximum(size, 1.0)) @ axes.T * np.outer(f, f)
+
+
 def solved(sums: DataFrame, factor: float) -> DataFrame:
-    """Centre, inverse scatter and log determinant of each group from its sums."""
-    floor = np.diag(np.square(FLOOR))
+    """Centre, inverse scatter and log determinant of each group and start from its sums."""
 
     def run(parts):
         for part in parts:
             out = []
-            for g, n, h, s, c in zip(part["_g"], part["_n"], part["_h"], part["_s"], part["_c"]):
+            for g, k, n, s, c in zip(part["_g"], part["_k"], part["_n"], part["_s"], part["_c"]):
                 m = np.array(s) / n
                 cov = (np.array(c).reshape(DIMS, DIMS) / n - np.outer(m, m)) * factor
-                cov = (cov + cov.T) / 2 + floor
-                out.append((g, m.tolist(), np.linalg.inv(cov).ravel().tolist(), n, h, np.linalg.slogdet(cov)[1]))
-            yield pd.DataFrame(out, columns=["_g", "_m", "_i", "_n", "_h", "_det"])
+                cov = bounded((cov + cov.T) / 2)
+                out.append((g, k, m.tolist(), np.linalg.inv(cov).ravel().tolist(), np.linalg.slogdet(cov)[1]))
+            yield pd.DataFrame(out, columns=["_g", "_k", "_m", "_i", "_det"])
+
+    return sums.mapInPandas(run, FIT)
+
 
-    return sums.mapInPandas(run, "_g string, _m array<double>, _i array<double>, _n long, _h long, _det double")
+FIT = "_g string, _k int, _m array<double>, _i array<double>, _det double"
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Three starts a group: a centre of medians, and as scatter the interquartile ranges alone, the spatial signs' second
+    moments, and the tangents' covariance, the last two on values standardised by median and interquartile range."""
+    xs = [f"_x{k}" for k in range(DIMS)]
+    long = rows.select("_g", "doc_id", "n_words", "word_chars", F.posexplode(F.array(*xs)).alias("_p", "_x"))
+    q = at_ranks(long, ["_g", "_p"], F.col("_x"), [0.25, 0.5, 0.75])
+    pick = lambda p, k: F.max(F.when((F.col("_p") == p) & (F.col("_q") == k), F.col("_v")))
+    scale = lambda p: F.greatest((pick(p, 2) - pick(p, 0)) / 1.349, F.lit(FLOOR[p]))
+    mid = q.groupBy("_g").agg(F.array(*[pick(p, 1) for p in range(DIMS)]).alias("_m"), F.array(*[scale(p) for p in range(DIMS)]).alias("_sc"))
+    mid = written(mid, "mcd-medians")
+    z = [(F.col(x) - F.col("_m")[p]) / F.col("_sc")[p] for p, x in enumerate(xs)]
+    d = beside(rows, mid, ["_g"]).select("_g", *[c.alias(f"_z{p}") for p, c in enumerate(z)])
+    zs = [F.col(f"_z{p}") for p in range(DIMS)]
+    square = reduce(Column.__add__, [c * c for c in zs])
+    t = [F.tanh(c) for c in zs]
+    pairs = [(a, b) for a in range(DIMS) for b in range(DIMS)]
+    sign = [F.sum(F.when(square > 0, zs[a] * zs[b] / square).otherwise(0.0)) for a, b in pairs]
+    sums = d.groupBy("_g").agg(F.count("*").alias("_n"), F.array(*sign).alias("_u"), F.array(*[F.sum(c) for c in t]).alias("_t"), F.array(*[F.sum(t[a] * t[b]) for a, b in pairs]).alias("_tt"))
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for g, m, sc, n, u, s, ss in zip(*[part[c] for c in ("_g", "_m", "_sc", "_n", "_u", "_t", "_tt")]):
+                tanh = np.array(ss).reshape(DIMS, DIMS) / n - np.outer(np.array(s) / n, np.array(s) / n)
+                for k, v in enumerate((np.eye(DIMS), np.array(u).reshape(DIMS, DIMS) / n, tanh)):
+                    out.append((g, k, list(m), start_inverse(v, np.array(sc)).ravel().tolist(), float("inf")))
+            yield pd.DataFrame(out, columns=["_g", "_k", "_m", "_i", "_det"])
+
+    return sums.join(mid, "_g").mapInPandas(run, FIT)
+
+
+def start_inverse(v: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Inverse of a standardised scatter, no axis under a hundredth of the mean one, on the scale of the statistics."""
+    size, axes = np.linalg.eigh((v + v.T) / 2)
+    size = np.maximum(size, max(size.mean(), 1e-12) / 100)
+    return (axes / size) @ axes.T / np.outer(scale, scale)
 
 
 def distance():
@@ -123,6 +177,22 @@ def beside(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "_salt"]).drop("_salt")
 
 
+def at_ranks(rows: DataFrame, keys: list[str], value: Column, shares: list[float]) -> DataFrame:
+    """(keys, _q, _v): per group and share, numbered from 0, the smallest of the values that has at least this share of the
+    group's values, none negative, up to it. Bins are counted before anything is shuffled; the values of the bin that
+    holds the rank are counted once more, one by one."""
+    v = rows.withColumn("_v", value).withColumn("_b", F.floor(F.ln(F.col("_v") + 1e-9) * BINS))
+    whole = Window.partitionBy(*keys)
+    bins = v.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).withColumns({"_top": F.sum("_c").over(whole.orderBy("_b")), "_all": F.sum("_c").over(whole)})
+    rank = lambda p: F.greatest(F.ceil(F.lit(p) * F.col("_all") - 1e-9), F.lit(1))
+    bins = bins.withColumn("_w", F.explode(F.array(*[F.struct(F.lit(k).alias("q"), rank(p).alias("rank")) for k, p in enumerate(shares)])))
+    below = F.col("_top") - F.col("_c")
+    want = written(bins.where((F.col("_w.rank") > below) & (F.col("_w.rank") <= F.col("_top"))).select(*keys, "_b", F.col("_w.q").alias("_q"), (F.col("_w.rank") - below).alias("_r")), "mcd-bins")
+    inside = beside(v, want, [*keys, "_b"]).groupBy(*keys, "_q", "_r", "_v").agg(F.count("*").alias("_c"))
+    top = F.sum("_c").over(Window.partitionBy(*keys, "_q").orderBy("_v"))
+    return inside.withColumn("_top", top).where((F.col("_r") > F.col("_top") - F.col("_c")) & (F.col("_r") <= F.col("_top"))).select(*keys, "_q", "_v")
+
+
 def with_groups(rows: DataFrame, min_group: int) -> DataFrame:
     """_g: the group whose estimate a row uses, null where even all rows are too few."""
     fine = rows.groupBy("_l", "_s").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("_n"))
@@ -136,29 +206,23 @@ def with_groups(rows: DataFrame, min_group: int) -> DataFrame:
 
 
 def robust_fit(rows: DataFrame, share: float, steps: int) -> DataFrame:
-    """(_g, _m, _i) after concentration steps until each group is settled, over the rows that pass the base rules."""
+    """(_g, _m, _i): the smallest determinant among the starts of each group after concentration steps until these are
+    settled, over the rows that pass the base rules."""
     xs = [f"_x{k}" for k in range(DIMS)]
-    level = ["_g"]
-    q = rows.groupBy(*level).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], SKETCH).alias(x) for x in xs])
-    start = q.select("_g", F.array(*[F.col(x)[1] for x in xs]).alias("_m"), F.array(*[F.lit(0.0) if a != b else 1 / (F.pow((F.col(xs[a])[2] - F.col(xs[a])[0]) / 1.349, 2) + FLOOR[a] ** 2) for a in range(DIMS) for b in range(DIMS)]).alias("_i"))
-    start = start.withColumns({"_n": F.lit(0).cast("long"), "_h": F.lit(0).cast("long"), "_det": F.lit(float("inf"))})
-    fit, factor, settled = written(start, "mcd"), consistency(share), []
+    fit, factor, settled = written(starts(rows), "mcd"), consistency(share), []
     for _ in range(steps):
-        d = beside(rows, fit.select("_g", "_m", "_i"), ["_g"]).withColumn("_d", distance())
-        cut = d.groupBy("_g").agg(F.percentile_approx("_d", share, SKETCH).alias("_cut"))
-        near = beside(d, written(cut, "mcd-cut"), ["_g"]).where(F.col("_d") <= F.col("_cut"))
-        # Number and hash sum of the kept rows tell whether they are those of the step before.
-        kept = F.sum(F.pmod(F.xxhash64("doc_id", *xs), F.lit(1_000_000_007)))
-        sums = near.groupBy("_g").agg(F.count("*").alias("_n"), kept.alias("_h"), F.array(*[F.sum(x) for x in xs]).alias("_s"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in xs for b in xs]).alias("_c"))
-        old = fit.select("_g", F.col("_n").alias("_n0"), F.col("_h").alias("_h0"), F.col("_det").alias("_det0"))
-        same = (F.col("_n") == F.col("_n0")) & (F.col("_h") == F.col("_h0"))
-        close = (F.col("_n") > share * SKETCH) & (F.col("_det0") - F.col("_det") < SETTLED)
-        new = written(solved(sums, factor).join(old, "_g").withColumn("_same", same | close), "mcd")
-        settled.append(new.where("_same"))
-        fit = new.where("not _same")
+        d = beside(rows, fit.select("_g", "_k", "_m", "_i"), ["_g"]).withColumn("_d", distance())
+        cut = at_ranks(d, ["_g", "_k"], F.col("_d"), [share]).select("_g", "_k", F.col("_v").alias("_cut"))
+        near = beside(d, written(cut, "mcd-cut"), ["_g", "_k"]).where(F.col("_d") <= F.col("_cut"))
+        sums = near.groupBy("_g", "_k").agg(F.count("*").alias("_n"), F.array(*[F.sum(x) for x in xs]).alias("_s"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in xs for b in xs]).alias("_c"))
+        old = fit.select("_g", "_k", F.col("_det").alias("_det0"))
+        new = written(solved(sums, factor).join(old, ["_g", "_k"]).withColumn("_same", F.abs(F.col("_det0") - F.col("_det")) < SETTLED), "mcd")
+        settled.append(new.where("_same").drop("_det0", "_same"))
+        fit = new.where("not _same").drop("_det0", "_same")
         if not fit.limit(1).count():
             break
-    return reduce(DataFrame.unionByName, [x.select("_g", "_m", "_i") for x in [*settled, fit]])
+    every = reduce(DataFrame.unionByName, [*settled, fit])
+    return every.groupBy("_g").agg(F.min(F.struct("_det", "_k", "_m", "_i")).alias("_f")).select("_g", "_f._m", "_f._i")
 
 
 def quality(docs: DataFrame, share: float = 0.75, steps: int = 50, tail: float = 1e-3, min_group: int = 100) -> DataFrame:

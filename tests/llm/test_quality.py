@@ -32,17 +32,36 @@ def test_counts_equal_brute_force(spark):
     assert Q.quality(none_docs(spark)).count() == 0
 
 
-def brute_mcd(x, share, steps):
-    """The same concentration steps in one array."""
-    floor = np.diag(np.square(Q.FLOOR))
-    lo, m, hi = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
-    inv = np.linalg.inv(np.diag(((hi - lo) / 1.349) ** 2) + floor)
-    for _ in range(steps):
-        d = np.einsum("ni,ij,nj->n", x - m, inv, x - m)
-        near = x[d <= np.quantile(d, share, method="inverted_cdf")]
-        m = near.mean(axis=0)
-        inv = np.linalg.inv((near.T @ near / len(near) - np.outer(m, m)) * Q.consistency(share) + floor)
-    return np.einsum("ni,ij,nj->n", x - m, inv, x - m)
+def at_least_floor(cov):
+    """No direction smaller than the floors' own."""
+    f = np.diag(Q.FLOOR)
+    w, v = np.linalg.eigh(np.linalg.inv(f) @ cov @ np.linalg.inv(f))
+    return f @ v @ np.diag([max(x, 1.0) for x in w]) @ v.T @ f
+
+
+def brute_mcd(x, share, steps, only=(0, 1, 2)):
+    """All starts and their concentration steps in one array."""
+    lo, m0, hi = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+    scale = np.maximum((hi - lo) / 1.349, Q.FLOOR)
+    z = (x - m0) / scale
+    signs = np.array([row / np.linalg.norm(row) if row.any() else row for row in z])
+    best = None
+    for k, v in enumerate((np.eye(Q.DIMS), signs.T @ signs / len(x), np.cov(np.tanh(z).T, bias=True))):
+        if k not in only:
+            continue
+        w, axes = np.linalg.eigh(v)
+        v = axes @ np.diag(np.maximum(w, max(w.mean(), 1e-12) / 100)) @ axes.T
+        m, inv = m0, np.linalg.inv(np.diag(scale) @ v @ np.diag(scale))
+        for _ in range(steps):
+            d = np.einsum("ni,ij,nj->n", x - m, inv, x - m)
+            near = x[d <= np.quantile(d, share, method="inverted_cdf")]
+            m = near.mean(axis=0)
+            cov = at_least_floor((near.T @ near / len(near) - np.outer(m, m)) * Q.consistency(share))
+            inv = np.linalg.inv(cov)
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0] - 1e-12:
+            best = det, np.einsum("ni,ij,nj->n", x - m, inv, x - m)
+    return best[1]
 
 
 def test_distances_equal_brute_force_and_outliers_go(spark):
@@ -62,7 +81,7 @@ def test_distances_equal_brute_force_and_outliers_go(spark):
         for k in part:
             n, chars, sym, dup, rep, _ = base(rows[k][1])
             x.append([np.log(n), chars / n, np.sqrt(sym / n), np.sqrt(dup / n), np.sqrt(rep / n)])
-        assert [got[k].distance for k in part] == pytest.approx(list(brute_mcd(np.array(x), 0.75, 4)), rel=1e-6, abs=1e-9)
+        assert [got[k].distance for k in part] == pytest.approx(list(brute_mcd(np.array(x), 0.75, 50)), rel=1e-6, abs=1e-9)
 
 
 def test_too_few_rows_reject_nothing(spark):
@@ -81,6 +100,36 @@ def test_query_counts_on_table(spark):
     assert got == {x.doc_id: base(x.text) for x in docs.collect()}
 
 
+def test_ranks_are_exact(spark):
+    r = random.Random(4)
+    rows = [(k % 3, r.choice([0.0, 1e-12, r.random(), 1.0 + r.random() * 1e-7, 3.0, 1e6 * r.random()])) for k in range(4000)]
+    df = spark.createDataFrame([(g, k, 1, 1, v) for k, (g, v) in enumerate(rows)], "g int, doc_id long, n_words long, word_chars long, x double")
+    got = {(x.g, x._q): x._v for x in Q.at_ranks(df, ["g"], df.x, [0.0, 0.25, 0.75, 1.0]).collect()}
+    for g in range(3):
+        want = np.quantile([v for h, v in rows if h == g], [0.0, 0.25, 0.75, 1.0], method="inverted_cdf")
+        assert [got[g, q] for q in range(4)] == list(want)
+
+
+def test_smallest_determinant_wins(spark):
+    """A fifth of the rows is a tight far cluster along a correlated axis: the starts end in different places."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 5)) * [2, 3, 0.4, 0.3, 0.5] + [8, 12, 2, 2, 3]
+    x[:, 1] += 1.5 * x[:, 0]
+    x[:110] = r.normal(size=(110, 5)) * 0.1 + [12, 10, 3.2, 1, 4.5]
+    x = np.abs(x)
+    df = spark.createDataFrame([("g", k, 1, 1, *map(float, v)) for k, v in enumerate(x)], "_g string, doc_id long, n_words long, word_chars long, _x0 double, _x1 double, _x2 double, _x3 double, _x4 double")
+    fit = Q.robust_fit(df, 0.75, 100).first()
+    m, inv = np.array(fit._m), np.array(fit._i).reshape(5, 5)
+    got = np.einsum("ni,ij,nj->n", x - m, inv, x - m)
+    assert list(got) == pytest.approx(list(brute_mcd(x, 0.75, 100)), rel=1e-6, abs=1e-9)
+
+
+def test_floor_is_a_lower_bound():
+    wide = np.diag([4.0, 9.0, 1.0, 1.0, 1.0])
+    assert Q.bounded(wide) == pytest.approx(wide)
+    assert Q.bounded(np.zeros((5, 5))) == pytest.approx(np.diag(np.square(Q.FLOOR)))
+
+
 def test_salted_join_changes_nothing(spark, monkeypatch):
     docs = odd_docs(spark, [" ".join(words(k, 30 + k)) for k in range(150)])
     one = sorted(map(str, Q.quality(docs).collect()))
