@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalars import AVG_Z, long_array, struct_array
+from panelwright.operators.design import with_covariates
 from panelwright.operators.did2x2 import CELL, estimate_cells
 from panelwright.session import keep
 
@@ -196,11 +197,14 @@ def _panel_cells(members: DataFrame, moments: DataFrame) -> DataFrame:
                                    pick("sw", True).alias("wt"), pick("sw", False).alias("wc"), (pick("v", True) + pick("v", False)).alias("v"))
 
 
-def att_gt(df: DataFrame, d: Design, method: str = "dr", covariates: list[str] | None = None) -> DataFrame:
+def att_gt(df: DataFrame, d: Design, method: str = "dr", covariates: list[str] | str | None = None, guard: float | None = None) -> DataFrame:
     """ATT, standard error, bands' inputs and reason for every (group, period).
 
-    A cell that cannot be estimated stays in the grid with null values."""
+    ``covariates`` are column names or a formula. ``guard`` blanks panel cells with covariates whose largest propensity
+    score reaches it or whose control design is singular. A cell that cannot be estimated stays in the grid with null
+    values."""
     spark = df.sparkSession
+    df, covariates = with_covariates(df, covariates)
     units = unit_series(df, d, covariates) if d.mode in ("panel", "unbalanced") and not (covariates and d.mode == "unbalanced") else None
     if units is not None:
         units, k = series_contract(units, d)
@@ -216,7 +220,7 @@ def att_gt(df: DataFrame, d: Design, method: str = "dr", covariates: list[str] |
         est = est.withColumn("reason", F.when(F.col("n_treated").isNull(), "no treated units").when(F.col("n_control").isNull(), "no control units"))
     elif d.mode == "panel":
         r = cell_rows(on_axis(units, periods), periods, members, covariates)
-        t = estimate_cells(r, method, "dy", "treated", covariates, "w", cell="cell", unit="unit").table
+        t = estimate_cells(r, method, "dy", "treated", covariates, "w", cell="cell", unit="unit", guard=guard).table
         sizes = r.groupBy("cell").agg(F.count_if(F.col("treated") == 1).alias("n_treated"), F.count_if(F.col("treated") == 0).alias("n_control"))
         est = t.select(F.col(CELL).alias("cell"), "att", "se", "reason").join(sizes, "cell")
     else:
@@ -367,14 +371,6 @@ def att_gt_safe(df: DataFrame, d: Design, method: str = "dr", covariates: list[s
     return j.withColumns({c: F.when(F.coalesce("identifiable", F.lit(True)), F.col(c)) for c in ("att", "se")})
 
 
-def guards(est: DataFrame, max_pscore: Column | None = None) -> DataFrame:
-    """Blank cells whose controls overlap too little with the treated."""
-    if max_pscore is None:
-        return est
-    bad = max_pscore >= 0.999
-    return est.withColumns({"reason": F.when(bad, "overlap condition violated").otherwise(F.col("reason")), "att": F.when(~bad, F.col("att")), "se": F.when(~bad, F.col("se"))})
-
-
 def custom_att(df: DataFrame, d: Design, effect) -> DataFrame:
     """Effect per cell from a user function of the cell's arms.
 

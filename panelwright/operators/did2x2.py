@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalars import AVG_Z, col, linear, logistic
+from panelwright.operators.design import with_covariates
 from panelwright.operators.moments import solve_spd, unpack
 from panelwright.session import keep
 
@@ -84,9 +85,10 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
         return None
 
 
-def batched_logit(job: _Job, df: DataFrame, cells: list[int], tol: float = 1e-10, maxit: int = 40) -> tuple[dict, dict, dict]:
+def batched_logit(job: _Job, df: DataFrame, cells: list[int], tol: float = 1e-10, maxit: int = 40, last: dict | None = None) -> tuple[dict, dict, dict]:
     """Newton logit of every cell together: one grouped aggregate per step, over
-    the cells still moving. Returns coefficients, information matrices, failures."""
+    the cells still moving. Returns coefficients, information matrices, failures;
+    ``last`` receives the last coefficients of every cell, failed ones included."""
     gamma = {c: np.zeros(job.k) for c in cells}
     info: dict[int, np.ndarray] = {}
     failed: dict[int, str] = {}
@@ -112,16 +114,18 @@ def batched_logit(job: _Job, df: DataFrame, cells: list[int], tol: float = 1e-10
                 active.discard(c)
     for c in active:
         failed[c] = "propensity score did not converge"
+    if last is not None:
+        last.update(gamma)
     return {c: g for c, g in gamma.items() if c not in failed}, info, failed
 
 
-def batched_calibrated(job: _Job, df: DataFrame, cells: list[int], tol: float = 1e-10, maxit: int = 60) -> tuple[dict, dict]:
+def batched_calibrated(job: _Job, df: DataFrame, cells: list[int], tol: float = 1e-10, maxit: int = 60, last: dict | None = None) -> tuple[dict, dict]:
     """Calibrated propensity: maximise the mean of w(D xg - (1-D) exp(xg)).
 
     Concave, so damped Newton steps suffice; each is one grouped aggregate.
     A cell that does not settle falls back to the logit and is flagged 2."""
     gamma: dict[int, np.ndarray] = {}
-    base, _, bad = batched_logit(job, df, cells)
+    base, _, bad = batched_logit(job, df, cells, last=last)
     gamma.update(base)
     flag = {c: 0 for c in base}
     active = set(base)
@@ -161,15 +165,19 @@ def batched_calibrated(job: _Job, df: DataFrame, cells: list[int], tol: float =
 
 
 def estimate_cells(df: DataFrame, method: str, y, d, xs: list | None = None, w=None, post=None, cell=None, unit: str | None = None,
-                   trim: float = TRIM_LEVEL, cache: bool = True) -> CellResult:
+                   trim: float = TRIM_LEVEL, cache: bool = True, guard: float | None = None) -> CellResult:
     """ATT, standard error and reason per cell.
 
+    ``xs`` are columns or a formula. With ``guard``, a cell whose largest propensity score reaches it, or whose control
+    design is singular to machine precision, gets no estimate but the reason.
+
     Panel data give the outcome change as ``y`` and no ``post``; repeated
     cross-sections give ``post``. A cell that cannot be estimated keeps a null
     ATT and says why; the others are not affected."""
     rc = post is not None
     if method not in (RC_METHODS if rc else PANEL_METHODS):
         raise ValueError(f"unknown method {method}")
+    df, xs = with_covariates(df, xs)
     covs = [F.lit(1.0)] + [col(x).cast("double") for x in (xs or [])]
     k = len(covs)
     base = df.select(*([F.col(unit)] if unit else []), (F.lit(0) if cell is None else col(cell)).cast("bigint").alias(CELL), col(y).cast("double").alias(Y),
@@ -200,17 +208,21 @@ def estimate_cells(df: DataFrame, method: str, y, d, xs: list | None = None, w=N
     const: dict[int, dict] = {c: {"_wbar": sizes[c]["sw"] / sizes[c]["n"]} for c in live}
 
     # propensity score
-    gamma, hess = {}, {}
+    gamma, hess, last = {}, {}, {}
+    checked = list(live)
     if method != "reg" and live:
         if method.startswith("dr_imp"):
-            gamma, flags = batched_calibrated(job, base, live)
+            gamma, flags = batched_calibrated(job, base, live, last=last)
             lost = [c for c in live if c not in gamma]
             for c in lost:
                 reason[c] = "propensity score could not be estimated"
         else:
-            gamma, hess, bad = batched_logit(job, base, live)
+            gamma, hess, bad = batched_logit(job, base, live, last=last)
             reason.update(bad)
-        live = [c for c in live if c not in reason]
+    if guard is not None:
+        reason.update(guarded(job, base, checked, last, guard, method))
+    live = [c for c in live if c not in reason]
+    if method != "reg":
         for c in live:
             const[c]["_g"] = gamma[c]
 
@@ -282,6 +294,47 @@ def estimate_cells(df: DataFrame, method: str, y, d, xs: list | None = None, w=N
     return CellResult(point.join(sds, CELL, "left").select(CELL, "n", "att", "se", "reason"), inf, point)
 
 
+def guarded(job: _Job, df: DataFrame, cells: list[int], scores: dict, limit: float, method: str) -> dict[int, str]:
+    """Reasons of cells without overlap or with a singular control design: the largest score and the controls' cross
+    products of all cells come out of one grouped aggregate. Scores of a fit that failed are those of its last step."""
+    if not cells:
+        return {}
+    scored = method != "reg"
+    d = job.attach(df, {c: {"_g": scores[c]} for c in cells}) if scored else df
+    top = F.max(logistic(job.dot("_g"))) if scored else F.lit(None).cast("double")
+    control = F.col(D) == 0
+    gram = F.array(*[F.sum(F.when(control, job.x[i] * job.x[j])) for i in range(job.k) for j in range(i, job.k)])
+    out = {}
+    for r in d.groupBy(CELL).agg(top.alias("top"), gram.alias("a")).collect():
+        if scored and r.top is not None and r.top >= limit:
+            out[r[CELL]] = "overlap condition violated"
+        elif not method.startswith(("ipw", "sipw")) and reciprocal_condition(unpack(r.a, job.k)) < np.finfo(float).eps:
+            out[r[CELL]] = "singular control design"
+    return out
+
+
+def reciprocal_condition(a: np.ndarray) -> float:
+    if not np.all(np.isfinite(a)):
+        return 0.0
+    try:
+        return 1.0 / (np.linalg.norm(a, 1) * np.linalg.norm(np.linalg.inv(a), 1))
+    except np.linalg.LinAlgError:
+        return 0.0
+
+
+def overlap_trim(df: DataFrame, d, xs: list | str, w=None, limit: float = 0.999) -> DataFrame:
+    """The rows with their propensity score ``ps``, without the treated ones whose score lies above ``limit``."""
+    df, xs = with_covariates(df, xs)
+    covs = [F.lit(1.0)] + [col(x).cast("double") for x in xs]
+    base = df.select(F.lit(0).cast("bigint").alias(CELL), col(d).cast("double").alias(D), (F.lit(1.0) if w is None else col(w).cast("double")).alias(W),
+                     *[c.alias(f"_x{i}") for i, c in enumerate(covs)])
+    last: dict = {}
+    batched_logit(_Job(keep(base), len(covs), True), base, [0], last=last)
+    ps = logistic(linear(last[0], covs))
+    out = df.withColumn("ps", ps).where((col(d) != 1) | (F.col("ps") <= limit) | F.col("ps").isNull())
+    return out.drop(*[x for x in xs if isinstance(x, str) and x.startswith("_f")])
+
+
 def _inverse(a: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(a, hermitian=True)
 
@@ -480,6 +533,7 @@ def twfe_2x2(df: DataFrame, y, d, post, xs: list | None = None, w=None) -> DataF
     covariates, rows taken as independent."""
     from panelwright.operators.moments import gram
 
+    df, xs = with_covariates(df, xs)
     xs = [col(x) for x in (xs or [])]
     dd, pp = col(d).cast("double"), col(post).cast("double")
     ww = F.lit(1.0) if w is None else col(w)
@@ -499,6 +553,7 @@ def did_long(df: DataFrame, method: str, y: str, time: str, d: str, unit: str |
     """Two-period estimate from long data: panel when a unit is named, else
     repeated cross-sections. Covariates and weights of a panel are read in the
     first period."""
+    df, xs = with_covariates(df, xs)
     span = df.agg(F.min(time).alias("a"), F.max(time).alias("b"))
     if unit is None:
         post = (F.col(time) == span.select("b").scalar()).cast("double")

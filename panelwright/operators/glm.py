@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.distributions import two_sided_normal, two_sided_t
 from panelwright.functions.scalars import col, linear
+from panelwright.operators.design import model_matrix
 from panelwright.operators.factors import reduced, solved, stack
 from panelwright.operators.moments import unpack
 from panelwright.session import keep
@@ -207,9 +208,9 @@ def wide_gram(df: DataFrame, xs: list, z: Column, w: Column, extras: dict[str, C
     return unpack(v[:t], k), v[t:t + k], dict(zip(names, v[t + k:]))
 
 
-def glm_fit(df: DataFrame, y, xs: list, fam: Family, w=None, offset=None, start: np.ndarray | None = None,
+def glm_fit(df: DataFrame, y, xs: list | str, fam: Family, w=None, offset=None, start: np.ndarray | None = None,
             tol: float = 1e-8, maxit: int = 100, names: list[str] | None = None, cache: bool = True, method: str = "gram") -> GlmFit:
-    """Fit by reweighted least squares with step halving.
+    """Fit by reweighted least squares with step halving; ``xs`` are columns or a formula.
 
     ``method``: gram (cross products, minimum norm if deficient), or the triangular factor of the weighted rows: qr (a singular
     design is an error), pivoted_qr (columns beyond the rank get no coefficient), svd (minimum norm). The narrow modelling frame
@@ -217,6 +218,9 @@ def glm_fit(df: DataFrame, y, xs: list, fam: Family, w=None, offset=None, start:
     method, keep it as blocks of numbers, which are dealt over the cores once if they lie in fewer partitions."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}; one of {', '.join(METHODS)}")
+    if isinstance(xs, str):
+        m = model_matrix(df, xs)
+        xs, names = m.columns, names or m.names
     k = len(xs)
     if method != "gram" and fam.arrays is None:
         raise ValueError("factor methods need a family with array functions")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import scalars as S
 from panelwright.operators import did2x2 as E
+from panelwright.operators.design import model_matrix
 from panelwright.operators.glm import family, glm_fit
 from panelwright.operators.factors import column_factor, independent
 from panelwright.plans import panels as D
@@ -180,11 +181,37 @@ def _(spark, sf):
     return E.wls_odds(p, "y", ["x1"], "ps", "w", (F.col("d") == 0) & (F.col("post") == 1)).select("position", S.rnd("coef").alias("coef"))
 
 
-@query("p_covariate_matrix", with_(P5) + "SELECT id, [1.0, x1, x2, x1*x2]::DOUBLE[] AS x FROM p5".replace("SELECT id, [1.0, x1, x2, x1*x2]::DOUBLE[] AS x", "SELECT id, 1.0::DOUBLE AS c0, x1 AS c1, x2 AS c2, x1*x2 AS c3"))
+BAND = "CASE WHEN w <= 8 THEN 'few' WHEN w <= 11 THEN 'many' ELSE 'most' END"
+
+
+def banded(spark, sf):
+    return D.two_period(spark, sf).withColumn("band", F.expr(BAND))
+
+
+@query("p_covariate_matrix", with_(P5) + f"SELECT id, 1.0::DOUBLE AS c0, x1 AS c1, x2 AS c2, ({BAND} = 'many')::INT::DOUBLE AS c3, ({BAND} = 'most')::INT::DOUBLE AS c4, x1*x2 AS c5 FROM p5")
 def _(spark, sf):
-    p = D.two_period(spark, sf)
-    m = p.select("id", F.array(F.lit(1.0), "x1", "x2", F.expr("x1*x2")).alias("x"))
-    return m.select("id", *[F.col("x")[i].alias(f"c{i}") for i in range(4)])
+    p = banded(spark, sf)
+    m = model_matrix(p, "~ x1 * x2 + band")
+    return p.select("id", *[c.alias(f"c{i}") for i, c in enumerate(m.columns)])
+
+
+BANDED = PANEL_SQL.replace("FROM p5)", f"FROM (SELECT *, {BAND} AS band FROM p5))", 1).replace("PARTITION BY x1)", "PARTITION BY x1, band)")
+
+
+@query("did_formula_factor", BANDED)
+def _(spark, sf):
+    return shown(E.did_2x2(banded(spark, sf), "reg", y1="y1", y0="y0", d="d", xs="~ x1 * band", w="w"))
+
+
+@query("udf_formula", with_(P5) + f""", b AS (SELECT *, y1 - y0 AS dy, {BAND} AS band FROM p5),
+m AS (SELECT x1, band, sum(w*dy)/sum(w) AS m FROM b GROUP BY 1, 2),
+c AS (SELECT max(m) FILTER (x1=0 AND band='few') AS a, max(m) FILTER (x1=1 AND band='few') AS b, max(m) FILTER (x1=0 AND band='many') AS c, max(m) FILTER (x1=0 AND band='most') AS e,
+  max(m) FILTER (x1=1 AND band='many') AS f, max(m) FILTER (x1=1 AND band='most') AS g FROM m)
+""" + " UNION ALL ".join(f"SELECT '{t}' AS term, {r(e)} AS estimate FROM c" for t, e in (
+    ("(Intercept)", "a"), ("x1", "b - a"), ("bandmany", "c - a"), ("bandmost", "e - a"), ("x1:bandmany", "f - c - b + a"), ("x1:bandmost", "g - e - b + a"))))
+def _(spark, sf):
+    fit = glm_fit(banded(spark, sf), F.expr("y1 - y0"), "~ x1 * band", family("gaussian"), "w", tol=1e-12)
+    return spark.createDataFrame([(n, float(b)) for n, b in zip(fit.names, fit.coef)], "term STRING, estimate DOUBLE").withColumn("estimate", S.rnd("estimate"))
 
 
 # A column is kept if those before it leave some of its variance: squared (multiple) correlations below one.
@@ -198,9 +225,9 @@ def _(spark, sf):
     return spark.createDataFrame([(names[i],) for i in independent(r_)], "kept STRING")
 
 
-@query("panel_overlap_trim", with_(P5) + ", s AS (SELECT x1, sum(w*d)/sum(w) AS ps FROM p5 GROUP BY 1) SELECT x1, " + r("ps") + " AS ps, count(*) AS treated, (ps > 0.34) AS trimmed FROM p5 JOIN s USING (x1) WHERE d = 1 GROUP BY 1, 2, 4")
+# Every treated unit with z has a score of one in the limit and leaves; among the others the score is the treated share of the stratum.
+@query("panel_overlap_trim", with_(P5) + "SELECT x1, " + r("sum(w*d)/sum(w)", 5) + " AS ps, sum(d)::BIGINT AS treated, count(*) - sum(d)::BIGINT AS controls FROM p5 WHERE NOT (d = 1 AND id % 7 = 0) GROUP BY 1")
 def _(spark, sf):
-    p = D.two_period(spark, sf)
-    fit = glm_fit(p, "d", [F.lit(1.0), F.col("x1")], family("binomial"), "w", tol=1e-12)
-    ps = fit.predict([F.lit(1.0), F.col("x1")])
-    return p.where("d = 1").groupBy("x1", S.rnd(ps).alias("ps"), (ps > 0.34).alias("trimmed")).agg(F.count("*").alias("treated"))
+    p = D.two_period(spark, sf).withColumn("z", F.expr("d * int(id % 7 = 0)"))
+    kept = E.overlap_trim(p, "d", "~ x1 + z", "w")
+    return kept.groupBy("x1").agg(S.rnd(F.max("ps"), 5).alias("ps"), F.count_if(F.col("d") == 1).alias("treated"), F.count_if(F.col("d") == 0).alias("controls"))

@@ -286,14 +286,6 @@ def _(spark, sf):
     return _coefs(spark, M.glm_fit(D.cross_section(spark, sf), "y", one(), fam, "w", tol=1e-12, names=["const", "x1"]))
 
 
-@query("udf_formula", LOGIT)
-def _(spark, sf):
-    formula = "~ x1"
-    terms = [t.strip() for t in formula.lstrip("~ ").split("+")]
-    fit = M.glm_fit(D.cross_section(spark, sf), "d", [F.lit(1.0), *[F.col(t) for t in terms]], M.family("binomial"), "w", tol=1e-12, names=["const", *terms])
-    return _coefs(spark, fit)
-
-
 # Outcome on x1 and on z = x1 + 1e-9 h: the same fit as on x1 and h, whose coefficient is that of h around its mean per x1.
 ILL = with_(P4) + """, m AS (SELECT y, x1, (w > 25)::INT::DOUBLE AS h, avg(y) OVER (PARTITION BY x1) AS my, avg((w > 25)::INT::DOUBLE) OVER (PARTITION BY x1) AS mh FROM p4),
 c AS (SELECT sum((h-mh)*y)/sum((h-mh)*(h-mh)) AS c, sum((y-my)*(y-my)) AS s, sum((h-mh)*(h-mh)) AS hh FROM m)

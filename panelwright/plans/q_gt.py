@@ -161,13 +161,16 @@ def _(spark, sf):
     return e.where("pre is not null").select("g", "t", S.rnd("att").alias("att"), S.rnd("se", 5).alias("se"))
 
 
-@query("gt_v1_guards", with_(P1) + arms_sql(w="1.0") + ", big AS (SELECT g, t, max(CASE WHEN treated THEN 1.0 ELSE 0 END) AS x, count(*) FILTER (treated)::DOUBLE/count(*) AS share FROM ch GROUP BY 1, 2) SELECT g, t, CASE WHEN share < 0.499 THEN " + r("att") + " END AS att, CASE WHEN share >= 0.499 THEN 'overlap condition violated' END AS reason FROM att JOIN big USING (g, t)")
+# One cohort lies beyond all controls in x, so its scores reach one; elsewhere x has two values and controls in both.
+GUARD_X = "CASE WHEN id % 5 = 4 THEN 2 WHEN id >= 15 THEN 1 ELSE 0 END"
+
+
+@query("gt_v1_guards", with_(P1) + arms_sql(w="1.0") + f""", xs AS (SELECT *, {GUARD_X} AS x FROM ch), mc AS (SELECT g, t, x, avg(dy) AS m FROM xs WHERE NOT treated GROUP BY 1, 2, 3)
+SELECT xs.g, xs.t, CASE WHEN count(m) = count(*) THEN """ + r("avg(dy - m)") + " END AS att, CASE WHEN count(m) < count(*) THEN 'overlap condition violated' END AS reason FROM xs LEFT JOIN mc ON mc.g = xs.g AND mc.t = xs.t AND mc.x = xs.x WHERE treated GROUP BY 1, 2")
 def _(spark, sf):
-    e = A.att_gt(D.nation_month(spark, sf), PLAIN)
-    share = F.col("n_treated") / (F.col("n_treated") + F.col("n_control"))
-    # with an intercept only, the propensity score is the treated share; doubled, half of the units reach the bound
-    g = A.guards(e, share * (0.999 / 0.499))
-    return g.where("pre is not null").select("g", "t", S.rnd("att").alias("att"), "reason")
+    p = D.nation_month(spark, sf).withColumn("x", F.expr(GUARD_X).cast("double"))
+    e = A.att_gt(p, PLAIN, "dr", "~ x", guard=0.999)
+    return e.where("pre is not null").select("g", "t", S.rnd("att").alias("att"), "reason")
 
 
 @query("gt_se_analytic", with_(P1) + arms_sql() + " SELECT g, t, " + r("max(se)") + " AS se, " + r("max(se)*max(se)*max(nn.n)") + " AS v FROM se, nn WHERE se > 1.5e-7 GROUP BY 1, 2")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions import scalars as S
@@ -93,6 +96,21 @@ def _(spark, sf):
     return back.groupBy("batch").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n"))
 
 
+@query("sink_partial", with_(P2) + ", b AS (SELECT t % 4 AS batch, count(*) AS n_rows, sum(n)::BIGINT AS n FROM p2 GROUP BY 1) SELECT a.batch AS after, count(*) AS batches, sum(b.n_rows)::BIGINT AS n_rows, sum(b.n)::BIGINT AS n FROM b a JOIN b ON b.batch <= a.batch GROUP BY 1")
+def _(spark, sf):
+    path = output_folder(spark, "partial")
+    panel = D.customer_quarter(spark, sf).select(F.pmod("t", F.lit(4)).alias("batch"), "id", "t", "n")
+    out = []
+    for k in range(4):
+        if k:  # the batch before once more, as a restarted run writes it
+            sinks.write_part(panel.where(F.col("batch") == k - 1), path, ["batch"])
+        sinks.write_part(panel.where(F.col("batch") == k), path, ["batch"])
+        back = spark.read.schema("id BIGINT, t BIGINT, n BIGINT, batch BIGINT").parquet(path)
+        total = back.agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("n_rows"), F.sum("n").alias("n"))
+        out.append(spark.createDataFrame(total.collect(), "batches BIGINT, n_rows BIGINT, n BIGINT").withColumn("after", F.lit(k).cast("bigint")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("sink_report_table", with_(P1) + "SELECT * FROM (SELECT 'units' AS metric, count(DISTINCT id)::DOUBLE AS value FROM p1 UNION ALL SELECT 'periods', count(DISTINCT t)::DOUBLE FROM p1 UNION ALL SELECT 'rows', count(*)::DOUBLE FROM p1 UNION ALL SELECT 'treated_rows', count(*) FILTER (t >= g)::DOUBLE FROM p1)")
 def _(spark, sf):
     p = D.nation_month(spark, sf)

@@ -16,6 +16,12 @@ def append_batches(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("append").partitionBy(*keys).parquet(path)
 
 
+def write_part(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Put results beside those written before; a batch that is written again replaces its own directory alone, so the
+    table read back is cumulative after every batch and a restart changes nothing that is done."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def unfinished(spark: SparkSession, todo: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Batches of ``todo`` that no earlier run has appended under ``path``."""
     if not exists(spark, path):

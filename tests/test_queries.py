@@ -16,7 +16,8 @@ load_all()
 SAMPLE = ["panel_collapse", "panel_priority_union", "panel_did_standardize", "treat_activity_pct", "diff_cells", "a_quantile", "j_control_range", "gt_support", "att_gt", "gt_2x2_unbalanced",
           "agg_dynamic", "did_dr_panel", "did_dr_rc", "twfe_static", "sunab", "glm_fit", "loo_att", "placebo_schedule", "coverage_unit", "dose_change",
           "att_gt_zero_coded", "att_gt_no_never", "fe_predict_components", "f_distribution", "joint_holm", "src_wide", "a_slope",
-          "imputation_att", "imputation_weights", "loo_cumulative", "loo_sunab", "boot_wild_cluster_region", "placebo_permute", "placebo_date_shift", "coverage_sweep_effects", "glm_fit_qr", "glm_aliased", "glm_loglik", "p_collinear_drop", "resid_pool"]
+          "imputation_att", "imputation_weights", "loo_cumulative", "loo_sunab", "boot_wild_cluster_region", "placebo_permute", "placebo_date_shift", "coverage_sweep_effects", "glm_fit_qr", "glm_aliased", "glm_loglik", "p_collinear_drop", "resid_pool",
+          "p_covariate_matrix", "did_formula_factor", "udf_formula", "panel_overlap_trim", "gt_v1_guards", "sink_partial"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
 
