@@ -236,12 +236,13 @@ def quality(docs: DataFrame, share: float = 0.75, steps: int = 50, tail: float =
     every = rows.where(~F.col("base_failed") & F.col("_g").isNotNull())
     # Rows also count for the wider groups that smaller ones fall back on.
     langs, alls = every.withColumn("_g", F.concat(F.lit("l"), F.to_json(F.struct("_l")))), every.withColumn("_g", F.lit("all"))
-    used = rows.select("_g").distinct()
-    levels = every.where(F.col("_g").startswith("s")).unionByName(langs).unionByName(alls).join(used.where(~F.col("_g").startswith("s")).withColumn("_used", F.lit(True)), "_g", "left")
-    fit = robust_fit(levels.where(F.col("_g").startswith("s") | F.col("_used")).drop("_used"), share, steps)
+    used = written(rows.where("_g is not null").select("_g").distinct(), "mcd-groups")
+    levels = every.where(F.col("_g").startswith("s")).unionByName(langs).unionByName(alls)
+    levels = levels.select("_g", "doc_id", "n_words", "word_chars", *[f"_x{k}" for k in range(DIMS)])
+    fit = robust_fit(written(beside(levels, used, ["_g"]), "mcd-rows"), share, steps)
     limit = chi2_quantile(1 - tail, DIMS)
     alone = rows.where("_g is null").withColumns({"_m": F.lit(None).cast("array<double>"), "_i": F.lit(None).cast("array<double>")})
     # Every group in use has an estimate unless all its rows fail the base rules.
-    known = fit.join(rows.select("_g").distinct(), "_g", "right").where("_g is not null")
+    known = fit.join(used, "_g", "right")
     out = beside(rows.where("_g is not null"), written(known, "mcd-all"), ["_g"]).unionByName(alone).withColumn("distance", F.when(~F.col("base_failed"), distance()))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)).alias("kept"), "distance")
