@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heappop, heappush
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from panelwright.llm.common import SLICE, column, map_slices, need, texts
+from panelwright.llm.common import SLICE, column, map_slices, need, small_batches, texts
 
 #: Half the distinct pre-tokens a worker keeps at most; longer ones are not kept.
 CACHED, CACHED_CHARS = 400_000, 64
@@ -137,26 +138,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def codec_for(key: str, sent) -> Codec:
-    """The worker's codec of these contents. A function of the module, so that tasks share the module's table."""
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(*sent.value)
-    return _codecs[key]
+def codec_for(sent) -> Codec:
+    """The worker's codec of a broadcast. A function of the module, so that tasks share the module's table; a worker that
+    goes on to tasks without the broadcast drops it, and the table of pre-tokens with it."""
+    if sent not in _codecs:
+        _codecs[sent] = Codec(*sent.value)
+    return _codecs[sent]
 
 
 def shared_codec(spark: SparkSession, path: str, pattern: str):
     """A function that gives a task its worker's codec; the ranks (a fixed file, about 1 MB) are read once by the driver.
 
-    The codec is known by its contents, so that later tasks of a worker find its table of pre-tokens filled."""
-    ranks = read_ranks(path)
-    key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
-    sent = spark.sparkContext.broadcast((ranks, pattern))
+    Later tasks of a worker find the codec's table of pre-tokens filled."""
+    sent = spark.sparkContext.broadcast((read_ranks(path), pattern))
 
-    return lambda: codec_for(key, sent)
+    return lambda: codec_for(sent)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -189,4 +188,4 @@ def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 back = pa.array([c.decode(i.tolist()).decode("utf-8", "replace") for i in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int32()), lists, back], names=[*part.schema.names, "n_tokens", "ids", "decoded"])
 
-    return rest.mapInArrow(run, schema)
+    return small_batches(rest).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import NULL_ID, column, id_or_last, map_slices, need, new_path, remove, texts, written
+from panelwright.llm.common import NULL_ID, column, id_or_last, map_slices, need, new_path, remove, small_batches, texts, written
 from panelwright.llm.tokens import U, mix, windows, word_hashes
 
 K, THRESHOLD, RECALL, BLOCK = 5, 0.8, 0.9995, 512
@@ -260,7 +260,7 @@ def classified(docs: DataFrame, k: int, threshold: float, recall: float) -> Data
     schema = "_unit string, _part int, _did long, _size long, _bands array<long>, _set binary, _band int, _two boolean, _k1 long"
     sets = map_slices(pairs, run, schema)
     dealt = sets.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_unit").sortWithinPartitions("_unit")
-    found = written(dealt.mapInArrow(bucket_work(threshold), "_did long, _k1 long, _links long, _near long, _near_k1 long"), "links")
+    found = written(small_batches(dealt).mapInArrow(bucket_work(threshold), "_did long, _k1 long, _links long, _near long, _near_k1 long"), "links")
     vertex = F.struct("_did", "_k1")
     roots = components(found.select(vertex.alias("_a"), F.struct(F.col("_near").alias("_did"), F.col("_near_k1").alias("_k1")).alias("_b")))
     linked = found.groupBy("_did", "_k1").agg(F.sum("_links").alias("_links")).join(roots.select("_did._did", "_did._k1", "_root"), ["_did", "_k1"], "left")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import SLICE, column, held_out, learnable, map_slices, need, smallest_hashes, texts
+from panelwright.llm.common import SLICE, column, held_out, learnable, map_slices, need, small_batches, smallest_hashes, texts
 
 PER_LABEL, MIN_G2, MIN_DF, LIFT, BOOST = 2500, 34.0, 3, 4.0, 40.0
 PREFIXES, BLOCK, NEIGHBOURS, PRIOR = (4, 5, 6, 7), 64, 15, 0.25
@@ -319,4 +319,4 @@ def without_toxic(docs: DataFrame, index: Index | None) -> DataFrame:
                 part, ix = batch.slice(at, SLICE), sent.value
                 yield part.filter(pa.array([ix is None or ix.score(t)[0] < 0.5 for t in texts(part)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import random
 
@@ -59,3 +60,14 @@ def test_query_equals_library(spark, pair):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = {r.doc_id: tuple(r)[1:] for r in B.token_digests(docs, PATH, P.PATTERN).collect()}
     assert got == {r.doc_id: digest(pair[1], r.text) for r in docs.collect()}
+
+
+def test_table_goes_with_its_broadcast(pair):
+    class Sent:
+        value = (pair[0].ranks, P.PATTERN)
+
+    sent = Sent()
+    assert B.codec_for(sent) is B.codec_for(sent) and len(B._codecs) == 1
+    del sent
+    gc.collect()
+    assert not B._codecs

@@ -65,3 +65,13 @@ def test_entry_works_without_the_subpackage(tmp_path):
             os.symlink(f"{root}/panelwright/{p}", tmp_path / "panelwright" / p)
     got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') or n == 'pipeline' for n in q))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert got.stdout.split()[1] == "False" and int(got.stdout.split()[0]) > 200, got.stderr[-500:]
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    from pyspark.sql import functions as F
+
+    from panelwright.llm.common import BATCH_BYTES, map_slices
+
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    sizes = map_slices(docs, lambda b: {"n": [sum(x.size for x in b.column(1).buffers() if x)]}, "n long")  # a slice keeps its batch's buffers
+    assert sizes.agg(F.max("n")).first()[0] < 3 * BATCH_BYTES
