@@ -39,6 +39,23 @@ class _Without:
         return inv @ (self.b - z.T @ y), inv, rank, known
 
 
+    def each(self, z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For units with as many rows each: theta, first row of the inverse, rank, and whether the first coefficient is
+        identified, without the rows of each."""
+        units, size, width = z.shape
+        half = z @ self.inv
+        gap = np.eye(size) - half @ z.transpose(0, 2, 1)
+        fine = np.linalg.eigvalsh(gap)[:, 0] > 1e-8 if size <= width else np.zeros(units, bool)
+        theta, first, rank, known = np.zeros((units, width)), np.zeros((units, width)), np.full(units, self.rank), np.ones(units, bool)
+        right = np.stack([y - z @ self.theta, half[:, :, 0]], axis=2)[fine]
+        back = half[fine].transpose(0, 2, 1) @ np.linalg.solve(gap[fine], right)
+        theta[fine], first[fine] = self.theta - back[:, :, 0], self.inv[0] + back[:, :, 1]
+        for k in np.flatnonzero(~fine):
+            theta[k], inv, rank[k], ok = self.solve(z[k], y[k])
+            first[k], known[k] = inv[0], ok[0]
+        return theta, first, rank, known
+
+
 class _Features:
     """A unit's cluster score without others, c'Z'(y - Z theta), is a product of what depends on the unit alone (its products
     <x, y>, <x, x>, x and y per period, and its pattern of periods) with what depends on (c, theta) alone. One Gram matrix of
@@ -51,52 +68,48 @@ class _Features:
         n = len(periods)
         self.periods, self.n = periods, n
         self.most = n * (n + 1) // 2
-        seen = units.select(F.array_sort("t").alias("t")).distinct().limit(self.most + 1).collect()
+        seen = units.select(F.sort_array("t").alias("t")).distinct().limit(self.most + 1).collect()
         self.patterns = {tuple(r.t): k for k, r in enumerate(seen)} if len(seen) <= self.most else None
-        self.shapes = [self.shape(np.searchsorted(periods, t)) for t in self.patterns] if self.patterns is not None else None
+        self.seen = np.array([np.isin(periods, t) for t in self.patterns], float).reshape(-1, n) if self.patterns is not None else None
         self.upper = np.triu_indices(n)
         self.width = 2 + 2 * n + (len(self.patterns) if self.patterns is not None else self.most)
 
-    def shape(self, at: np.ndarray) -> np.ndarray:
-        m = np.zeros((self.n, self.n))
-        m[at, at] = 1
-        m[np.ix_(at, at)] -= 1 / len(at)
-        return m
-
-    def of(self, t, z: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Features of a unit with periods ``t`` and demeaned rows."""
-        v = np.zeros(self.width)
-        at = np.searchsorted(self.periods, t)
-        v[0], v[1] = z[:, 0] @ y, z[:, 0] @ z[:, 0]
-        v[2 + at], v[2 + self.n + at] = z[:, 0], y
+    def of(self, at: np.ndarray, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Features of units with as many rows each: positions of their periods, demeaned rows."""
+        units, size = at.shape
+        v, u, x = np.zeros((units, self.width)), np.arange(units)[:, None], z[:, :, 0]
+        v[:, 0], v[:, 1] = (x * y).sum(axis=1), (x * x).sum(axis=1)
+        v[u, 2 + at], v[u, 2 + self.n + at] = x, y
         if self.patterns is not None:
-            v[2 + 2 * self.n + self.patterns[tuple(sorted(t))]] = 1
+            v[u[:, 0], [2 + 2 * self.n + self.patterns[tuple(t)] for t in self.periods[np.sort(at, axis=1)].tolist()]] = 1
         else:
-            v[2 + 2 * self.n :] = self.shape(at)[self.upper]
+            p = np.zeros((units, self.n))
+            p[u, at] = 1
+            i, j = self.upper
+            v[:, 2 + 2 * self.n :] = p[:, i] * ((i == j) - p[:, j] / size)
         return v
 
     def weights(self, c: np.ndarray, theta: np.ndarray) -> np.ndarray:
-        """What a unit's features are multiplied with; c and theta: the regressor, then the periods but the first."""
-        cd, lam = np.append(0.0, c[1:]), np.append(0.0, theta[1:])
-        v = np.zeros(self.width)
-        v[0], v[1] = c[0], -c[0] * theta[0]
-        v[2 : 2 + self.n] = -c[0] * lam - theta[0] * cd
-        v[2 + self.n : 2 + 2 * self.n] = cd
+        """What units' features are multiplied with; rows of c and theta: the regressor, then the periods but the first."""
+        cd, lam = c.copy(), theta.copy()
+        cd[:, 0] = lam[:, 0] = 0.0  # of the first period
+        v = np.zeros((len(c), self.width))
+        v[:, 0], v[:, 1] = c[:, 0], -c[:, 0] * theta[:, 0]
+        v[:, 2 : 2 + self.n] = -c[:, :1] * lam - theta[:, :1] * cd
+        v[:, 2 + self.n : 2 + 2 * self.n] = cd
         if self.patterns is not None:
-            v[2 + 2 * self.n :] = [-cd @ s @ lam for s in self.shapes]
+            v[:, 2 + 2 * self.n :] = (cd @ self.seen.T) * (lam @ self.seen.T) / self.seen.sum(axis=1) - (cd * lam) @ self.seen.T
         else:
-            both = np.outer(cd, lam)
-            v[2 + 2 * self.n :] = -(both + both.T - np.diag(np.diag(both)))[self.upper]
+            i, j = self.upper
+            v[:, 2 + 2 * self.n :] = -(cd[:, i] * lam[:, j] + (i != j) * cd[:, j] * lam[:, i])
         return v
 
     def gram(self, units: DataFrame) -> np.ndarray:
         def part(batches):
             total = np.zeros((self.width, self.width))
-            for batch in batches:
-                rows = [self.of(t, z, y) for t, z, y in own_rows([batch], self.periods)]
-                if rows:
-                    v = np.vstack(rows)
-                    total += v.T @ v
+            for _g, _k, at, z, y in like_units(batches, self.periods, self.width):
+                v = self.of(at, z, y)
+                total += v.T @ v
             yield pd.DataFrame({"k": np.arange(self.width), "v": list(total)})
 
         out = np.zeros((self.width, self.width))
@@ -105,13 +118,23 @@ class _Features:
         return out
 
 
-def own_rows(frames, periods: np.ndarray):
-    """Periods, demeaned regressors (x, then the periods but the first) and outcomes of each unit, one at a time."""
-    for f in frames:
-        for k in range(len(f)):
-            one = f.iloc[k : k + 1]
-            for z, y, *_ in _blocks([one], periods, 1, 0):
-                yield one["t"].iloc[0], z, y
+#: Numbers in one array of a block of units with as many rows each.
+LIKE_NUMBERS = 1_000_000
+
+
+def like_units(frames, periods: np.ndarray, width: int):
+    """Units with as many rows each, side by side: frame, positions in it, positions of the periods, demeaned regressors (x, then
+    the periods but the first) and outcomes. A block has at most LIKE_NUMBERS numbers in these and in ``width`` numbers a unit."""
+    for z, y, u, g, t in _blocks(frames, periods, 1, 0):
+        n = np.bincount(u, minlength=len(g))
+        first = np.cumsum(n) - n
+        for size in np.unique(n):
+            same = np.flatnonzero(n == size)
+            step = max(1, LIKE_NUMBERS // max(width, size * z.shape[1]))
+            for lo in range(0, len(same), step):
+                k = same[lo : lo + step]
+                rows = first[k][:, None] + np.arange(size)
+                yield g, k, t[rows], z[rows], y[rows]
 
 
 def _share(n: float, rank: int, units: int) -> float:
@@ -130,17 +153,15 @@ def leave_one_out(df: DataFrame, unit: str, time: str, y: str, x: str) -> DataFr
     full, n, n_units = float(eq.theta[0]), eq.n, eq.n_units
 
     def run(batches):
-        for f in batches:
-            out = []
-            for t, z, yy in own_rows([f], ax):
-                theta, inv, rank, known = without.solve(z, yy)
-                if not known[0]:
-                    out.append((len(t), None, None))
-                    continue
-                w = features.weights(inv[0], theta)
-                meat = max(w @ total @ w - (features.of(t, z, yy) @ w) ** 2, 0.0)
-                out.append((len(t), float(theta[0]), float(np.sqrt(meat * _share(n - len(t), rank, n_units - 1)))))
-            yield pd.DataFrame({"unit": f["unit"], "n_obs": [o[0] for o in out], "att_loo": [o[1] for o in out], "se_loo": [o[2] for o in out]})
+        for g, k, at, z, yy in like_units(batches, ax, features.width):
+            theta, first, rank, known = without.each(z, yy)
+            w = features.weights(first, theta)
+            meat = np.maximum(((w @ total) * w).sum(axis=1) - np.square((features.of(at, z, yy) * w).sum(axis=1)), 0.0)
+            size = z.shape[1]
+            share = {r: _share(n - size, r, n_units - 1) for r in set(rank.tolist())}
+            se = np.sqrt(meat * [share[r] for r in rank.tolist()])
+            found = lambda v: pd.Series(v).astype(object).where(known, None)
+            yield pd.DataFrame({"unit": g["unit"].iloc[k].to_numpy(), "n_obs": size, "att_loo": found(theta[:, 0]), "se_loo": found(se)})
 
     r = units.mapInPandas(run, f"unit {dict(units.dtypes)['unit']}, n_obs bigint, att_loo double, se_loo double")
     r = r.withColumns({"n_remaining": F.lit(n_units - 1).cast("bigint"), "att_full": F.lit(full)})
@@ -206,16 +227,16 @@ def cumulative_drop(df: DataFrame, unit: str, time: str, y: str, x: str, loo: Da
     for k in range(len(ranked) + 1):
         if k:
             f, was_treated = own[ranked[k - 1]]
-            gone += list(own_rows([f], ax))
+            gone += [b[2:] for b in like_units([f], ax, features.width)]
             treated -= was_treated
             n -= len(f["t"].iloc[0])
             if treated < min_treated or eq.n_units - k < min_units:
                 break
-        z = np.vstack([g[1] for g in gone]) if gone else np.zeros((0, len(eq.b)))
-        theta, inv, rank, known = without.solve(z, np.concatenate([g[2] for g in gone]) if gone else np.zeros(0))
+        z = np.vstack([g[1][0] for g in gone]) if gone else np.zeros((0, len(eq.b)))
+        theta, inv, rank, known = without.solve(z, np.concatenate([g[2][0] for g in gone]) if gone else np.zeros(0))
         if known[0]:
-            w = features.weights(inv[0], theta)
-            meat = max(w @ total @ w - sum((features.of(*g) @ w) ** 2 for g in gone), 0.0)
+            w = features.weights(inv[:1], theta[None])[0]
+            meat = max(w @ total @ w - sum((features.of(*g)[0] @ w) ** 2 for g in gone), 0.0)
             out.append((k, ",".join(map(str, ranked[:k])), float(theta[0]), float(np.sqrt(meat * _share(n, rank, eq.n_units - k))), int(eq.n_units - k), int(n)))
     units.unpersist()
     return out

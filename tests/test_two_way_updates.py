@@ -147,3 +147,22 @@ def test_lead_tests_equal_refits(spark, monkeypatch, missing, room):
         w = f.wald(lambda e: e < -1)
         assert (got[i].f, got[i].df1, got[i].p) == pytest.approx((w["statistic"], w["df1"], w["p_value"]), rel=1e-8, abs=1e-12)
         assert got[i].att == pytest.approx(np.mean([c for n, c in zip(f.names, f.coef) if n >= 0]), abs=1e-9)
+
+
+def test_units_are_left_out_side_by_side(spark):
+    """One block for all units with as many rows, with the solutions that each unit has alone."""
+    _, df, _ = make(spark, 0.3, units=40, periods=6)
+    units, periods = X.fe_units(df, "id", "t", "y", dense=["x"])
+    ax, without = np.array(periods), I._Without(X.normal_equations(units, periods, 1, 0))
+    frame = units.toPandas()
+    blocks = list(I.like_units([frame], ax, 1))
+    assert len(blocks) == frame["t"].map(len).nunique() and sum(len(b[1]) for b in blocks) == len(frame)
+    without.inv[2:, 2:] *= 30  # some units no longer pass the test for the short way
+    ways = set()
+    for _g, _k, _at, z, y in blocks:
+        theta, first, rank, known = without.each(z, y)
+        for n in range(len(z)):
+            t, inv, r, ok = without.solve(z[n], y[n])
+            assert np.allclose(theta[n], t, atol=1e-9) and np.allclose(first[n], inv[0], atol=1e-9) and (rank[n], known[n]) == (r, ok[0])
+            ways.add(bool(np.linalg.eigvalsh(np.eye(len(y[n])) - z[n] @ without.inv @ z[n].T)[0] > 1e-8))
+    assert ways == {True, False}
