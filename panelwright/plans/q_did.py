@@ -162,8 +162,9 @@ def _(spark, sf):
 @query("did_aipw", with_(P5) + PS + ", m AS (SELECT x1, sum(w*(1-d)*(y1-y0))/sum(w*(1-d)) AS m FROM p5 GROUP BY 1) SELECT " + r("sum(w*(d - odds*(1-d))*(y1-y0-m))/sum(w*d)") + " AS att FROM p5 JOIN s USING (x1) JOIN m USING (x1)")
 def _(spark, sf):
     p = D.two_period(spark, sf).withColumn("dy", F.col("y1") - F.col("y0"))
+    # x1 is 0 or 1: two small rows go to the tasks, the rows stay where they are.
     strata = p.groupBy("x1").agg((F.sum(F.expr("w*d")) / F.sum("w")).alias("ps"), (F.sum(F.expr("w*(1-d)*dy")) / F.sum(F.expr("w*(1-d)"))).alias("m"))
-    return p.join(strata, "x1").agg(S.rnd(E.aipw_panel("dy", "d", "ps", "m", "w")).alias("att"))
+    return p.join(F.broadcast(strata), "x1").agg(S.rnd(E.aipw_panel("dy", "d", "ps", "m", "w")).alias("att"))
 
 
 @query("did_aipw_rc", RC_BASE + " SELECT " + r("sum(wt1*(y-mc1))/sum(wt1) - sum(wt0*(y-mc0))/sum(wt0) - sum(wc1*(y-mc1))/sum(wc1) + sum(wc0*(y-mc0))/sum(wc0)") + " AS att1, " + r("sum(wt1*(y-mc1))/sum(wt1) - sum(wt0*(y-mc0))/sum(wt0) - sum(wc1*(y-mc1))/sum(wc1) + sum(wc0*(y-mc0))/sum(wc0) + sum(wd*(mt1-mc1))/sum(wd) - sum(wt1*(mt1-mc1))/sum(wt1) - sum(wd*(mt0-mc0))/sum(wd) + sum(wt0*(mt0-mc0))/sum(wt0)") + " AS att FROM c")
@@ -171,13 +172,13 @@ def _(spark, sf):
     p = D.cross_section(spark, sf)
     m = lambda a, b: (F.sum(F.when((F.col("d") == a) & (F.col("post") == b), F.col("w") * F.col("y"))) / F.sum(F.when((F.col("d") == a) & (F.col("post") == b), F.col("w"))))
     st = p.groupBy("x1").agg((F.sum(F.expr("w*d")) / F.sum("w")).alias("ps"), m(0, 1).alias("c1"), m(0, 0).alias("c0"), m(1, 1).alias("t1"), m(1, 0).alias("t0"))
-    return p.join(st, "x1").agg(S.rnd(E.aipw_rc("y", "post", "d", "ps", "w", "c1", "c0")).alias("att1"), S.rnd(E.aipw_rc("y", "post", "d", "ps", "w", "c1", "c0", "t1", "t0")).alias("att"))
+    return p.join(F.broadcast(st), "x1").agg(S.rnd(E.aipw_rc("y", "post", "d", "ps", "w", "c1", "c0")).alias("att1"), S.rnd(E.aipw_rc("y", "post", "d", "ps", "w", "c1", "c0", "t1", "t0")).alias("att"))
 
 
 @query("did_wols", RC_BASE + ", k AS (SELECT x1, max(mc1) AS m FROM c GROUP BY 1) SELECT 0 AS position, " + r("max(CASE WHEN x1 = 0 THEN m END)") + " AS coef FROM k UNION ALL SELECT 1, " + r("max(CASE WHEN x1 = 1 THEN m END) - max(CASE WHEN x1 = 0 THEN m END)") + " FROM k")
 def _(spark, sf):
     p = D.cross_section(spark, sf)
-    p = p.join(p.groupBy("x1").agg((F.sum(F.expr("w*d")) / F.sum("w")).alias("ps")), "x1")
+    p = p.join(F.broadcast(p.groupBy("x1").agg((F.sum(F.expr("w*d")) / F.sum("w")).alias("ps"))), "x1")
     return E.wls_odds(p, "y", ["x1"], "ps", "w", (F.col("d") == 0) & (F.col("post") == 1)).select("position", S.rnd("coef").alias("coef"))
 
 

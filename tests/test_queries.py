@@ -53,3 +53,15 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) > 250
+
+
+@pytest.mark.parametrize("name", ["did_aipw", "did_aipw_rc"])
+def test_rows_are_not_dealt_by_stratum(spark, name):
+    """Rows meet the two strata's means where they lie, whatever Spark takes the strata's size for."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert any("Join Inner" in line and "x1" in line and "strategy=broadcast" in line for line in plan.splitlines()), plan
