@@ -3,7 +3,8 @@
 The built-in exact percentile keeps a group's whole value table in one buffer.
 Here a bounded sketch brackets each wanted rank (its rank error is guaranteed),
 rows below a bracket are only counted, and the few rows inside it are ranked
-exactly after equal values have been collapsed.
+exactly after equal values have been collapsed. Rows meet their group's brackets
+without being dealt by group, so that a large group is no task of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ MARGIN = 2 / ACCURACY
 # Up to this size a group is ranked whole; beyond it the margin exceeds the sketch
 # error by at least two ranks, so both neighbours of an interpolated rank are inside.
 SMALL = 2 * ACCURACY
+# Groups whose brackets go to all tasks; beyond them brackets are copied so often that a large group is spread.
+SENT_GROUPS, SPREAD = 20_000, 16
 
 
 def _rank(p: float, n: Column, kind: int) -> Column:
@@ -27,6 +30,13 @@ def _rank(p: float, n: Column, kind: int) -> Column:
     return F.greatest(F.ceil(F.lit(p) * n - F.lit(1e-9)) - 1, F.lit(0)).cast("double")
 
 
+def _beside(vals: DataFrame, brackets: DataFrame, gk: list[str]) -> DataFrame:
+    if brackets.count() <= SENT_GROUPS:
+        return vals.join(F.broadcast(brackets), gk)
+    copies = brackets.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return vals.withColumn("_s", F.pmod(F.spark_partition_id(), F.lit(SPREAD))).join(copies, [*gk, "_s"]).drop("_s")
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], kind: int = 7) -> DataFrame:
     """One row per group with a column per name in ``probs``.
 
@@ -45,7 +55,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     lows = [F.when((F.col("_n") <= SMALL) | F.lit(p <= MARGIN), F.lit(float("-inf"))).otherwise(F.col("_cuts")[2 * i]) for i, p in enumerate(ps)]
     highs = [F.when((F.col("_n") <= SMALL) | F.lit(1 - p <= MARGIN), F.lit(float("inf"))).otherwise(F.col("_cuts")[2 * i + 1]) for i, p in enumerate(ps)]
     brackets = durable(cuts.select(*gk, "_n", *[c.alias(f"_lo{i}") for i, c in enumerate(lows)], *[c.alias(f"_hi{i}") for i, c in enumerate(highs)]))
-    rows = vals.join(brackets.drop("_n"), gk)
+    rows = _beside(vals, brackets.drop("_n"), gk)
     below = rows.groupBy(*gk).agg(*[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(len(ps))])
     hits = F.array_compact(F.array(*[F.when((F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")), F.lit(i)) for i in range(len(ps))]))
     inside = rows.select(*gk, "_v", F.explode(hits).alias("_i")).groupBy(*gk, "_i", "_v").agg(F.count("*").alias("_c"))

@@ -119,3 +119,22 @@ def test_tails_keep_their_digits(spark):
     d = spark.createDataFrame([(2.0, 10.0, 3.0), (None, 5.0, 2.0), (1.0, 0.0, 1.0)], "x double, a double, b double")
     got = d.select(p_t("x", "a"), p_chi2("x", "a"), p_f("x", "a", "b")).collect()
     assert list(got[0]) == pytest.approx([N.two_sided_t(2, 10), N.pchisq_upper(2, 10), N.pf_upper(2, 10, 3)]) and list(got[1]) == list(got[2]) == [None] * 3
+
+
+@pytest.mark.parametrize("sent", [3, 2])
+def test_quantile_rows_are_not_dealt_by_group_alone(spark, monkeypatch, sent):
+    """Three groups: brackets sent to the tasks, or copied so that a group's rows are spread; the same quantiles."""
+    from pyspark.sql import functions as F
+
+    from panelwright.functions import quantiles as Q
+
+    monkeypatch.setattr(Q, "SENT_GROUPS", sent)
+    d = spark.range(90_000, numPartitions=6).select((F.col("id") % 3).alias("k"), ((F.col("id") * 7919) % 30_011).cast("double").alias("x"))
+    data = d.toPandas()
+    rows = Q._beside(d.withColumnRenamed("x", "_v"), spark.createDataFrame([(k, 0.0) for k in range(3)], "k long, _lo0 double"), ["k"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (sent == 3) and rows.count() == 90_000
+    if sent < 3:
+        assert "_s" in plan
+    for r in Q.exact_quantiles(d, ["k"], "x", {"a": 0.05, "m": 0.5, "z": 0.95}).collect():
+        assert (r.a, r.m, r.z) == pytest.approx(tuple(np.quantile(data.x[data.k == r.k], (0.05, 0.5, 0.95))))
