@@ -25,7 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from panelwright.llm.common import SLICE, column, map_slices, need, small_batches, texts
+from panelwright.llm.common import SLICE, column, map_slices, need, texts
+from panelwright.session import small_batches
 
 #: Half the distinct pre-tokens a worker keeps at most; longer ones are not kept.
 CACHED, CACHED_CHARS = 400_000, 64

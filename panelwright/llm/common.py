@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelwright.session import small_batches
+
 NULL_ID = 2**63 - 1
 #: Texts handed to a Python loop at once.
 SLICE = 512
-#: Bytes of an Arrow batch of texts. Each task holds a batch in the executor and in its Python worker, some twice.
-BATCH_BYTES = 8 << 20
 
 
 def need(df: DataFrame, **columns: str) -> DataFrame:
@@ -88,14 +88,6 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session hands rows to Python in batches of about BATCH_BYTES from now on, unless it has a bound of its own."""
-    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not df.sparkSession.conf.get(bound, None):
-        df.sparkSession.conf.set(bound, str(BATCH_BYTES))
-    return df
-
-
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list]] | dict[str, list]], schema: str) -> DataFrame:
     """Apply ``fn`` to slices of at most SLICE rows; it returns columns by name, or yields several such."""
     parsed = T._parse_datatype_string(schema)

@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import SLICE, column, map_slices, need, small_batches, texts
+from panelwright.llm.common import SLICE, column, map_slices, need, texts
+from panelwright.session import small_batches
 from panelwright.llm.tokens import U, windows
 
 WORD = re.compile(r"\w+")

@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import NULL_ID, column, id_or_last, map_slices, need, new_path, remove, small_batches, texts, written
+from panelwright.llm.common import NULL_ID, column, id_or_last, map_slices, need, new_path, remove, texts, written
 from panelwright.llm.tokens import U, mix, windows, word_hashes
+from panelwright.session import small_batches
 
 K, THRESHOLD, RECALL, BLOCK = 5, 0.8, 0.9995, 512
 #: What tells rows apart: id and text.

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import SLICE, column, held_out, learnable, map_slices, need, small_batches, smallest_hashes, texts
+from panelwright.llm.common import SLICE, column, held_out, learnable, map_slices, need, smallest_hashes, texts
+from panelwright.session import small_batches
 
 PER_LABEL, MIN_G2, MIN_DF, LIFT, BOOST = 2500, 34.0, 3, 4.0, 40.0
 PREFIXES, BLOCK, NEIGHBOURS, PRIOR = (4, 5, 6, 7), 64, 15, 0.25

@@ -20,7 +20,7 @@ from panelwright.functions.scalars import col, linear
 from panelwright.operators.design import model_matrix
 from panelwright.operators.factors import reduced, solved, stack
 from panelwright.operators.moments import unpack
-from panelwright.session import keep
+from panelwright.session import keep, small_batches
 
 WIDE = 24  # beyond this many columns, cross products are summed in Arrow batches
 
@@ -352,7 +352,7 @@ def log_likelihood(name: str, s: dict, deviance: float) -> float:
 
 def _blocks(d: DataFrame, k: int) -> tuple[DataFrame, int]:
     """The modelling frame as blocks of BLOCK_ROWS rows (columns x.., y, w, o side by side as doubles), and the number of
-    partitions that hold some."""
+    partitions that hold some. Tasks get few blocks at a time, however many a partition holds."""
 
     def pack(batches):
         import pyarrow as pa
@@ -363,7 +363,7 @@ def _blocks(d: DataFrame, k: int) -> tuple[DataFrame, int]:
                 part = m[at : at + BLOCK_ROWS]
                 yield pa.record_batch({"n": pa.array([len(part)], pa.int32()), "m": pa.array([part.tobytes()], pa.binary())})
 
-    packed = keep(d.select(*[f"_x{i}" for i in range(k)], "_y", "_w", "_o").mapInArrow(pack, "n int, m binary"))
+    packed = keep(small_batches(d).select(*[f"_x{i}" for i in range(k)], "_y", "_w", "_o").mapInArrow(pack, "n int, m binary"))
     filled = packed.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("b")).agg(F.count("*").alias("p"), F.sum("b").alias("b")).first()
     cores = d.sparkSession.sparkContext.defaultParallelism
     if filled.p and filled.p < min(cores, filled.b):

@@ -55,6 +55,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch of texts or blocks of numbers. Each task holds a batch in the executor and in its Python worker, some twice.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session hands rows to Python in batches of about BATCH_BYTES from now on, unless it has a bound of its own."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.conf.get(bound, None):
+        df.sparkSession.conf.set(bound, str(BATCH_BYTES))
+    return df
+
+
 _kept: list[DataFrame] = []
 
 

@@ -70,7 +70,8 @@ def test_entry_works_without_the_subpackage(tmp_path):
 def test_texts_reach_python_in_small_batches(spark):
     from pyspark.sql import functions as F
 
-    from panelwright.llm.common import BATCH_BYTES, map_slices
+    from panelwright.llm.common import map_slices
+    from panelwright.session import BATCH_BYTES
 
     docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
     sizes = map_slices(docs, lambda b: {"n": [sum(x.size for x in b.column(1).buffers() if x)]}, "n long")  # a slice keeps its batch's buffers

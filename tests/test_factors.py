@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,19 @@ def test_pivoted_factor_of_random_matrices():
         t, q, order, rank = X.pivoted(a)
         assert rank == k and np.allclose(q @ t, a[:, order]) and np.allclose(q @ q.T, np.eye(k)) and (np.abs(np.diag(t))[:-1] >= np.abs(np.diag(t))[1:] - 1e-12).all()
     assert X.pivoted(np.zeros((3, 3)))[3] == 0
+
+
+def test_tasks_get_few_blocks_at_a_time(spark, monkeypatch):
+    from panelwright import session
+
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(bound, None)
+    spark.conf.unset(bound)
+    monkeypatch.setattr(session, "BATCH_BYTES", 1 << 17)
+    try:
+        d = spark.range(200_000, numPartitions=2).select(F.col("id").cast("double").alias("_x0"), F.lit(1.0).alias("_y"), F.lit(1.0).alias("_w"), F.lit(0.0).alias("_o"))
+        blocks, _ = M._blocks(d, 1)
+        sizes = blocks.mapInArrow(lambda bs: (pa.record_batch({"n": [sum(x.size for x in b.column(1).buffers() if x)]}) for b in bs), "n long").collect()
+    finally:
+        spark.conf.set(bound, old) if old else spark.conf.unset(bound)
+    assert max(r.n for r in sizes) <= 4 << 17 and sum(r.n for r in sizes) >= 200_000 * 32
