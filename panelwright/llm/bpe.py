@@ -22,6 +22,7 @@ from weakref import WeakKeyDictionary
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -139,6 +140,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: The driver's last broadcast by application and contents, and a worker's codecs by broadcast.
+_sent: dict[tuple[str, str], Broadcast] = {}
 _codecs: WeakKeyDictionary = WeakKeyDictionary()
 
 
@@ -153,8 +156,13 @@ def codec_for(sent) -> Codec:
 def shared_codec(spark: SparkSession, path: str, pattern: str):
     """A function that gives a task its worker's codec; the ranks (a fixed file, about 1 MB) are read once by the driver.
 
-    Later tasks of a worker find the codec's table of pre-tokens filled."""
-    sent = spark.sparkContext.broadcast((read_ranks(path), pattern))
+    Calls with the same contents share one broadcast, so that later tasks of a worker find its table of pre-tokens filled."""
+    ranks = read_ranks(path)
+    key = spark.sparkContext.applicationId, hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    if key not in _sent:
+        _sent.clear()
+        _sent[key] = spark.sparkContext.broadcast((ranks, pattern))
+    sent = _sent[key]
 
     return lambda: codec_for(sent)
 

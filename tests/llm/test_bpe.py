@@ -71,3 +71,8 @@ def test_table_goes_with_its_broadcast(pair):
     del sent
     gc.collect()
     assert not B._codecs
+
+
+def test_calls_share_a_broadcast(spark):
+    kept = [B.shared_codec(spark, PATH, P.PATTERN).__closure__[0].cell_contents for _ in range(2)]
+    assert kept[0] is kept[1] and kept[0] is not B.shared_codec(spark, PATH, P.PATTERN + "|x").__closure__[0].cell_contents
