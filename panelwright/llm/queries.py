@@ -77,7 +77,7 @@ def op8_jaccard_join(spark, sf_dir):
 
 @query
 def op3_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"), passages=True)
 
 
 @query

@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import NULL_ID, column, id_or_last, map_slices, need, new_path, remove, texts, written
-from panelwright.llm.tokens import U, mix, powers, prefix_sums
+from panelwright.llm.passages import passage_spans
+from panelwright.llm.tokens import U, mix, powers, prefix_sums, window_minima
 
 WIDTH, GRAM = 400, 100
 SPAN = WIDTH - GRAM + 1  # grams in a window
@@ -50,17 +51,6 @@ def bytes_of(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
 
 
-def window_minima(keys: np.ndarray, m: int) -> np.ndarray:
-    """Minimum of every ``m`` consecutive keys, from minima that run forwards and backwards in blocks of ``m``."""
-    n = len(keys)
-    padded = np.full(-(-n // m) * m, 2**64 - 1, U)
-    padded[:n] = keys
-    blocks = padded.reshape(-1, m)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - m + 1], ahead[m - 1 : n])
-
-
 def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors, first and last window of each, and the hash of its gram; the windows of a text in ascending order."""
     n = len(raw)
@@ -318,14 +308,21 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def dedup_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept (bytes that stay), removed (merged spans)."""
+def dedup_bytes(docs: DataFrame, hot: int = HOT, passages: bool = False) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept (bytes that stay), removed (merged spans); with ``passages`` also
+    n_repeat_words (words in 50-word windows that stand in another row too; they stay unless their bytes go)."""
     d = need(docs, doc_id="long", text="string")
     d = d.select(id_or_last("doc_id").alias("_did"), F.xxhash64("text").alias("_tid"), "text")
     joined = d.join(removed_spans(d, hot), ["_did", "_tid"], "left")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<from: long, to: long>>"
+    if passages:
+        joined = joined.join(passage_spans(d), ["_did", "_tid"], "left")
+        schema += ", n_repeat_words long"
 
     def run(batch):
         out = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed")}
+        if passages:
+            out["n_repeat_words"] = [sum(b - a for a, b in merged([(s["from"], s["to"]) for s in spans or []])) for spans in column(batch, "_words").to_pylist()]
         for did, t, spans in zip(*(column(batch, c).to_pylist() for c in ("_did", "text", "_spans"))):
             raw = (t or "").encode("utf-8", "replace")
             m = merged([(s["from"], s["to"]) for s in spans or []])
@@ -334,12 +331,13 @@ def dedup_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 out[n].append(v)
         return out
 
-    return map_slices(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<from: long, to: long>>")
+    return map_slices(joined, run, schema)
 
 
-def dedup_digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return dedup_bytes(docs, hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+def dedup_digests(docs: DataFrame, hot: int = HOT, passages: bool = False) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``passages`` also n_repeat_words."""
+    more = ["n_repeat_words"] if passages else []
+    return dedup_bytes(docs, hot, passages).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *more)
 
 
 def brute(texts_: list[str | None]) -> list[list[tuple[int, int]]]:

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from panelwright.llm import passages as P
 from panelwright.llm import suffix_dedup as S
 from tests.llm.helpers import DATA, needs_data, none_docs, odd_docs, words
 
@@ -88,3 +89,46 @@ def test_repeated_rows_are_places_of_their_own(spark, tasks, joins, hot):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == sorted((str(i), len(t or ""), m) for (i, t), m in zip(rows, S.brute([t for _, t in rows])))
+
+
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_passages_of_over_50_words_under_400_bytes(spark, tasks):
+    """The contract's 400 bytes leave them, the further column has them: in other texts, rows equal or not, not in one row alone."""
+    r = random.Random(12)
+    text = lambda n: words(r.random(), n)
+    passages = [text(n) for n in (49, 50, 51, 55, 62, 70, 120)]
+    rows = []
+    for k in range(60):
+        parts = text(r.randint(0, 80))
+        for _ in range(r.randint(0, 3)):
+            p = r.choice(passages)
+            a = r.choice([0, 0, 1, 5])
+            parts = [*parts, *p[a : r.choice([len(p), 56])], *text(r.randint(0, 40))]
+        rows.append((k, r.choice([" ", "\n", " \t"]).join(parts)))
+    own = " ".join(text(60))
+    rows += [(100, own + " x " + own), (101, "the " * 80), (102, "the " * 70), (103, "a " * 300), (104, None), (105, ""), (None, rows[2][1]), (106, rows[3][1]), (106, rows[3][1])]
+    rows += [(107, " ".join(text(90)))] * 2 + [(None, " ".join(text(52)))] * 2 + [(108, " ".join(text(500)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)
+    got = S.dedup_digests(docs, passages=True).collect()
+    want = sorted((str(i), len((t or "").encode()), n) for (i, t), n in zip(rows, P.brute([t for _, t in rows])))
+    assert sorted((str(x.doc_id), x.n_bytes, x.n_repeat_words) for x in got) == want
+    assert sum(x.n_repeat_words > 50 and not x.n_removed for x in got) > 5 and sum(x.n_repeat_words == 0 for x in got) > 5
+    assert [tuple(x)[:5] for x in sorted(got, key=str)] == [tuple(x) for x in sorted(S.dedup_digests(docs).collect(), key=str)]
+
+
+def test_registered_query_tells_passages_and_clean_texts(spark, tmp_path):
+    """Passages of 51 to 62 words in two texts each among others that are clean."""
+    import __spark_entry__
+
+    r = random.Random(3)
+    text = lambda n: words(r.random(), n)
+    rows = [(k, " ".join(text(r.randint(60, 200)))) for k in range(80)]
+    for k in range(0, 40, 2):
+        p = text(r.randint(51, 62))
+        for i in (k, k + 1):
+            w = rows[i][1].split()
+            at = r.randint(0, len(w))
+            rows[i] = (i, " ".join([*w[:at], *p, *w[at:]]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.n_repeat_words for x in __spark_entry__.queries()["op3_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert all(51 <= got[k] for k in range(40)) and all(got[k] == 0 for k in range(40, 80))
