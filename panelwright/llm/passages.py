@@ -19,17 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import column, map_slices, new_path, remove, texts, written
-from panelwright.llm.tokens import U, mix, powers, window_minima, windows, word_hashes
+from panelwright.llm.tokens import U, mix, powers, window_minima, word_hashes
 
 WORDS, GRAM = 50, 20
 
 
-def stretch_hashes(w: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_sums(w: np.ndarray) -> np.ndarray:
+    """Sums of word hash * BASE**place over every prefix, modulo 2**64."""
+    out = np.zeros(len(w) + 1, U)
+    np.cumsum(w * powers(len(w))[0], out=out[1:], dtype=U)
+    return out
+
+
+def stretch_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the words from ``start`` to before ``end``."""
-    ahead, back = powers(len(w))
-    sums = np.zeros(len(w) + 1, U)
-    np.cumsum(w * ahead, out=sums[1:], dtype=U)
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(U))
+    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(U))
 
 
 def word_runs(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -37,12 +41,14 @@ def word_runs(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     if len(w) < WORDS:
         none = np.empty(0, np.int64)
         return none, none, np.empty(0, U), np.empty(0, U)
-    grams = windows(w, GRAM)
-    keys = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U)
+    sums = word_sums(w)
+    n = len(w) - GRAM + 1
+    grams = mix((sums[GRAM:] - sums[:-GRAM]) * powers(len(w))[1][:n])
+    keys = (grams & U(0xFFFFFFFF00000000)) | np.arange(n, dtype=U)
     at = (window_minima(keys, WORDS - GRAM + 1) & U(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     n = np.diff(np.append(first, len(at)))
-    return first, n, grams[at[first]], stretch_hashes(w, first, first + n + WORDS - 1)
+    return first, n, grams[at[first]], stretch_hashes(sums, first, first + n + WORDS - 1)
 
 
 def run_frame(docs: DataFrame) -> DataFrame:
@@ -69,11 +75,11 @@ def window_rows(runs: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batch):
         out = {n: [np.empty(0, np.int64)] for n in ("_w", "_run", "_k", "_a", "_b")}
         for t, found in zip(texts(batch), column(batch, "_runs").to_pylist()):
-            w = word_hashes(t or "")
+            sums = word_sums(word_hashes(t or ""))
             n = np.array([r["_n"] for r in found])
             k = np.concatenate([np.arange(x) for x in n])
             at = np.repeat([r["_at"] for r in found], n) + k
-            out["_w"].append(stretch_hashes(w, at, at + WORDS).view(np.int64)), out["_k"].append(k)
+            out["_w"].append(stretch_hashes(sums, at, at + WORDS).view(np.int64)), out["_k"].append(k)
             for c in ("_run", "_a", "_b"):
                 out[c].append(np.repeat([r[c] for r in found], n))
         return {n: np.concatenate(v) for n, v in out.items()}
@@ -81,8 +87,31 @@ def window_rows(runs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_slices(docs.join(of, ["_did", "_tid"]), run, "_w long, _run long, _k int, _a long, _b long")
 
 
-def passage_spans(docs: DataFrame) -> DataFrame:
-    """_did, _tid, _words (array of from, to in words; overlapping) of documents with passages; of _did, _tid, text."""
+def covered(of: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """How many places the spans of each of ``n`` rows cover; ``of``: the row of a span."""
+    if not len(of):
+        return np.zeros(n, np.int64)
+    shift = of * (int(end.max()) + 1)
+    order = np.argsort(start + shift, kind="stable")
+    first, last = (start + shift)[order], (end + shift)[order]
+    reached = np.maximum.accumulate(np.append(0, last))[:-1]
+    return np.bincount(of[order], np.maximum(0, last - np.maximum(first, reached)), n).astype(np.int64)
+
+
+def covered_words(spans: DataFrame) -> DataFrame:
+    """_did, _tid, n_repeat_words of _did, _tid, _from and _to (arrays)."""
+
+    def run(batch):
+        start, end = column(batch, "_from"), column(batch, "_to")
+        of = np.repeat(np.arange(len(start)), start.value_lengths().to_numpy(zero_copy_only=False))
+        values = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (start, end)]
+        return {"_did": column(batch, "_did"), "_tid": column(batch, "_tid"), "n_repeat_words": covered(of, *values, len(start))}
+
+    return map_slices(spans, run, "_did long, _tid long, n_repeat_words long")
+
+
+def passage_words(docs: DataFrame) -> DataFrame:
+    """_did, _tid, n_repeat_words of the documents with passages; ``docs``: _did, _tid, text."""
     spark = docs.sparkSession
     path = new_path(spark, "word-runs")
     every = written(run_frame(docs), "word-runs", path)
@@ -102,7 +131,8 @@ def passage_spans(docs: DataFrame) -> DataFrame:
     hits = places.join(parts.unionByName(whole), ["_g", "_h"]).select("_rid", spans.alias("_s"))
     # Rows equal in id and text have equal spans: one of them tells, every row meets them.
     told = ids.groupBy("_did", "_tid").agg(F.min("_rid").alias("_rid"))
-    return hits.join(told, "_rid").groupBy("_did", "_tid").agg(F.flatten(F.collect_list("_s")).alias("_words"))
+    spans = hits.join(told, "_rid").groupBy("_did", "_tid").agg(F.flatten(F.collect_list("_s")).alias("_s"))
+    return covered_words(spans.select("_did", "_tid", F.col("_s")["from"].alias("_from"), F.col("_s")["to"].alias("_to")))
 
 
 def brute(texts_: list[str | None]) -> list[int]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import NULL_ID, column, id_or_last, map_slices, need, new_path, remove, texts, written
-from panelwright.llm.passages import passage_spans
+from panelwright.llm.passages import passage_words
 from panelwright.llm.tokens import U, mix, powers, prefix_sums, window_minima
 
 WIDTH, GRAM = 400, 100
@@ -285,7 +285,8 @@ def removed_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
         found = found.unionByName(hot_windows(hot_text.drop("_bucket")))
     # Rows equal in id and text hold their runs at the same places: they are told once here, and met by every row at the end.
     at = places.select("_did", "_tid", "_p", *RUN).distinct()
-    hits = at.join(found.dropDuplicates(RUN), RUN)
+    # ``found`` has a run once: its rows come straight from a shuffle, so that a frequent run's places can be split.
+    hits = at.join(found, RUN)
     spans = F.zip_with("_from", "_to", lambda a, b: F.struct((F.col("_p") + a).alias("from"), (F.col("_p") + b).alias("to")))
     return hits.select("_did", "_tid", spans.alias("_s")).groupBy("_did", "_tid").agg(F.flatten(F.collect_list("_s")).alias("_spans"))
 
@@ -316,13 +317,13 @@ def dedup_bytes(docs: DataFrame, hot: int = HOT, passages: bool = False) -> Data
     joined = d.join(removed_spans(d, hot), ["_did", "_tid"], "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<from: long, to: long>>"
     if passages:
-        joined = joined.join(passage_spans(d), ["_did", "_tid"], "left")
+        joined = joined.join(passage_words(d), ["_did", "_tid"], "left")
         schema += ", n_repeat_words long"
 
     def run(batch):
         out = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed")}
         if passages:
-            out["n_repeat_words"] = [sum(b - a for a, b in merged([(s["from"], s["to"]) for s in spans or []])) for spans in column(batch, "_words").to_pylist()]
+            out["n_repeat_words"] = column(batch, "n_repeat_words").fill_null(0)
         for did, t, spans in zip(*(column(batch, c).to_pylist() for c in ("_did", "text", "_spans"))):
             raw = (t or "").encode("utf-8", "replace")
             m = merged([(s["from"], s["to"]) for s in spans or []])
